@@ -7,7 +7,7 @@ the other assets of the class as a z-score, and the drop in availability with a
 import calendar
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean_text, rounded
@@ -60,34 +60,41 @@ def _z_score(value: str, mean: str, std: str, guarded: bool) -> Column:
     return F.when(F.col(std).isNull() | (F.col(std) == 0), F.lit(0.0)).otherwise(z) if guarded else z
 
 
-def seasonal_scores(
-    telemetry: DataFrame,
+def _scope(location: str | None) -> Column:
+    """Membership of an asset in a scope, null when it is outside: all assets, or a location its own equals or contains."""
+    if location is None:
+        return F.struct(F.lit(None).cast("string").alias("scope"), F.lit(True).alias("exact"))
+    own, wanted = F.lower("location"), F.lit(location.strip().lower())
+    member = F.struct(F.lit(location).alias("scope"), (clean_text(own) == wanted).alias("exact"))
+    return F.when(F.contains(own, wanted), member)
+
+
+def _scopes(locations: tuple[str | None, ...]) -> Column:
+    """The scopes an asset belongs to, one row each when there are several to choose from."""
+    if len(locations) == 1:
+        return _scope(locations[0])
+    return F.explode(F.array_compact(F.array(*[_scope(location) for location in locations])))
+
+
+def scores_of_means(
+    means: DataFrame,
     assets: DataFrame,
-    location: str | None = None,
-    before: tuple[int, ...] = BEFORE_MONTHS,
-    after: tuple[int, ...] = AFTER_MONTHS,
-    year: int | None = None,
+    locations: tuple[str | None, ...] = (None,),
     min_peers: int = MIN_PEERS,
     guarded: bool = True,
 ) -> DataFrame:
-    """Both signals and their z-scores for each asset that has both seasons.
+    """Signals and z-scores from the per-asset means, for each location asked for (`scope`, null for all assets).
 
     A location selects the assets whose location equals it, or, only when there is none, those whose location
-    contains it. Peers are counted after that choice. `guarded=False` drops the peer minimum and the zero-deviation
-    rule.
+    contains it. Peers are counted after that choice. `guarded=False` drops the peer minimum and the zero-deviation rule.
 
     The class figures come from a grouped aggregate that is joined back, and not from a window over the class: with two
-    classes a window would sort half of all assets in one task. Both uses of the per-asset aggregate need the same
-    columns, so Spark shuffles it once and reuses the exchange; the fact table is scanned once.
+    classes a window would sort half of all assets in one task. Both uses of the per-asset means need the same columns, so
+    Spark shuffles them once and reuses the exchange; the fact table is scanned once.
     """
-    rows = _in_year(telemetry, year)
-    if location is None:
-        # Which months a row falls in decides nothing but the means, so other months can go before the aggregate.
-        rows = rows.filter(_months("date", tuple(before) + tuple(after)))
     dimension = assets.select("asset_id", F.col("type").alias("asset_class"), "location")
-    signals = (
-        seasonal_means(rows, before, after)
-        .join(dimension, "asset_id")
+    scoped = (
+        means.join(dimension, "asset_id")
         .filter(F.col("asset_class").isNotNull())
         .withColumn("avail_drop", F.col("before_availability") - F.col("after_availability"))
         .withColumn("seasonal_ratio", F.try_divide("after_energy", "before_energy"))
@@ -95,34 +102,42 @@ def seasonal_scores(
             "complete",
             F.col("before_energy").isNotNull() & F.col("after_energy").isNotNull() & F.col("avail_drop").isNotNull(),
         )
+        .withColumn("in_scope", _scopes(locations))
+        .filter(F.col("in_scope").isNotNull())
+        .select("*", "in_scope.scope", "in_scope.exact")
+        .drop("in_scope")
     )
-    if location is None:
-        scoped = signals.withColumn("exact", F.lit(True))
-    else:
-        wanted = location.strip().lower()
-        scoped = signals.withColumn("exact", clean_text(F.lower("location")) == F.lit(wanted)).filter(
-            F.col("exact") | F.contains(F.lower("location"), F.lit(wanted))
-        )
 
     def when_complete(name: str) -> Column:
         return F.when(F.col("complete"), F.col(name))
 
-    peers = scoped.groupBy("asset_class", "exact").agg(
-        F.count_if("complete").alias("peer_count"),
-        F.avg(when_complete("seasonal_ratio")).alias("ratio_mean"),
-        F.stddev_samp(when_complete("seasonal_ratio")).alias("ratio_std"),
-        F.avg(when_complete("avail_drop")).alias("drop_mean"),
-        F.stddev_samp(when_complete("avail_drop")).alias("drop_std"),
+    # One row per scope, class and kind of match. The choice between exact and partial matches is made on these few rows;
+    # the kind that loses finds no peers in the join below.
+    peers = (
+        scoped.groupBy("scope", "asset_class", "exact")
+        .agg(
+            F.count_if("complete").alias("peer_count"),
+            F.avg(when_complete("seasonal_ratio")).alias("ratio_mean"),
+            F.stddev_samp(when_complete("seasonal_ratio")).alias("ratio_std"),
+            F.avg(when_complete("avail_drop")).alias("drop_mean"),
+            F.stddev_samp(when_complete("avail_drop")).alias("drop_std"),
+        )
+        .withColumn("any_exact", F.max("exact").over(Window.partitionBy("scope")))
+        .filter(F.col("exact") == F.col("any_exact"))
+        .drop("any_exact")
     )
-    if location is not None:
-        any_exact = peers.agg(F.max("exact")).scalar()
-        scoped = scoped.filter(F.col("exact") == any_exact)
-    scored = scoped.filter("complete").join(peers, ["asset_class", "exact"])
     if guarded:
-        scored = scored.filter(F.col("peer_count") >= min_peers)
-    return scored.select(
+        peers = peers.filter(F.col("peer_count") >= min_peers)
+    left, right = scoped.filter("complete").alias("asset"), peers.alias("peer")
+    same_group = (
+        F.col("asset.scope").eqNullSafe(F.col("peer.scope"))
+        & (F.col("asset.asset_class") == F.col("peer.asset_class"))
+        & (F.col("asset.exact") == F.col("peer.exact"))
+    )
+    return left.join(right, same_group).select(
+        "asset.scope",
         "asset_id",
-        "asset_class",
+        "asset.asset_class",
         "location",
         "before_energy",
         "after_energy",
@@ -134,6 +149,25 @@ def seasonal_scores(
     )
 
 
+def seasonal_scores(
+    telemetry: DataFrame,
+    assets: DataFrame,
+    location: str | None = None,
+    before: tuple[int, ...] = BEFORE_MONTHS,
+    after: tuple[int, ...] = AFTER_MONTHS,
+    year: int | None = None,
+    min_peers: int = MIN_PEERS,
+    guarded: bool = True,
+) -> DataFrame:
+    """Both signals and their z-scores for each asset that has both seasons, of all assets or of one location."""
+    rows = _in_year(telemetry, year)
+    if location is None:
+        # Other months change no mean, so they go before the aggregate. With a location they still decide which assets
+        # have telemetry at all, and with that whether a location matches exactly.
+        rows = rows.filter(_months("date", tuple(before) + tuple(after)))
+    return scores_of_means(seasonal_means(rows, before, after), assets, (location,), min_peers, guarded).drop("scope")
+
+
 def flagged(scores: DataFrame, z_threshold: float = Z_THRESHOLD, drop_floor: float = DROP_FLOOR) -> DataFrame:
     """Assets whose energy ratio is a low outlier or whose availability fell by the floor or more (unrounded)."""
     low_ratio = F.coalesce(F.col("z_ratio") <= z_threshold, F.lit(False))
@@ -179,18 +213,25 @@ def underperforming_assets(
         )
         with_window = found.join(window_mean, "asset_id", "left")
     return with_window.orderBy(F.desc("avail_drop"), "asset_id").select(
-        "asset_id",
-        "asset_class",
+        *displayed_figures(),
+        F.lit(comparison_month or "after season").alias("reporting_window"),
+        rounded(F.col("reporting_avg"), 0).alias("reporting_avg_kwh"),
+        "peer_count",
+    )
+
+
+def displayed_figures() -> list[Column]:
+    """The figures of a flagged asset as they are shown."""
+    return [
+        F.col("asset_id"),
+        F.col("asset_class"),
         rounded(F.col("z_ratio"), 2).alias("z_score_ratio"),
         rounded(F.col("z_avail_drop"), 2).alias("z_score_avail_drop"),
         rounded(F.col("before_energy"), 0).alias("jan_feb_avg_kwh"),
         rounded(F.col("after_energy"), 0).alias("post_march_avg_kwh"),
         rounded(F.col("seasonal_ratio"), 3).alias("seasonal_ratio"),
         rounded(F.col("avail_drop"), 2).alias("avail_drop_pct_pts"),
-        F.lit(comparison_month or "after season").alias("reporting_window"),
-        rounded(F.col("reporting_avg"), 0).alias("reporting_avg_kwh"),
-        "peer_count",
-    )
+    ]
 
 
 def recent_faults(

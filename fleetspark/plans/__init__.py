@@ -1,11 +1,12 @@
 """Registered queries: each is a callable over (spark, folder) with its SQL twin."""
 
-from . import fleet
+from . import fleet, questions
 from .registry import Registry
 
 
 def all_queries() -> Registry:
     """The registry with every query."""
     registry = Registry()
-    fleet.register(registry)
+    for area in (fleet, questions):
+        area.register(registry)
     return registry

@@ -145,6 +145,13 @@ ROLES = {
                ) AS text
         FROM {documents}
     """,
+    # Search questions: every benchmark passage, some with a fault code or a manufacturer to narrow by.
+    "manual_questions": """
+        SELECT item_id AS query_id,
+               concat(text, CASE item_id % 4 WHEN 0 THEN ' What does E-3001 mean?' WHEN 1 THEN ' What does the Vestas manual say?'
+                                             WHEN 2 THEN ' Does LONGi know e-3001?' ELSE '' END) AS question
+        FROM {benchmark}
+    """,
     # Answers written from results: numbers near and far from the source, and citations with and without one.
     "answers": """
         SELECT o_orderkey AS request_id,
