@@ -1,6 +1,7 @@
 """Column functions shared by the operators. All are built from Spark's own expressions."""
 
 from .dates import date_range_error, infer_date_range, month_label
+from .arrays import explode_rows
 from .numeric import clamp01, rounded
 from .text import (
     asset_ids,
@@ -24,6 +25,7 @@ __all__ = [
     "clean_text",
     "contains_any",
     "date_range_error",
+    "explode_rows",
     "extract_numbers",
     "fault_code_in",
     "infer_date_range",

@@ -10,8 +10,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import matching, month_label, rounded  # noqa: F401
+from ..functions import month_label, rounded
 from ..functions.dates import windows
+from .intent import LOCATIONS, with_intent
 from .maintenance import AS_OF, CADENCE_DAYS
 from .seasonal import AFTER_MONTHS, BEFORE_MONTHS, DROP_FLOOR, Z_THRESHOLD, displayed_figures, flagged, has_fault, scores_of_means
 from .shape import LIST_CAP, capped_lists
@@ -312,33 +313,147 @@ def results_of(reports: DataFrame, tool: str) -> DataFrame:
     )
 
 
-def list_results(requests: DataFrame, rows: DataFrame, keys: list[str], order: list[Column], tool: str) -> DataFrame:
-    """A list report as tool results: at most `LIST_CAP` rows of each distinct key, with the total.
+def list_reports(requests: DataFrame, rows: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """A list report for each request: at most `LIST_CAP` rows of its key, the total, and a note when the list was cut.
 
-    `rows` are grouped by the key before they meet the requests, so a request receives one short list.
+    `rows` are cut per distinct key before they meet the requests, so a request receives one short list.
     """
-    columns = [name for name in rows.columns if name not in keys]
+    columns = [column for column in rows.columns if column not in keys]
     keyed = rows.withColumn("list_key", F.to_json(F.struct(*keys)))
     lists = capped_lists(keyed, "list_key", order, columns, LIST_CAP)
+    report = F.struct(F.coalesce("total_count", F.lit(0)).alias("total_count"), F.col("note"), F.col("items"))
     return (
         requests.withColumn("list_key", F.to_json(F.struct(*keys)))
         .join(lists, "list_key", "left")
+        .select("request_id", report.alias(name))
+    )
+
+
+def broad_results(low: DataFrame, declining: DataFrame, tool: str) -> DataFrame:
+    """Results of questions about the whole fleet; a question about both lists receives both in one result."""
+    return low.join(declining, "request_id", "full_outer").select(
+        "request_id",
+        F.lit(tool).alias("tool"),
+        F.lit("ok").alias("status"),
+        F.lit(None).cast("string").alias("error"),
+        # Null fields do not appear in the JSON.
+        F.to_json(F.struct("low_availability", "declining_energy")).alias("data_json"),
+    )
+
+
+def lookup_results(requests: DataFrame, lookups: DataFrame) -> DataFrame:
+    """Outcome of the id lookup as tool results. A partial lookup has both data and an error."""
+    return lookups.join(requests.select("request_id"), "request_id", "left_semi").select(
+        "request_id",
+        F.lit("asset_lookup").alias("tool"),
+        "status",
+        "error",
+        F.when(F.size("asset_ids") > 0, F.to_json(F.struct("asset_ids"))).alias("data_json"),
+    )
+
+
+def search_results(requests: DataFrame, contexts: DataFrame, gate: DataFrame) -> DataFrame:
+    """Outcome of the manual search as tool results: the numbered context, or the error of the relevance gate."""
+    passed = F.col("passed")
+    return (
+        requests.select("request_id")
+        .join(gate.withColumnRenamed("query_id", "request_id"), "request_id", "left")
+        .join(contexts.withColumnRenamed("query_id", "request_id"), "request_id", "left")
         .select(
             "request_id",
-            F.lit(tool).alias("tool"),
-            F.lit("ok").alias("status"),
-            F.lit(None).cast("string").alias("error"),
-            F.to_json(
-                F.struct(
-                    F.coalesce("total_count", F.lit(0)).alias("total_count"),
-                    F.col("note").alias("note"),
-                    F.col("items").alias("items"),
-                )
-            ).alias("data_json"),
+            F.lit("rag_tool").alias("tool"),
+            F.when(passed, "ok").otherwise("error").alias("status"),
+            F.when(~F.coalesce(passed, F.lit(False)), F.coalesce(F.col("error"), F.lit("no documents retrieved"))).alias("error"),
+            F.when(passed, F.to_json(F.struct("context", "chunks_used", "best_score"))).alias("data_json"),
         )
     )
 
 
+def skipped_results(requests: DataFrame, lookups: DataFrame, tool: str) -> DataFrame:
+    """Results of requests that are not answered because their id lookup reported an error."""
+    reason = F.concat(F.lit("skipped: "), F.col("error"))
+    return requests.select("request_id").join(lookups, "request_id").select(
+        "request_id",
+        F.lit(tool).alias("tool"),
+        F.lit("error").alias("status"),
+        reason.alias("error"),
+        F.lit(None).cast("string").alias("data_json"),
+    )
+
+
+def answer_requests(
+    requests: DataFrame,
+    lookups: DataFrame,
+    assets: DataFrame,
+    telemetry_by_month: DataFrame,
+    maintenance_by_month: DataFrame,
+    year: int = 2024,
+    locations: tuple[str, ...] = LOCATIONS,
+    threshold: float = 90.0,
+    z_threshold: float = Z_THRESHOLD,
+    drop_floor: float = DROP_FLOOR,
+    as_of: str = AS_OF,
+    searched: DataFrame | None = None,
+) -> DataFrame:
+    """Tool results of a table of requests: `request_id`, `source_index`, `tool`, `status`, `error`, `data_json`.
+
+    `requests` has `request_id`, `question` and the planned `tools`. `lookups` is the output of `lookup_requests`; it is
+    used where the plan has a lookup, and an error there skips the telemetry and maintenance of the request. The month
+    tables come from `telemetry_months` and `maintenance_months`; store or materialise them, since several reports read
+    them. `searched` holds the results of the manual search, if any. Sources are numbered in the order of the plan.
+    """
+    asked = with_intent(requests, year, locations)
+    looked_up = F.array_contains("tools", "asset_lookup")
+    found = lookups.select(
+        "request_id", F.col("asset_ids").alias("resolved"), F.col("error").alias("lookup_error")
+    )
+    joined = asked.join(found, "request_id", "left").withColumns(
+        {
+            "gated": looked_up & F.col("lookup_error").isNotNull(),
+            "asset_ids": F.when(looked_up & (F.size("resolved") > 0), F.col("resolved")).otherwise(F.col("mentioned_ids")),
+        }
+    )
+
+    def planned(tool: str, gated: bool) -> DataFrame:
+        return joined.filter(F.array_contains("tools", tool) & (F.col("gated") == gated))
+
+    telemetry = planned("telemetry_tool", gated=False)
+    per_asset = telemetry.filter("kind = 'per_asset'").select("request_id", *KEY)
+    wants_low = telemetry.filter("kind IN ('low_availability', 'combined')").select("request_id", "date_start", "date_end")
+    wants_energy = telemetry.filter("kind IN ('declining_energy', 'combined')").select(
+        "request_id", "location", "comparison_month"
+    )
+    low = low_availability_by_window(telemetry_by_month, year, threshold)
+    scopes = (None, *locations)
+    declining = declining_by_scope(telemetry_by_month, assets, scopes, z_threshold, drop_floor)
+    by_window = with_month_means(declining, telemetry_by_month, year).withColumnRenamed("scope", "location")
+    service = planned("maintenance_tool", gated=False).select("request_id", *KEY)
+    parts = [
+        lookup_results(asked.filter(looked_up), lookups),
+        results_of(telemetry_reports(per_asset, telemetry_by_month), "telemetry_tool"),
+        broad_results(
+            list_reports(
+                wants_low, low, ["date_start", "date_end"], [F.col("mean_availability_pct"), F.col("asset_id")], "low_availability"
+            ),
+            list_reports(
+                wants_energy, by_window, ["location", "comparison_month"], [F.desc("avail_drop"), F.col("asset_id")], "declining_energy"
+            ),
+            "telemetry_tool",
+        ),
+        results_of(maintenance_reports(service, maintenance_by_month, as_of), "maintenance_tool"),
+        skipped_results(planned("telemetry_tool", gated=True), lookups, "telemetry_tool"),
+        skipped_results(planned("maintenance_tool", gated=True), lookups, "maintenance_tool"),
+    ]
+    if searched is not None:
+        parts.append(searched)
+    place = requests.select("request_id", F.posexplode(F.array_distinct("tools")).alias("place", "tool"))
+    return (
+        concat_results(*parts)
+        .join(place, ["request_id", "tool"])
+        .select("request_id", (F.col("place") + 1).cast("bigint").alias("source_index"), "tool", "status", "error", "data_json")
+    )
+
+
 def concat_results(*parts: DataFrame) -> DataFrame:
     """All tool results in one table."""
     return reduce(DataFrame.unionByName, parts)

@@ -1,9 +1,11 @@
 """Cuts documents into tagged chunks. Everything works within one row, so no document is shuffled."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import chunk_id, clean_text
+from ..functions import chunk_id, clean_text, explode_rows
 
 # Section markers in order, each with the manufacturer and model that hold from there on.
 SECTION_MARKERS = (
@@ -37,12 +39,12 @@ def window_chunks(
 ) -> DataFrame:
     """One row per window of each document, stripped; windows shorter than `min_chars` are left out."""
     others = [name for name in documents.columns if name != text]
-    return (
-        documents.select(*others, F.posexplode(window_pieces(F.col(text), size, overlap)).alias("window_no", "piece"))
-        .withColumn("chunk", clean_text(F.col("piece")))
-        .filter(F.length("chunk") >= min_chars)
-        .select(*others, F.col("window_no").cast("bigint").alias("window_no"), "chunk")
+    numbered = F.transform(
+        window_pieces(F.col(text), size, overlap),
+        lambda piece, number: F.struct(number.cast("bigint").alias("window_no"), clean_text(piece).alias("chunk")),
     )
+    long_enough = F.filter(numbered, lambda window: F.length(window["chunk"]) >= min_chars)
+    return explode_rows(documents, others, long_enough).select(*others, "item.window_no", "item.chunk")
 
 
 def _first_seen(pieces: Column, markers: tuple[tuple[str, str, str], ...]) -> Column:
@@ -72,18 +74,40 @@ def _section_at(marks: Column, position: Column) -> Column:
     return F.coalesce(F.try_element_at(passed, F.lit(-1)), unknown)
 
 
-def _tagged_pieces(documents: DataFrame, header: str, markers: tuple[tuple[str, str, str], ...]) -> DataFrame:
-    """Text cut before every header, one row per piece that starts with one, with its section.
+def _tagged_blocks(
+    documents: DataFrame,
+    header: str,
+    cut: Callable[[Column], Column],
+    markers: tuple[tuple[str, str, str], ...],
+    min_chars: int,
+) -> DataFrame:
+    """Text cut before every header; one row per piece that starts with one, with the block cut from it and its section.
 
-    The markers are located before the pieces are exploded, so a row carries one piece and a short list of marks.
+    Blocks and markers are found while the pieces are still one array, so a row carries one block and a short list of
+    marks. The part before the first header is no block; splitting leaves it out when it is empty, hence the test.
     """
-    return (
+    blocks = F.transform(
+        F.col("pieces"),
+        lambda piece, position: F.struct(
+            position.cast("bigint").alias("position"),
+            F.when(F.rlike(piece, F.lit(rf"\A(?:{header})")), clean_text(cut(piece))).alias("block"),
+        ),
+    )
+    located = (
         documents.select("doc_id", F.split("text", f"(?=(?:{header}))").alias("pieces"))
-        .withColumn("marks", _first_seen(F.col("pieces"), markers))
-        .select("doc_id", "marks", F.posexplode("pieces").alias("position", "piece"))
-        .filter(F.rlike("piece", F.lit(rf"\A(?:{header})")))
-        .withColumn("section_of", _section_at(F.col("marks"), F.col("position")))
-        .drop("marks")
+        .withColumns(
+            {
+                "blocks": F.filter(blocks, lambda one: F.length(one["block"]) >= min_chars),
+                "marks": _first_seen(F.col("pieces"), markers),
+            }
+        )
+        .drop("pieces")
+    )
+    section = _section_at(F.col("marks"), F.col("item.position"))
+    return (
+        explode_rows(located, ["doc_id", "marks"], F.col("blocks"))
+        .select("doc_id", "item.position", section.alias("section_of"), "item.block")
+        .select("doc_id", "position", "section_of.manufacturer", "section_of.model", "block")
     )
 
 
@@ -91,19 +115,12 @@ def fault_blocks(
     documents: DataFrame, markers: tuple[tuple[str, str, str], ...] = SECTION_MARKERS, min_chars: int = MIN_BLOCK
 ) -> DataFrame:
     """One row per fault block: from its header to the next header, a dashed line, or the end of the text."""
-    block = clean_text(F.get(F.split("piece", r"(?m)^-{10,}", 2), F.lit(0)))
-    return (
-        _tagged_pieces(documents, FAULT_HEADER, markers)
-        .withColumn("block", block)
-        .filter(F.length("block") >= min_chars)
-        .select(
-            "doc_id",
-            F.col("position").cast("bigint").alias("position"),
-            F.regexp_extract("block", r"FAULT CODE: (E-\d+)", 1).alias("fault_code"),
-            F.col("section_of.manufacturer").alias("manufacturer"),
-            F.col("section_of.model").alias("model"),
-            "block",
-        )
+
+    def upto_dashes(piece: Column) -> Column:
+        return F.get(F.split(piece, r"(?m)^-{10,}", 2), F.lit(0))
+
+    return _tagged_blocks(documents, FAULT_HEADER, upto_dashes, markers, min_chars).withColumn(
+        "fault_code", F.regexp_extract("block", r"\AFAULT CODE: (E-\d+)", 1)
     )
 
 
@@ -118,23 +135,22 @@ def narrative_sections(
 
     `anchored` requires headings to start a line. Without it any `7.2 Abc` within a sentence ends the section.
     """
-    start = "^" if anchored else ""
     title = "|".join(titles)
-    header = rf"(?m){start}\d+\.\d+\s+(?:{title})" if anchored else rf"(?<!\d)\d+\.\d+\s+(?:{title})"
-    ends = rf"(?sm)\A(\d+\.\d+\s+(?:{title}).*?)(?:{start}\d+\.\d+\s+[A-Z]|-{{10,}}|\z)"
-    section = clean_text(F.regexp_extract("piece", ends, 1))
-    return (
-        _tagged_pieces(documents, header, markers)
-        .withColumn("body", section)
-        .filter(F.length("body") >= min_chars)
-        .select(
-            "doc_id",
-            F.col("position").cast("bigint").alias("position"),
-            clean_text(F.get(F.split("body", "\n", 2), F.lit(0))).alias("section"),
-            F.col("section_of.manufacturer").alias("manufacturer"),
-            F.col("section_of.model").alias("model"),
-            "body",
-        )
+    start = "(?m)^" if anchored else r"(?<!\d)"
+    next_heading = r"(?m)^\d+\.\d+\s+[A-Z]" if anchored else r"\d+\.\d+\s+[A-Z]"
+    header = rf"{start}\d+\.\d+\s+(?:{title})"
+
+    def upto_next(piece: Column) -> Column:
+        # The piece starts with its own heading, which is not to end it.
+        return F.regexp_extract(piece, rf"(?s)\A(\d+\.\d+\s+(?:{title}).*?)(?:{next_heading}|-{{10,}}|\z)", 1)
+
+    return _tagged_blocks(documents, header, upto_next, markers, min_chars).select(
+        "doc_id",
+        "position",
+        clean_text(F.get(F.split("block", "\n", 2), F.lit(0))).alias("section"),
+        "manufacturer",
+        "model",
+        F.col("block").alias("body"),
     )
 
 
@@ -194,4 +210,4 @@ def headings(documents: DataFrame) -> DataFrame:
             lambda value: F.struct(F.lit("section").alias("kind"), value.alias("value")),
         ),
     )
-    return documents.select("doc_id", F.explode(found).alias("heading")).select("doc_id", "heading.kind", "heading.value")
+    return explode_rows(documents, ["doc_id"], found).select("doc_id", "item.kind", "item.value")

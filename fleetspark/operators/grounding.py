@@ -5,7 +5,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import cited_indices, clamp01, contains_any, extract_numbers, matching, rounded
+from ..functions import cited_indices, clamp01, contains_any, explode_rows, extract_numbers, rounded
 
 # Tolerance, judge trigger, phrases and patterns that count against an answer.
 NUMERIC_TOLERANCE = 0.015
@@ -40,7 +40,7 @@ JUDGE_MISSING = -0.10
 
 def citations(answers: DataFrame, tool_results: DataFrame, snippet: int = 200) -> DataFrame:
     """Citation records: the results that an answer cites by number, with fields of their JSON data."""
-    cited = answers.select("request_id", F.explode(cited_indices(F.col("answer"))).alias("source_index"))
+    cited = explode_rows(answers, ["request_id"], cited_indices(F.col("answer")), "source_index")
     data = F.col("data_json")
 
     def field(name: str) -> Column:
@@ -64,7 +64,7 @@ def citations(answers: DataFrame, tool_results: DataFrame, snippet: int = 200) -
 
 def orphan_citations(answers: DataFrame, tool_results: DataFrame) -> DataFrame:
     """Cited numbers without a result of that number. The join key has the number in it, so no request is hot."""
-    cited = answers.select("request_id", F.explode(cited_indices(F.col("answer"))).alias("source_index"))
+    cited = explode_rows(answers, ["request_id"], cited_indices(F.col("answer")), "source_index")
     present = tool_results.select("request_id", F.col("source_index").cast("bigint").alias("source_index"))
     return cited.join(present, ["request_id", "source_index"], "left_anti")
 
@@ -103,7 +103,7 @@ def numeric_matches(
 
 
 def _numbers_of(rows: DataFrame, text: str) -> DataFrame:
-    return rows.select("request_id", F.explode(extract_numbers(F.col(text))).alias("number"))
+    return explode_rows(rows, ["request_id"], extract_numbers(F.col(text)), "number")
 
 
 def numeric_faithfulness(
@@ -265,6 +265,5 @@ def phrase_hits(answers: DataFrame, phrases: tuple[str, ...] = UNCERTAIN_PHRASES
     """Uncertainty phrases that each answer contains."""
     lowered = F.lower("answer")
     listed = F.array(*[F.lit(phrase) for phrase in phrases])
-    return answers.select(
-        "request_id", F.explode(F.filter(listed, lambda phrase: F.contains(lowered, phrase))).alias("phrase")
-    )
+    found = F.filter(listed, lambda phrase: F.contains(lowered, phrase))
+    return explode_rows(answers, ["request_id"], found, "phrase")

@@ -5,7 +5,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import matching, rounded
+from ..functions import explode_rows, matching, rounded
 from .telemetry import select_rows
 
 # Service interval in days, and the date on which overdue is judged.
@@ -127,8 +127,8 @@ def events(
 
 def codes_in_logs(logs: DataFrame, by: Iterable[str] = ()) -> DataFrame:
     """Distinct fault codes that the descriptions mention."""
-    found = F.explode(F.regexp_extract_all("description", F.lit(LOGGED_CODE), F.lit(1)))
-    return logs.select(*by, found.alias("fault_code")).distinct()
+    found = F.regexp_extract_all("description", F.lit(LOGGED_CODE), F.lit(1))
+    return explode_rows(logs, by, found, "fault_code").distinct()
 
 
 def parts_frequency(logs: DataFrame, by: Iterable[str] = ()) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import month_label
@@ -45,115 +45,100 @@ def histogram(df: DataFrame, column: str, bins: int = 15) -> DataFrame:
     )
 
 
-def exact_quantiles(df: DataFrame, column: str, probabilities: Iterable[float] = QUARTILES) -> DataFrame:
-    """Exact linear-interpolated quantiles, one row per probability.
-
-    An exact percentile aggregate keeps every distinct value in one buffer. Here a first pass brackets each quantile
-    with a sketch of known rank error; a second pass counts the rows below each bracket and keeps only the values inside
-    it, a few per hundred thousand, which are then ranked as (value, count) pairs.
-    """
-    probabilities = tuple(probabilities)
-    margin = 4.0 / _BRACKET_ACCURACY
-    lower = [max(p - margin, 0.0) for p in probabilities]
-    upper = [min(p + margin, 1.0) for p in probabilities]
-    values = df.select(F.col(column).cast("double").alias("value")).filter(F.col("value").isNotNull())
-    sketch = values.agg(
-        F.struct(
-            F.percentile_approx("value", lower, _BRACKET_ACCURACY).alias("low"),
-            F.percentile_approx("value", upper, _BRACKET_ACCURACY).alias("high"),
-            F.min("value").alias("least"),
-            F.max("value").alias("greatest"),
-            F.count(F.lit(1)).alias("n"),
+def _column_figures(df: DataFrame, columns: tuple[str, ...], lower: list[float], upper: list[float]) -> Column:
+    """Map from column name to its moments, extremes and quantile brackets, as a scalar out of one scan."""
+    entries = []
+    for name in columns:
+        value = F.col(name).cast("double")
+        figures = F.struct(
+            F.count(value).alias("count"),
+            F.avg(value).alias("mean"),
+            F.stddev_samp(value).alias("std"),
+            F.min(value).alias("min"),
+            F.max(value).alias("max"),
+            F.percentile_approx(value, lower, _BRACKET_ACCURACY).alias("low"),
+            F.percentile_approx(value, upper, _BRACKET_ACCURACY).alias("high"),
         )
-    ).scalar()
-    bracketed = values.select("value", sketch.alias("sketch"))
+        entries += [F.lit(name), figures]
+    return df.agg(F.create_map(*entries)).scalar()
 
-    def edge(side: str, place: int) -> F.Column:
-        return F.col("sketch")[side][place]
 
-    below = bracketed.agg(
-        *[F.count_if(F.col("value") < edge("low", place)).alias(f"below_{place}") for place in range(len(probabilities))],
-        F.max("sketch.n").alias("n"),
-    )
-    ranks = below.select(
-        "n",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(p).alias("probability"),
-                        F.col(f"below_{place}").alias("below"),
-                        (F.lit(p) * (F.col("n") - 1)).alias("target"),
-                    )
-                    for place, p in enumerate(probabilities)
-                ]
+def _ranked_quantiles(
+    df: DataFrame, columns: tuple[str, ...], probabilities: tuple[float, ...], figures: Column
+) -> DataFrame:
+    """Exact quantiles given the brackets: a second scan keeps values inside a bracket and folds those outside it.
+
+    The folded rows carry the count below (or above) and the nearest value, which is all that interpolation at the edge
+    of a bracket can need. One running count per quantile over these few rows then yields the ranks.
+    """
+    known = df.select(*[F.col(name).cast("double").alias(name) for name in columns], figures.alias("figures"))
+    probes = []
+    for name in columns:
+        for place, probability in enumerate(probabilities):
+            bracket = F.col("figures")[name]
+            side = F.when(F.col(name) < bracket["low"][place], -1).when(F.col(name) > bracket["high"][place], 1).otherwise(0)
+            probe = F.struct(
+                F.lit(name).alias("column"), F.lit(probability).alias("probability"), side.alias("side"), F.col(name).alias("value")
             )
-        ).alias("wanted"),
-    ).select("wanted.*")
-    inside = (
-        bracketed.select(
-            "value",
-            F.explode(
-                F.array_compact(
-                    F.array(
-                        *[
-                            F.when(
-                                (F.col("value") >= edge("low", place)) & (F.col("value") <= edge("high", place)), F.lit(p)
-                            )
-                            for place, p in enumerate(probabilities)
-                        ]
-                    )
-                )
-            ).alias("probability"),
-        )
-        .groupBy("probability", "value")
-        .agg(F.count(F.lit(1)).alias("rows"))
+            probes.append(F.when(F.col(name).isNotNull(), probe))
+    inside = F.when(F.col("side") == 0, F.col("value"))
+    folded = (
+        known.select("figures", F.explode(F.array_compact(F.array(*probes))).alias("probe"))
+        .select("probe.*", F.col("figures")[F.col("probe.column")]["count"].alias("n"))
+        .groupBy("column", "probability", "side", inside.alias("inside"), "n")
+        .agg(F.count(F.lit(1)).alias("rows"), F.min("value").alias("least"), F.max("value").alias("greatest"))
     )
-    order = Window.partitionBy("probability").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.withColumn("upto", F.sum("rows").over(order)).join(ranks, "probability")
-    upto, start = F.col("below") + F.col("upto"), F.col("below") + F.col("upto") - F.col("rows")
+    order = Window.partitionBy("column", "probability").orderBy("side", "inside")
+    upto = F.sum("rows").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = folded.withColumn("upto", upto).withColumn("target", F.col("probability") * (F.col("n") - 1))
+    start = F.col("upto") - F.col("rows")
 
-    def at(rank: F.Column) -> F.Column:
-        return F.max(F.when((rank >= start) & (rank < upto), F.col("value")))
+    def at(rank: Column) -> Column:
+        held = (rank >= start) & (rank < F.col("upto"))
+        return F.max(F.when(held, F.when(F.col("side") < 0, F.col("greatest")).otherwise(F.col("least"))))
 
-    floor, ceiling = F.floor("target"), F.ceil("target")
     return (
-        ranked.groupBy("probability", "target")
-        .agg(at(floor).alias("left"), at(ceiling).alias("right"))
+        ranked.groupBy("column", "probability", "target")
+        .agg(at(F.floor("target")).alias("left"), at(F.ceil("target")).alias("right"))
         .select(
+            "column",
             "probability",
             (F.col("left") + (F.col("right") - F.col("left")) * (F.col("target") - F.floor("target"))).alias("value"),
         )
     )
 
 
+def _brackets(probabilities: tuple[float, ...]) -> tuple[list[float], list[float]]:
+    margin = 4.0 / _BRACKET_ACCURACY
+    return [max(p - margin, 0.0) for p in probabilities], [min(p + margin, 1.0) for p in probabilities]
+
+
+def exact_quantiles(df: DataFrame, columns: Iterable[str], probabilities: Iterable[float] = QUARTILES) -> DataFrame:
+    """Exact linear-interpolated quantiles, one row per column and probability, out of two scans.
+
+    An exact percentile aggregate keeps every distinct value in one buffer. Here a first scan brackets each quantile with
+    a sketch of known rank error, and a second ranks the few values per hundred thousand inside each bracket.
+    """
+    columns, probabilities = tuple(columns), tuple(probabilities)
+    figures = _column_figures(df, columns, *_brackets(probabilities))
+    return _ranked_quantiles(df, columns, probabilities, figures)
+
+
 def describe(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """Count, mean, deviation, extremes and exact quartiles of each column, one row per column."""
+    """Count, mean, deviation, extremes and exact quartiles of each column, one row per column, out of two scans.
+
+    A column without values has no row.
+    """
     columns = tuple(columns)
-    moments = df.agg(
-        *[
-            F.struct(
-                F.lit(name).alias("column"),
-                F.count(name).alias("count"),
-                F.avg(name).alias("mean"),
-                F.stddev_samp(name).alias("std"),
-                F.min(name).cast("double").alias("min"),
-                F.max(name).cast("double").alias("max"),
-            ).alias(name)
-            for name in columns
-        ]
-    ).select(F.explode(F.array(*columns)).alias("figures")).select("figures.*")
-    quartiles = None
-    for name in columns:
-        values = exact_quantiles(df, name).agg(
-            *[
-                F.max(F.when(F.col("probability") == p, F.col("value"))).alias(f"p{round(p * 100)}")
-                for p in QUARTILES
-            ]
-        )
-        tagged = values.withColumn("column", F.lit(name))
-        quartiles = tagged if quartiles is None else quartiles.unionByName(tagged)
-    return moments.join(quartiles, "column", "left")
+    figures = _column_figures(df, columns, *_brackets(QUARTILES))
+    quartiles = (
+        _ranked_quantiles(df, columns, QUARTILES, figures)
+        .groupBy("column")
+        .agg(*[F.max(F.when(F.col("probability") == p, F.col("value"))).alias(f"p{round(p * 100)}") for p in QUARTILES])
+    )
+    own = quartiles.withColumn("own", figures[F.col("column")])
+    moments = [F.col(f"own.{name}").alias(name) for name in ("count", "mean", "std", "min", "max")]
+    return own.select("column", *moments, *[f"p{round(p * 100)}" for p in QUARTILES])
 
 
 def span(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ a variant has at most (length x alphabet) ids, so no join key is hot.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import asset_ids, normalise_key
+from ..functions import asset_ids, explode_rows, normalise_key
 
 # Ids with one of these prefixes match within the prefix only.
 CLASS_PREFIX = r"^((?:WT|PV)-)"
@@ -64,8 +64,10 @@ def lookup_requests(requests: DataFrame, registry: DataFrame, prefix_pattern: st
 
     The resolved ids keep the order in which the question names them. Each list holds the ids of one question only.
     """
-    named = requests.select("request_id", asset_ids(F.col("question")).alias("raw_ids"))
-    mentions = named.select("request_id", F.posexplode("raw_ids").alias("position", "raw_id"))
+    numbered = F.transform(
+        asset_ids(F.col("question")), lambda raw_id, place: F.struct(place.alias("position"), raw_id.alias("raw_id"))
+    )
+    mentions = explode_rows(requests, ["request_id"], numbered).select("request_id", "item.*")
     resolved = mentions.join(resolve_ids(mentions, registry, prefix_pattern), "raw_id", "left")
     found = F.struct("position", "asset_id")
     unknown = F.struct("position", F.concat(F.lit("Asset '"), F.col("raw_id"), F.lit("' not found")).alias("error"))

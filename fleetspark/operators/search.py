@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import cited_indices
+from ..functions import cited_indices, explode_rows
 
 # Relevance threshold, list length, and snippet length.
 MIN_SCORE = 0.30
@@ -231,7 +231,7 @@ def numbered_context(hits: DataFrame, label: Column, content: str = "page_conten
 
 def cited_chunks(answers: DataFrame, hits: DataFrame, content: str = "page_content", snippet: int = SNIPPET) -> DataFrame:
     """Citation records of the hits that an answer cites by number."""
-    cited = answers.select("query_id", F.explode(cited_indices(F.col("answer"))).alias("rank"))
+    cited = explode_rows(answers, ["query_id"], cited_indices(F.col("answer")), "rank")
     return hits.join(cited, ["query_id", "rank"], "left_semi").withColumn(
         "snippet", F.concat(F.substring(content, 1, snippet), F.lit("..."))
     )

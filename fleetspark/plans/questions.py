@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import batch, intent, resolve
+from ..sources.checkpoints import materialised
 from .registry import Registry, shown
 
 YEAR = 1996
@@ -73,36 +74,28 @@ def per_asset_requests(t):
     )
 
 
+TOOLS = """CASE WHEN question LIKE 'Compare%' THEN array('asset_lookup', 'telemetry_tool')
+    WHEN question LIKE 'Is %' THEN array('asset_lookup', 'maintenance_tool', 'telemetry_tool')
+    WHEN question LIKE 'What %' THEN array('telemetry_tool', 'maintenance_tool') ELSE array('telemetry_tool') END"""
+
+TOOLS_SQL = TOOLS.replace("array(", "list_value(")
+
+
 def request_results(t):
-    """All tool results of all requests, as JSON."""
-    requests = intent.with_intent(t.questions, YEAR, ("Northern Spain", "Galicia", "Aragon"))
-    months = batch.telemetry_months(t.question_telemetry)
-    per_asset = requests.filter("kind = 'per_asset'").select(
-        "request_id", F.col("mentioned_ids").alias("asset_ids"), "date_start", "date_end"
-    )
-    low = batch.low_availability_by_window(months, YEAR, 95.0)
-    scopes = (None, "Northern Spain", "Galicia", "Aragon")
-    declining = batch.declining_by_scope(months, t.question_assets, scopes, -1.0, 0.3).withColumnRenamed("scope", "location")
-    wants_low = requests.filter("kind IN ('low_availability', 'combined')").select("request_id", "date_start", "date_end")
-    wants_energy = requests.filter("kind IN ('declining_energy', 'combined')").select(
-        "request_id", "location", "comparison_month"
-    )
-    return batch.concat_results(
-        batch.results_of(batch.telemetry_reports(per_asset, months), "telemetry_tool"),
-        batch.list_results(
-            wants_low, low, ["date_start", "date_end"], [F.col("mean_availability_pct"), F.col("asset_id")], "telemetry_tool"
-        ),
-        batch.list_results(
-            wants_energy,
-            batch.with_month_means(declining, months, YEAR),
-            ["location", "comparison_month"],
-            [F.desc("avail_drop"), F.col("asset_id")],
-            "telemetry_tool",
-        ),
-        batch.results_of(
-            batch.maintenance_reports(per_asset, batch.maintenance_months(t.question_maintenance), "2001-07-01"),
-            "maintenance_tool",
-        ),
+    """All tool results of all requests, as JSON. The month tables are written once, since many reports read them."""
+    requests = t.questions.withColumn("tools", F.expr(TOOLS))
+    return batch.answer_requests(
+        requests,
+        resolve.lookup_requests(requests, t.question_assets),
+        t.question_assets,
+        materialised(batch.telemetry_months(t.question_telemetry)),
+        materialised(batch.maintenance_months(t.question_maintenance)),
+        YEAR,
+        ("Northern Spain", "Galicia", "Aragon"),
+        threshold=95.0,
+        z_threshold=-1.0,
+        drop_floor=0.3,
+        as_of="2001-07-01",
     )
 
 
@@ -289,4 +282,19 @@ def register(registry: Registry) -> None:
             FROM scored WHERE z_ratio <= -1.0 OR avail_drop >= 0.3""",
         "question_telemetry question_assets",
     )
-    registry.add("request_results", request_results)
+    registry.add(
+        "request_results",
+        lambda t: request_results(t).select("request_id", "source_index", "tool", "status", "error"),
+        f"""WITH statuses AS ({status_sql}), {IDS_SQL}, plans AS (SELECT request_id, question, {TOOLS_SQL} AS tools FROM questions),
+            placed AS (SELECT request_id, question, tools, unnest(tools) AS tool, unnest(range(len(tools))) + 1 AS source_index FROM plans),
+            gates AS (
+                SELECT p.*, s.status AS lookup_status, s.error AS lookup_error, list_contains(tools, 'asset_lookup') AND s.error IS NOT NULL AS gated,
+                    regexp_matches(lower(question), 'which assets|all assets|underperform|degraded|declining|consistent') AND l.ids IS NULL AS is_broad
+                FROM placed p JOIN statuses s ON p.request_id = s.request_id LEFT JOIN id_lists l ON p.request_id = l.request_id)
+            SELECT request_id, source_index, tool,
+                CASE WHEN tool = 'asset_lookup' THEN lookup_status WHEN gated THEN 'error' ELSE 'ok' END AS status,
+                CASE WHEN tool = 'asset_lookup' THEN lookup_error WHEN gated THEN 'skipped: ' || lookup_error END AS error
+            FROM gates""",
+        "questions question_assets",
+    )
+    registry.add("request_results_json", request_results)

@@ -1,0 +1,25 @@
+"""Materialised intermediate tables."""
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _checkpoint_dir(spark: SparkSession) -> None:
+    """Use the folder the cluster names; make one up only in local mode, where a temporary folder is shared by all tasks."""
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can read")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="fleetspark-"))
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """The DataFrame written once to the checkpoint folder and read back from there.
+
+    It serves tables that several reports share. The written copy outlives the executors that made it.
+    """
+    _checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
