@@ -1,11 +1,12 @@
 """Exploratory profile of the tables."""
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import month_label
+from ..functions import explode_rows, month_label
 
 QUARTILES = (0.25, 0.5, 0.75)
 # Relative rank error of the brackets that enclose a quantile.
@@ -46,59 +47,66 @@ def histogram(df: DataFrame, column: str, bins: int = 15) -> DataFrame:
 
 
 def _column_figures(df: DataFrame, columns: tuple[str, ...], lower: list[float], upper: list[float]) -> Column:
-    """Map from column name to its moments, extremes and quantile brackets, as a scalar out of one scan."""
-    entries = []
+    """Struct of each column's moments, extremes and quantile brackets, as a scalar out of one scan."""
+    figures = []
     for name in columns:
         value = F.col(name).cast("double")
-        figures = F.struct(
+        entry = F.struct(
             F.count(value).alias("count"),
             F.avg(value).alias("mean"),
             F.stddev_samp(value).alias("std"),
             F.min(value).alias("min"),
             F.max(value).alias("max"),
-            F.percentile_approx(value, lower, _BRACKET_ACCURACY).alias("low"),
-            F.percentile_approx(value, upper, _BRACKET_ACCURACY).alias("high"),
+            F.percentile_approx(value, lower + upper, _BRACKET_ACCURACY).alias("edges"),
         )
-        entries += [F.lit(name), figures]
-    return df.agg(F.create_map(*entries)).scalar()
+        figures.append(entry.alias(name))
+    return df.agg(F.struct(*figures)).scalar()
 
 
 def _ranked_quantiles(
     df: DataFrame, columns: tuple[str, ...], probabilities: tuple[float, ...], figures: Column
 ) -> DataFrame:
-    """Exact quantiles given the brackets: a second scan keeps values inside a bracket and folds those outside it.
+    """Exact quantiles given the brackets.
 
-    The folded rows carry the count below (or above) and the nearest value, which is all that interpolation at the edge
-    of a bracket can need. One running count per quantile over these few rows then yields the ranks.
+    One scan counts the values outside each bracket and finds the nearest of them, which is all that interpolation at the
+    edge can need; another keeps the values inside. A running count per quantile over these few rows yields the ranks.
     """
     known = df.select(*[F.col(name).cast("double").alias(name) for name in columns], figures.alias("figures"))
-    probes = []
+    outside, inside, within = [], [], []
     for name in columns:
+        value, own = F.col(name), F.col("figures")[name]
         for place, probability in enumerate(probabilities):
-            bracket = F.col("figures")[name]
-            side = F.when(F.col(name) < bracket["low"][place], -1).when(F.col(name) > bracket["high"][place], 1).otherwise(0)
-            probe = F.struct(
-                F.lit(name).alias("column"), F.lit(probability).alias("probability"), side.alias("side"), F.col(name).alias("value")
-            )
-            probes.append(F.when(F.col(name).isNotNull(), probe))
-    inside = F.when(F.col("side") == 0, F.col("value"))
-    folded = (
-        known.select("figures", F.explode(F.array_compact(F.array(*probes))).alias("probe"))
-        .select("probe.*", F.col("figures")[F.col("probe.column")]["count"].alias("n"))
-        .groupBy("column", "probability", "side", inside.alias("inside"), "n")
-        .agg(F.count(F.lit(1)).alias("rows"), F.min("value").alias("least"), F.max("value").alias("greatest"))
+            low, high = own["edges"][place], own["edges"][place + len(probabilities)]
+            tag = [F.lit(name).alias("column"), F.lit(probability).alias("probability")]
+            below, above = value < low, value > high
+            outside.append(F.struct(*tag, F.lit(-1).alias("side"), F.max(F.when(below, value)).alias("value"), F.count_if(below).alias("rows")))
+            outside.append(F.struct(*tag, F.lit(1).alias("side"), F.min(F.when(above, value)).alias("value"), F.count_if(above).alias("rows")))
+            within.append(value.between(low, high))
+            inside.append(F.when(within[-1], F.struct(*tag, value.alias("value"))))
+    folded = known.agg(F.array(*outside).alias("sides")).select(F.explode("sides").alias("one")).select("one.*")
+    hits = known.filter(reduce(Column.__or__, within))
+    kept = (
+        explode_rows(hits, [], F.array_compact(F.array(*inside)))
+        .groupBy("item.column", "item.probability", "item.value")
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .withColumn("side", F.lit(0))
+    )
+    # The value of the folded rows below is their largest, that of the rows above their smallest.
+    order = Window.partitionBy("column", "probability").orderBy("side", "value")
+    whole = Window.partitionBy("column", "probability")
+    ranked = (
+        folded.unionByName(kept)
+        .withColumn("upto", F.sum("rows").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("target", F.col("probability") * (F.sum("rows").over(whole) - 1))
     )
-    order = Window.partitionBy("column", "probability").orderBy("side", "inside")
-    upto = F.sum("rows").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = folded.withColumn("upto", upto).withColumn("target", F.col("probability") * (F.col("n") - 1))
     start = F.col("upto") - F.col("rows")
 
     def at(rank: Column) -> Column:
-        held = (rank >= start) & (rank < F.col("upto"))
-        return F.max(F.when(held, F.when(F.col("side") < 0, F.col("greatest")).otherwise(F.col("least"))))
+        return F.max(F.when((rank >= start) & (rank < F.col("upto")), F.col("value")))
 
     return (
-        ranked.groupBy("column", "probability", "target")
+        ranked.filter("target >= 0")
+        .groupBy("column", "probability", "target")
         .agg(at(F.floor("target")).alias("left"), at(F.ceil("target")).alias("right"))
         .select(
             "column",
@@ -114,10 +122,10 @@ def _brackets(probabilities: tuple[float, ...]) -> tuple[list[float], list[float
 
 
 def exact_quantiles(df: DataFrame, columns: Iterable[str], probabilities: Iterable[float] = QUARTILES) -> DataFrame:
-    """Exact linear-interpolated quantiles, one row per column and probability, out of two scans.
+    """Exact linear-interpolated quantiles, one row per column and probability, out of three scans.
 
     An exact percentile aggregate keeps every distinct value in one buffer. Here a first scan brackets each quantile with
-    a sketch of known rank error, and a second ranks the few values per hundred thousand inside each bracket.
+    a sketch of known rank error, and the others rank the few values per hundred thousand inside each bracket.
     """
     columns, probabilities = tuple(columns), tuple(probabilities)
     figures = _column_figures(df, columns, *_brackets(probabilities))
@@ -125,7 +133,7 @@ def exact_quantiles(df: DataFrame, columns: Iterable[str], probabilities: Iterab
 
 
 def describe(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """Count, mean, deviation, extremes and exact quartiles of each column, one row per column, out of two scans.
+    """Count, mean, deviation, extremes and exact quartiles of each column, one row per column.
 
     A column without values has no row.
     """
@@ -136,7 +144,8 @@ def describe(df: DataFrame, columns: Iterable[str]) -> DataFrame:
         .groupBy("column")
         .agg(*[F.max(F.when(F.col("probability") == p, F.col("value"))).alias(f"p{round(p * 100)}") for p in QUARTILES])
     )
-    own = quartiles.withColumn("own", figures[F.col("column")])
+    by_name = F.create_map(*[part for name in columns for part in (F.lit(name), F.col("figures")[name])])
+    own = quartiles.withColumn("figures", figures).withColumn("own", by_name[F.col("column")])
     moments = [F.col(f"own.{name}").alias(name) for name in ("count", "mean", "std", "min", "max")]
     return own.select("column", *moments, *[f"p{round(p * 100)}" for p in QUARTILES])
 

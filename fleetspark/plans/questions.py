@@ -82,11 +82,12 @@ TOOLS_SQL = TOOLS.replace("array(", "list_value(")
 
 
 def request_results(t):
-    """All tool results of all requests, as JSON. The month tables are written once, since many reports read them."""
+    """All tool results of all requests, as JSON. The lookups and the month tables are written
+    once, since many reports read them."""
     requests = t.questions.withColumn("tools", F.expr(TOOLS))
     return batch.answer_requests(
         requests,
-        resolve.lookup_requests(requests, t.question_assets),
+        materialised(resolve.lookup_requests(requests, t.question_assets)),
         t.question_assets,
         materialised(batch.telemetry_months(t.question_telemetry)),
         materialised(batch.maintenance_months(t.question_maintenance)),
