@@ -17,8 +17,14 @@ def select_rows(
 ) -> DataFrame:
     """Rows of the given assets within a closed date range. Empty or absent filters do not restrict.
 
-    Ids can be a list, or a table with `asset_id`, which becomes a semi join.
+    Ids can be a list, or a table with `asset_id`, which becomes a semi join. A table partitioned by `month` is also
+    filtered by month, so that Spark lists and reads the folders of the range only.
     """
+    if dict(rows.dtypes).get("month") == "string":
+        if date_start:
+            rows = rows.filter(F.col("month") >= date_start[:7])
+        if date_end:
+            rows = rows.filter(F.col("month") <= date_end[:7])
     if date_start:
         rows = rows.filter(F.col("date") >= F.lit(date_start).cast("date"))
     if date_end:
