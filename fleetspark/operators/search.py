@@ -117,12 +117,12 @@ def _blocked_candidates(
     spread_docs = docs.select("id", "embedding", *filters).select(
         "*",
         F.pmod(F.xxhash64("id"), F.lit(slices)).alias("slice_no"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint").alias("block_no"),
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("block_no"),
     )
     spread_queries = queries.select("query_id", "embedding", *filters).select(
         "*",
         F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block_no"),
-        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).cast("bigint").alias("slice_no"),
+        F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<bigint>")).alias("slice_no"),
     )
 
     def score(query_block: pd.DataFrame, doc_slice: pd.DataFrame) -> pd.DataFrame:
