@@ -1,7 +1,7 @@
 """Column functions shared by the operators. All are built from Spark's own expressions."""
 
 from .dates import date_range_error, infer_date_range, month_label
-from .arrays import explode_rows
+from .arrays import explode_rows, once
 from .numeric import clamp01, rounded
 from .text import (
     asset_ids,
@@ -33,6 +33,7 @@ __all__ = [
     "matching",
     "month_label",
     "normalise_key",
+    "once",
     "rounded",
     "truncate_with_marker",
 ]

@@ -5,6 +5,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import once
 from .dates import contains_phrase
 
 # The characters stripped from both ends of keys and chunks.
@@ -77,7 +78,8 @@ def extract_numbers(text: Column, significant_only: bool = True) -> Column:
 
 def contains_any(text: Column, phrases: Iterable[str]) -> Column:
     """True when any of the lower-case phrases occurs in the text, whatever its case."""
-    return contains_phrase(F.lower(text), tuple(phrases))
+    phrases = tuple(phrases)
+    return once(F.lower(text), lambda lowered: contains_phrase(lowered, phrases))
 
 
 def matching(text: Column, pattern: str) -> Column:
@@ -90,12 +92,16 @@ def truncate_with_marker(text: Column, limit: int, marker: str) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit(marker))).otherwise(text)
 
 
-def chunk_id(manufacturer: Column, fault_code: Column, content: Column) -> Column:
-    """Stable id of a chunk: manufacturer, fault code (or `overview`) and the first 8 hex digits of the MD5."""
+def chunk_id(manufacturer: Column, fault_code: Column, content: Column, digits: int = 8) -> Column:
+    """Stable id of a chunk: manufacturer, fault code (or `overview`) and the first hex digits of the MD5.
+
+    Eight digits tell some ten thousand chunks of one code apart. Take 32 for large corpora, where chunks with equal ids
+    would pass for one.
+    """
     return F.concat_ws(
         "_",
         F.lit("manual"),
         F.translate(F.coalesce(manufacturer, F.lit("")), " ", "_"),
         F.coalesce(F.when(fault_code != "", fault_code), F.lit("overview")),
-        F.substring(F.md5(content), 1, 8),
+        F.substring(F.md5(content), 1, digits),
     )

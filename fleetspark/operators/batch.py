@@ -7,13 +7,14 @@ per distinct (ids, window) and joined back. A popular asset or question thus cos
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import materialised
 from ..functions import month_label, rounded
 from ..functions.dates import windows
 from .intent import LOCATIONS, with_intent
-from .maintenance import AS_OF, CADENCE_DAYS
+from .maintenance import AS_OF, CADENCE_DAYS, codes_in_logs
 from .seasonal import AFTER_MONTHS, BEFORE_MONTHS, DROP_FLOOR, Z_THRESHOLD, displayed_figures, flagged, has_fault, scores_of_means
 from .shape import LIST_CAP, capped_lists
 
@@ -78,6 +79,47 @@ def maintenance_months(logs: DataFrame) -> DataFrame:
     )
 
 
+def event_months(logs: DataFrame, cap: int = LIST_CAP) -> DataFrame:
+    """The first events of each asset and month.
+
+    The first `cap` events of any assets over any months are among them, so lists can be cut from this small table.
+    """
+    dated = logs.filter(F.col("date").isNotNull()).withColumn("month", _first_of_month("date"))
+    first = Window.partitionBy("asset_id", "month").orderBy("date", "log_id")
+    return (
+        dated.withColumn("place", F.row_number().over(first))
+        .filter(F.col("place") <= cap)
+        .select(
+            "asset_id",
+            "month",
+            F.struct(
+                "date",
+                "log_id",
+                "asset_id",
+                "type",
+                F.substring("description", 1, 300).alias("description"),
+                "duration_hours",
+                "parts_replaced",
+                rounded(F.col("cost_eur"), 2).alias("cost_eur"),
+            ).alias("event"),
+        )
+    )
+
+
+def part_months(logs: DataFrame) -> DataFrame:
+    """Events per asset, month and replaced part."""
+    dated = logs.filter(F.col("date").isNotNull())
+    return dated.groupBy("asset_id", _first_of_month("date").alias("month"), "parts_replaced").agg(
+        F.count(F.lit(1)).alias("events")
+    )
+
+
+def code_months(logs: DataFrame) -> DataFrame:
+    """Fault codes that the descriptions of an asset's month mention."""
+    dated = logs.filter(F.col("date").isNotNull()).withColumn("month", _first_of_month("date"))
+    return codes_in_logs(dated, by=["asset_id", "month"])
+
+
 def _asset_months(keys: DataFrame) -> DataFrame:
     """The (asset, month) pairs that a key covers; a key without ids covers the fleet, shown as a null asset."""
     ids = F.when(F.size("asset_ids") > 0, F.col("asset_ids")).otherwise(F.array(F.lit(None).cast("string")))
@@ -124,11 +166,17 @@ def _answer(requests: DataFrame, reports: DataFrame) -> DataFrame:
     return requests.join(reports, KEY)
 
 
-def telemetry_reports(requests: DataFrame, months: DataFrame) -> DataFrame:
-    """Telemetry summary of each request (`request_id`, `asset_ids`, `date_start`, `date_end`)."""
-    keys = requests.select(*KEY).distinct()
+def _keys(requests: DataFrame) -> DataFrame:
+    return requests.select(*KEY).distinct()
+
+
+def _reports(requests: DataFrame, by_key: DataFrame) -> DataFrame:
+    return _answer(requests.select("request_id", *KEY), by_key).drop(*KEY)
+
+
+def _telemetry_by_key(keys: DataFrame, months: DataFrame) -> DataFrame:
     merged = _with_months(keys, _add_fleet(months, _merged_telemetry())).groupBy(*KEY).agg(*_merged_telemetry())
-    reports = keys.join(merged, KEY, "left").select(
+    return keys.join(merged, KEY, "left").select(
         *KEY,
         F.when(F.col("days").isNull(), "no_data").otherwise("ok").alias("status"),
         "first_date",
@@ -142,31 +190,28 @@ def telemetry_reports(requests: DataFrame, months: DataFrame) -> DataFrame:
         rounded(_mean("irradiance"), 2).alias("avg_irradiance_wm2"),
         F.coalesce("fault_rows", F.lit(0)).alias("fault_count"),
     )
-    return _answer(requests.select("request_id", *KEY), reports).drop(*KEY)
 
 
-def trend_reports(requests: DataFrame, months: DataFrame) -> DataFrame:
-    """Mean energy and availability per month of each request."""
-    keys = requests.select(*KEY).distinct()
+def _trend_by_key(keys: DataFrame, months: DataFrame) -> DataFrame:
     merged = (
         _with_months(keys, _add_fleet(months, _merged_telemetry())).groupBy(*KEY, "month").agg(*_merged_telemetry())
     )
-    reports = merged.select(
-        *KEY, month_label(F.col("month")).alias("month"), _mean("energy").alias("avg_energy"), _mean("availability").alias("avg_avail")
+    return merged.select(
+        *KEY,
+        month_label(F.col("month")).alias("month"),
+        _mean("energy").alias("avg_energy"),
+        _mean("availability").alias("avg_avail"),
     )
-    return _answer(requests.select("request_id", *KEY), reports).drop(*KEY)
 
 
-def fault_reports(requests: DataFrame, faults: DataFrame) -> DataFrame:
-    """Fault codes of each request with rows, first description and date span."""
+def _faults_by_key(keys: DataFrame, faults: DataFrame) -> DataFrame:
     merge = [
         F.sum("fault_rows").alias("fault_rows"),
         F.min("first_event").alias("first_event"),
         F.max("last_date").alias("last_date"),
     ]
-    keys = requests.select(*KEY).distinct()
     merged = _with_months(keys, _add_fleet(faults, merge, ("fault_code",))).groupBy(*KEY, "fault_code").agg(*merge)
-    reports = merged.select(
+    return merged.select(
         *KEY,
         "fault_code",
         F.col("fault_rows").alias("fault_count"),
@@ -174,15 +219,24 @@ def fault_reports(requests: DataFrame, faults: DataFrame) -> DataFrame:
         F.col("first_event.date").alias("first_date"),
         "last_date",
     )
-    return _answer(requests.select("request_id", *KEY), reports).drop(*KEY)
 
 
-def maintenance_reports(
-    requests: DataFrame, months: DataFrame, as_of: str = AS_OF, cadence_days: int = CADENCE_DAYS
-) -> DataFrame:
-    """Maintenance summary of each request; the due date looks at the full history. Requests without ids are errors."""
-    named = requests.filter(F.size("asset_ids") > 0)
-    keys = named.select(*KEY).distinct()
+def telemetry_reports(requests: DataFrame, months: DataFrame) -> DataFrame:
+    """Telemetry summary of each request (`request_id`, `asset_ids`, `date_start`, `date_end`)."""
+    return _reports(requests, _telemetry_by_key(_keys(requests), months))
+
+
+def trend_reports(requests: DataFrame, months: DataFrame) -> DataFrame:
+    """Mean energy and availability per month of each request."""
+    return _reports(requests, _trend_by_key(_keys(requests), months))
+
+
+def fault_reports(requests: DataFrame, faults: DataFrame) -> DataFrame:
+    """Fault codes of each request with rows, first description and date span."""
+    return _reports(requests, _faults_by_key(_keys(requests), faults))
+
+
+def _maintenance_by_key(keys: DataFrame, months: DataFrame, as_of: str, cadence_days: int) -> DataFrame:
     merged = (
         _with_months(keys, months)
         .groupBy(*KEY)
@@ -200,7 +254,7 @@ def maintenance_reports(
         .agg(F.max("last_scheduled").alias("last_scheduled"))
     )
     since = F.datediff(F.lit(as_of).cast("date"), F.col("last_scheduled"))
-    reports = (
+    return (
         keys.join(merged, KEY, "left")
         .join(due, KEY, "left")
         .select(
@@ -219,7 +273,18 @@ def maintenance_reports(
             F.coalesce(since > cadence_days, F.lit(False)).alias("maintenance_overdue"),
         )
     )
-    answered = _answer(named.select("request_id", *KEY), reports).drop(*KEY)
+
+
+def _named(requests: DataFrame) -> DataFrame:
+    return requests.filter(F.size("asset_ids") > 0)
+
+
+def maintenance_reports(
+    requests: DataFrame, months: DataFrame, as_of: str = AS_OF, cadence_days: int = CADENCE_DAYS
+) -> DataFrame:
+    """Maintenance summary of each request; the due date looks at the full history. Requests without ids are errors."""
+    named = _named(requests)
+    answered = _reports(named, _maintenance_by_key(_keys(named), months, as_of, cadence_days))
     unnamed = requests.filter(F.size("asset_ids") <= 0).select("request_id", F.lit("error").alias("status"))
     return answered.unionByName(unnamed, allowMissingColumns=True)
 
@@ -299,18 +364,112 @@ def with_month_means(found: DataFrame, months: DataFrame, year: int) -> DataFram
     return season.unionByName(per_month)
 
 
-def results_of(reports: DataFrame, tool: str) -> DataFrame:
-    """Reports as tool results with JSON data. Reports without rows carry data too: their status says `no_data`."""
-    figures = [name for name in reports.columns if name not in ("request_id", "status", "error")]
+def _results(reports: DataFrame, tool: str, figures: list[Column]) -> DataFrame:
+    """Reports as tool results with JSON data. A report without rows carries data too: its status and its filters."""
+    span = F.concat(F.col("first_date").cast("string"), F.lit(" to "), F.col("last_date").cast("string"))
+    label = F.when(F.size("asset_ids") > 0, F.array_join("asset_ids", ", ")).otherwise("all")
+    found = F.struct(label.alias("asset_id"), span.alias("date_range"), *figures)
+    payload = F.when(
+        F.col("status") == "ok", F.to_json(F.struct("status", found.alias("data")))
+    ).otherwise(F.to_json(F.struct("status", F.struct(*KEY).alias("filters"))))
     return reports.select(
         "request_id",
         F.lit(tool).alias("tool"),
-        F.when(F.col("status") == "error", "error").otherwise("ok").alias("status"),
-        F.when(F.col("status") == "error", F.lit("no asset id in the question")).alias("error"),
-        F.when(
-            F.col("status") != "error", F.to_json(F.struct("status", F.struct(*figures).alias("data")))
-        ).alias("data_json"),
+        F.lit("ok").alias("status"),
+        F.lit(None).cast("string").alias("error"),
+        payload.alias("data_json"),
+    )
+
+
+def telemetry_results(requests: DataFrame, months: DataFrame, faults: DataFrame) -> DataFrame:
+    """Telemetry reports as tool results, with the fault codes (cut, with their number) and the monthly trend."""
+    keys = _keys(requests)
+    fault_columns = ["fault_code", "fault_count", "description", "first_date", "last_date"]
+    fault_lists = capped_lists(_faults_by_key(keys, faults), KEY, [F.col("fault_code")], fault_columns).select(
+        *KEY, F.col("items").alias("fault_events"), F.col("total_count").alias("fault_codes"), F.col("note")
+    )
+    # A window has six months at most, which bounds this list.
+    trends = (
+        _trend_by_key(keys, months)
+        .groupBy(*KEY)
+        .agg(F.array_sort(F.collect_list(F.struct("month", "avg_energy", "avg_avail"))).alias("monthly_trend"))
     )
+    by_key = _telemetry_by_key(keys, months).join(fault_lists, KEY, "left").join(trends, KEY, "left")
+    names = [
+        "days",
+        "avg_energy_kwh",
+        "total_energy_kwh",
+        "avg_availability_pct",
+        "min_availability_pct",
+        "avg_wind_speed_ms",
+        "avg_irradiance_wm2",
+        "fault_count",
+        "fault_events",
+        "fault_codes",
+        "note",
+        "monthly_trend",
+    ]
+    return _results(_answer(requests.select("request_id", *KEY), by_key), "telemetry_tool", [F.col(n) for n in names])
+
+
+def maintenance_results(
+    requests: DataFrame, months: DataFrame, logs: DataFrame, as_of: str = AS_OF, cadence_days: int = CADENCE_DAYS
+) -> DataFrame:
+    """Maintenance reports as tool results, with the first events, the codes mentioned and the parts used."""
+    named = _named(requests)
+    keys = _keys(named)
+    first_events = _with_months(keys, event_months(logs)).select(*KEY, "event.*")
+    columns = [name for name in first_events.columns if name not in KEY]
+    # The total of the list is the event count of the report, since the table of first events is itself cut.
+    event_lists = capped_lists(first_events, KEY, [F.col("date"), F.col("log_id")], columns).select(
+        *KEY, F.col("items").alias("events")
+    )
+    # Distinct codes and parts of one key: short lists, bounded by the catalogues of codes and parts.
+    codes = (
+        _with_months(keys, code_months(logs))
+        .groupBy(*KEY)
+        .agg(F.array_sort(F.collect_set("fault_code")).alias("fault_codes_in_logs"))
+    )
+    parts = (
+        _with_months(keys, part_months(logs))
+        .groupBy(*KEY, "parts_replaced")
+        .agg(F.sum("events").alias("uses"))
+        .groupBy(*KEY)
+        .agg(F.map_from_entries(F.collect_list(F.struct("parts_replaced", "uses"))).alias("parts_used"))
+    )
+    by_key = (
+        _maintenance_by_key(keys, months, as_of, cadence_days)
+        .join(event_lists, KEY, "left")
+        .join(codes, KEY, "left")
+        .join(parts, KEY, "left")
+        .withColumn("last_date", F.col("last_maintenance_date"))
+    )
+    names = [
+        "total_events",
+        "scheduled_count",
+        "corrective_count",
+        "total_cost_eur",
+        "avg_cost_eur",
+        "total_duration_hours",
+        "last_maintenance_date",
+        "last_maintenance_type",
+        "estimated_next_scheduled",
+        "maintenance_overdue",
+        "fault_codes_in_logs",
+        "parts_used",
+        "events",
+    ]
+    answered = _results(
+        _answer(named.select("request_id", *KEY), by_key), "maintenance_tool", [F.col(name) for name in names]
+    )
+    unnamed = requests.filter(F.size("asset_ids") <= 0).select(
+        "request_id",
+        F.lit("maintenance_tool").alias("tool"),
+        F.lit("ok").alias("status"),
+        F.lit(None).cast("string").alias("error"),
+        F.lit('{"status":"error","message":"no asset id in the question"}').alias("data_json"),
+    )
+    return answered.unionByName(unnamed)
 
 
 def list_reports(requests: DataFrame, rows: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
@@ -320,7 +479,7 @@ def list_reports(requests: DataFrame, rows: DataFrame, keys: list[str], order: l
     """
     columns = [column for column in rows.columns if column not in keys]
     keyed = rows.withColumn("list_key", F.to_json(F.struct(*keys)))
-    lists = capped_lists(keyed, "list_key", order, columns, LIST_CAP)
+    lists = capped_lists(keyed, "list_key", order, columns)
     report = F.struct(F.coalesce("total_count", F.lit(0)).alias("total_count"), F.col("note"), F.col("items"))
     return (
         requests.withColumn("list_key", F.to_json(F.struct(*keys)))
@@ -386,7 +545,9 @@ def answer_requests(
     lookups: DataFrame,
     assets: DataFrame,
     telemetry_by_month: DataFrame,
+    faults_by_month: DataFrame,
     maintenance_by_month: DataFrame,
+    logs: DataFrame,
     year: int = 2024,
     locations: tuple[str, ...] = LOCATIONS,
     threshold: float = 90.0,
@@ -399,19 +560,26 @@ def answer_requests(
 
     `requests` has `request_id`, `question` and the planned `tools`. `lookups` is the output of `lookup_requests`; it is
     used where the plan has a lookup, and an error there skips the telemetry and maintenance of the request. The month
-    tables come from `telemetry_months` and `maintenance_months`; store or materialise them, since several reports read
-    them. `searched` holds the results of the manual search, if any. Sources are numbered in the order of the plan.
+    tables come from `telemetry_months`, `fault_months` and `maintenance_months`; store or materialise them, since several
+    reports read them. `logs` is the maintenance log itself, for the event lists. `searched` holds the results of the
+    manual search, if any. Sources are numbered in the order of the plan.
+
+    The requests with their intent are written once to the checkpoint folder, as every kind of report starts from them.
     """
     asked = with_intent(requests, year, locations)
     looked_up = F.array_contains("tools", "asset_lookup")
     found = lookups.select(
         "request_id", F.col("asset_ids").alias("resolved"), F.col("error").alias("lookup_error")
     )
-    joined = asked.join(found, "request_id", "left").withColumns(
-        {
-            "gated": looked_up & F.col("lookup_error").isNotNull(),
-            "asset_ids": F.when(looked_up & (F.size("resolved") > 0), F.col("resolved")).otherwise(F.col("mentioned_ids")),
-        }
+    joined = materialised(
+        asked.join(found, "request_id", "left").withColumns(
+            {
+                "gated": looked_up & F.col("lookup_error").isNotNull(),
+                "asset_ids": F.when(looked_up & (F.size("resolved") > 0), F.col("resolved")).otherwise(
+                    F.col("mentioned_ids")
+                ),
+            }
+        )
     )
 
     def planned(tool: str, gated: bool) -> DataFrame:
@@ -429,8 +597,8 @@ def answer_requests(
     by_window = with_month_means(declining, telemetry_by_month, year).withColumnRenamed("scope", "location")
     service = planned("maintenance_tool", gated=False).select("request_id", *KEY)
     parts = [
-        lookup_results(asked.filter(looked_up), lookups),
-        results_of(telemetry_reports(per_asset, telemetry_by_month), "telemetry_tool"),
+        lookup_results(joined.filter(looked_up), lookups),
+        telemetry_results(per_asset, telemetry_by_month, faults_by_month),
         broad_results(
             list_reports(
                 wants_low, low, ["date_start", "date_end"], [F.col("mean_availability_pct"), F.col("asset_id")], "low_availability"
@@ -440,13 +608,13 @@ def answer_requests(
             ),
             "telemetry_tool",
         ),
-        results_of(maintenance_reports(service, maintenance_by_month, as_of), "maintenance_tool"),
+        maintenance_results(service, maintenance_by_month, logs, as_of),
         skipped_results(planned("telemetry_tool", gated=True), lookups, "telemetry_tool"),
         skipped_results(planned("maintenance_tool", gated=True), lookups, "maintenance_tool"),
     ]
     if searched is not None:
         parts.append(searched)
-    place = requests.select("request_id", F.posexplode(F.array_distinct("tools")).alias("place", "tool"))
+    place = joined.select("request_id", F.posexplode(F.array_distinct("tools")).alias("place", "tool"))
     return (
         concat_results(*parts)
         .join(place, ["request_id", "tool"])

@@ -160,6 +160,7 @@ def manual_chunks(
     overlap: int = 100,
     markers: tuple[tuple[str, str, str], ...] = SECTION_MARKERS,
     anchored: bool = True,
+    id_digits: int = 8,
 ) -> DataFrame:
     """Chunk records of manuals: whole fault blocks, and windows over the narrative sections."""
     tag = F.concat(F.lit("[OEM Manual | "), F.concat_ws(" ", "manufacturer", "model"), F.lit("]\n"))
@@ -181,7 +182,7 @@ def manual_chunks(
     )
     both = faults.unionByName(narrative, allowMissingColumns=True)
     return both.select(
-        chunk_id(F.col("manufacturer"), F.col("fault_code"), F.col("page_content")).alias("id"),
+        chunk_id(F.col("manufacturer"), F.col("fault_code"), F.col("page_content"), id_digits).alias("id"),
         "doc_id",
         "page_content",
         F.lit("manual").alias("doc_type"),

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import contains_any, extract_numbers, rounded
+from ..functions import contains_any, extract_numbers, once, rounded
 
 # Pass marks, number tolerance, and the phrases of a graceful error.
 MIN_RECALL = 0.5
@@ -30,31 +30,30 @@ def _share(found: Column, expected: Column) -> Column:
 
 def keyword_recall(answer: Column, keywords: Column) -> Column:
     """Share of the keywords that occur in the answer, whatever their case."""
-    lowered = F.lower(answer)
-    return _share(F.filter(keywords, lambda word: F.contains(lowered, F.lower(word))), keywords)
+    return _share(_mentioned(answer, keywords), keywords)
 
 
-def numeric_recall(answer: Column, numbers: Column) -> Column:
-    """Share of the expected numbers that the answer states, relative to the expected one and with a strict bound."""
-    stated = extract_numbers(answer, significant_only=False)
+def _mentioned(answer: Column, words: Column) -> Column:
+    return once(F.lower(answer), lambda lowered: F.filter(words, lambda word: F.contains(lowered, F.lower(word))))
 
-    def is_stated(expected: Column) -> Column:
-        scale = F.greatest(F.abs(expected), F.lit(1.0))
-        return F.exists(stated, lambda number: F.abs(expected - number) / scale < NUMBER_TOLERANCE)
 
-    return _share(F.filter(numbers, is_stated), numbers)
+def numeric_recall(answer: Column, numbers: Column) -> Column:
+    """Share of the expected numbers that the answer states, relative to the expected one and with a strict bound."""
 
+    def close(expected: Column, number: Column) -> Column:
+        return F.abs(expected - number) / F.greatest(F.abs(expected), F.lit(1.0)) < NUMBER_TOLERANCE
 
-def all_mentioned(answer: Column, ids: Column) -> Column:
-    """True when the answer names every id."""
-    lowered = F.lower(answer)
-    return F.forall(ids, lambda one: F.contains(lowered, F.lower(one)))
+    stated = extract_numbers(answer, significant_only=False)
+    found = once(
+        stated,
+        lambda given: F.filter(numbers, lambda expected: F.exists(given, lambda number: close(expected, number))),
+    )
+    return _share(found, numbers)
 
 
 def missing_ids(answer: Column, ids: Column) -> Column:
-    """Sorted ids that the answer does not name."""
-    lowered = F.lower(answer)
-    return F.array_sort(F.array_except(ids, F.filter(ids, lambda one: F.contains(lowered, F.lower(one)))))
+    """Sorted ids that the answer does not name; empty when it names them all."""
+    return F.array_sort(F.array_except(ids, _mentioned(answer, ids)))
 
 
 def score_cases(cases: DataFrame, outputs: DataFrame, degraded_ids: tuple[str, ...] = ()) -> DataFrame:
@@ -81,8 +80,12 @@ def score_cases(cases: DataFrame, outputs: DataFrame, degraded_ids: tuple[str, .
             "keyword_recall": keyword_recall(F.col("answer"), F.col("expected_keywords")),
             "numeric_recall": numeric_recall(F.col("answer"), F.col("expected_numbers")),
             "has_error_handling": expects_error & contains_any(F.col("answer"), ERROR_PHRASES),
-            "degradation_detected": asks_degraded & all_mentioned(F.col("answer"), ids),
-            "missing_degraded": F.when(asks_degraded, F.array_join(missing_ids(F.col("answer"), ids), ",")).otherwise(""),
+            "missing": missing_ids(F.col("answer"), ids),
+        }
+    ).withColumns(
+        {
+            "degradation_detected": asks_degraded & (F.size("missing") == 0),
+            "missing_degraded": F.when(asks_degraded, F.array_join("missing", ",")).otherwise(""),
         }
     )
     return scored.select(

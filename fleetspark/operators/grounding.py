@@ -5,7 +5,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import cited_indices, clamp01, contains_any, explode_rows, extract_numbers, rounded
+from ..functions import cited_indices, clamp01, contains_any, explode_rows, extract_numbers, once, rounded
 
 # Tolerance, judge trigger, phrases and patterns that count against an answer.
 NUMERIC_TOLERANCE = 0.015
@@ -263,7 +263,6 @@ def check_summary(failed: Column) -> Column:
 
 def phrase_hits(answers: DataFrame, phrases: tuple[str, ...] = UNCERTAIN_PHRASES) -> DataFrame:
     """Uncertainty phrases that each answer contains."""
-    lowered = F.lower("answer")
     listed = F.array(*[F.lit(phrase) for phrase in phrases])
-    found = F.filter(listed, lambda phrase: F.contains(lowered, phrase))
+    found = once(F.lower("answer"), lambda lowered: F.filter(listed, lambda phrase: F.contains(lowered, phrase)))
     return explode_rows(answers, ["request_id"], found, "phrase")

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import asset_ids, fault_code_in, infer_date_range, manufacturer_in, month_label
+from ..functions import asset_ids, fault_code_in, infer_date_range, manufacturer_in, month_label, once
 from ..functions.dates import contains_phrase
 
 # The phrases behind each flag, and the known locations in the order in which they are tried.
@@ -26,9 +26,9 @@ LOCATIONS = (
 
 def known_location(question: Column, locations: tuple[str, ...] = LOCATIONS) -> Column:
     """The first listed location that the question names; null when there is none."""
-    lowered = F.lower(question)
     names = F.array(*[F.lit(name) for name in locations])
-    return F.get(F.filter(names, lambda name: F.contains(lowered, F.lower(name))), F.lit(0))
+    named = once(F.lower(question), lambda lowered: F.filter(names, lambda name: F.contains(lowered, F.lower(name))))
+    return F.get(named, F.lit(0))
 
 
 def with_intent(requests: DataFrame, year: int = 2024, locations: tuple[str, ...] = LOCATIONS) -> DataFrame:

@@ -15,27 +15,33 @@ TRUNCATED = "\n... [truncated]"
 SEPARATOR = "\n\n"
 
 
-def first_rows_of_lists(items: DataFrame, key: str, order: Iterable[Column], cap: int = LIST_CAP) -> DataFrame:
+def first_rows_of_lists(
+    items: DataFrame, keys: str | list[str], order: Iterable[Column], cap: int = LIST_CAP
+) -> DataFrame:
     """The first rows of each list, with `position`, `showing_top` and `total_count`.
 
     The rank filter limits each list before the shuffle, and totals are a separate aggregate. A count over the same
     window would carry every row of a long list to one task.
     """
-    ranked = items.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    totals = items.groupBy(key).agg(F.count(F.lit(1)).alias("total_count"))
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    ranked = items.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    totals = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_count"))
     return (
         ranked.filter(F.col("position") <= cap)
         .withColumn("position", F.col("position").cast("bigint"))
-        .join(totals, key)
+        .join(totals, keys)
         .withColumn("showing_top", F.least(F.col("total_count"), F.lit(cap).cast("bigint")))
     )
 
 
-def capped_lists(items: DataFrame, key: str, order: Iterable[Column], columns: Iterable[str], cap: int = LIST_CAP):
+def capped_lists(
+    items: DataFrame, keys: str | list[str], order: Iterable[Column], columns: Iterable[str], cap: int = LIST_CAP
+) -> DataFrame:
     """One row per list: the first rows as an array of at most `cap` structs, the total, and a note when it was cut."""
-    shown = first_rows_of_lists(items, key, order, cap)
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    shown = first_rows_of_lists(items, keys, order, cap)
     return (
-        shown.groupBy(key)
+        shown.groupBy(*keys)
         .agg(
             F.array_sort(F.collect_list(F.struct("position", *columns))).alias("items"),
             F.max("total_count").alias("total_count"),

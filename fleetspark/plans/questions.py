@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import batch, intent, resolve
-from ..sources.checkpoints import materialised
+from ..checkpoints import materialised
 from .registry import Registry, shown
 
 YEAR = 1996
@@ -90,7 +90,9 @@ def request_results(t):
         materialised(resolve.lookup_requests(requests, t.question_assets)),
         t.question_assets,
         materialised(batch.telemetry_months(t.question_telemetry)),
+        materialised(batch.fault_months(t.question_telemetry)),
         materialised(batch.maintenance_months(t.question_maintenance)),
+        t.question_maintenance,
         YEAR,
         ("Northern Spain", "Galicia", "Aragon"),
         threshold=95.0,

@@ -25,7 +25,7 @@ def tables(spark):
             facts.append((one, date(2024, month, 3), 100.0 + n, avail, 5.0, None, *fault))
     logs = [
         (1, "WT-001", date(2023, 1, 1), "scheduled", "s", 1.0, "none", 5.0),
-        (2, "WT-001", date(2024, 5, 1), "corrective", "c", 2.0, "none", 7.0),
+        (2, "WT-001", date(2024, 5, 1), "corrective", "saw E-7", 2.0, "none", 7.0),
     ]
     assets = [(one, "wind", "Galicia" if n < 7 else "Aragon") for n, one in enumerate(ids)]
     return (
@@ -39,7 +39,13 @@ def answered(spark, *requests):
     assets, facts, logs = tables(spark)
     asked = spark.createDataFrame(list(enumerate_requests(requests)), "request_id bigint, question string, tools array<string>")
     found = batch.answer_requests(
-        asked, resolve.lookup_requests(asked, assets), assets, batch.telemetry_months(facts), batch.maintenance_months(logs)
+        asked,
+        resolve.lookup_requests(asked, assets),
+        assets,
+        batch.telemetry_months(facts),
+        batch.fault_months(facts),
+        batch.maintenance_months(logs),
+        logs,
     )
     rows = {}
     for row in found.collect():
@@ -74,7 +80,7 @@ def test_every_kind_of_request(spark):
         (4, 1): ("asset_lookup", "ok"),
         (4, 2): ("maintenance_tool", "ok"),
         (4, 3): ("telemetry_tool", "ok"),
-        (5, 1): ("maintenance_tool", "error"),
+        (5, 1): ("maintenance_tool", "ok"),
         (6, 1): ("telemetry_tool", "ok"),
     }
     data = {key: json.loads(row.data_json) for key, row in found.items() if row.data_json}
@@ -89,6 +95,13 @@ def test_every_kind_of_request(spark):
     assert found[3, 2].error == "skipped: Asset 'WT-777' not found" and (3, 2) not in data
     assert data[3, 1]["asset_ids"] == ["WT-001"]
     assert data[4, 2]["data"]["total_events"] == 1 and data[4, 2]["data"]["maintenance_overdue"] is True
+    service = data[4, 2]["data"]
+    assert [event["log_id"] for event in service["events"]] == [2] and service["parts_used"] == {"none": 1}
+    assert service["fault_codes_in_logs"] == ["E-7"] and service["date_range"] == "2024-05-01 to 2024-05-01"
+    assert data[5, 1] == {"status": "error", "message": "no asset id in the question"}
+    assert data[6, 1]["data"]["asset_id"] == "all"
+    assert [one["fault_code"] for one in data[6, 1]["data"]["fault_events"]] == ["E-1"]
+    assert [one["month"] for one in data[0, 2]["data"]["monthly_trend"]] == ["2024-04"]
     assert data[6, 1]["data"]["days"] == 14 and data[6, 1]["data"]["fault_count"] == 7
 
 
