@@ -25,13 +25,19 @@ def _variants(name: str) -> Column:
 
 
 def resolve_ids(queries: DataFrame, registry: DataFrame, prefix_pattern: str = CLASS_PREFIX) -> DataFrame:
-    """One row per distinct query text: the asset it means, the edit distance, and how many ids tie for it.
+    """One row per distinct non-null query text: the asset it means, the edit distance, and how many ids tie for it.
 
     An exact id wins. Otherwise the closest id at distance one, within the query's prefix if it has one, and the
     smallest id on a tie; `ambiguous` tells that there was a tie. Without a match `asset_id` is null.
     """
-    wanted = queries.select("raw_id").distinct().withColumn("query_id", normalise_key(F.col("raw_id")))
-    ids = registry.select("asset_id").distinct()
+    # The filters on null are those that the joins below would add to some of their branches. Stated here they are the same
+    # in all branches, so that the distinct ids are shuffled once and reused.
+    wanted = (
+        queries.select("raw_id", normalise_key(F.col("raw_id")).alias("query_id"))
+        .filter(F.col("query_id").isNotNull())
+        .distinct()
+    )
+    ids = registry.select("asset_id").filter(F.col("asset_id").isNotNull()).distinct()
     looked_up = wanted.join(ids, wanted["query_id"] == ids["asset_id"], "left")
     exact = looked_up.filter(F.col("asset_id").isNotNull()).select(
         "raw_id", "asset_id", F.lit(0).cast("bigint").alias("distance"), F.lit(1).cast("bigint").alias("n_ties")

@@ -344,6 +344,24 @@ CLEAN_ASSETS_SQL = f"""
 """
 
 
+CLEAN_TELEMETRY_SQL = """
+        cleaned AS (
+            SELECT upper(trim(asset_id)) AS asset_id, TRY_CAST(date AS DATE) AS date, TRY_CAST(energy_kwh AS DOUBLE) AS energy_kwh,
+                   TRY_CAST(availability_pct AS DOUBLE) AS availability_pct, TRY_CAST(avg_wind_speed_ms AS DOUBLE) AS avg_wind_speed_ms,
+                   nullif(TRY_CAST(irradiance_wm2 AS DOUBLE), CAST('nan' AS DOUBLE)) AS irradiance_wm2,
+                   TRY_CAST(temperature_c AS DOUBLE) AS temperature_c, fault_code, fault_description
+            FROM raw_telemetry WHERE TRY_CAST(date AS DATE) IS NOT NULL)
+    """
+
+CLEAN_MAINTENANCE_SQL = """
+        cleaned AS (
+            SELECT log_id, upper(trim(asset_id)) AS asset_id, TRY_CAST(date AS DATE) AS date, type, coalesce(description, '') AS description,
+                   TRY_CAST(duration_hours AS DOUBLE) AS duration_hours, coalesce(parts_replaced, 'none') AS parts_replaced,
+                   TRY_CAST(cost_eur AS DOUBLE) AS cost_eur
+            FROM raw_maintenance)
+    """
+
+
 def _register_cleaning(registry: Registry) -> None:
     registry.add(
         "asset_clean",
@@ -382,14 +400,7 @@ def _register_cleaning(registry: Registry) -> None:
            GROUP BY ALL HAVING count(*) > 1""",
         "part_telemetry",
     )
-    telemetry_sql = """
-        cleaned AS (
-            SELECT upper(trim(asset_id)) AS asset_id, TRY_CAST(date AS DATE) AS date, TRY_CAST(energy_kwh AS DOUBLE) AS energy_kwh,
-                   TRY_CAST(availability_pct AS DOUBLE) AS availability_pct, TRY_CAST(avg_wind_speed_ms AS DOUBLE) AS avg_wind_speed_ms,
-                   nullif(TRY_CAST(irradiance_wm2 AS DOUBLE), CAST('nan' AS DOUBLE)) AS irradiance_wm2,
-                   TRY_CAST(temperature_c AS DOUBLE) AS temperature_c, fault_code, fault_description
-            FROM raw_telemetry WHERE TRY_CAST(date AS DATE) IS NOT NULL)
-    """
+    telemetry_sql = CLEAN_TELEMETRY_SQL
     registry.add(
         "telemetry_clean",
         lambda t: clean.clean_telemetry(t.raw_telemetry),
@@ -403,13 +414,7 @@ def _register_cleaning(registry: Registry) -> None:
                 max(date) AS last_date, count(fault_code) AS fault_rows FROM cleaned""",
         "raw_telemetry",
     )
-    maintenance_sql = """
-        cleaned AS (
-            SELECT log_id, upper(trim(asset_id)) AS asset_id, TRY_CAST(date AS DATE) AS date, type, coalesce(description, '') AS description,
-                   TRY_CAST(duration_hours AS DOUBLE) AS duration_hours, coalesce(parts_replaced, 'none') AS parts_replaced,
-                   TRY_CAST(cost_eur AS DOUBLE) AS cost_eur
-            FROM raw_maintenance)
-    """
+    maintenance_sql = CLEAN_MAINTENANCE_SQL
     registry.add(
         "maintenance_clean",
         lambda t: clean.clean_maintenance(t.raw_maintenance),

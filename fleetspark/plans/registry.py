@@ -1,9 +1,11 @@
 """Where the registered queries are kept."""
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..checkpoints import checkpoint_folder
 from ..sources.roles import role, role_sql, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +22,13 @@ class Tables:
         return role(self._spark, self._sf_dir, name)
 
     def raw(self, name: str) -> DataFrame:
+        """A plain table."""
         return table(self._spark, self._sf_dir, name)
 
+    def folder(self, name: str) -> str:
+        """A new folder for files that a query writes and reads back."""
+        return f"{checkpoint_folder(self._spark)}/{name}-{uuid.uuid4().hex}"
+
 
 class Registry:
     """Named queries with their SQL."""
