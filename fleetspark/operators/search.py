@@ -17,6 +17,7 @@ SNIPPET = 200
 
 # A batch of queries travels to the executors as one broadcast matrix. Larger sets take `_blocked_candidates`.
 BROADCAST_QUERY_BYTES = 16 * 1024 * 1024
+PUSHED_VALUES = 200
 QUERIES_PER_BLOCK = 512
 ROWS_PER_SLICE = 50_000
 # Rows scored in one step, which bounds the score matrix of a task.
@@ -37,35 +38,39 @@ def _unit(rows: Iterable, width: int | None = None) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def _codes(values: pd.Series) -> np.ndarray:
-    return values.astype(object).where(values.notna(), None).to_numpy()
+def _allowed(wanted: pd.Series, present: pd.Series) -> np.ndarray:
+    """Which rows each query may match: equal values, or all when the query's value is null."""
+    codes, _ = pd.factorize(pd.concat([wanted, present], ignore_index=True).astype(object))
+    mine, theirs = codes[: len(wanted), None], codes[None, len(wanted) :]
+    return (mine < 0) | (mine == theirs)
 
 
-def _best_rows(queries: pd.DataFrame, unit_queries: np.ndarray, docs: pd.DataFrame, k: int, filters: tuple[str, ...]):
-    """The k best rows of `docs` for every query, ties by id. A null filter value of a query does not restrict."""
+def _best_rows(
+    queries: pd.DataFrame, unit_queries: np.ndarray, docs: pd.DataFrame, k: int, filters: tuple[str, ...]
+) -> pd.DataFrame:
+    """The k best rows of `docs` for every query, ties by id."""
     if docs.empty or queries.empty:
         return pd.DataFrame({"query_id": [], "id": [], "raw_score": []})
-    # Scores are compared at the precision at which they are reported, so that ties fall to the id everywhere.
-    scores = unit_queries @ _unit(docs["embedding"]).T
-    shown = np.floor(scores * 1e4 + 0.5 + 1e-9) / 1e4
+    # Scores are ranked at the precision at which they are reported, so that ties fall to the id wherever they are scored.
+    # Score and place in the order of ids make one integer key, which makes the choice of the k largest unique.
+    steps = np.floor((unit_queries @ _unit(docs["embedding"]).T) * 1e4 + 0.5 + 1e-9).astype(np.int64)
+    ids, count = docs["id"].to_numpy(), len(docs)
+    place = np.empty(count, dtype=np.int64)
+    place[np.argsort(ids, kind="stable")] = np.arange(count)
+    keys = steps * count + (count - 1 - place)[None, :]
+    usable = np.ones_like(keys, dtype=bool)
     for name in filters:
-        wanted, present = _codes(queries[name]), _codes(docs[name])
-        for row, value in enumerate(wanted):
-            if value is not None:
-                shown[row, present != value] = -np.inf
-    ids = docs["id"].to_numpy()
-    picked = []
-    for row in range(len(queries)):
-        usable = np.flatnonzero(np.isfinite(shown[row]))
-        if len(usable) > k:
-            floor = np.partition(shown[row, usable], len(usable) - k)[len(usable) - k]
-            usable = usable[shown[row, usable] >= floor]
-        order = np.lexsort((ids[usable], -shown[row, usable]))[:k]
-        best = usable[order]
-        picked.append(
-            pd.DataFrame({"query_id": queries["query_id"].iloc[row], "id": ids[best], "raw_score": shown[row, best]})
-        )
-    return pd.concat(picked, ignore_index=True)
+        usable &= _allowed(queries[name], docs[name])
+    keys[~usable] = np.iinfo(np.int64).min
+    if count > k:
+        best = np.argpartition(keys, count - k, axis=1)[:, count - k :]
+    else:
+        best = np.broadcast_to(np.arange(count), keys.shape)
+    rows = np.broadcast_to(np.arange(len(queries))[:, None], best.shape)
+    rows, best = rows[np.take_along_axis(usable, best, 1)], best[np.take_along_axis(usable, best, 1)]
+    return pd.DataFrame(
+        {"query_id": queries["query_id"].to_numpy()[rows], "id": ids[best], "raw_score": steps[rows, best] / 1e4}
+    )
 
 
 def _merge(frames: list[pd.DataFrame], k: int) -> pd.DataFrame:
@@ -86,6 +91,11 @@ def _hit_schema(docs: DataFrame, queries: DataFrame) -> T.StructType:
 
 def _broadcast_candidates(docs: DataFrame, queries: DataFrame, k: int, filters: tuple[str, ...], rows: list) -> DataFrame:
     """k candidates per query and task. The queries are broadcast, so the vectors are scored where they are read."""
+    for name in filters:
+        values = {row[name] for row in rows}
+        # When every query narrows by this column, the scan needs the named values only.
+        if None not in values and len(values) <= PUSHED_VALUES:
+            docs = docs.filter(F.col(name).isin(sorted(values)))
     names = ["query_id", "embedding", *filters]
     columns = {name: [row[name] for row in rows] for name in names}
     shared = docs.sparkSession.sparkContext.broadcast(columns)
@@ -157,14 +167,15 @@ def top_k_search(
     shuffled. Either way only k candidates per query and task reach the final ranking.
     """
     filters = tuple(filters)
-    wanted = queries.select("query_id", "embedding", *filters)
+    docs = docs.filter(F.col("embedding").isNotNull())
+    wanted = queries.select("query_id", "embedding", *filters).filter(F.col("embedding").isNotNull())
     size = wanted.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("width")).first()
     if not size["n"]:
         candidates = docs.sparkSession.createDataFrame([], _hit_schema(docs, queries))
     elif size["n"] * (size["width"] or 1) * 8 <= broadcast_bytes:
         candidates = _broadcast_candidates(docs, queries, k, filters, wanted.collect())
     else:
-        candidates = _blocked_candidates(docs, queries, k, filters, size["n"], max(docs.count(), 1))
+        candidates = _blocked_candidates(docs, wanted, k, filters, size["n"], max(docs.count(), 1))
     best_first = Window.partitionBy("query_id").orderBy(F.desc("raw_score"), "id")
     return (
         candidates.withColumn("rank", F.row_number().over(best_first))

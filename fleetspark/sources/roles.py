@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 TELEMETRY_COLUMNS = """
     CAST(l_shipdate AS DATE) AS date,
     l_extendedprice AS energy_kwh,
-    round(100 * (1 - l_discount), 2) AS availability_pct,
+    CAST(floor(100.5E0 - 100 * l_discount) AS DOUBLE) AS availability_pct,
     CASE WHEN l_linestatus = 'O' THEN l_quantity END AS avg_wind_speed_ms,
     CASE WHEN l_linestatus = 'F' THEN l_quantity END AS irradiance_wm2,
     l_tax AS temperature_c,

@@ -58,6 +58,24 @@ def test_search_equals_brute_force(spark, data, broadcast_bytes, k, filters, mon
     assert sorted(tuple(row) for row in found.collect()) == brute_force(docs, queries, k, [bool(filters)] * 2)
 
 
+def test_filter_reaches_the_scan(spark, data, tmp_path):
+    docs, queries = data
+    spark.createDataFrame(docs, VECTORS).write.parquet(str(tmp_path / "v"))
+    stored = spark.read.parquet(str(tmp_path / "v"))
+    asked = spark.createDataFrame(queries, QUERIES)
+    narrowed = search.top_k_search(stored, asked.filter("code is not null"), 5, ("code",))
+    plan = narrowed._jdf.queryExecution().executedPlan().toString()
+    assert "In(code, [E-0,E-1,E-9])" in plan and "maker" not in plan
+    open_plan = search.top_k_search(stored, asked, 5, ("code",))._jdf.queryExecution().executedPlan().toString()
+    assert "In(code" not in open_plan
+
+
+def test_rows_without_a_vector_are_left_out(spark):
+    docs = spark.createDataFrame([(1, [1.0], None, None), (2, None, None, None)], VECTORS)
+    asked = spark.createDataFrame([(1, [1.0], None, None), (2, None, None, None)], QUERIES)
+    assert [tuple(row) for row in search.top_k_search(docs, asked).collect()] == [(1, 1, 1, 1.0)]
+
+
 def test_empty_sides(spark, data):
     docs, queries = data
     vectors, asked = spark.createDataFrame(docs, VECTORS), spark.createDataFrame(queries, QUERIES)
