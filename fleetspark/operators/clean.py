@@ -16,14 +16,20 @@ MAINTENANCE_NUMBERS = ("cost_eur", "duration_hours")
 
 
 def as_number(name: str) -> Column:
-    """Text to double; unreadable text and NaN become null, since NaN compares as larger than any number."""
-    value = F.col(name).try_cast("double")
-    return F.when(~F.isnan(value), value).alias(name)
+    """Text to double; unreadable text and NaN become null, since NaN compares as larger than any number.
+
+    Spark also reads `1d`, `1.5f` and `0x1p3`, which are no numbers in a data file.
+    """
+    text = F.col(name).cast("string")
+    plain = ~F.rlike(text, F.lit("(?i)[dfx]")) | F.rlike(text, F.lit(r"(?i)^\s*[+-]?inf(inity)?\s*$"))
+    value = text.try_cast("double")
+    return F.when(plain & ~F.isnan(value), value).alias(name)
 
 
 def as_date(name: str) -> Column:
-    """Text, date or timestamp to date; unreadable text becomes null."""
-    return F.to_date(F.col(name).try_cast("timestamp_ntz")).alias(name)
+    """Text, date or timestamp to date; unreadable text becomes null, and so do words such as `epoch`."""
+    text = F.col(name).cast("string")
+    return F.when(F.rlike(text, F.lit(r"^\s*\d")), F.to_date(text.try_cast("timestamp_ntz"))).alias(name)
 
 
 def require_columns(df: DataFrame, required: Iterable[str]) -> None:

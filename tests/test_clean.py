@@ -1,6 +1,7 @@
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from fleetspark.operators import clean
 from fleetspark.sources import load_all, read_assets_csv
@@ -56,6 +57,18 @@ def test_telemetry_drops_bad_dates_and_nan(spark, rows):
     ]
 
 
+def test_casts(spark):
+    texts = ["1", " 2.5 ", "1e3", "-.5", "inf", "1d", "1.5f", "0x1p3", "1_000", "nan", "", None]
+    df = spark.createDataFrame([(text,) for text in texts], "x string")
+    assert [row[0] for row in df.select(clean.as_number("x")).collect()] == [1, 2.5, 1000, -0.5, float("inf")] + [None] * 7
+    texts = ["2024-01-05", "2024-1-5", " 2024-01-05 10:00:00", "2024-02-30", "epoch", "now", "05.01.2024", "", None]
+    df = spark.createDataFrame([(text,) for text in texts], "x string")
+    assert [row[0] for row in df.select(clean.as_date("x")).collect()] == [date(2024, 1, 5)] * 3 + [None] * 6
+    typed = spark.range(1).select(F.current_timestamp().cast("timestamp_ntz").alias("t"), F.lit(3).alias("n"), F.lit(1e20).alias("d"))
+    row = typed.select(clean.as_date("t"), clean.as_number("n"), clean.as_number("d")).first()
+    assert row.t is not None and (row.n, row.d) == (3.0, 1e20)
+
+
 def test_maintenance_keeps_bad_dates(spark, rows):
     raw = spark.createDataFrame(
         [("1", "wt-1", "bad", "scheduled", None, None, None, "5")],
