@@ -500,14 +500,31 @@ def broad_results(low: DataFrame, declining: DataFrame, tool: str) -> DataFrame:
     )
 
 
-def lookup_results(requests: DataFrame, lookups: DataFrame) -> DataFrame:
-    """Outcome of the id lookup as tool results. A partial lookup has both data and an error."""
-    return lookups.join(requests.select("request_id"), "request_id", "left_semi").select(
+def lookup_results(lookups: DataFrame, assets: DataFrame) -> DataFrame:
+    """Outcome of the id lookup as tool results: the asset, or the list of assets. A partial lookup also has an error.
+
+    The assets are put together once per distinct list of ids; a list holds the ids of one question only.
+    """
+    found = lookups.filter(F.size("asset_ids") > 0)
+    wanted = found.select("asset_ids").distinct().select("asset_ids", F.posexplode("asset_ids").alias("place", "asset_id"))
+    shown = [
+        F.col(name).cast("string").alias(name) if kind in ("date", "timestamp", "timestamp_ntz") else F.col(name)
+        for name, kind in assets.dtypes
+    ]
+    rows = (
+        wanted.join(assets.select(*shown), "asset_id")
+        .groupBy("asset_ids")
+        .agg(F.array_sort(F.collect_list(F.struct("place", F.struct(*assets.columns).alias("asset")))).alias("rows"))
+        .select("asset_ids", F.transform("rows", lambda row: row["asset"]).alias("assets"))
+    )
+    single = (F.size("assets") == 1) & (F.col("status") == "ok")
+    data = F.when(single, F.to_json(F.get("assets", F.lit(0)))).otherwise(F.to_json(F.struct("assets")))
+    return lookups.join(rows, "asset_ids", "left").select(
         "request_id",
         F.lit("asset_lookup").alias("tool"),
         "status",
         "error",
-        F.when(F.size("asset_ids") > 0, F.to_json(F.struct("asset_ids"))).alias("data_json"),
+        F.when(F.col("assets").isNotNull(), data).alias("data_json"),
     )
 
 
@@ -597,7 +614,7 @@ def answer_requests(
     by_window = with_month_means(declining, telemetry_by_month, year).withColumnRenamed("scope", "location")
     service = planned("maintenance_tool", gated=False).select("request_id", *KEY)
     parts = [
-        lookup_results(joined.filter(looked_up), lookups),
+        lookup_results(lookups.join(joined.filter(looked_up).select("request_id"), "request_id", "left_semi"), assets),
         telemetry_results(per_asset, telemetry_by_month, faults_by_month),
         broad_results(
             list_reports(

@@ -29,7 +29,7 @@ def _share(found: Column, expected: Column) -> Column:
 
 
 def keyword_recall(answer: Column, keywords: Column) -> Column:
-    """Share of the keywords that occur in the answer, whatever their case."""
+    """Share of the keywords that occur in the answer, whatever their case; 1 when there are none."""
     return _share(_mentioned(answer, keywords), keywords)
 
 
@@ -37,18 +37,22 @@ def _mentioned(answer: Column, words: Column) -> Column:
     return once(F.lower(answer), lambda lowered: F.filter(words, lambda word: F.contains(lowered, F.lower(word))))
 
 
-def numeric_recall(answer: Column, numbers: Column) -> Column:
-    """Share of the expected numbers that the answer states, relative to the expected one and with a strict bound."""
+def stated_numbers(answer: Column, numbers: Column) -> Column:
+    """The expected numbers that the answer states, within a tolerance relative to the expected one (strictly)."""
 
     def close(expected: Column, number: Column) -> Column:
         return F.abs(expected - number) / F.greatest(F.abs(expected), F.lit(1.0)) < NUMBER_TOLERANCE
 
     stated = extract_numbers(answer, significant_only=False)
-    found = once(
+    return once(
         stated,
         lambda given: F.filter(numbers, lambda expected: F.exists(given, lambda number: close(expected, number))),
     )
-    return _share(found, numbers)
+
+
+def numeric_recall(answer: Column, numbers: Column) -> Column:
+    """Share of the expected numbers that the answer states; 1 when none are expected."""
+    return _share(stated_numbers(answer, numbers), numbers)
 
 
 def missing_ids(answer: Column, ids: Column) -> Column:
@@ -57,7 +61,7 @@ def missing_ids(answer: Column, ids: Column) -> Column:
 
 
 def score_cases(cases: DataFrame, outputs: DataFrame, degraded_ids: tuple[str, ...] = ()) -> DataFrame:
-    """One scored row per case. A case without an output counts as an error with confidence 0.
+    """One scored row per case, with notes on what is amiss. A case without an output is an error with confidence 0.
 
     `passed` needs the routing, both recalls, the confidence, and a graceful error where one is expected. Naming every
     degraded asset is reported on its own.
@@ -74,20 +78,50 @@ def score_cases(cases: DataFrame, outputs: DataFrame, degraded_ids: tuple[str, .
     )
     expects_error = F.coalesce(F.col("expected_error"), F.lit(False))
     asks_degraded = F.coalesce(F.col("checks_degradation"), F.lit(False))
+    expected_tools = F.coalesce("expected_tools", none)
     scored = joined.withColumns(
         {
-            "tool_routing_correct": F.size(F.array_except(F.coalesce("expected_tools", none), "tools_used")) == 0,
-            "keyword_recall": keyword_recall(F.col("answer"), F.col("expected_keywords")),
-            "numeric_recall": numeric_recall(F.col("answer"), F.col("expected_numbers")),
+            "missing_tools": F.array_except(expected_tools, "tools_used"),
+            "found_keywords": _mentioned(F.col("answer"), F.col("expected_keywords")),
+            "found_numbers": stated_numbers(F.col("answer"), F.col("expected_numbers")),
             "has_error_handling": expects_error & contains_any(F.col("answer"), ERROR_PHRASES),
-            "missing": missing_ids(F.col("answer"), ids),
+            "missing": F.when(asks_degraded, missing_ids(F.col("answer"), ids)).otherwise(none),
         }
     ).withColumns(
         {
+            "tool_routing_correct": F.size("missing_tools") == 0,
+            "keyword_recall": _share(F.col("found_keywords"), F.col("expected_keywords")),
+            "numeric_recall": _share(F.col("found_numbers"), F.col("expected_numbers")),
             "degradation_detected": asks_degraded & (F.size("missing") == 0),
-            "missing_degraded": F.when(asks_degraded, F.array_join("missing", ",")).otherwise(""),
         }
     )
+
+    def note(condition: Column, *parts: Column | str) -> Column:
+        return F.when(condition, F.concat(*[F.lit(part) if isinstance(part, str) else part for part in parts]))
+
+    def count(items: str) -> Column:
+        return F.size(items).cast("string")
+
+    no_numbers = F.array().cast("array<double>")
+    unstated = F.transform(
+        F.filter(F.coalesce("expected_numbers", no_numbers), lambda number: ~F.array_contains("found_numbers", number)),
+        lambda number: F.concat(F.lit("number not stated: "), number.cast("string")),
+    )
+    notes = F.concat(
+        F.array_compact(
+            F.array(
+                note(~F.col("tool_routing_correct"), "tools not used: ", F.array_join("missing_tools", ", ")),
+                note(F.col("keyword_recall") < MIN_RECALL, "keywords found: ", count("found_keywords"), " of ", count("expected_keywords")),
+            )
+        ),
+        unstated,
+        F.array_compact(
+            F.array(
+                note(expects_error & ~F.col("has_error_handling"), "no graceful error"),
+                note(F.size("missing") > 0, "degraded assets not named: ", F.array_join("missing", ", ")),
+            )
+        ),
+    )
     return scored.select(
         "id",
         "confidence",
@@ -97,7 +131,6 @@ def score_cases(cases: DataFrame, outputs: DataFrame, degraded_ids: tuple[str, .
         "numeric_recall",
         "has_error_handling",
         "degradation_detected",
-        "missing_degraded",
         (
             F.col("tool_routing_correct")
             & (F.col("keyword_recall") >= MIN_RECALL)
@@ -105,6 +138,7 @@ def score_cases(cases: DataFrame, outputs: DataFrame, degraded_ids: tuple[str, .
             & (F.col("confidence") >= MIN_CONFIDENCE)
             & (~expects_error | F.col("has_error_handling"))
         ).alias("passed"),
+        notes.alias("notes"),
     )
 
 

@@ -242,6 +242,7 @@ def confidence(
             F.when(~F.col("judge_asked"), "skip").when(F.col("delta_judge") < 0, "fail").otherwise("pass").alias(
                 "judge_status"
             ),
+            "failed_checks",
             check_summary(F.col("failed_checks")).alias("checks"),
         )
     )

@@ -53,6 +53,7 @@ UNCERTAIN = "|".join(
 
 
 def _confidence_sql(with_judge: bool) -> str:
+    names = "array_to_string(failed, ',') AS failed_checks," if with_judge else ""
     judge = (
         "CASE WHEN NOT judge_asked THEN 0 WHEN judge_score IS NULL THEN -0.1 WHEN judge_score >= 0.8 THEN 0.1 WHEN judge_score >= 0.5 THEN 0 ELSE -0.15 END"
         if with_judge
@@ -89,7 +90,7 @@ def _confidence_sql(with_judge: bool) -> str:
             delta_citations, delta_indices, delta_data, delta_phrases, delta_patterns, delta_numeric, delta_judge,
             CASE WHEN delta_numeric > 0 THEN 'pass' WHEN delta_numeric < 0 THEN 'fail' ELSE 'skip' END AS numeric_status,
             CASE WHEN NOT judge_asked THEN 'skip' WHEN delta_judge < 0 THEN 'fail' ELSE 'pass' END AS judge_status,
-            CASE len(failed) WHEN 0 THEN 'all checks passed' WHEN 1 THEN 'warning: ' || failed[1] ELSE 'warnings: ' || len(failed) || ' checks failed' END AS checks
+            {names} CASE len(failed) WHEN 0 THEN 'all checks passed' WHEN 1 THEN 'warning: ' || failed[1] ELSE 'warnings: ' || len(failed) || ' checks failed' END AS checks
         FROM final
     """
 
@@ -106,10 +107,17 @@ CASES_SQL = r"""
             len(list_filter(expected_numbers, lambda e: len(list_filter(stated, lambda s: abs(e - s) / greatest(abs(e), 1) < 0.015)) > 0)) / len(expected_numbers) AS numeric_recall,
             expected_error AND regexp_matches(lower(answer), 'not found|doesn''t exist|did you mean|invalid|check|typo|no asset|skipped') AS has_error_handling,
             checks_degradation AND contains(lower(answer), 'th') AND contains(lower(answer), 'an') AND contains(lower(answer), 'zzz') AS degradation_detected,
-            CASE WHEN checks_degradation THEN array_to_string(list_sort(list_filter(['Th', 'an', 'zzz'], lambda w: NOT contains(lower(answer), lower(w)))), ',') ELSE '' END AS missing_degraded
+            list_filter(expected_tools, lambda w: NOT list_contains(tools_used, w)) AS unused,
+            list_filter(expected_numbers, lambda e: len(list_filter(stated, lambda s: abs(e - s) / greatest(abs(e), 1) < 0.015)) = 0) AS unfound,
+            list_sort(list_filter(['Th', 'an', 'zzz'], lambda w: checks_degradation AND NOT contains(lower(answer), lower(w)))) AS unnamed
         FROM joined),
     scored AS (
-        SELECT id, confidence, latency_s, tool_routing_correct, keyword_recall, numeric_recall, has_error_handling, degradation_detected, missing_degraded,
+        SELECT id, confidence, latency_s, tool_routing_correct, keyword_recall, numeric_recall, has_error_handling, degradation_detected, unfound,
+            concat_ws('; ', CASE WHEN len(unused) > 0 THEN 'tools not used: ' || array_to_string(unused, ', ') END,
+                CASE WHEN keyword_recall < 0.5 THEN 'keywords found: ' || CAST(round(keyword_recall * len(expected_keywords)) AS BIGINT) || ' of ' || len(expected_keywords) END,
+                nullif(array_to_string(list_transform(unfound, lambda x: 'number not stated: ' || x), '; '), ''),
+                CASE WHEN expected_error AND NOT has_error_handling THEN 'no graceful error' END,
+                CASE WHEN len(unnamed) > 0 THEN 'degraded assets not named: ' || array_to_string(unnamed, ', ') END) AS notes,
             tool_routing_correct AND keyword_recall >= 0.5 AND numeric_recall >= 0.5 AND confidence >= 0.4 AND (NOT expected_error OR has_error_handling) AS passed
         FROM graded)
 """
@@ -150,13 +158,13 @@ def register(registry: Registry) -> None:
     )
     registry.add(
         "confidence_score",
-        lambda t: grounding.confidence(t.answers, t.tool_results),
+        lambda t: grounding.confidence(t.answers, t.tool_results).withColumn("failed_checks", F.array_join("failed_checks", ",")),
         _confidence_sql(True),
         both,
     )
     registry.add(
         "confidence_without_judge",
-        lambda t: grounding.confidence(t.answers.drop("judge_score"), t.tool_results),
+        lambda t: grounding.confidence(t.answers.drop("judge_score"), t.tool_results).drop("failed_checks"),
         _confidence_sql(False),
         both,
     )
@@ -173,7 +181,12 @@ def register(registry: Registry) -> None:
         """SELECT request_id, 'i''m not sure' AS phrase FROM answers WHERE contains(lower(answer), 'i''m not sure')""",
         "answers",
     )
-    registry.add("eval_cases", scored_cases, f"WITH {CASES_SQL} SELECT * FROM scored", "eval_cases eval_outputs")
+    registry.add(
+        "eval_cases",
+        lambda t: scored_cases(t).withColumn("notes", F.array_join("notes", "; ")),
+        f"WITH {CASES_SQL} SELECT * EXCLUDE (unfound) FROM scored",
+        "eval_cases eval_outputs",
+    )
     registry.add(
         "eval_summary",
         lambda t: evaluate.evaluation_summary(scored_cases(t)),

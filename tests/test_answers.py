@@ -158,7 +158,9 @@ def test_cases(spark):
     assert (found["half"].keyword_recall, found["half"].numeric_recall) == (0.5, 0.5)
     assert found["unsure"].keyword_recall == 1.0 and found["unsure"].numeric_recall == 1.0
     assert found["named"].degradation_detected and not found["unnamed"].degradation_detected
-    assert found["unnamed"].missing_degraded == "PV-005" and found["named"].missing_degraded == ""
+    assert found["all"].notes == [] and found["unnamed"].notes == ["degraded assets not named: PV-005"]
+    assert found["half"].notes == ["number not stated: 5.0"] and found["routing"].notes == ["tools not used: b"]
+    assert found["no error"].notes == ["no graceful error"] and found["missing"].notes == ["keywords found: 0 of 1"]
     assert found["missing"].confidence == 0.0 and found["missing"].keyword_recall == 0.0
     summary = evaluate.evaluation_summary(scored).first()
     assert (summary.total, summary.passed, summary.pass_rate) == (10, 6, 0.6)

@@ -93,7 +93,8 @@ def test_every_kind_of_request(spark):
     assert [item["asset_id"] for item in declining] == ["WT-004"] and declining[0]["avail_drop_pct_pts"] == 12.0
     assert data[2, 1]["low_availability"]["total_count"] == 12
     assert found[3, 2].error == "skipped: Asset 'WT-777' not found" and (3, 2) not in data
-    assert data[3, 1]["asset_ids"] == ["WT-001"]
+    assert [one["asset_id"] for one in data[3, 1]["assets"]] == ["WT-001"]
+    assert data[0, 1] == {"asset_id": "WT-001", "type": "wind", "location": "Galicia"}
     assert data[4, 2]["data"]["total_events"] == 1 and data[4, 2]["data"]["maintenance_overdue"] is True
     service = data[4, 2]["data"]
     assert [event["log_id"] for event in service["events"]] == [2] and service["parts_used"] == {"none": 1}
