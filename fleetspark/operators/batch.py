@@ -5,6 +5,7 @@ month. Requests then meet these few rows instead of readings, and equal requests
 per distinct (ids, window) and joined back. A popular asset or question thus costs no more than a rare one.
 """
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 from ..checkpoints import materialised
 from ..functions import month_label, rounded
 from ..functions.dates import windows
-from .intent import LOCATIONS, with_intent
+from .intent import LOCATIONS, with_intent, with_search_filters
 from .maintenance import AS_OF, CADENCE_DAYS, codes_in_logs
+from .search import MIN_SCORE, TOP_K, gate_error, numbered_context, source_label, top_k_search, with_content
 from .seasonal import AFTER_MONTHS, BEFORE_MONTHS, DROP_FLOOR, Z_THRESHOLD, displayed_figures, flagged, has_fault, scores_of_means
 from .shape import LIST_CAP, capped_lists
 
@@ -528,23 +530,39 @@ def lookup_results(lookups: DataFrame, assets: DataFrame) -> DataFrame:
     )
 
 
-def search_results(requests: DataFrame, contexts: DataFrame, gate: DataFrame) -> DataFrame:
-    """Outcome of the manual search as tool results: the numbered context, or the error of the relevance gate."""
-    passed = F.col("passed")
-    return (
-        requests.select("request_id")
-        .join(gate.withColumnRenamed("query_id", "request_id"), "request_id", "left")
-        .join(contexts.withColumnRenamed("query_id", "request_id"), "request_id", "left")
-        .select(
-            "request_id",
-            F.lit("rag_tool").alias("tool"),
-            F.when(passed, "ok").otherwise("error").alias("status"),
-            F.when(~F.coalesce(passed, F.lit(False)), F.coalesce(F.col("error"), F.lit("no documents retrieved"))).alias("error"),
-            F.when(passed, F.to_json(F.struct("context", "chunks_used", "best_score"))).alias("data_json"),
-        )
+def search_results(contexts: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """Numbered contexts, null where nothing was found, as tool results: the context, or the error of the gate."""
+    error = gate_error(F.col("best_score"), min_score)
+    return contexts.withColumn("error", error).select(
+        "request_id",
+        F.lit("rag_tool").alias("tool"),
+        F.when(F.col("error").isNull(), "ok").otherwise("error").alias("status"),
+        "error",
+        F.when(F.col("error").isNull(), F.to_json(F.struct("context", "chunks_used", "best_score"))).alias("data_json"),
     )
 
 
+def manual_results(
+    requests: DataFrame,
+    index: DataFrame,
+    embed: Callable[[DataFrame], DataFrame],
+    k: int = TOP_K,
+    min_score: float = MIN_SCORE,
+) -> DataFrame:
+    """Search the chunk index for every request, as tool results with the numbered context.
+
+    `embed` adds an `embedding` to a table with a `question`, in the space of the index. A fault code or manufacturer in
+    the question narrows its search. Equal questions are searched once.
+    """
+    keyed = requests.select("request_id", "question").withColumn("query_id", F.md5("question"))
+    asked = embed(with_search_filters(keyed.select("query_id", "question").dropDuplicates(["query_id"])))
+    hits = top_k_search(index, asked, k, ("fault_code", "manufacturer"))
+    shown = with_content(hits, index, ["page_content", "chunk_type", "fault_code", "manufacturer", "model"])
+    label = source_label(F.col("fault_code"), F.col("manufacturer"), F.col("model"), F.col("chunk_type"))
+    contexts = keyed.join(numbered_context(shown, label), "query_id", "left")
+    return search_results(contexts, min_score)
+
+
 def skipped_results(requests: DataFrame, lookups: DataFrame, tool: str) -> DataFrame:
     """Results of requests that are not answered because their id lookup reported an error."""
     reason = F.concat(F.lit("skipped: "), F.col("error"))
@@ -578,8 +596,8 @@ def answer_requests(
     `requests` has `request_id`, `question` and the planned `tools`. `lookups` is the output of `lookup_requests`; it is
     used where the plan has a lookup, and an error there skips the telemetry and maintenance of the request. The month
     tables come from `telemetry_months`, `fault_months` and `maintenance_months`; store or materialise them, since several
-    reports read them. `logs` is the maintenance log itself, for the event lists. `searched` holds the results of the
-    manual search, if any. Sources are numbered in the order of the plan.
+    reports read them. `logs` is the maintenance log itself, for the event lists. `searched` holds the
+    `manual_results`, if any. Sources are numbered in the order of the plan.
 
     The requests with their intent are written once to the checkpoint folder, as every kind of report starts from them.
     """

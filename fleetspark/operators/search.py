@@ -194,16 +194,19 @@ def cosine(left: Column, right: Column) -> Column:
     return F.try_divide(dot(left, right), F.sqrt(dot(left, left)) * F.sqrt(dot(right, right)))
 
 
+def gate_error(best_score: Column, min_score: float = MIN_SCORE) -> Column:
+    """Error of a search whose best score is missing or below the threshold; null when it is relevant."""
+    return F.when(best_score.isNull(), "no documents retrieved").when(best_score < min_score, "low relevance")
+
+
 def relevance_gate(queries: DataFrame, hits: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """Best score per query, and an error when nothing was found or the best is below the threshold."""
     best = hits.groupBy("query_id").agg(F.max("score").alias("best_score"))
     return queries.select("query_id").join(best, "query_id", "left").select(
         "query_id",
         "best_score",
-        F.when(F.col("best_score").isNull(), "no documents retrieved")
-        .when(F.col("best_score") < min_score, "low relevance")
-        .alias("error"),
-        F.coalesce(F.col("best_score") >= min_score, F.lit(False)).alias("passed"),
+        gate_error(F.col("best_score"), min_score).alias("error"),
+        gate_error(F.col("best_score"), min_score).isNull().alias("passed"),
     )
 
 
@@ -229,7 +232,10 @@ def with_content(hits: DataFrame, docs: DataFrame, columns: Iterable[str]) -> Da
 
 
 def numbered_context(hits: DataFrame, label: Column, content: str = "page_content") -> DataFrame:
-    """One numbered context per query. The list holds the k hits of a query, never more."""
+    """One numbered context per query, with the number of its chunks and their best score.
+
+    The list holds the k hits of a query, never more.
+    """
     block = F.concat(
         F.lit("[Source "), F.col("rank").cast("string"), F.lit("] "), label, F.lit("\n"), F.col(content), F.lit("\n")
     )
@@ -237,6 +243,7 @@ def numbered_context(hits: DataFrame, label: Column, content: str = "page_conten
     return hits.groupBy("query_id").agg(
         F.array_join(F.transform(ordered, lambda item: item["block"]), "\n---\n").alias("context"),
         F.count(F.lit(1)).alias("chunks_used"),
+        F.max("score").alias("best_score"),
     )
 
 

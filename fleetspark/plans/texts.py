@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from ..checkpoints import materialised
 from ..functions import chunk_id, rounded
 from ..functions.vectors import embed_hashed, hashed_vector
-from ..operators import chunking, intent, search
+from ..operators import batch, chunking, intent, search
 from .registry import Registry, shown
 
 BLANKS = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13), chr(133), chr(160), chr(8195), chr(12288))"
@@ -134,8 +135,10 @@ def _answered(t):
 
 
 def _hit_rows(t, *columns: str):
-    """The hits with the given columns of their chunks."""
-    return search.with_content(manual_hits(t), search.new_chunks(chunking.manual_chunks(t.manuals), None), columns)
+    """The hits with the given columns of their chunks. The index is stored, as it is read for the search and the texts."""
+    index = materialised(manual_index(t))
+    hits = search.top_k_search(index, manual_queries(t), 5, ("fault_code", "manufacturer"))
+    return search.with_content(hits, index, columns)
 
 
 def register(registry: Registry) -> None:
@@ -234,6 +237,30 @@ def register(registry: Registry) -> None:
         f"WITH {HITS_SQL} SELECT * FROM hits",
         "manuals manual_questions",
     )
+    registry.add(
+        "manual_results",
+        lambda t: batch.manual_results(
+            t.manual_questions.withColumnRenamed("query_id", "request_id"),
+            materialised(manual_index(t)),
+            lambda asked: asked.withColumn("embedding", hashed_vector(F.col("question"), DIMS)),
+            min_score=0.4,
+        ).select(
+            "request_id",
+            "status",
+            "error",
+            F.get_json_object("data_json", "$.chunks_used").cast("bigint").alias("chunks_used"),
+            F.get_json_object("data_json", "$.context").alias("context"),
+        ),
+        f"""WITH {HITS_SQL}, packed AS (
+                SELECT query_id, count(*) AS chunks_used, max(score) AS best, string_agg(concat('[Source ', rank, '] OEM Manual | ', manufacturer, ' ', model, ' | ',
+                    coalesce(fault_code, 'overview'), ' (', chunk_type, ')', chr(10), page_content, chr(10)), concat(chr(10), '---', chr(10)) ORDER BY rank) AS context
+                FROM hits JOIN indexed USING (id) GROUP BY query_id)
+            SELECT q.query_id AS request_id, CASE WHEN best >= 0.4 THEN 'ok' ELSE 'error' END AS status,
+                CASE WHEN best IS NULL THEN 'no documents retrieved' WHEN best < 0.4 THEN 'low relevance' END AS error,
+                CASE WHEN best >= 0.4 THEN chunks_used END AS chunks_used, CASE WHEN best >= 0.4 THEN context END AS context
+            FROM manual_questions q LEFT JOIN packed p ON q.query_id = p.query_id""",
+        "manuals manual_questions",
+    )
     registry.add(
         "context_pack",
         lambda t: search.numbered_context(
@@ -241,10 +268,10 @@ def register(registry: Registry) -> None:
             search.source_label(F.col("fault_code"), F.col("manufacturer"), F.col("model"), F.col("chunk_type")),
         ),
         f"""WITH {HITS_SQL}, packed AS (
-                SELECT query_id, rank, concat('[Source ', rank, '] OEM Manual | ', manufacturer, ' ', model, ' | ', coalesce(fault_code, 'overview'), ' (', chunk_type, ')',
+                SELECT query_id, rank, score, concat('[Source ', rank, '] OEM Manual | ', manufacturer, ' ', model, ' | ', coalesce(fault_code, 'overview'), ' (', chunk_type, ')',
                     chr(10), page_content, chr(10)) AS block
                 FROM hits JOIN indexed USING (id))
-            SELECT query_id, string_agg(block, concat(chr(10), '---', chr(10)) ORDER BY rank) AS context, count(*) AS chunks_used FROM packed GROUP BY query_id""",
+            SELECT query_id, string_agg(block, concat(chr(10), '---', chr(10)) ORDER BY rank) AS context, count(*) AS chunks_used, max(score) AS best_score FROM packed GROUP BY query_id""",
         "manuals manual_questions",
     )
     registry.add(

@@ -1,8 +1,10 @@
 import json
 from datetime import date
+from functools import partial
 
 from pyspark.sql import functions as F
 
+from fleetspark.functions.vectors import embed_hashed
 from fleetspark.operators import batch, maintenance, resolve, seasonal, telemetry
 
 FACT = (
@@ -140,14 +142,24 @@ def test_equal_requests_are_answered_once(spark):
     assert reports.count() == 1000 and reports.select("days").distinct().collect()[0].days == 6
 
 
-def test_search_results(spark):
-    asked = spark.createDataFrame([(1,), (2,), (3,)], "request_id bigint")
-    contexts = spark.createDataFrame([(1, "[Source 1] x", 1), (2, "[Source 1] y", 1)], "query_id bigint, context string, chunks_used bigint")
-    gate = spark.createDataFrame(
-        [(1, 0.9, None, True), (2, 0.1, "low relevance", False)],
-        "query_id bigint, best_score double, error string, passed boolean",
+def test_manual_results(spark):
+    words = ["gearbox oil overheating", "inverter filter temperature", "gearbox oil pump"]
+    index = embed_hashed(
+        spark.createDataFrame(
+            [(f"c{i}", text, "fault_code", f"E-{i}", "Vestas" if i else "LONGi Solar", "M") for i, text in enumerate(words)],
+            "id string, page_content string, chunk_type string, fault_code string, manufacturer string, model string",
+        ),
+        64,
     )
-    found = {row.request_id: row for row in batch.search_results(asked, contexts, gate).collect()}
-    assert [found[i].status for i in (1, 2, 3)] == ["ok", "error", "error"]
-    assert [found[i].error for i in (1, 2, 3)] == [None, "low relevance", "no documents retrieved"]
-    assert json.loads(found[1].data_json)["chunks_used"] == 1 and found[2].data_json is None
+    asked = spark.createDataFrame(
+        [(1, "gearbox oil"), (2, "vestas gearbox oil"), (3, "e-9 gearbox oil"), (4, "unrelated words"), (5, "gearbox oil")],
+        "request_id bigint, question string",
+    )
+    embed = partial(embed_hashed, dims=64, content="question")
+    found = {row.request_id: row for row in batch.manual_results(asked, index, embed, k=2).collect()}
+    assert [found[i].status for i in range(1, 6)] == ["ok", "ok", "error", "error", "ok"]
+    assert [found[i].error for i in (3, 4)] == ["no documents retrieved", "low relevance"]
+    first, narrowed = json.loads(found[1].data_json), json.loads(found[2].data_json)
+    assert first["chunks_used"] == 2 and first["context"].startswith("[Source 1] OEM Manual | LONGi Solar M | E-0 (fault_code)\n")
+    assert narrowed["context"].startswith("[Source 1] OEM Manual | Vestas M | E-2") and found[3].data_json is None
+    assert found[5].data_json == found[1].data_json

@@ -96,14 +96,15 @@ def test_gate(spark, rows):
 
 def test_context_and_citations(spark, rows):
     hits = spark.createDataFrame(
-        [(1, 2, "b", None, "V", "M", "narrative"), (1, 1, "a", "E-1", "V", "M", "fault_code")],
-        "query_id bigint, rank bigint, page_content string, fault_code string, manufacturer string, model string, chunk_type string",
+        [(1, 2, 0.5, "b", None, "V", "M", "narrative"), (1, 1, 0.7, "a", "E-1", "V", "M", "fault_code")],
+        "query_id bigint, rank bigint, score double, page_content string, fault_code string, manufacturer string, model string, chunk_type string",
     )
     label = search.source_label(F.col("fault_code"), F.col("manufacturer"), F.col("model"), F.col("chunk_type"))
     context = search.numbered_context(hits, label).first()
     assert context.context == (
         "[Source 1] OEM Manual | V M | E-1 (fault_code)\na\n\n---\n[Source 2] OEM Manual | V M | overview (narrative)\nb\n"
     )
+    assert (context.chunks_used, context.best_score) == (2, 0.7)
     answers = spark.createDataFrame([(1, "yes [Source 2] [Source 2] [Source 9]")], "query_id bigint, answer string")
     assert rows(search.cited_chunks(answers, hits), "rank", "snippet") == [(2, "b...")]
 
