@@ -76,12 +76,8 @@ def load_all(spark: SparkSession, data_dir: str, size: int = 600, overlap: int =
 def write_telemetry(telemetry: DataFrame, path: str) -> None:
     """Store the fact as parquet partitioned by month, so that date filters prune whole folders.
 
-    Rows are spread over (month, asset) hashes: one busy asset or month never becomes a single task.
+    The rebalance hint brings the rows of a month together and lets adaptive execution split a large month over as many
+    tasks, and thus files, as the advisory partition size asks for.
     """
     by_month = telemetry.withColumn("month", F.date_format("date", "yyyy-MM"))
-    (
-        by_month.repartition("month", F.pmod(F.xxhash64("asset_id", "date"), F.lit(32)))
-        .write.mode("overwrite")
-        .partitionBy("month")
-        .parquet(path)
-    )
+    by_month.hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(path)
