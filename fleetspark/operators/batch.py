@@ -1,218 +1,69 @@
-"""Reports for a whole table of requests at once.
+"""Reports for a whole table of requests at once, from the month tables.
 
-Every window a question can select consists of whole months, so the facts are first folded into one row per asset and
-month. Requests then meet these few rows instead of readings, and equal requests are answered once: reports are computed
-per distinct (ids, window) and joined back. A popular asset or question thus costs no more than a rare one.
+Equal requests are answered once: reports are computed per distinct (ids, window) and joined back. A popular asset or
+question thus costs no more than a rare one.
 """
 
-from collections.abc import Callable
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..checkpoints import materialised
 from ..functions import month_label, rounded
 from ..functions.dates import windows
-from .intent import LOCATIONS, with_intent, with_search_filters
-from .maintenance import AS_OF, CADENCE_DAYS, codes_in_logs
-from .search import MIN_SCORE, TOP_K, gate_error, numbered_context, source_label, top_k_search, with_content
-from .seasonal import AFTER_MONTHS, BEFORE_MONTHS, DROP_FLOOR, Z_THRESHOLD, displayed_figures, flagged, has_fault, scores_of_means
-from .shape import LIST_CAP, capped_lists
-
-KEY = ["asset_ids", "date_start", "date_end"]
-
-
-def _first_of_month(day: str) -> Column:
-    return F.to_date(F.trunc(day, "MM"))
-
-
-def telemetry_months(telemetry: DataFrame) -> DataFrame:
-    """One row of mergeable figures per asset and month. Store it as a table when many batches use it."""
-    figures = {
-        "energy": "energy_kwh",
-        "availability": "availability_pct",
-        "wind": "avg_wind_speed_ms",
-        "irradiance": "irradiance_wm2",
-    }
-    sums = [F.sum(column).alias(f"{name}_sum") for name, column in figures.items()]
-    counts = [F.count(column).alias(f"{name}_n") for name, column in figures.items()]
-    return telemetry.groupBy("asset_id", _first_of_month("date").alias("month")).agg(
-        F.count(F.lit(1)).alias("days"),
-        F.min("date").alias("first_date"),
-        F.max("date").alias("last_date"),
-        *sums,
-        *counts,
-        F.min("availability_pct").alias("availability_min"),
-        F.count_if(has_fault()).alias("fault_rows"),
-        F.count("fault_code").alias("coded_rows"),
-    )
-
-
-def fault_months(telemetry: DataFrame) -> DataFrame:
-    """One row per asset, month and fault code."""
-    return (
-        telemetry.filter(has_fault())
-        .groupBy("asset_id", _first_of_month("date").alias("month"), "fault_code")
-        .agg(
-            F.count(F.lit(1)).alias("fault_rows"),
-            F.min(F.struct("date", "fault_description")).alias("first_event"),
-            F.max("date").alias("last_date"),
-        )
-    )
-
-
-def maintenance_months(logs: DataFrame) -> DataFrame:
-    """One row of mergeable figures per asset and month of the maintenance log; undated events are in no month."""
-    return (
-        logs.filter(F.col("date").isNotNull())
-        .groupBy("asset_id", _first_of_month("date").alias("month"))
-        .agg(
-            F.count(F.lit(1)).alias("events"),
-            F.count_if(F.col("type") == "scheduled").alias("scheduled"),
-            F.count_if(F.col("type") == "corrective").alias("corrective"),
-            F.sum("cost_eur").alias("cost_sum"),
-            F.count("cost_eur").alias("cost_n"),
-            F.sum("duration_hours").alias("hours_sum"),
-            F.min("date").alias("first_date"),
-            F.max(F.struct("date", "log_id", "type")).alias("last_event"),
-            F.max(F.when(F.col("type") == "scheduled", F.col("date"))).alias("last_scheduled"),
-        )
-    )
-
-
-def event_months(logs: DataFrame, cap: int = LIST_CAP) -> DataFrame:
-    """The first events of each asset and month.
-
-    The first `cap` events of any assets over any months are among them, so lists can be cut from this small table.
-    """
-    dated = logs.filter(F.col("date").isNotNull()).withColumn("month", _first_of_month("date"))
-    first = Window.partitionBy("asset_id", "month").orderBy("date", "log_id")
-    return (
-        dated.withColumn("place", F.row_number().over(first))
-        .filter(F.col("place") <= cap)
-        .select(
-            "asset_id",
-            "month",
-            F.struct(
-                "date",
-                "log_id",
-                "asset_id",
-                "type",
-                F.substring("description", 1, 300).alias("description"),
-                "duration_hours",
-                "parts_replaced",
-                rounded(F.col("cost_eur"), 2).alias("cost_eur"),
-            ).alias("event"),
-        )
-    )
-
-
-def part_months(logs: DataFrame) -> DataFrame:
-    """Events per asset, month and replaced part."""
-    dated = logs.filter(F.col("date").isNotNull())
-    return dated.groupBy("asset_id", _first_of_month("date").alias("month"), "parts_replaced").agg(
-        F.count(F.lit(1)).alias("events")
-    )
-
-
-def code_months(logs: DataFrame) -> DataFrame:
-    """Fault codes that the descriptions of an asset's month mention."""
-    dated = logs.filter(F.col("date").isNotNull()).withColumn("month", _first_of_month("date"))
-    return codes_in_logs(dated, by=["asset_id", "month"])
+from .maintenance import AS_OF, CADENCE_DAYS
+from .months import KEY, add_fleet, mean_of, means_of_months, merged_telemetry, sums, with_months
+from .seasonal import DROP_FLOOR, Z_THRESHOLD, displayed_figures, flagged, scores_of_means
 
 
-def _asset_months(keys: DataFrame) -> DataFrame:
-    """The (asset, month) pairs that a key covers; a key without ids covers the fleet, shown as a null asset."""
-    ids = F.when(F.size("asset_ids") > 0, F.col("asset_ids")).otherwise(F.array(F.lit(None).cast("string")))
-    months = F.sequence(_first_of_month("date_start"), _first_of_month("date_end"), F.expr("interval 1 month"))
-    return keys.select(*KEY, F.explode(ids).alias("asset_id")).select("*", F.explode(months).alias("month"))
-
-
-def _with_months(keys: DataFrame, months: DataFrame) -> DataFrame:
-    """Month rows of every key. The join is an equi join on asset and month that treats the fleet's null as a value."""
-    wanted, rows = _asset_months(keys).alias("wanted"), months.alias("rows")
-    same = F.col("wanted.asset_id").eqNullSafe(F.col("rows.asset_id")) & (F.col("wanted.month") == F.col("rows.month"))
-    others = [name for name in months.columns if name not in ("asset_id", "month")]
-    return wanted.join(rows, same).select(*[F.col(f"wanted.{name}") for name in KEY], "rows.month", *others)
-
-
-def _add_fleet(months: DataFrame, merge: list[Column], extra: tuple[str, ...] = ()) -> DataFrame:
-    """Month rows, plus those of the whole fleet with a null asset."""
-    fleet = months.groupBy("month", *extra).agg(*merge).withColumn("asset_id", F.lit(None).cast("string"))
-    return months.unionByName(fleet)
-
-
-def _sums(names: list[str]) -> list[Column]:
-    return [F.sum(name).alias(name) for name in names]
-
-
-def _merged_telemetry() -> list[Column]:
-    added = ["days", "fault_rows", "coded_rows"] + [
-        f"{name}_{part}" for name in ("energy", "availability", "wind", "irradiance") for part in ("sum", "n")
-    ]
-    return [
-        F.min("first_date").alias("first_date"),
-        F.max("last_date").alias("last_date"),
-        F.min("availability_min").alias("availability_min"),
-        *_sums(added),
-    ]
-
-
-def _mean(name: str) -> Column:
-    return F.try_divide(f"{name}_sum", f"{name}_n")
-
-
-def _answer(requests: DataFrame, reports: DataFrame) -> DataFrame:
+def hand_out(requests: DataFrame, reports: DataFrame) -> DataFrame:
     """Reports of the distinct keys, handed to every request with that key."""
     return requests.join(reports, KEY)
 
 
-def _keys(requests: DataFrame) -> DataFrame:
+def distinct_keys(requests: DataFrame) -> DataFrame:
     return requests.select(*KEY).distinct()
 
 
 def _reports(requests: DataFrame, by_key: DataFrame) -> DataFrame:
-    return _answer(requests.select("request_id", *KEY), by_key).drop(*KEY)
+    return hand_out(requests.select("request_id", *KEY), by_key).drop(*KEY)
 
 
-def _telemetry_by_key(keys: DataFrame, months: DataFrame) -> DataFrame:
-    merged = _with_months(keys, _add_fleet(months, _merged_telemetry())).groupBy(*KEY).agg(*_merged_telemetry())
+def telemetry_by_key(keys: DataFrame, months: DataFrame) -> DataFrame:
+    merged = with_months(keys, add_fleet(months, merged_telemetry())).groupBy(*KEY).agg(*merged_telemetry())
     return keys.join(merged, KEY, "left").select(
         *KEY,
         F.when(F.col("days").isNull(), "no_data").otherwise("ok").alias("status"),
         "first_date",
         "last_date",
         F.coalesce("days", F.lit(0)).alias("days"),
-        rounded(_mean("energy"), 2).alias("avg_energy_kwh"),
+        rounded(mean_of("energy"), 2).alias("avg_energy_kwh"),
         rounded(F.col("energy_sum"), 2).alias("total_energy_kwh"),
-        rounded(_mean("availability"), 2).alias("avg_availability_pct"),
+        rounded(mean_of("availability"), 2).alias("avg_availability_pct"),
         rounded(F.col("availability_min"), 2).alias("min_availability_pct"),
-        rounded(_mean("wind"), 2).alias("avg_wind_speed_ms"),
-        rounded(_mean("irradiance"), 2).alias("avg_irradiance_wm2"),
+        rounded(mean_of("wind"), 2).alias("avg_wind_speed_ms"),
+        rounded(mean_of("irradiance"), 2).alias("avg_irradiance_wm2"),
         F.coalesce("fault_rows", F.lit(0)).alias("fault_count"),
     )
 
 
-def _trend_by_key(keys: DataFrame, months: DataFrame) -> DataFrame:
+def trend_by_key(keys: DataFrame, months: DataFrame) -> DataFrame:
     merged = (
-        _with_months(keys, _add_fleet(months, _merged_telemetry())).groupBy(*KEY, "month").agg(*_merged_telemetry())
+        with_months(keys, add_fleet(months, merged_telemetry())).groupBy(*KEY, "month").agg(*merged_telemetry())
     )
     return merged.select(
         *KEY,
         month_label(F.col("month")).alias("month"),
-        _mean("energy").alias("avg_energy"),
-        _mean("availability").alias("avg_avail"),
+        mean_of("energy").alias("avg_energy"),
+        mean_of("availability").alias("avg_avail"),
     )
 
 
-def _faults_by_key(keys: DataFrame, faults: DataFrame) -> DataFrame:
+def faults_by_key(keys: DataFrame, faults: DataFrame) -> DataFrame:
     merge = [
         F.sum("fault_rows").alias("fault_rows"),
         F.min("first_event").alias("first_event"),
         F.max("last_date").alias("last_date"),
     ]
-    merged = _with_months(keys, _add_fleet(faults, merge, ("fault_code",))).groupBy(*KEY, "fault_code").agg(*merge)
+    merged = with_months(keys, add_fleet(faults, merge, ("fault_code",))).groupBy(*KEY, "fault_code").agg(*merge)
     return merged.select(
         *KEY,
         "fault_code",
@@ -225,25 +76,25 @@ def _faults_by_key(keys: DataFrame, faults: DataFrame) -> DataFrame:
 
 def telemetry_reports(requests: DataFrame, months: DataFrame) -> DataFrame:
     """Telemetry summary of each request (`request_id`, `asset_ids`, `date_start`, `date_end`)."""
-    return _reports(requests, _telemetry_by_key(_keys(requests), months))
+    return _reports(requests, telemetry_by_key(distinct_keys(requests), months))
 
 
 def trend_reports(requests: DataFrame, months: DataFrame) -> DataFrame:
     """Mean energy and availability per month of each request."""
-    return _reports(requests, _trend_by_key(_keys(requests), months))
+    return _reports(requests, trend_by_key(distinct_keys(requests), months))
 
 
 def fault_reports(requests: DataFrame, faults: DataFrame) -> DataFrame:
     """Fault codes of each request with rows, first description and date span."""
-    return _reports(requests, _faults_by_key(_keys(requests), faults))
+    return _reports(requests, faults_by_key(distinct_keys(requests), faults))
 
 
-def _maintenance_by_key(keys: DataFrame, months: DataFrame, as_of: str, cadence_days: int) -> DataFrame:
+def maintenance_by_key(keys: DataFrame, months: DataFrame, as_of: str, cadence_days: int) -> DataFrame:
     merged = (
-        _with_months(keys, months)
+        with_months(keys, months)
         .groupBy(*KEY)
         .agg(
-            *_sums(["events", "scheduled", "corrective", "cost_sum", "cost_n", "hours_sum"]),
+            *sums(["events", "scheduled", "corrective", "cost_sum", "cost_n", "hours_sum"]),
             F.min("first_date").alias("first_date"),
             F.max("last_event").alias("last_event"),
         )
@@ -277,7 +128,7 @@ def _maintenance_by_key(keys: DataFrame, months: DataFrame, as_of: str, cadence_
     )
 
 
-def _named(requests: DataFrame) -> DataFrame:
+def with_ids(requests: DataFrame) -> DataFrame:
     return requests.filter(F.size("asset_ids") > 0)
 
 
@@ -285,8 +136,8 @@ def maintenance_reports(
     requests: DataFrame, months: DataFrame, as_of: str = AS_OF, cadence_days: int = CADENCE_DAYS
 ) -> DataFrame:
     """Maintenance summary of each request; the due date looks at the full history. Requests without ids are errors."""
-    named = _named(requests)
-    answered = _reports(named, _maintenance_by_key(_keys(named), months, as_of, cadence_days))
+    named = with_ids(requests)
+    answered = _reports(named, maintenance_by_key(distinct_keys(named), months, as_of, cadence_days))
     unnamed = requests.filter(F.size("asset_ids") <= 0).select("request_id", F.lit("error").alias("status"))
     return answered.unionByName(unnamed, allowMissingColumns=True)
 
@@ -307,12 +158,12 @@ def low_availability_by_window(months: DataFrame, year: int, threshold: float =
         months.filter(F.year("month") == year)
         .withColumn("span", F.explode(covering))
         .groupBy("span.date_start", "span.date_end", "asset_id")
-        .agg(*_merged_telemetry())
+        .agg(*merged_telemetry())
         .select(
             "date_start",
             "date_end",
             "asset_id",
-            rounded(_mean("availability"), 2).alias("mean_availability_pct"),
+            rounded(mean_of("availability"), 2).alias("mean_availability_pct"),
             rounded(F.col("availability_min"), 2).alias("min_availability_pct"),
             F.col("coded_rows").alias("fault_events_in_period"),
         )
@@ -320,25 +171,6 @@ def low_availability_by_window(months: DataFrame, year: int, threshold: float =
     )
 
 
-def means_of_months(
-    months: DataFrame, before: tuple[int, ...] = BEFORE_MONTHS, after: tuple[int, ...] = AFTER_MONTHS
-) -> DataFrame:
-    """Seasonal means per asset out of the month rows."""
-
-    def mean(name: str, season: tuple[int, ...]) -> Column:
-        inside = F.month("month").isin(*season)
-        return F.try_divide(
-            F.sum(F.when(inside, F.col(f"{name}_sum"))), F.sum(F.when(inside, F.col(f"{name}_n")))
-        )
-
-    return months.groupBy("asset_id").agg(
-        mean("energy", before).alias("before_energy"),
-        mean("energy", after).alias("after_energy"),
-        mean("availability", before).alias("before_availability"),
-        mean("availability", after).alias("after_availability"),
-    )
-
-
 def declining_by_scope(
     months: DataFrame,
     assets: DataFrame,
@@ -354,7 +186,7 @@ def declining_by_scope(
 def with_month_means(found: DataFrame, months: DataFrame, year: int) -> DataFrame:
     """Flagged assets once for each reporting window: the later season (null) and every single month."""
     month_means = months.filter(F.year("month") == year).select(
-        "asset_id", month_label(F.col("month")).alias("comparison_month"), rounded(_mean("energy"), 0).alias("reporting_avg_kwh")
+        "asset_id", month_label(F.col("month")).alias("comparison_month"), rounded(mean_of("energy"), 0).alias("reporting_avg_kwh")
     )
     labels = sorted({f"{year}-{first:02d}" for first, last in windows() if first == last})
     per_month = found.withColumn(
@@ -364,299 +196,3 @@ def with_month_means(found: DataFrame, months: DataFrame, year: int) -> DataFram
         "reporting_avg_kwh", F.col("post_march_avg_kwh")
     )
     return season.unionByName(per_month)
-
-
-def _results(reports: DataFrame, tool: str, figures: list[Column]) -> DataFrame:
-    """Reports as tool results with JSON data. A report without rows carries data too: its status and its filters."""
-    span = F.concat(F.col("first_date").cast("string"), F.lit(" to "), F.col("last_date").cast("string"))
-    label = F.when(F.size("asset_ids") > 0, F.array_join("asset_ids", ", ")).otherwise("all")
-    found = F.struct(label.alias("asset_id"), span.alias("date_range"), *figures)
-    payload = F.when(
-        F.col("status") == "ok", F.to_json(F.struct("status", found.alias("data")))
-    ).otherwise(F.to_json(F.struct("status", F.struct(*KEY).alias("filters"))))
-    return reports.select(
-        "request_id",
-        F.lit(tool).alias("tool"),
-        F.lit("ok").alias("status"),
-        F.lit(None).cast("string").alias("error"),
-        payload.alias("data_json"),
-    )
-
-
-def telemetry_results(requests: DataFrame, months: DataFrame, faults: DataFrame) -> DataFrame:
-    """Telemetry reports as tool results, with the fault codes (cut, with their number) and the monthly trend."""
-    keys = _keys(requests)
-    fault_columns = ["fault_code", "fault_count", "description", "first_date", "last_date"]
-    fault_lists = capped_lists(_faults_by_key(keys, faults), KEY, [F.col("fault_code")], fault_columns).select(
-        *KEY, F.col("items").alias("fault_events"), F.col("total_count").alias("fault_codes"), F.col("note")
-    )
-    # A window has six months at most, which bounds this list.
-    trends = (
-        _trend_by_key(keys, months)
-        .groupBy(*KEY)
-        .agg(F.array_sort(F.collect_list(F.struct("month", "avg_energy", "avg_avail"))).alias("monthly_trend"))
-    )
-    by_key = _telemetry_by_key(keys, months).join(fault_lists, KEY, "left").join(trends, KEY, "left")
-    names = [
-        "days",
-        "avg_energy_kwh",
-        "total_energy_kwh",
-        "avg_availability_pct",
-        "min_availability_pct",
-        "avg_wind_speed_ms",
-        "avg_irradiance_wm2",
-        "fault_count",
-        "fault_events",
-        "fault_codes",
-        "note",
-        "monthly_trend",
-    ]
-    return _results(_answer(requests.select("request_id", *KEY), by_key), "telemetry_tool", [F.col(n) for n in names])
-
-
-def maintenance_results(
-    requests: DataFrame, months: DataFrame, logs: DataFrame, as_of: str = AS_OF, cadence_days: int = CADENCE_DAYS
-) -> DataFrame:
-    """Maintenance reports as tool results, with the first events, the codes mentioned and the parts used."""
-    named = _named(requests)
-    keys = _keys(named)
-    first_events = _with_months(keys, event_months(logs)).select(*KEY, "event.*")
-    columns = [name for name in first_events.columns if name not in KEY]
-    # The total of the list is the event count of the report, since the table of first events is itself cut.
-    event_lists = capped_lists(first_events, KEY, [F.col("date"), F.col("log_id")], columns).select(
-        *KEY, F.col("items").alias("events")
-    )
-    # Distinct codes and parts of one key: short lists, bounded by the catalogues of codes and parts.
-    codes = (
-        _with_months(keys, code_months(logs))
-        .groupBy(*KEY)
-        .agg(F.array_sort(F.collect_set("fault_code")).alias("fault_codes_in_logs"))
-    )
-    parts = (
-        _with_months(keys, part_months(logs))
-        .groupBy(*KEY, "parts_replaced")
-        .agg(F.sum("events").alias("uses"))
-        .groupBy(*KEY)
-        .agg(F.map_from_entries(F.collect_list(F.struct("parts_replaced", "uses"))).alias("parts_used"))
-    )
-    by_key = (
-        _maintenance_by_key(keys, months, as_of, cadence_days)
-        .join(event_lists, KEY, "left")
-        .join(codes, KEY, "left")
-        .join(parts, KEY, "left")
-        .withColumn("last_date", F.col("last_maintenance_date"))
-    )
-    names = [
-        "total_events",
-        "scheduled_count",
-        "corrective_count",
-        "total_cost_eur",
-        "avg_cost_eur",
-        "total_duration_hours",
-        "last_maintenance_date",
-        "last_maintenance_type",
-        "estimated_next_scheduled",
-        "maintenance_overdue",
-        "fault_codes_in_logs",
-        "parts_used",
-        "events",
-    ]
-    answered = _results(
-        _answer(named.select("request_id", *KEY), by_key), "maintenance_tool", [F.col(name) for name in names]
-    )
-    unnamed = requests.filter(F.size("asset_ids") <= 0).select(
-        "request_id",
-        F.lit("maintenance_tool").alias("tool"),
-        F.lit("ok").alias("status"),
-        F.lit(None).cast("string").alias("error"),
-        F.lit('{"status":"error","message":"no asset id in the question"}').alias("data_json"),
-    )
-    return answered.unionByName(unnamed)
-
-
-def list_reports(requests: DataFrame, rows: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
-    """A list report for each request: at most `LIST_CAP` rows of its key, the total, and a note when the list was cut.
-
-    `rows` are cut per distinct key before they meet the requests, so a request receives one short list.
-    """
-    columns = [column for column in rows.columns if column not in keys]
-    keyed = rows.withColumn("list_key", F.to_json(F.struct(*keys)))
-    lists = capped_lists(keyed, "list_key", order, columns)
-    report = F.struct(F.coalesce("total_count", F.lit(0)).alias("total_count"), F.col("note"), F.col("items"))
-    return (
-        requests.withColumn("list_key", F.to_json(F.struct(*keys)))
-        .join(lists, "list_key", "left")
-        .select("request_id", report.alias(name))
-    )
-
-
-def broad_results(low: DataFrame, declining: DataFrame, tool: str) -> DataFrame:
-    """Results of questions about the whole fleet; a question about both lists receives both in one result."""
-    return low.join(declining, "request_id", "full_outer").select(
-        "request_id",
-        F.lit(tool).alias("tool"),
-        F.lit("ok").alias("status"),
-        F.lit(None).cast("string").alias("error"),
-        # Null fields do not appear in the JSON.
-        F.to_json(F.struct("low_availability", "declining_energy")).alias("data_json"),
-    )
-
-
-def lookup_results(lookups: DataFrame, assets: DataFrame) -> DataFrame:
-    """Outcome of the id lookup as tool results: the asset, or the list of assets. A partial lookup also has an error.
-
-    The assets are put together once per distinct list of ids; a list holds the ids of one question only.
-    """
-    found = lookups.filter(F.size("asset_ids") > 0)
-    wanted = found.select("asset_ids").distinct().select("asset_ids", F.posexplode("asset_ids").alias("place", "asset_id"))
-    shown = [
-        F.col(name).cast("string").alias(name) if kind in ("date", "timestamp", "timestamp_ntz") else F.col(name)
-        for name, kind in assets.dtypes
-    ]
-    rows = (
-        wanted.join(assets.select(*shown), "asset_id")
-        .groupBy("asset_ids")
-        .agg(F.array_sort(F.collect_list(F.struct("place", F.struct(*assets.columns).alias("asset")))).alias("rows"))
-        .select("asset_ids", F.transform("rows", lambda row: row["asset"]).alias("assets"))
-    )
-    single = (F.size("assets") == 1) & (F.col("status") == "ok")
-    data = F.when(single, F.to_json(F.get("assets", F.lit(0)))).otherwise(F.to_json(F.struct("assets")))
-    return lookups.join(rows, "asset_ids", "left").select(
-        "request_id",
-        F.lit("asset_lookup").alias("tool"),
-        "status",
-        "error",
-        F.when(F.col("assets").isNotNull(), data).alias("data_json"),
-    )
-
-
-def search_results(contexts: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """Numbered contexts, null where nothing was found, as tool results: the context, or the error of the gate."""
-    error = gate_error(F.col("best_score"), min_score)
-    return contexts.withColumn("error", error).select(
-        "request_id",
-        F.lit("rag_tool").alias("tool"),
-        F.when(F.col("error").isNull(), "ok").otherwise("error").alias("status"),
-        "error",
-        F.when(F.col("error").isNull(), F.to_json(F.struct("context", "chunks_used", "best_score"))).alias("data_json"),
-    )
-
-
-def manual_results(
-    requests: DataFrame,
-    index: DataFrame,
-    embed: Callable[[DataFrame], DataFrame],
-    k: int = TOP_K,
-    min_score: float = MIN_SCORE,
-) -> DataFrame:
-    """Search the chunk index for every request, as tool results with the numbered context.
-
-    `embed` adds an `embedding` to a table with a `question`, in the space of the index. A fault code or manufacturer in
-    the question narrows its search. Equal questions are searched once.
-    """
-    keyed = requests.select("request_id", "question").withColumn("query_id", F.md5("question"))
-    asked = embed(with_search_filters(keyed.select("query_id", "question").dropDuplicates(["query_id"])))
-    hits = top_k_search(index, asked, k, ("fault_code", "manufacturer"))
-    shown = with_content(hits, index, ["page_content", "chunk_type", "fault_code", "manufacturer", "model"])
-    label = source_label(F.col("fault_code"), F.col("manufacturer"), F.col("model"), F.col("chunk_type"))
-    contexts = keyed.join(numbered_context(shown, label), "query_id", "left")
-    return search_results(contexts, min_score)
-
-
-def skipped_results(requests: DataFrame, lookups: DataFrame, tool: str) -> DataFrame:
-    """Results of requests that are not answered because their id lookup reported an error."""
-    reason = F.concat(F.lit("skipped: "), F.col("error"))
-    return requests.select("request_id").join(lookups, "request_id").select(
-        "request_id",
-        F.lit(tool).alias("tool"),
-        F.lit("error").alias("status"),
-        reason.alias("error"),
-        F.lit(None).cast("string").alias("data_json"),
-    )
-
-
-def answer_requests(
-    requests: DataFrame,
-    lookups: DataFrame,
-    assets: DataFrame,
-    telemetry_by_month: DataFrame,
-    faults_by_month: DataFrame,
-    maintenance_by_month: DataFrame,
-    logs: DataFrame,
-    year: int = 2024,
-    locations: tuple[str, ...] = LOCATIONS,
-    threshold: float = 90.0,
-    z_threshold: float = Z_THRESHOLD,
-    drop_floor: float = DROP_FLOOR,
-    as_of: str = AS_OF,
-    searched: DataFrame | None = None,
-) -> DataFrame:
-    """Tool results of a table of requests: `request_id`, `source_index`, `tool`, `status`, `error`, `data_json`.
-
-    `requests` has `request_id`, `question` and the planned `tools`. `lookups` is the output of `lookup_requests`; it is
-    used where the plan has a lookup, and an error there skips the telemetry and maintenance of the request. The month
-    tables come from `telemetry_months`, `fault_months` and `maintenance_months`; store or materialise them, since several
-    reports read them. `logs` is the maintenance log itself, for the event lists. `searched` holds the
-    `manual_results`, if any. Sources are numbered in the order of the plan.
-
-    The requests with their intent are written once to the checkpoint folder, as every kind of report starts from them.
-    """
-    asked = with_intent(requests, year, locations)
-    looked_up = F.array_contains("tools", "asset_lookup")
-    found = lookups.select(
-        "request_id", F.col("asset_ids").alias("resolved"), F.col("error").alias("lookup_error")
-    )
-    joined = materialised(
-        asked.join(found, "request_id", "left").withColumns(
-            {
-                "gated": looked_up & F.col("lookup_error").isNotNull(),
-                "asset_ids": F.when(looked_up & (F.size("resolved") > 0), F.col("resolved")).otherwise(
-                    F.col("mentioned_ids")
-                ),
-            }
-        )
-    )
-
-    def planned(tool: str, gated: bool) -> DataFrame:
-        return joined.filter(F.array_contains("tools", tool) & (F.col("gated") == gated))
-
-    telemetry = planned("telemetry_tool", gated=False)
-    per_asset = telemetry.filter("kind = 'per_asset'").select("request_id", *KEY)
-    wants_low = telemetry.filter("kind IN ('low_availability', 'combined')").select("request_id", "date_start", "date_end")
-    wants_energy = telemetry.filter("kind IN ('declining_energy', 'combined')").select(
-        "request_id", "location", "comparison_month"
-    )
-    low = low_availability_by_window(telemetry_by_month, year, threshold)
-    scopes = (None, *locations)
-    declining = declining_by_scope(telemetry_by_month, assets, scopes, z_threshold, drop_floor)
-    by_window = with_month_means(declining, telemetry_by_month, year).withColumnRenamed("scope", "location")
-    service = planned("maintenance_tool", gated=False).select("request_id", *KEY)
-    parts = [
-        lookup_results(lookups.join(joined.filter(looked_up).select("request_id"), "request_id", "left_semi"), assets),
-        telemetry_results(per_asset, telemetry_by_month, faults_by_month),
-        broad_results(
-            list_reports(
-                wants_low, low, ["date_start", "date_end"], [F.col("mean_availability_pct"), F.col("asset_id")], "low_availability"
-            ),
-            list_reports(
-                wants_energy, by_window, ["location", "comparison_month"], [F.desc("avail_drop"), F.col("asset_id")], "declining_energy"
-            ),
-            "telemetry_tool",
-        ),
-        maintenance_results(service, maintenance_by_month, logs, as_of),
-        skipped_results(planned("telemetry_tool", gated=True), lookups, "telemetry_tool"),
-        skipped_results(planned("maintenance_tool", gated=True), lookups, "maintenance_tool"),
-    ]
-    if searched is not None:
-        parts.append(searched)
-    place = joined.select("request_id", F.posexplode(F.array_distinct("tools")).alias("place", "tool"))
-    return (
-        concat_results(*parts)
-        .join(place, ["request_id", "tool"])
-        .select("request_id", (F.col("place") + 1).cast("bigint").alias("source_index"), "tool", "status", "error", "data_json")
-    )
-
-
-def concat_results(*parts: DataFrame) -> DataFrame:
-    """All tool results in one table."""
-    return reduce(DataFrame.unionByName, parts)

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import batch, intent, resolve
+from ..operators import batch, intent, months, resolve
 from ..checkpoints import materialised
+from . import answering
 from .registry import Registry, shown
 
 YEAR = 1996
@@ -85,13 +86,13 @@ def request_results(t):
     """All tool results of all requests, as JSON. The lookups and the month tables are written
     once, since many reports read them."""
     requests = t.questions.withColumn("tools", F.expr(TOOLS))
-    return batch.answer_requests(
+    return answering.answer_requests(
         requests,
         materialised(resolve.lookup_requests(requests, t.question_assets)),
         t.question_assets,
-        materialised(batch.telemetry_months(t.question_telemetry)),
-        materialised(batch.fault_months(t.question_telemetry)),
-        materialised(batch.maintenance_months(t.question_maintenance)),
+        materialised(months.telemetry_months(t.question_telemetry)),
+        materialised(months.fault_months(t.question_telemetry)),
+        materialised(months.maintenance_months(t.question_maintenance)),
         t.question_maintenance,
         YEAR,
         ("Northern Spain", "Galicia", "Aragon"),
@@ -190,7 +191,7 @@ def register(registry: Registry) -> None:
     )
     registry.add(
         "telemetry_per_request",
-        lambda t: batch.telemetry_reports(per_asset_requests(t), batch.telemetry_months(t.question_telemetry)),
+        lambda t: batch.telemetry_reports(per_asset_requests(t), months.telemetry_months(t.question_telemetry)),
         f"""WITH {REQUEST_ROWS_SQL}
             SELECT a.request_id, CASE WHEN count(m.date) = 0 THEN 'no_data' ELSE 'ok' END AS status, min(date) AS first_date, max(date) AS last_date,
                 count(m.date) AS days, {shown("avg(energy_kwh)", 2)} AS avg_energy_kwh, {shown("sum(energy_kwh)", 2)} AS total_energy_kwh,
@@ -202,7 +203,7 @@ def register(registry: Registry) -> None:
     )
     registry.add(
         "faults_per_request",
-        lambda t: batch.fault_reports(per_asset_requests(t), batch.fault_months(t.question_telemetry)),
+        lambda t: batch.fault_reports(per_asset_requests(t), months.fault_months(t.question_telemetry)),
         f"""WITH {REQUEST_ROWS_SQL}
             SELECT request_id, fault_code, count(*) AS fault_count, arg_min(fault_description, date) AS description,
                    min(date) AS first_date, max(date) AS last_date
@@ -211,7 +212,7 @@ def register(registry: Registry) -> None:
     )
     registry.add(
         "trend_per_request",
-        lambda t: batch.trend_reports(per_asset_requests(t), batch.telemetry_months(t.question_telemetry)).withColumns(
+        lambda t: batch.trend_reports(per_asset_requests(t), months.telemetry_months(t.question_telemetry)).withColumns(
             {"avg_energy": F.round(F.col("avg_energy") + 1e-9, 4), "avg_avail": F.round(F.col("avg_avail") + 1e-9, 4)}
         ),
         f"""WITH {REQUEST_ROWS_SQL}
@@ -222,7 +223,7 @@ def register(registry: Registry) -> None:
     registry.add(
         "maintenance_per_request",
         lambda t: batch.maintenance_reports(
-            per_asset_requests(t), batch.maintenance_months(t.question_maintenance), "2001-07-01"
+            per_asset_requests(t), months.maintenance_months(t.question_maintenance), "2001-07-01"
         ),
         f"""WITH {WINDOW_SQL}, {IDS_SQL},
             per_asset AS (
@@ -247,7 +248,7 @@ def register(registry: Registry) -> None:
     )
     registry.add(
         "low_availability_by_window",
-        lambda t: batch.low_availability_by_window(batch.telemetry_months(t.question_telemetry), YEAR, 95.0),
+        lambda t: batch.low_availability_by_window(months.telemetry_months(t.question_telemetry), YEAR, 95.0),
         f"""WITH spans AS (
                 SELECT make_date({YEAR}, first_month, 1) AS date_start, last_day(make_date({YEAR}, last_month, 1)) AS date_end
                 FROM (VALUES (1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (1, 6), (4, 6), (1, 3)) AS v(first_month, last_month))
@@ -259,7 +260,7 @@ def register(registry: Registry) -> None:
     registry.add(
         "declining_by_scope",
         lambda t: batch.declining_by_scope(
-            batch.telemetry_months(t.question_telemetry), t.question_assets, LOCATIONS, -1.0, 0.3
+            months.telemetry_months(t.question_telemetry), t.question_assets, LOCATIONS, -1.0, 0.3
         ).select("scope", "asset_id", "asset_class", "z_score_ratio", "z_score_avail_drop", "seasonal_ratio", "avail_drop_pct_pts"),
         f"""WITH scopes AS (SELECT unnest([NULL, 'Northern Spain', 'Galicia', 'Aragon', 'Spain', 'Atlantis']) AS scope),
             means AS (

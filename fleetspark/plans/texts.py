@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from ..checkpoints import materialised
 from ..functions import chunk_id, rounded
 from ..functions.vectors import embed_hashed, hashed_vector
-from ..operators import batch, chunking, intent, search
+from ..operators import chunking, intent, search
+from . import answering
 from .registry import Registry, shown
 
 BLANKS = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13), chr(133), chr(160), chr(8195), chr(12288))"
@@ -239,7 +240,7 @@ def register(registry: Registry) -> None:
     )
     registry.add(
         "manual_results",
-        lambda t: batch.manual_results(
+        lambda t: answering.manual_results(
             t.manual_questions.withColumnRenamed("query_id", "request_id"),
             materialised(manual_index(t)),
             lambda asked: asked.withColumn("embedding", hashed_vector(F.col("question"), DIMS)),

@@ -5,7 +5,8 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from fleetspark.functions.vectors import embed_hashed
-from fleetspark.operators import batch, maintenance, resolve, seasonal, telemetry
+from fleetspark.operators import batch, maintenance, months, resolve, seasonal, telemetry
+from fleetspark.plans import answering
 
 FACT = (
     "asset_id string, date date, energy_kwh double, availability_pct double, avg_wind_speed_ms double, "
@@ -40,13 +41,13 @@ def tables(spark):
 def answered(spark, *requests):
     assets, facts, logs = tables(spark)
     asked = spark.createDataFrame(list(enumerate_requests(requests)), "request_id bigint, question string, tools array<string>")
-    found = batch.answer_requests(
+    found = answering.answer_requests(
         asked,
         resolve.lookup_requests(asked, assets),
         assets,
-        batch.telemetry_months(facts),
-        batch.fault_months(facts),
-        batch.maintenance_months(logs),
+        months.telemetry_months(facts),
+        months.fault_months(facts),
+        months.maintenance_months(logs),
         logs,
     )
     rows = {}
@@ -110,11 +111,11 @@ def test_every_kind_of_request(spark):
 
 def test_month_tables_give_the_same_figures_as_the_facts(spark, rows):
     assets, facts, logs = tables(spark)
-    months = batch.telemetry_months(facts)
+    by_month = months.telemetry_months(facts)
     direct = seasonal.seasonal_scores(facts, assets).select("asset_id", "seasonal_ratio", "avail_drop")
-    merged = seasonal.scores_of_means(batch.means_of_months(months), assets).select("asset_id", "seasonal_ratio", "avail_drop")
+    merged = seasonal.scores_of_means(months.means_of_months(by_month), assets).select("asset_id", "seasonal_ratio", "avail_drop")
     assert rows(direct) == rows(merged)
-    low = batch.low_availability_by_window(months, 2024).filter(
+    low = batch.low_availability_by_window(by_month, 2024).filter(
         (F.col("date_start") == F.lit("2024-04-01").cast("date")) & (F.col("date_end") == F.lit("2024-06-30").cast("date"))
     )
     assert rows(low.drop("date_start", "date_end")) == rows(
@@ -124,12 +125,23 @@ def test_month_tables_give_the_same_figures_as_the_facts(spark, rows):
         [(1, ["WT-001"], date(2024, 1, 1), date(2024, 6, 30))],
         "request_id bigint, asset_ids array<string>, date_start date, date_end date",
     )
-    report = batch.maintenance_reports(request, batch.maintenance_months(logs)).first()
+    report = batch.maintenance_reports(request, months.maintenance_months(logs)).first()
     summary = maintenance.maintenance_summary(logs, "2024-01-01", "2024-06-30").first()
     for name in ("total_events", "total_cost_eur", "last_maintenance_type", "estimated_next_scheduled", "maintenance_overdue"):
         assert report[name] == summary[name]
 
 
+def test_rows_without_an_asset_count_for_the_fleet_only(spark):
+    _, facts, _ = tables(spark)
+    lost = spark.createDataFrame([(None, date(2024, 1, 3), 1.0, 1.0, None, None, None, None)], FACT)
+    fleet = spark.createDataFrame(
+        [(1, [], date(2024, 1, 1), date(2024, 1, 31))],
+        "request_id bigint, asset_ids array<string>, date_start date, date_end date",
+    )
+    by_month = months.telemetry_months(facts.unionByName(lost))
+    assert batch.telemetry_reports(fleet, by_month).first().days == 15
+
+
 def test_equal_requests_are_answered_once(spark):
     _, facts, _ = tables(spark)
     requests = spark.range(1000).select(
@@ -138,7 +150,7 @@ def test_equal_requests_are_answered_once(spark):
         F.lit("2024-01-01").cast("date").alias("date_start"),
         F.lit("2024-06-30").cast("date").alias("date_end"),
     )
-    reports = batch.telemetry_reports(requests, batch.telemetry_months(facts))
+    reports = batch.telemetry_reports(requests, months.telemetry_months(facts))
     assert reports.count() == 1000 and reports.select("days").distinct().collect()[0].days == 6
 
 
@@ -156,7 +168,7 @@ def test_manual_results(spark):
         "request_id bigint, question string",
     )
     embed = partial(embed_hashed, dims=64, content="question")
-    found = {row.request_id: row for row in batch.manual_results(asked, index, embed, k=2).collect()}
+    found = {row.request_id: row for row in answering.manual_results(asked, index, embed, k=2).collect()}
     assert [found[i].status for i in range(1, 6)] == ["ok", "ok", "error", "error", "ok"]
     assert [found[i].error for i in (3, 4)] == ["no documents retrieved", "low relevance"]
     first, narrowed = json.loads(found[1].data_json), json.loads(found[2].data_json)
