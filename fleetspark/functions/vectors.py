@@ -1,37 +1,46 @@
 """Vector columns."""
 
 import hashlib
+import sys
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The functions below travel to the executors by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-@lru_cache(maxsize=1 << 17)
-def _bucket(token: str, dims: int) -> int:
-    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dims
+# Words whose bucket a task remembers from one text to the next, a bound on its memory.
+_REMEMBERED_WORDS = 1 << 17
+
+
+def _unit_counts(words: list[str], dims: int, known: dict[str, int]) -> np.ndarray:
+    """Counts of the hashed words, scaled to length one."""
+    if len(known) > _REMEMBERED_WORDS:
+        known.clear()
+    for word in words:
+        if word not in known:
+            known[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dims
+    counts = np.bincount([known[word] for word in words], minlength=dims).astype(np.float64)
+    norm = np.sqrt((counts * counts).sum())
+    return (counts / norm if norm else counts).astype(np.float32)
 
 
 def hashed_vector(text: Column, dims: int = 256) -> Column:
     """Unit vector of hashed word counts, over the whole text; a zero vector for text without words.
 
-    It stands in where no embedding service is at hand. Words are split by Spark; only the counting is done in numpy,
+    It stands in where no embedding service is at hand. Spark splits off the words; only the counting is done in numpy,
     one Arrow batch at a time.
     """
 
     @F.pandas_udf("array<float>")
     def count_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, int] = {}
         for batch in batches:
-            vectors = []
-            for words in batch:
-                buckets = [_bucket(word, dims) for word in (words.split(" ") if words else ()) if word]
-                counts = np.bincount(buckets, minlength=dims) if buckets else np.zeros(dims)
-                norm = np.sqrt((counts * counts).sum())
-                vectors.append((counts / norm if norm else counts).astype(np.float32))
-            yield pd.Series(vectors)
+            yield pd.Series([_unit_counts(words.split() if words else [], dims, known) for words in batch])
 
     return count_words(F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")))
 

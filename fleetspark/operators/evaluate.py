@@ -111,7 +111,13 @@ def score_cases(cases: DataFrame, outputs: DataFrame, degraded_ids: tuple[str, .
         F.array_compact(
             F.array(
                 note(~F.col("tool_routing_correct"), "tools not used: ", F.array_join("missing_tools", ", ")),
-                note(F.col("keyword_recall") < MIN_RECALL, "keywords found: ", count("found_keywords"), " of ", count("expected_keywords")),
+                note(
+                    F.col("keyword_recall") < MIN_RECALL,
+                    "keywords found: ",
+                    count("found_keywords"),
+                    " of ",
+                    count("expected_keywords"),
+                ),
             )
         ),
         unstated,

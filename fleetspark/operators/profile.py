@@ -79,8 +79,9 @@ def _ranked_quantiles(
             low, high = own["edges"][place], own["edges"][place + len(probabilities)]
             tag = [F.lit(name).alias("column"), F.lit(probability).alias("probability")]
             below, above = value < low, value > high
-            outside.append(F.struct(*tag, F.lit(-1).alias("side"), F.max(F.when(below, value)).alias("value"), F.count_if(below).alias("rows")))
-            outside.append(F.struct(*tag, F.lit(1).alias("side"), F.min(F.when(above, value)).alias("value"), F.count_if(above).alias("rows")))
+            for side, beyond, nearest in ((-1, below, F.max), (1, above, F.min)):
+                folded_value = nearest(F.when(beyond, value)).alias("value")
+                outside.append(F.struct(*tag, F.lit(side).alias("side"), folded_value, F.count_if(beyond).alias("rows")))
             within.append(value.between(low, high))
             inside.append(F.when(within[-1], F.struct(*tag, value.alias("value"))))
     folded = known.agg(F.array(*outside).alias("sides")).select(F.explode("sides").alias("one")).select("one.*")

@@ -1,15 +1,20 @@
 """The chunk index and top-k search over vectors."""
 
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import cited_indices, explode_rows
 
+# The scoring functions travel to the executors by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Relevance threshold, list length, and snippet length.
 MIN_SCORE = 0.30
 TOP_K = 5

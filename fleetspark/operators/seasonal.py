@@ -259,8 +259,9 @@ def with_recent_faults(flagged_assets: DataFrame, faults: DataFrame) -> DataFram
     lists = faults.groupBy("asset_id").agg(
         F.array_sort(F.collect_list(F.struct("fault_code", "description"))).alias("recent_fault_codes")
     )
+    none = F.array().cast("array<struct<fault_code:string,description:string>>")
     return flagged_assets.join(lists, "asset_id", "left").withColumn(
-        "recent_fault_codes", F.coalesce("recent_fault_codes", F.array().cast("array<struct<fault_code:string,description:string>>"))
+        "recent_fault_codes", F.coalesce("recent_fault_codes", none)
     )
 
 
