@@ -16,7 +16,7 @@ SECTION_MARKERS = (
 )
 
 # Block headers, titles of the narrative sections, and the least lengths that are kept.
-FAULT_HEADER = r"FAULT CODE: E-\d+"
+FAULT_HEADER = "FAULT CODE: "
 NARRATIVE_TITLES = ("PERFORMANCE OVERVIEW", "MAINTENANCE SCHEDULING", "DATA QUALITY", "ESCALATION MATRIX")
 MIN_BLOCK = 50
 MIN_SECTION = 100
@@ -76,25 +76,24 @@ def _section_at(marks: Column, position: Column) -> Column:
 
 def _tagged_blocks(
     documents: DataFrame,
-    header: str,
-    cut: Callable[[Column], Column],
+    delimiter: str,
+    block: Callable[[Column, Column], Column],
     markers: tuple[tuple[str, str, str], ...],
     min_chars: int,
 ) -> DataFrame:
-    """Text cut before every header; one row per piece that starts with one, with the block cut from it and its section.
+    """Text cut at a delimiter; one row per piece that yields a block, with its place and section.
 
-    Blocks and markers are found while the pieces are still one array, so a row carries one block and a short list of
-    marks. The part before the first header is no block; splitting leaves it out when it is empty, hence the test.
+    `block` turns a piece and its place into a block, or null. Blocks and markers are found while the pieces are still one
+    array, so a row carries one block and a short list of marks.
     """
     blocks = F.transform(
         F.col("pieces"),
         lambda piece, position: F.struct(
-            position.cast("bigint").alias("position"),
-            F.when(F.rlike(piece, F.lit(rf"\A(?:{header})")), clean_text(cut(piece))).alias("block"),
+            position.cast("bigint").alias("position"), clean_text(block(piece, position)).alias("block")
         ),
     )
     located = (
-        documents.select("doc_id", F.split("text", f"(?=(?:{header}))").alias("pieces"))
+        documents.select("doc_id", F.split("text", delimiter).alias("pieces"))
         .withColumns(
             {
                 "blocks": F.filter(blocks, lambda one: F.length(one["block"]) >= min_chars),
@@ -116,12 +115,13 @@ def fault_blocks(
 ) -> DataFrame:
     """One row per fault block: from its header to the next header, a dashed line, or the end of the text."""
 
-    def upto_dashes(piece: Column) -> Column:
-        return F.get(F.split(piece, r"(?m)^-{10,}", 2), F.lit(0))
+    def upto_dashes(piece: Column, position: Column) -> Column:
+        # What precedes the first header is no block. Splitting took the words of the header off the others.
+        body = F.get(F.split(piece, r"(?m)^-{10,}", 2), F.lit(0))
+        return F.when(position > 0, F.concat(F.lit(FAULT_HEADER), body))
 
-    return _tagged_blocks(documents, FAULT_HEADER, upto_dashes, markers, min_chars).withColumn(
-        "fault_code", F.regexp_extract("block", r"\AFAULT CODE: (E-\d+)", 1)
-    )
+    found = _tagged_blocks(documents, rf"{FAULT_HEADER}(?=E-\d)", upto_dashes, markers, min_chars)
+    return found.withColumn("fault_code", F.regexp_extract("block", rf"\A{FAULT_HEADER}(E-\d+)", 1))
 
 
 def narrative_sections(
@@ -138,13 +138,14 @@ def narrative_sections(
     title = "|".join(titles)
     start = "(?m)^" if anchored else r"(?<!\d)"
     next_heading = r"(?m)^\d+\.\d+\s+[A-Z]" if anchored else r"\d+\.\d+\s+[A-Z]"
-    header = rf"{start}\d+\.\d+\s+(?:{title})"
+    heading = rf"\d+\.\d+\s+(?:{title})"
 
-    def upto_next(piece: Column) -> Column:
-        # The piece starts with its own heading, which is not to end it.
-        return F.regexp_extract(piece, rf"(?s)\A(\d+\.\d+\s+(?:{title}).*?)(?:{next_heading}|-{{10,}}|\z)", 1)
+    def upto_next(piece: Column, _: Column) -> Column:
+        # A piece starts with its own heading, which is not to end it; one that does not is no section.
+        found = F.regexp_extract(piece, rf"(?s)\A({heading}.*?)(?:{next_heading}|-{{10,}}|\z)", 1)
+        return F.when(F.rlike(piece, F.lit(rf"\A{heading}")), found)
 
-    return _tagged_blocks(documents, header, upto_next, markers, min_chars).select(
+    return _tagged_blocks(documents, f"(?={start}{heading})", upto_next, markers, min_chars).select(
         "doc_id",
         "position",
         clean_text(F.get(F.split("block", "\n", 2), F.lit(0))).alias("section"),
@@ -203,7 +204,7 @@ def headings(documents: DataFrame) -> DataFrame:
     """Fault codes and section headings that each document lists, one row each in order."""
     found = F.concat(
         F.transform(
-            F.regexp_extract_all("text", F.lit(r"FAULT CODE: (E-\d+)"), F.lit(1)),
+            F.regexp_extract_all("text", F.lit(rf"{FAULT_HEADER}(E-\d+)"), F.lit(1)),
             lambda value: F.struct(F.lit("fault_code").alias("kind"), value.alias("value")),
         ),
         F.transform(
