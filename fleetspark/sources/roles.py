@@ -168,13 +168,15 @@ ROLES = {
     "tool_results": """
         SELECT l_orderkey AS request_id, l_linenumber AS source_index,
                CASE l_linenumber WHEN 1 THEN 'asset_lookup' WHEN 2 THEN 'telemetry_tool' WHEN 3 THEN 'maintenance_tool' ELSE 'rag_tool' END AS tool,
-               CASE WHEN l_returnflag = 'R' THEN 'error' ELSE 'ok' END AS status,
-               CASE WHEN l_returnflag = 'R' THEN 'lookup failed' END AS error,
-               CASE WHEN l_returnflag = 'R' THEN NULL
-                    WHEN l_linestatus = 'O' THEN concat('{{"asset_id":"WT-', CAST(l_partkey AS STRING), '","total":', CAST(CAST(l_extendedprice AS DECIMAL(18, 2)) AS STRING), '}}')
+               CASE WHEN failed = 1 THEN 'error' ELSE 'ok' END AS status,
+               CASE WHEN failed = 1 THEN 'lookup failed' END AS error,
+               CASE WHEN failed = 1 THEN NULL
+                    WHEN is_open = 1 THEN concat('{{"asset_id":"WT-', CAST(l_partkey AS STRING), '","total":', CAST(CAST(l_extendedprice AS DECIMAL(18, 2)) AS STRING), '}}')
                     ELSE concat('{{"status":"ok","data":{{"asset_id":"PV-', CAST(l_partkey AS STRING), '","fault_code":"E-', CAST(l_suppkey AS STRING), '","kwh":', CAST(CAST(l_extendedprice AS DECIMAL(18, 2)) AS STRING), '}}}}') END AS data_json
-        FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_extendedprice, l_shipdate) AS copy_no FROM {lineitem}) AS numbered
-        WHERE copy_no = 1
+        FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey,
+                     min(l_extendedprice) AS l_extendedprice, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS failed,
+                     max(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS is_open
+              FROM {lineitem} GROUP BY l_orderkey, l_linenumber) AS numbered
     """,
     # Evaluation: documents as answers, with the labels deciding routing and confidence.
     "eval_cases": """
