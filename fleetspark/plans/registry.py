@@ -16,14 +16,14 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self._spark = spark
-        self._sf_dir = sf_dir
+        self.sf_dir = sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return role(self._spark, self._sf_dir, name)
+        return role(self._spark, self.sf_dir, name)
 
     def raw(self, name: str) -> DataFrame:
         """A plain table."""
-        return table(self._spark, self._sf_dir, name)
+        return table(self._spark, self.sf_dir, name)
 
     def folder(self, name: str) -> str:
         """A new folder for files that a query writes and reads back."""

@@ -1,7 +1,8 @@
 """Queries that write files and read them back: the CSV readers, the partitioned fact, the chunk index, the JSON sink."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import chunk_id
 from ..functions.vectors import embed_hashed
@@ -16,6 +17,7 @@ from ..sources import (
     write_json_report,
 )
 from ..sources.tables import write_telemetry
+from ..streaming import index_new_documents
 from . import answers, fleet, texts
 from .registry import Registry
 
@@ -32,17 +34,41 @@ def _stored_month_rows(t):
     return t.part_telemetry.sparkSession.read.parquet(path)
 
 
+def _document_chunks(documents: DataFrame) -> DataFrame:
+    return chunking.window_chunks(documents).select(
+        chunk_id(F.col("lang"), F.lit(None).cast("string"), F.col("chunk")).alias("id"),
+        "lang",
+        F.col("chunk").alias("page_content"),
+    )
+
+
 def _indexed(t):
     """Chunks of the English documents first, then those of all; the index holds each id once."""
-    chunks = chunking.window_chunks(t.raw("documents").select("doc_id", "lang", "text")).select(
-        chunk_id(F.col("lang"), F.lit(None).cast("string"), F.col("chunk")).alias("id"), "lang", F.col("chunk").alias("page_content")
-    )
+    chunks = _document_chunks(t.raw("documents").select("doc_id", "lang", "text"))
     spark, path = chunks.sparkSession, t.folder("index")
     build_if_absent(spark, chunks.filter("lang = 'en'"), path, embed_hashed)
     append_new_chunks(spark, chunks, path, embed_hashed)
     return read_index(spark, path)
 
 
+def _stream(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
+    """A table as a stream of its files; the table is either one file or a folder of them."""
+    reader, path = spark.readStream.schema(schema), f"{folder}/{name}.parquet"
+    first = spark.read.parquet(path).inputFiles()[0]
+    if first.endswith(f"/{name}.parquet"):
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return reader.parquet(path)
+
+
+def _streamed(t):
+    """The same index, filled by a stream over the documents."""
+    documents = t.raw("documents").select("doc_id", "lang", "text")
+    spark, path = documents.sparkSession, t.folder("index")
+    arriving = _stream(spark, t.sf_dir, "documents", documents.schema)
+    index_new_documents(arriving, _document_chunks, embed_hashed, path, t.folder("progress")).awaitTermination()
+    return read_index(spark, path)
+
+
 def _reported(t):
     scored, path = answers.scored_cases(t), t.folder("report")
     write_json_report(evaluate.evaluation_summary(scored), scored, path)
@@ -77,12 +103,13 @@ def register(registry: Registry) -> None:
         f"SELECT {fleet.SUMMARY_SQL} FROM part_telemetry WHERE date BETWEEN DATE '1996-03-01' AND DATE '1996-06-30'",
         "part_telemetry",
     )
-    registry.add(
-        "index_build_and_append",
-        lambda t: _indexed(t).select("id", "page_content", F.size("embedding").cast("bigint").alias("dims")),
-        f"""WITH {texts.CHUNKS_SQL} SELECT concat('manual_', lang, '_overview_', substr(md5(chunk), 1, 8)) AS id,
-                min(chunk) AS page_content, CAST(256 AS BIGINT) AS dims FROM chunks GROUP BY ALL""",
-    )
+    for name, build in (("index_build_and_append", _indexed), ("index_from_stream", _streamed)):
+        registry.add(
+            name,
+            lambda t, build=build: build(t).select("id", "page_content", F.size("embedding").cast("bigint").alias("dims")),
+            f"""WITH {texts.CHUNKS_SQL} SELECT concat('manual_', lang, '_overview_', substr(md5(chunk), 1, 8)) AS id,
+                    min(chunk) AS page_content, CAST(256 AS BIGINT) AS dims FROM chunks GROUP BY ALL""",
+        )
     registry.add(
         "json_report",
         _reported,
