@@ -34,17 +34,22 @@ def window_pieces(text: Column, size: int, overlap: int) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{1,{size}}})).{{1,{step}}}"), F.lit(1))
 
 
+def _windows(text: Column, size: int, overlap: int, min_chars: int) -> Column:
+    """The stripped windows of a text that are long enough, with their numbers."""
+    numbered = F.transform(
+        window_pieces(text, size, overlap),
+        lambda piece, number: F.struct(number.cast("bigint").alias("window_no"), clean_text(piece).alias("chunk")),
+    )
+    return F.filter(numbered, lambda window: F.length(window["chunk"]) >= min_chars)
+
+
 def window_chunks(
     documents: DataFrame, size: int = 600, overlap: int = 100, min_chars: int = MIN_CHUNK, text: str = "text"
 ) -> DataFrame:
     """One row per window of each document, stripped; windows shorter than `min_chars` are left out."""
     others = [name for name in documents.columns if name != text]
-    numbered = F.transform(
-        window_pieces(F.col(text), size, overlap),
-        lambda piece, number: F.struct(number.cast("bigint").alias("window_no"), clean_text(piece).alias("chunk")),
-    )
-    long_enough = F.filter(numbered, lambda window: F.length(window["chunk"]) >= min_chars)
-    return explode_rows(documents, others, long_enough).select(*others, "item.window_no", "item.chunk")
+    windows = _windows(F.col(text), size, overlap, min_chars)
+    return explode_rows(documents, others, windows).select(*others, "item.window_no", "item.chunk")
 
 
 def _first_seen(pieces: Column, markers: tuple[tuple[str, str, str], ...]) -> Column:
@@ -74,17 +79,18 @@ def _section_at(marks: Column, position: Column) -> Column:
     return F.coalesce(F.try_element_at(passed, F.lit(-1)), unknown)
 
 
-def _tagged_blocks(
+def _with_blocks(
     documents: DataFrame,
+    name: str,
     delimiter: str,
     block: Callable[[Column, Column], Column],
     markers: tuple[tuple[str, str, str], ...],
     min_chars: int,
 ) -> DataFrame:
-    """Text cut at a delimiter; one row per piece that yields a block, with its place and section.
+    """Documents with an array `name` of their blocks: place, text, manufacturer and model.
 
-    `block` turns a piece and its place into a block, or null. Blocks and markers are found while the pieces are still one
-    array, so a row carries one block and a short list of marks.
+    The text is cut at the delimiter; `block` turns a piece and its place into a block, or null. Everything happens while
+    the pieces are one array of their document.
     """
     blocks = F.transform(
         F.col("pieces"),
@@ -92,66 +98,96 @@ def _tagged_blocks(
             position.cast("bigint").alias("position"), clean_text(block(piece, position)).alias("block")
         ),
     )
-    located = (
-        documents.select("doc_id", F.split("text", delimiter).alias("pieces"))
+
+    def tagged(one: Column) -> Column:
+        section = _section_at(F.col("marks"), one["position"])
+        return F.struct(
+            one["position"].alias("position"),
+            one["block"].alias("block"),
+            section["manufacturer"].alias("manufacturer"),
+            section["model"].alias("model"),
+        )
+
+    return (
+        documents.withColumn("pieces", F.split("text", delimiter))
         .withColumns(
             {
-                "blocks": F.filter(blocks, lambda one: F.length(one["block"]) >= min_chars),
+                name: F.filter(blocks, lambda one: F.length(one["block"]) >= min_chars),
                 "marks": _first_seen(F.col("pieces"), markers),
             }
         )
-        .drop("pieces")
-    )
-    section = _section_at(F.col("marks"), F.col("item.position"))
-    return (
-        explode_rows(located, ["doc_id", "marks"], F.col("blocks"))
-        .select("doc_id", "item.position", section.alias("section_of"), "item.block")
-        .select("doc_id", "position", "section_of.manufacturer", "section_of.model", "block")
+        .withColumn(name, F.transform(name, tagged))
+        .drop("pieces", "marks")
     )
 
 
-def fault_blocks(
-    documents: DataFrame, markers: tuple[tuple[str, str, str], ...] = SECTION_MARKERS, min_chars: int = MIN_BLOCK
+def _with_fault_blocks(
+    documents: DataFrame, markers: tuple[tuple[str, str, str], ...], min_chars: int = MIN_BLOCK
 ) -> DataFrame:
-    """One row per fault block: from its header to the next header, a dashed line, or the end of the text."""
-
     def upto_dashes(piece: Column, position: Column) -> Column:
         # What precedes the first header is no block. Splitting took the words of the header off the others.
         body = F.get(F.split(piece, r"(?m)^-{10,}", 2), F.lit(0))
         return F.when(position > 0, F.concat(F.lit(FAULT_HEADER), body))
 
-    found = _tagged_blocks(documents, rf"{FAULT_HEADER}(?=E-\d)", upto_dashes, markers, min_chars)
-    return found.withColumn("fault_code", F.regexp_extract("block", rf"\A{FAULT_HEADER}(E-\d+)", 1))
+    return _with_blocks(documents, "faults", rf"{FAULT_HEADER}(?=E-\d)", upto_dashes, markers, min_chars)
 
 
-def narrative_sections(
+def _with_sections(
     documents: DataFrame,
-    markers: tuple[tuple[str, str, str], ...] = SECTION_MARKERS,
+    markers: tuple[tuple[str, str, str], ...],
     titles: tuple[str, ...] = NARRATIVE_TITLES,
     min_chars: int = MIN_SECTION,
     anchored: bool = True,
 ) -> DataFrame:
-    """One row per named section, up to the next numbered heading or dashed line; the title is its first line.
-
-    `anchored` requires headings to start a line. Without it any `7.2 Abc` within a sentence ends the section.
-    """
-    title = "|".join(titles)
     start = "(?m)^" if anchored else r"(?<!\d)"
     next_heading = r"(?m)^\d+\.\d+\s+[A-Z]" if anchored else r"\d+\.\d+\s+[A-Z]"
-    heading = rf"\d+\.\d+\s+(?:{title})"
+    heading = rf"\d+\.\d+\s+(?:{'|'.join(titles)})"
 
     def upto_next(piece: Column, _: Column) -> Column:
         # A piece starts with its own heading, which is not to end it; one that does not is no section.
         found = F.regexp_extract(piece, rf"(?s)\A({heading}.*?)(?:{next_heading}|-{{10,}}|\z)", 1)
         return F.when(F.rlike(piece, F.lit(rf"\A{heading}")), found)
 
-    return _tagged_blocks(documents, f"(?={start}{heading})", upto_next, markers, min_chars).select(
-        "doc_id",
-        "position",
-        clean_text(F.get(F.split("block", "\n", 2), F.lit(0))).alias("section"),
-        "manufacturer",
-        "model",
-        F.col("block").alias("body"),
+    return _with_blocks(documents, "sections", f"(?={start}{heading})", upto_next, markers, min_chars)
+
+
+def _code_of(block: Column) -> Column:
+    return F.regexp_extract(block, rf"\A{FAULT_HEADER}(E-\d+)", 1)
+
+
+def _title_of(block: Column) -> Column:
+    return clean_text(F.get(F.split(block, "\n", 2), F.lit(0)))
+
+
+def fault_blocks(
+    documents: DataFrame, markers: tuple[tuple[str, str, str], ...] = SECTION_MARKERS, min_chars: int = MIN_BLOCK
+) -> DataFrame:
+    """One row per fault block: from its header to the next header, a dashed line, or the end of the text."""
+    located = _with_fault_blocks(documents.select("doc_id", "text"), markers, min_chars)
+    return (
+        explode_rows(located, ["doc_id"], F.col("faults"))
+        .select("doc_id", "item.*")
+        .withColumn("fault_code", _code_of(F.col("block")))
+    )
+
+
+def narrative_sections(
+    documents: DataFrame,
+    markers: tuple[tuple[str, str, str], ...] = SECTION_MARKERS,
+    titles: tuple[str, ...] = NARRATIVE_TITLES,
+    min_chars: int = MIN_SECTION,
+    anchored: bool = True,
+) -> DataFrame:
+    """One row per named section, up to the next numbered heading or dashed line; the title is its first line.
+
+    `anchored` requires headings to start a line. Without it any `7.2 Abc` within a sentence ends the section.
+    """
+    located = _with_sections(documents.select("doc_id", "text"), markers, titles, min_chars, anchored)
+    return (
+        explode_rows(located, ["doc_id"], F.col("sections"))
+        .select("doc_id", "item.*")
+        .withColumn("section", _title_of(F.col("block")))
+        .withColumnRenamed("block", "body")
     )
 
 
@@ -163,26 +199,41 @@ def manual_chunks(
     anchored: bool = True,
     id_digits: int = 8,
 ) -> DataFrame:
-    """Chunk records of manuals: whole fault blocks, and windows over the narrative sections."""
-    tag = F.concat(F.lit("[OEM Manual | "), F.concat_ws(" ", "manufacturer", "model"), F.lit("]\n"))
-    faults = fault_blocks(documents, markers).select(
-        "doc_id",
-        F.concat(tag, F.col("block")).alias("page_content"),
-        F.lit("fault_code").alias("chunk_type"),
-        "fault_code",
-        "manufacturer",
-        "model",
+    """Chunk records of manuals: whole fault blocks, and windows over the narrative sections.
+
+    Both kinds are gathered in one array per document before they become rows, so the documents are read once.
+    """
+
+    def record(kind: str, code: Column, section: Column, one: Column, text: Column) -> Column:
+        return F.struct(
+            F.lit(kind).alias("chunk_type"),
+            code.alias("fault_code"),
+            section.alias("section"),
+            one["manufacturer"].alias("manufacturer"),
+            one["model"].alias("model"),
+            text.alias("text"),
+        )
+
+    none = F.lit(None).cast("string")
+    faults = F.transform("faults", lambda one: record("fault_code", _code_of(one["block"]), none, one, one["block"]))
+    titled = F.transform("sections", lambda one: one.withField("title", _title_of(one["block"])))
+    narrative = F.transform(
+        titled,
+        lambda one: F.transform(
+            _windows(one["block"], size, overlap, MIN_CHUNK),
+            lambda window: record("narrative", none, one["title"], one, window["chunk"]),
+        ),
     )
-    narrative = window_chunks(narrative_sections(documents, markers, anchored=anchored), size, overlap, text="body").select(
-        "doc_id",
-        F.concat(tag, F.col("chunk")).alias("page_content"),
-        F.lit("narrative").alias("chunk_type"),
-        "manufacturer",
-        "model",
-        "section",
+    located = _with_sections(
+        _with_fault_blocks(documents.select("doc_id", "text"), markers), markers, anchored=anchored
+    ).select("doc_id", faults.alias("faults"), F.flatten(narrative).alias("narrative"))
+    tag = F.concat(F.lit("[OEM Manual | "), F.concat_ws(" ", "manufacturer", "model"), F.lit("]\n"))
+    rows = (
+        explode_rows(located, ["doc_id"], F.concat("faults", "narrative"))
+        .select("doc_id", "item.*")
+        .withColumn("page_content", F.concat(tag, F.col("text")))
     )
-    both = faults.unionByName(narrative, allowMissingColumns=True)
-    return both.select(
+    return rows.select(
         chunk_id(F.col("manufacturer"), F.col("fault_code"), F.col("page_content"), id_digits).alias("id"),
         "doc_id",
         "page_content",
