@@ -5,8 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetspark.llm import simhash
-from fleetspark.llm.shared import shared_folder, table
+from fleetspark.llm import simhash, suffixes
+from fleetspark.llm.shared import shared_folder, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -16,8 +16,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.keep_one(docs)
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages of 50 words or more that occur earlier in the corpus."""
+    return suffixes.cut_passages(docs, written(suffixes.repeated_passages(docs), "passages"))
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("simhash_near_dedup", near_duplicates),
+    ("suffix_array_dedup", repeated_passages),
 ]
 
 # SimHash, suffix sorting and tokenisers are beyond SQL; the stages are tested against brute force instead.

@@ -1,8 +1,10 @@
 """The registered queries of this subpackage, and the SQL of those that have one."""
 
 from .simhash import op8_simhash_dedup
+from .suffixes import op4_suffix_dedup
 
 QUERIES = {
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op8_simhash_dedup": op8_simhash_dedup,
 }
 
