@@ -5,12 +5,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetspark.llm import simhash, suffixes
+from fleetspark.llm import language, mixing, simhash, suffixes
 from fleetspark.llm.shared import shared_folder, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents whose language is known."""
+    return language.keep_known(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near-duplicates."""
     return simhash.keep_one(docs)
@@ -21,9 +26,16 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return suffixes.cut_passages(docs, written(suffixes.repeated_passages(docs), "passages"))
 
 
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixes the sources to their weights: a document comes as often as the mix takes it."""
+    return mixing.mixed(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("language_id", known_language),
     ("simhash_near_dedup", near_duplicates),
     ("suffix_array_dedup", repeated_passages),
+    ("source_mixing", source_mix),
 ]
 
 # SimHash, suffix sorting and tokenisers are beyond SQL; the stages are tested against brute force instead.

@@ -1,9 +1,14 @@
 """The registered queries of this subpackage, and the SQL of those that have one."""
 
+from .language import language_of_pages, op1_language_id
+from .mixing import op3_source_mixing
 from .simhash import op8_simhash_dedup
 from .suffixes import op4_suffix_dedup
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "language_of_pages": language_of_pages,
+    "op3_source_mixing": op3_source_mixing,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op8_simhash_dedup": op8_simhash_dedup,
 }

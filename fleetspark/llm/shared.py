@@ -41,7 +41,7 @@ def row_key(id_column: str = "doc_id", text: str = "text") -> list:
     """`_id` and `_hash`, which identify a document by its id and its text. Both are never null."""
     return [
         F.coalesce(F.col(id_column).cast("long"), F.lit(2**63 - 1)).alias("_id"),
-        F.xxhash64(F.col(text)).alias("_hash"),
+        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_hash"),
     ]
 
 
