@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetspark.llm import language, mixing, simhash, suffixes
+from fleetspark.llm import language, mixing, packing, simhash, suffixes
 from fleetspark.llm.shared import shared_folder, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -31,11 +31,17 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents into training sequences."""
+    return packing.pack(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", known_language),
     ("simhash_near_dedup", near_duplicates),
     ("suffix_array_dedup", repeated_passages),
     ("source_mixing", source_mix),
+    ("packing", packed),
 ]
 
 # SimHash, suffix sorting and tokenisers are beyond SQL; the stages are tested against brute force instead.

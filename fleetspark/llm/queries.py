@@ -2,6 +2,7 @@
 
 from .language import language_of_pages, op1_language_id
 from .mixing import op3_source_mixing
+from .packing import op10_packing
 from .simhash import op8_simhash_dedup
 from .suffixes import op4_suffix_dedup
 
@@ -11,6 +12,7 @@ QUERIES = {
     "op3_source_mixing": op3_source_mixing,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op10_packing": op10_packing,
 }
 
 SQL: dict[str, str] = {}
