@@ -4,6 +4,7 @@ from .language import language_of_pages, op1_language_id
 from .mixing import op3_source_mixing
 from .packing import op10_packing
 from .simhash import op8_simhash_dedup
+from .sketches import op7_fingerprints
 from .suffixes import op4_suffix_dedup
 
 QUERIES = {
@@ -11,6 +12,7 @@ QUERIES = {
     "language_of_pages": language_of_pages,
     "op3_source_mixing": op3_source_mixing,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op7_fingerprints": op7_fingerprints,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op10_packing": op10_packing,
 }
