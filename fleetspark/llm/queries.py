@@ -3,6 +3,7 @@
 from .language import language_of_pages, op1_language_id
 from .mixing import op3_source_mixing
 from .packing import op10_packing
+from .quality import op5_quality_classifier
 from .simhash import op8_simhash_dedup
 from .sketches import op7_fingerprints
 from .suffixes import op4_suffix_dedup
@@ -12,6 +13,7 @@ QUERIES = {
     "language_of_pages": language_of_pages,
     "op3_source_mixing": op3_source_mixing,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_quality_classifier": op5_quality_classifier,
     "op7_fingerprints": op7_fingerprints,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op10_packing": op10_packing,
