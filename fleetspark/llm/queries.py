@@ -1,9 +1,11 @@
 """The registered queries of this subpackage, and the SQL of those that have one."""
 
+from .chat import OP6_SQL, op6_chat_perspectives
 from .language import language_of_pages, op1_language_id
 from .mixing import op3_source_mixing
 from .packing import op10_packing
 from .quality import op5_quality_classifier
+from .rules import op9_quality_rules
 from .simhash import op8_simhash_dedup
 from .sketches import op7_fingerprints
 from .suffixes import op4_suffix_dedup
@@ -14,9 +16,11 @@ QUERIES = {
     "op3_source_mixing": op3_source_mixing,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_chat_perspectives": op6_chat_perspectives,
     "op7_fingerprints": op7_fingerprints,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL = {"op6_chat_perspectives": OP6_SQL}
