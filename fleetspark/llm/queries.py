@@ -9,10 +9,12 @@ from .rules import op9_quality_rules
 from .simhash import op8_simhash_dedup
 from .sketches import op7_fingerprints
 from .suffixes import op4_suffix_dedup
+from .token_files import op2_token_ids
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "language_of_pages": language_of_pages,
+    "op2_token_ids": op2_token_ids,
     "op3_source_mixing": op3_source_mixing,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_quality_classifier": op5_quality_classifier,
