@@ -84,8 +84,9 @@ def _collisions(prints: np.ndarray, left: np.ndarray, low: int) -> Iterator[tupl
     """Pairs of fingerprints that emit an equal variant, when the bits above the `low` lowest are settled.
 
     `left` is how many bits of each may still be flipped. While the variants are too many for one array, the next bit is
-    settled either way. The fingerprints that share a variant form a star around the smallest: as all of them lie within
-    half the radius of the variant, the star links what all pairs would.
+    settled either way. The fingerprints that share a variant form a star around the one nearest to it. As all of them lie
+    within half the radius of the variant, the star links what all pairs would. (With an odd distance, a star whose centre is
+    not nearer than the others has only even distances; those in reach are found at other variants too.)
     """
     counts = np.bincount(left, minlength=1)
     sizes = [len(flips(low, r)) if counts[r] else 0 for r in range(len(counts))]
@@ -115,7 +116,8 @@ def _collisions(prints: np.ndarray, left: np.ndarray, low: int) -> Iterator[tupl
     at = np.minimum(np.searchsorted(shared, key), len(shared) - 1)
     hit = shared[at] == key
     group, member = at[hit], prints[owner[hit]]
-    order = np.lexsort((member, group))
+    flipped = np.bitwise_count((member & ones) ^ key[hit]).astype(np.int64) - left[owner[hit]]
+    order = np.lexsort((member, flipped, group))
     group, member = group[order], member[order]
     opens = np.r_[True, group[1:] != group[:-1]]
     centre = member[np.flatnonzero(opens)][np.cumsum(opens) - 1]
