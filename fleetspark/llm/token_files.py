@@ -33,7 +33,7 @@ BLOCK_IDS = 1 << 13
 DIGITS = 4
 
 _MAGIC = b"IDS1"
-# Magic, documents, blocks, checksum of the rest of the frame.
+# Magic, documents, blocks, and a checksum of their numbers and the rest of the frame.
 _HEAD = "<4sIII"
 _NO_ID = 2**63 - 1
 
@@ -47,13 +47,15 @@ def frame_of(doc_ids: np.ndarray, counts: np.ndarray, blocks: list[np.ndarray],
     sums = [zlib.crc32(b.astype("<u4").tobytes()) for b in blocks]
     about = np.array([[len(b), s, len(c)] for b, s, c in zip(blocks, sums, codes)], "<u4")
     body = doc_ids.astype("<i8").tobytes() + counts.astype("<u8").tobytes() + about.tobytes() + b"".join(codes)
-    return struct.pack(_HEAD, _MAGIC, len(doc_ids), len(blocks), zlib.crc32(body)) + body
+    checksum = zlib.crc32(body, zlib.crc32(struct.pack("<II", len(doc_ids), len(blocks))))
+    return struct.pack(_HEAD, _MAGIC, len(doc_ids), len(blocks), checksum) + body
 
 
 def parts_of(frame: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """Documents' ids and lengths, and what is known of each block (ids, checksum) with its code."""
     magic, n_docs, n_blocks, checksum = struct.unpack_from(_HEAD, frame)
-    if magic != _MAGIC or zlib.crc32(memoryview(frame)[struct.calcsize(_HEAD) :]) != checksum:
+    body = memoryview(frame)[struct.calcsize(_HEAD) :]
+    if magic != _MAGIC or zlib.crc32(body, zlib.crc32(struct.pack("<II", n_docs, n_blocks))) != checksum:
         raise DamagedFrame("the frame is damaged")
     at = struct.calcsize(_HEAD)
     doc_ids = np.frombuffer(frame, "<i8", n_docs, at)
