@@ -4,8 +4,8 @@ Most of a corpus is made of words that come again and again. A text is cut where
 distinct piece is encoded once in a while, not at each place where it stands. The ids are those of the whole text.
 """
 
+import itertools
 import os
-import re
 import sys
 import types
 
@@ -14,19 +14,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 
+from .words import text_bytes, words_of
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Pieces that a worker remembers, and the longest of them. Others are encoded anew.
-REMEMBERED = 400_000
+# Pieces that a worker remembers, some 50 bytes each, and the longest of them in bytes. Others are encoded anew.
+REMEMBERED = 2_000_000
 LONGEST = 64
 
 # Where a text may be cut: a byte-level tokenizer starts a token at each space that something visible follows; one that
-# drops white space never joins anything over a space.
+# drops white space never joins anything over it.
 BEFORE_SPACES, AT_SPACES = "before spaces", "at spaces"
 
-# A space before white space or at the end, where the rule above does not hold.
+# A space before white space or at the end, where the first rule does not hold.
 _ODD_SPACE = r" ([\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]|$)"
-_CUT = re.compile(r"(?= \S)")
 
 
 def tokenizer_path(name: str) -> str:
@@ -36,6 +37,40 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Numbers:
+    """Numbers of remembered pieces, by hash, length and first bytes, in sorted arrays of which one is small."""
+
+    def __init__(self) -> None:
+        none = np.zeros(0, np.uint64)
+        self._parts = [(none, none, np.zeros(0, np.int64))] * 2
+
+    def __len__(self) -> int:
+        return sum(len(keys) for keys, _, _ in self._parts)
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """The number of each piece, or -1. A piece is told by its key and its check."""
+        found = np.full(len(keys), -1, np.int64)
+        for own, own_checks, numbers in self._parts:
+            if len(own):
+                at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+                hit = (own[at] == keys) & (own_checks[at] == checks)
+                found[hit] = numbers[at[hit]]
+        return found
+
+    def add(self, keys: np.ndarray, checks: np.ndarray, numbers: np.ndarray) -> None:
+        large, small = self._parts
+        small = self._merged(small, (keys, checks, numbers))
+        if len(small[0]) > max(50_000, len(large[0]) // 4):
+            large, small = self._merged(large, small), tuple(x[:0] for x in small)
+        self._parts = [large, small]
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        columns = [np.concatenate(pair) for pair in zip(a, b)]
+        order = np.argsort(columns[0], kind="stable")
+        return tuple(c[order] for c in columns)
+
+
 class Encoder:
     """Encodes lists of texts; remembers the ids of frequent pieces."""
 
@@ -48,76 +83,69 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self._known: dict[str, int] = {}
-        self._ids: list[np.ndarray] = []
+        self._known = _Numbers()
         self._flat, self._starts, self._lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _numbers(self, pieces: list[str]) -> np.ndarray:
-        """The number of each piece, after which its ids can be looked up. At the next call numbers may change."""
-        if len(self._known) > REMEMBERED:
+    def _direct(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in a row, and how many each has."""
+        lists = [x.ids for x in self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(lengths.sum())), lengths
+
+    def _by_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As `encode`, for texts that may be cut at every space."""
+        if max(len(self._known), len(self._starts) // 2) > REMEMBERED:
             self._clear()
-        known = self._known
-        fresh = [x for x in pieces if x not in known]
-        base = len(self._starts)
-        own = {}
-        if fresh:
-            fresh = list(dict.fromkeys(fresh))
-            encoded = self._tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-            lists = [x.ids for x in encoded]
-            lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat = np.fromiter((i for x in lists for i in x), np.uint32, int(lengths.sum()))
+        spaces = self._cuts == BEFORE_SPACES
+        raw, at = text_bytes(texts)
+        words = words_of(texts, seed=6, at_spaces=spaces)
+        if len(words.hash) == 0:
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        # A space before the piece belongs to it.
+        begin = words.begin - (spaces & (words.begin > at[words.text]))
+        keys, first, piece = np.unique(words.hash ^ (words.begin - begin).astype(np.uint64), return_index=True, return_inverse=True)
+        begin, size = begin[first], words.end[first] - begin[first]
+        # The first bytes and the length, so that pieces of up to seven bytes are told apart without their hash.
+        checks = (size & 255).astype(np.uint64)
+        for i in range(7):
+            byte = raw[np.minimum(begin + i, len(raw) - 1)].astype(np.uint64)
+            checks |= np.where(i < size, byte, 0).astype(np.uint64) << np.uint64(8 * i + 8)
+        numbers = self._known.find(keys, checks)
+        fresh = np.flatnonzero(numbers < 0)
+        kept = len(self._starts)
+        if len(fresh):
+            data = raw.tobytes()
+            pieces = [data[a : a + n].decode() for a, n in zip(begin[fresh].tolist(), size[fresh].tolist())]
+            flat, lengths = self._direct(pieces)
             starts = len(self._flat) + np.cumsum(lengths) - lengths
+            numbers[fresh] = kept + np.arange(len(fresh))
+            short = size[fresh] <= LONGEST
             self._flat = np.concatenate((self._flat, flat))
             self._starts = np.concatenate((self._starts, starts))
             self._lengths = np.concatenate((self._lengths, lengths))
-            for i, piece in enumerate(fresh):
-                (known if len(piece) <= LONGEST else own)[piece] = base + i
-        return np.fromiter((known[x] if x in known else own[x] for x in pieces), np.int64, len(pieces))
-
-    def _pieces(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Distinct pieces, the pieces of all texts as numbers into them, and how many each text has."""
-        if self._cuts == AT_SPACES:
-            parts = pc.split_pattern(texts, " ")
-            coded = parts.flatten().dictionary_encode()
-            return coded.dictionary.to_pylist(), coded.indices.to_numpy(), parts.value_lengths().to_numpy()
-        odd = pc.match_substring_regex(texts, _ODD_SPACE).to_numpy(zero_copy_only=False)
-        parts = pc.split_pattern(texts, " ")
-        counts = parts.value_lengths().to_numpy().astype(np.int64)
-        coded = parts.flatten().dictionary_encode()
-        words, numbers = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        pieces = [" " + x for x in words]
-        first = np.cumsum(counts) - counts
-        # What stands before the first space has none of its own.
-        numbers[first] += len(pieces)
-        pieces += words
-        if odd.any():
-            lists, ends = [], first + counts
-            for i in range(len(texts)):
-                if odd[i]:
-                    own = _CUT.split(texts[i].as_py())
-                    counts[i] = len(own)
-                    lists.append(np.arange(len(pieces), len(pieces) + len(own)))
-                    pieces += own
-                else:
-                    lists.append(numbers[first[i] : ends[i]])
-            numbers = np.concatenate(lists)
-        # Only pieces that occur are encoded.
-        used, numbers = np.unique(numbers, return_inverse=True)
-        return [pieces[i] for i in used.tolist()], numbers, counts
+            self._known.add(keys[fresh][short], checks[fresh][short], numbers[fresh][short])
+        at = numbers[piece]
+        lengths = self._lengths[at]
+        ends = np.cumsum(lengths)
+        places = np.repeat(self._starts[at] - (ends - lengths), lengths) + np.arange(int(ends[-1]))
+        return self._flat[places], np.diff(np.r_[0, ends][words.first])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each text has. A null is empty."""
         texts = pc.fill_null(texts, "").cast(pa.string())
-        if len(texts) == 0:
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        pieces, numbers, counts = self._pieces(texts)
-        piece = self._numbers(pieces)[numbers]
-        lengths = self._lengths[piece]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        places = np.repeat(self._starts[piece] - (ends - lengths), lengths) + np.arange(total)
-        upto = np.r_[0, ends][np.cumsum(counts)]
-        return self._flat[places], np.diff(np.r_[0, upto])
+        if self._cuts == AT_SPACES or len(texts) == 0:
+            return self._by_pieces(texts)
+        odd = pc.match_substring_regex(texts, _ODD_SPACE)
+        if not pc.any(odd).as_py():
+            return self._by_pieces(texts)
+        ids, counts = self._by_pieces(pc.if_else(odd, "", texts))
+        odd = odd.to_numpy(zero_copy_only=False)
+        own, lengths = self._direct(texts.filter(pa.array(odd)).to_pylist())
+        # The ids of odd texts go where these had none.
+        gaps = np.cumsum(counts)[odd]
+        ids = np.insert(ids, np.repeat(gaps, lengths), own)
+        counts[odd] = lengths
+        return ids, counts
 
 
 def worker_encoder(file: str, cuts: str) -> Encoder:

@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Bytes of text that are worked on at once; a longer text is taken alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _PHASE = 0x9E3779B97F4A7C15
 
@@ -66,10 +66,15 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def words_of(texts: pa.Array, seed: int = 0) -> Words:
-    """The words of the texts, hashed as the sum of a value for each byte times one for its place in the word."""
+def words_of(texts: pa.Array, seed: int = 0, at_spaces: bool = False) -> Words:
+    """The words of the texts, hashed as the sum of a value for each byte times one for its place in the word.
+
+    With `at_spaces` only the space separates words, and other white space belongs to them.
+    """
     raw, at = text_bytes(texts)
-    inside = (raw != 32) & ((raw < 9) | (raw > 13))
+    inside = raw != 32
+    if not at_spaces:
+        inside &= (raw < 9) | (raw > 13)
     opens = inside.copy()
     opens[1:] &= ~inside[:-1]
     cuts = at[:-1][at[:-1] < at[1:]]
@@ -85,7 +90,8 @@ def words_of(texts: pa.Array, seed: int = 0) -> Words:
     lengths = end - begin
     starts = np.cumsum(lengths) - lengths
     place = np.arange(len(where)) - np.repeat(starts, lengths)
-    values = randoms(256, seed + 1)[raw[where]] * (randoms(int(lengths.max()), seed + 2) | np.uint64(1))[place]
+    values = randoms(256, seed + 1).take(raw.take(where))
+    values *= (randoms(int(lengths.max()), seed + 2) | np.uint64(1)).take(place)
     hashed = mixed(np.add.reduceat(values, starts))
     text = np.searchsorted(at, begin, "right") - 1
     return Words(hashed, text, np.searchsorted(begin, at), begin, end)
