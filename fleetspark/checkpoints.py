@@ -1,33 +1,37 @@
 """Materialised intermediate tables."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in `spark.checkpoint.dir`.
+    """The folder that the cluster names in `spark.checkpoint.dir`, which the driver and all executors share.
 
-    One is made up only in local mode, where a temporary folder is shared by all tasks.
+    Where the session names none, as in tests, it is set to a folder below the warehouse.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can read")
-    made = tempfile.mkdtemp(prefix="fleetspark-")
-    spark.sparkContext.setCheckpointDir(made)
-    return spark.sparkContext.getCheckpointDir()
+    if not named:
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+        named = spark.sparkContext.getCheckpointDir()
+    return named
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """The DataFrame as a parquet table in the checkpoint folder, written once and read back.
+def new_folder(spark: SparkSession, name: str, within: str | None = None) -> str:
+    """A new path in `within`, or else in the shared folder. What is written there goes when the driver ends."""
+    path = f"{within or checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    owned = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    owned.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(owned)
+    return path
+
+
+def materialised(df: DataFrame, within: str | None = None) -> DataFrame:
+    """The DataFrame as a parquet table in `within`, or else in the shared folder, written once and read back.
 
     It serves tables that several reports share: each report reads only the columns it needs, and the size of the table is
-    known to the planner. The copy outlives the executors that made it.
+    known to the planner. The copy outlives the executors that made it and goes when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = new_folder(spark, "table", within)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -92,16 +92,15 @@ def truncate_with_marker(text: Column, limit: int, marker: str) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit(marker))).otherwise(text)
 
 
-def chunk_id(manufacturer: Column, fault_code: Column, content: Column, digits: int = 8) -> Column:
-    """Stable id of a chunk: manufacturer, fault code (or `overview`) and the first hex digits of the MD5.
+def chunk_id(manufacturer: Column, fault_code: Column, content: Column) -> Column:
+    """Stable id of a chunk: manufacturer, fault code (or `overview`) and the whole MD5 of the content.
 
-    Eight digits tell some ten thousand chunks of one code apart. Take 32 for large corpora, where chunks with equal ids
-    would pass for one.
+    A part of the hash would make chunks of large corpora collide, and the index keeps one chunk per id.
     """
     return F.concat_ws(
         "_",
         F.lit("manual"),
         F.translate(F.coalesce(manufacturer, F.lit("")), " ", "_"),
         F.coalesce(F.when(fault_code != "", fault_code), F.lit("overview")),
-        F.substring(F.md5(content), 1, digits),
+        F.md5(content),
     )

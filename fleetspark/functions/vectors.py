@@ -1,50 +1,72 @@
-"""Vector columns."""
+"""Vector columns, built from Spark's own expressions."""
 
-import hashlib
-import sys
-from collections.abc import Iterator
+import math
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The functions below travel to the executors by value, so the package need not be installed there.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from .arrays import explode_rows, once
 
-# Words whose bucket a task remembers from one text to the next, a bound on its memory.
-_REMEMBERED_WORDS = 1 << 17
 
+def _words(text: Column) -> Column:
+    """Lower-case runs of letters and digits."""
+    spaced = F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    return F.filter(F.split(spaced, " "), lambda word: word != "")
 
-def _unit_counts(words: list[str], dims: int, known: dict[str, int]) -> np.ndarray:
-    """Counts of the hashed words, scaled to length one."""
-    if len(known) > _REMEMBERED_WORDS:
-        known.clear()
-    for word in words:
-        if word not in known:
-            known[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dims
-    counts = np.bincount([known[word] for word in words], minlength=dims).astype(np.float64)
-    norm = np.sqrt((counts * counts).sum())
-    return (counts / norm if norm else counts).astype(np.float32)
 
+def _buckets(text: Column, dims: int) -> Column:
+    """The bucket of each word of the text, sorted: the first eight hex digits of its MD5, modulo the width."""
+    hashed = F.transform(_words(text), lambda word: F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint") % dims)
+    return F.sort_array(hashed)
 
-def hashed_vector(text: Column, dims: int = 256) -> Column:
+
+def hashed_vector(text: Column, dims: int = 256, weights: Sequence[float] | None = None) -> Column:
     """Unit vector of hashed word counts, over the whole text; a zero vector for text without words.
 
-    It stands in where no embedding service is at hand. Spark splits off the words; only the counting is done in numpy,
-    one Arrow batch at a time.
+    It stands in where no embedding service is at hand. With `weights`, one for each bucket, counts are weighed first.
     """
+    # Counts come from the places at which the runs of equal buckets begin, as the buckets are sorted.
+    def counted(found: Column) -> Column:
+        def of_runs(kinds: Column) -> Column:
+            ends = F.transform(
+                kinds, lambda _, i: F.coalesce(F.array_position(found, F.get(kinds, i + 1)), F.size(found) + F.lit(1).cast("bigint"))
+            )
+            counts = F.zip_with(ends, kinds, lambda end, kind: (end - F.array_position(found, kind)).cast("double"))
+            return F.map_from_arrays(kinds, counts)
+
+        return once(F.array_distinct(found), of_runs)
+
+    def dense(counts: Column) -> Column:
+        places = F.transform(
+            F.sequence(F.lit(0).cast("bigint"), F.lit(dims - 1).cast("bigint")),
+            lambda place: F.coalesce(F.try_element_at(counts, place), F.lit(0.0)),
+        )
+        if weights is None:
+            return places
+        return F.zip_with(places, F.array(*[F.lit(float(w)) for w in weights]), lambda n, w: n * w)
+
+    def scaled(values: Column) -> Column:
+        norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda total, x: total + x * x))
+        return once(norm, lambda size: F.transform(values, lambda x: F.when(size > 0, x / size).otherwise(0.0).cast("float")))
 
-    @F.pandas_udf("array<float>")
-    def count_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, int] = {}
-        for batch in batches:
-            yield pd.Series([_unit_counts(words.split() if words else [], dims, known) for words in batch])
+    return once(once(once(_buckets(text, dims), counted), dense), scaled)
 
-    return count_words(F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")))
+
+def inverse_frequencies(texts: DataFrame, text: str, dims: int = 256) -> list[float]:
+    """How rare each bucket is: log((n + 1) / (texts with it + 1)), as weights for `hashed_vector`.
+
+    One aggregation over all texts; `dims` counts and their total reach the driver.
+    """
+    rows = texts.select(F.array_distinct(_buckets(F.col(text), dims)).alias("found"))
+    counts = explode_rows(rows, [], F.col("found"), "bucket").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    seen = {row["bucket"]: row["n"] for row in counts.collect()}
+    total = texts.count() + 1
+    return [math.log(total / (seen.get(place, 0) + 1)) for place in range(dims)]
 
 
-def embed_hashed(chunks: DataFrame, dims: int = 256, content: str = "page_content") -> DataFrame:
+def embed_hashed(
+    chunks: DataFrame, dims: int = 256, content: str = "page_content", weights: Sequence[float] | None = None
+) -> DataFrame:
     """Chunks with a hashed word-count `embedding`: the default embedder of the chunk index."""
-    return chunks.withColumn("embedding", hashed_vector(F.col(content), dims))
+    return chunks.withColumn("embedding", hashed_vector(F.col(content), dims, weights))

@@ -2,7 +2,7 @@
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalise_key, rounded
@@ -50,10 +50,13 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
 
 
 def require_unique(df: DataFrame, key: str, show: int = 20) -> None:
-    """Raise when a key occurs twice; the message names the first few such keys."""
-    found = [row[0] for row in duplicate_keys(df, key).orderBy(key).limit(show).collect()]
-    if found:
-        raise ValueError(f"duplicate {key}: {found}")
+    """Raise when a key occurs twice; the message tells how many such keys there are and names the first few."""
+    found = duplicate_keys(df, key).select(key, F.count(F.lit(1)).over(Window.partitionBy()).alias("total"))
+    named = found.orderBy(key).limit(show).collect()
+    if named:
+        rest = named[0]["total"] - len(named)
+        more = f" and {rest} more" if rest else ""
+        raise ValueError(f"{named[0]['total']} duplicate {key}: {[row[0] for row in named]}{more}")
 
 
 def clean_assets(raw: DataFrame, age_reference: str = AGE_REFERENCE) -> DataFrame:

@@ -32,15 +32,15 @@ def value_shares(df: DataFrame, column: str) -> DataFrame:
 
 def histogram(df: DataFrame, column: str, bins: int = 15) -> DataFrame:
     """Rows in each of `bins` equal-width bins from the minimum to the maximum; the maximum is in the last bin."""
-    low = df.agg(F.min(column)).scalar()
-    high = df.agg(F.max(column)).scalar()
+    extremes = df.agg(F.struct(F.min(column).alias("low"), F.max(column).alias("high"))).scalar()
     width = (F.col("high") - F.col("low")) / bins
     bin_no = F.when(F.col("high") == F.col("low"), F.lit(bins // 2)).otherwise(
         F.least(F.floor((F.col(column) - F.col("low")) / F.when(width != 0, width)), F.lit(bins - 1))
     )
     return (
         df.filter(F.col(column).isNotNull())
-        .select(column, low.alias("low"), high.alias("high"))
+        .select(column, extremes.alias("extremes"))
+        .select(column, "extremes.*")
         .groupBy((bin_no + 1).cast("bigint").alias("bin"))
         .agg(F.count(F.lit(1)).alias("rows"))
     )

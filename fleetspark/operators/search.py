@@ -260,9 +260,13 @@ def cited_chunks(answers: DataFrame, hits: DataFrame, content: str = "page_conte
     )
 
 
-def label_centroids(vectors: DataFrame, label: str = "label", width: int = 64) -> DataFrame:
-    """Mean vector of each label, one aggregate per dimension and thus without collecting a label's vectors."""
-    means = vectors.groupBy(label).agg(
-        *[F.avg(F.col("embedding")[i].cast("double")).alias(f"d{i}") for i in range(width)]
-    )
-    return means.select(F.col(label), F.array(*[F.col(f"d{i}") for i in range(width)]).alias("embedding"))
+def label_centroids(vectors: DataFrame, label: str = "label") -> DataFrame:
+    """Mean vector of each label, whatever the width of the vectors.
+
+    Means are taken by label and place, so a label's vectors never meet in one row; a list holds as many means as a vector
+    has places.
+    """
+    places = vectors.select(label, F.posexplode("embedding").alias("place", "x"))
+    means = places.groupBy(label, "place").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    ordered = F.sort_array(F.collect_list(F.struct("place", "mean")))
+    return means.groupBy(label).agg(F.transform(ordered, lambda one: one["mean"]).alias("embedding"))

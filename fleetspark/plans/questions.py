@@ -95,7 +95,6 @@ def request_results(t):
         materialised(months.maintenance_months(t.question_maintenance)),
         t.question_maintenance,
         YEAR,
-        ("Northern Spain", "Galicia", "Aragon"),
         threshold=95.0,
         z_threshold=-1.0,
         drop_floor=0.3,

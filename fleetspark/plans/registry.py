@@ -1,11 +1,10 @@
 """Where the registered queries are kept."""
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..checkpoints import checkpoint_folder
+from ..checkpoints import new_folder
 from ..sources.roles import role, role_sql, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,7 +26,7 @@ class Tables:
 
     def folder(self, name: str) -> str:
         """A new folder for files that a query writes and reads back."""
-        return f"{checkpoint_folder(self._spark)}/{name}-{uuid.uuid4().hex}"
+        return new_folder(self._spark, name)
 
 
 class Registry:

@@ -1,5 +1,7 @@
 """Queries that write files and read them back: the CSV readers, the partitioned fact, the chunk index, the JSON sink."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -10,8 +12,10 @@ from ..operators import chunking, evaluate, telemetry
 from ..sources import (
     append_new_chunks,
     build_if_absent,
+    load_all,
     read_assets_csv,
     read_index,
+    read_manual,
     read_maintenance_csv,
     read_telemetry_csv,
     write_json_report,
@@ -19,7 +23,7 @@ from ..sources import (
 from ..sources.tables import write_telemetry
 from ..streaming import index_new_documents
 from . import answers, fleet, texts
-from .registry import Registry
+from .registry import Registry, shown
 
 
 def _as_csv(df: DataFrame, path: str) -> str:
@@ -69,10 +73,30 @@ def _streamed(t):
     return read_index(spark, path)
 
 
-def _reported(t):
+def _report(t, half: str) -> DataFrame:
+    """One half of the written report, read back."""
     scored, path = answers.scored_cases(t), t.folder("report")
     write_json_report(evaluate.evaluation_summary(scored), scored, path)
-    return scored.sparkSession.read.json(f"{path}/per_question").select("id", "passed", "confidence")
+    return scored.sparkSession.read.json(f"{path}/{half}")
+
+
+def _as_texts(documents: DataFrame, path: str) -> str:
+    """Each document as a text file in a folder of its own."""
+    documents.write.partitionBy("doc_id").option("lineSep", "\n").text(path)
+    return path
+
+
+def _loaded(t) -> DataFrame:
+    """The four sources of one data folder, written as files, loaded together and counted."""
+    spark, folder = t.raw_assets.sparkSession, t.folder("fleet")
+    _as_csv(t.raw_assets, f"{folder}/assets.csv")
+    _as_csv(t.raw_telemetry, f"{folder}/telemetry.csv")
+    _as_csv(t.raw_maintenance, f"{folder}/maintenance_logs.csv")
+    _as_texts(t.filed_manuals, f"{folder}/manual_excerpts.txt")
+    counts = [
+        rows.agg(F.lit(name).alias("source"), F.count(F.lit(1)).alias("row_count")) for name, rows in load_all(spark, folder).items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
 
 
 def register(registry: Registry) -> None:
@@ -107,12 +131,45 @@ def register(registry: Registry) -> None:
         registry.add(
             name,
             lambda t, build=build: build(t).select("id", "page_content", F.size("embedding").cast("bigint").alias("dims")),
-            f"""WITH {texts.CHUNKS_SQL} SELECT concat('manual_', lang, '_overview_', substr(md5(chunk), 1, 8)) AS id,
+            f"""WITH {texts.CHUNKS_SQL} SELECT concat('manual_', lang, '_overview_', md5(chunk)) AS id,
                     min(chunk) AS page_content, CAST(256 AS BIGINT) AS dims FROM chunks GROUP BY ALL""",
         )
+    registry.add(
+        "index_is_complete",
+        lambda t: _indexed(t).agg(
+            F.count(F.lit(1)).alias("chunks"),
+            F.count_distinct("id").alias("ids"),
+            F.count_distinct("lang", "page_content").alias("contents"),
+        ),
+        f"""WITH {texts.CHUNKS_SQL}, once AS (SELECT DISTINCT lang, chunk FROM chunks)
+            SELECT count(*) AS chunks, count(*) AS ids, count(*) AS contents FROM once""",
+    )
+    registry.add(
+        "report_summary",
+        lambda t: _report(t, "summary").select("total", "passed", "pass_rate", "avg_confidence"),
+        f"""WITH {answers.CASES_SQL}
+            SELECT count(*) AS total, count(*) FILTER (WHERE passed) AS passed, {shown("avg(CAST(passed AS DOUBLE))", 3)} AS pass_rate,
+                {shown("avg(confidence)", 3)} AS avg_confidence FROM scored""",
+        "eval_cases eval_outputs",
+    )
+    registry.add(
+        "manual_from_text",
+        lambda t: read_manual(t.filed_manuals.sparkSession, _as_texts(t.filed_manuals, t.folder("manuals"))).drop("doc_id", "doc_type"),
+        f"WITH {texts.MANUAL_SQL.replace('FROM manuals', 'FROM filed_manuals')} SELECT * EXCLUDE (doc_id) FROM manual_chunks",
+        "filed_manuals",
+    )
+    registry.add(
+        "load_all_profile",
+        _loaded,
+        f"""WITH {fleet.CLEAN_ASSETS_SQL}, {fleet.CLEAN_TELEMETRY_SQL.replace("cleaned", "readings")},
+                {fleet.CLEAN_MAINTENANCE_SQL.replace("cleaned", "events")}, {texts.MANUAL_SQL.replace('FROM manuals', 'FROM filed_manuals')}
+            SELECT 'assets' AS source, count(*) AS row_count FROM assets UNION ALL SELECT 'telemetry', count(*) FROM readings
+            UNION ALL SELECT 'maintenance', count(*) FROM events UNION ALL SELECT 'manual', count(*) FROM manual_chunks""",
+        "raw_assets raw_telemetry raw_maintenance filed_manuals",
+    )
     registry.add(
         "json_report",
-        _reported,
+        lambda t: _report(t, "per_question").select("id", "passed", "confidence"),
         f"WITH {answers.CASES_SQL} SELECT id, passed, confidence FROM scored",
         "eval_cases eval_outputs",
     )

@@ -19,6 +19,14 @@ CHUNKS_SQL = f"""
         WHERE length(chunk) >= 80)
 """
 
+# The tags that hold after the text `earlier`.
+TAGS_SQL = """CASE WHEN contains(earlier, 'SECTION 4') THEN 'General' WHEN contains(earlier, 'SECTION 3') THEN 'LONGi Solar'
+                    WHEN contains(earlier, 'SECTION 2') THEN 'Siemens Gamesa' WHEN contains(earlier, 'SECTION 1') THEN 'Vestas'
+                    ELSE 'Unknown' END AS manufacturer,
+               CASE WHEN contains(earlier, 'SECTION 4') THEN 'All models' WHEN contains(earlier, 'SECTION 3') THEN 'Hi-MO 6'
+                    WHEN contains(earlier, 'SECTION 2') THEN 'SG-6.6-170' WHEN contains(earlier, 'SECTION 1') THEN 'V150-4.5'
+                    ELSE 'Unknown' END AS model"""
+
 # The pieces of each manual from one fault header to the next, with all the text before each.
 BLOCKS_SQL = rf"""
     cuts AS (SELECT doc_id, string_split(text, 'FAULT CODE: ') AS parts FROM manuals),
@@ -29,19 +37,14 @@ BLOCKS_SQL = rf"""
         FROM pieces),
     tagged AS (
         SELECT doc_id, position, regexp_extract(block, 'FAULT CODE: (E-\d+)', 1) AS fault_code,
-               CASE WHEN contains(earlier, 'SECTION 4') THEN 'General' WHEN contains(earlier, 'SECTION 2') THEN 'Siemens Gamesa'
-                    WHEN contains(earlier, 'SECTION 1') THEN 'Vestas' ELSE 'Unknown' END AS manufacturer,
-               CASE WHEN contains(earlier, 'SECTION 4') THEN 'All models' WHEN contains(earlier, 'SECTION 2') THEN 'SG-6.6-170'
-                    WHEN contains(earlier, 'SECTION 1') THEN 'V150-4.5' ELSE 'Unknown' END AS model, block
+               {TAGS_SQL}, block
         FROM blocks WHERE length(block) >= 50)
 """
 
 SECTIONS_SQL = rf"""
     bodies AS (
-        SELECT doc_id, trim(regexp_extract(text, '(?sm)^(\d+\.\d+\s+PERFORMANCE OVERVIEW.*?)(?:^\d+\.\d+\s+[A-Z]|-{{10,}}|\z)', 1), {BLANKS}) AS body,
-               CASE WHEN doc_id % 2 = 0 THEN 'Vestas' ELSE 'Unknown' END AS manufacturer,
-               CASE WHEN doc_id % 2 = 0 THEN 'V150-4.5' ELSE 'Unknown' END AS model
-        FROM manuals),
+        SELECT *, {TAGS_SQL} FROM (SELECT doc_id, substr(text, 1, strpos(text, 'PERFORMANCE OVERVIEW')) AS earlier, trim(regexp_extract(text, '(?sm)^(\d+\.\d+\s+PERFORMANCE OVERVIEW.*?)(?:^\d+\.\d+\s+[A-Z]|-{{10,}}|\z)', 1), {BLANKS}) AS body
+        FROM manuals)),
     sections AS (SELECT doc_id, trim(string_split(body, chr(10))[1], {BLANKS}) AS section, manufacturer, model, body FROM bodies WHERE length(body) >= 100)
 """
 
@@ -57,7 +60,7 @@ MANUAL_SQL = f"""
         SELECT doc_id, concat('[OEM Manual | ', manufacturer, ' ', model, ']', chr(10), chunk), 'narrative', NULL, manufacturer, model, section
         FROM windows WHERE length(chunk) >= 80),
     manual_chunks AS (
-        SELECT concat('manual_', replace(manufacturer, ' ', '_'), '_', coalesce(fault_code, 'overview'), '_', substr(md5(page_content), 1, 8)) AS id, *
+        SELECT concat('manual_', replace(manufacturer, ' ', '_'), '_', coalesce(fault_code, 'overview'), '_', md5(page_content)) AS id, *
         FROM contents)
 """
 
@@ -188,7 +191,7 @@ def register(registry: Registry) -> None:
     registry.add(
         "incremental_index",
         lambda t: search.new_chunks(document_chunks(t), document_chunks(t).filter("lang = 'en'")).select("id", "chunk"),
-        f"""WITH {CHUNKS_SQL}, ided AS (SELECT *, concat('manual_', lang, '_overview_', substr(md5(chunk), 1, 8)) AS id FROM chunks)
+        f"""WITH {CHUNKS_SQL}, ided AS (SELECT *, concat('manual_', lang, '_overview_', md5(chunk)) AS id FROM chunks)
             SELECT id, min(chunk) AS chunk FROM ided WHERE id NOT IN (SELECT id FROM ided WHERE lang = 'en') GROUP BY id""",
     )
     registry.add(

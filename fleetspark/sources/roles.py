@@ -138,13 +138,22 @@ ROLES = {
                    '1.1  PERFORMANCE OVERVIEW', chr(10), text, chr(10),
                    '1.2  FAULT CODES', chr(10),
                    'FAULT CODE: E-', CAST(1000 + doc_id % 7 AS STRING), chr(10), 'Name: ', text, chr(10),
-                   CASE WHEN doc_id % 3 = 0 THEN concat('SECTION 2: SECOND', chr(10)) ELSE '' END,
+                   CASE doc_id % 3 WHEN 0 THEN concat('SECTION 2: SECOND', chr(10)) WHEN 1 THEN concat('SECTION 3: THIRD', chr(10)) ELSE '' END,
                    'FAULT CODE: E-', CAST(2000 + doc_id % 5 AS STRING), chr(10), 'Trigger: ', source, ' is ', lang, chr(10),
                    '----------------', chr(10), 'SECTION 4: GENERAL', chr(10),
                    'FAULT CODE: E-3001', chr(10), text, chr(10), '----------------', chr(10), 'END'
                ) AS text
         FROM {documents}
     """,
+    # Manuals that are filed one by one: the benchmark passages, each under a section of its own.
+    "filed_manuals": """
+        SELECT item_id AS doc_id,
+               concat(
+                   'SECTION ', CAST(1 + item_id % 4 AS STRING), ': FILED', chr(10), '1.1  PERFORMANCE OVERVIEW', chr(10), text, chr(10),
+                   '1.2  FAULT CODES', chr(10), 'FAULT CODE: E-', CAST(1000 + item_id AS STRING), chr(10), text, chr(10), '----------------', chr(10)
+               ) AS text
+        FROM {benchmark}
+    """,
     # Search questions: every benchmark passage, some with a fault code or a manufacturer to narrow by.
     "manual_questions": """
         SELECT item_id AS query_id,

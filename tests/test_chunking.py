@@ -84,7 +84,7 @@ def test_manual_chunks(spark, tmp_path):
     assert sorted(row.chunk_type for row in found) == ["fault_code", "narrative", "narrative"]
     fault = next(row for row in found if row.chunk_type == "fault_code")
     assert fault.page_content == f"[OEM Manual | Vestas V150-4.5]\nFAULT CODE: E-1\n{LONG}".strip()
-    assert fault.id == "manual_Vestas_E-1_" + hashlib.md5(fault.page_content.encode()).hexdigest()[:8]
+    assert fault.id == "manual_Vestas_E-1_" + hashlib.md5(fault.page_content.encode()).hexdigest()
     narrative = next(row for row in found if row.chunk_type == "narrative")
     assert narrative.fault_code is None and narrative.section == "1.1  PERFORMANCE OVERVIEW"
     assert narrative.id.startswith("manual_Vestas_overview_")
