@@ -11,12 +11,27 @@ from ..functions import month_label, rounded
 from ..functions.dates import windows
 from .maintenance import AS_OF, CADENCE_DAYS
 from .months import KEY, add_fleet, mean_of, means_of_months, merged_telemetry, sums, with_months
-from .seasonal import DROP_FLOOR, Z_THRESHOLD, displayed_figures, flagged, scores_of_means
+from .seasonal import AFTER_MONTHS, DROP_FLOOR, Z_THRESHOLD, assets_in_scope, displayed_figures, flagged, scores_of_means
+
+
+# Requests without ids share a few keys, so each of these is dealt into so many parts.
+PARTS = 32
 
 
 def hand_out(requests: DataFrame, reports: DataFrame) -> DataFrame:
-    """Reports of the distinct keys, handed to every request with that key."""
-    return requests.join(reports, KEY)
+    """Reports of the distinct keys, handed to every request with that key.
+
+    All questions about the whole fleet have one of a few keys. They are spread over several parts, and the few reports of
+    such keys are copied to each part; requests with ids have keys of their own.
+    """
+    named = requests.filter(F.size("asset_ids") > 0).join(reports.filter(F.size("asset_ids") > 0), KEY)
+    part = F.pmod(F.xxhash64("request_id"), F.lit(PARTS)).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+    fleet = requests.filter(F.size("asset_ids") <= 0).withColumn("part", part)
+    of_fleet = reports.filter(F.size("asset_ids") <= 0).withColumn("part", copies)
+    windows_and_part = ["date_start", "date_end", "part"]
+    joined = fleet.join(of_fleet.drop("asset_ids"), windows_and_part).drop("part")
+    return named.unionByName(joined)
 
 
 def distinct_keys(requests: DataFrame) -> DataFrame:
@@ -183,6 +198,55 @@ def declining_by_scope(
     return flagged(scores, z_threshold, drop_floor).select("scope", "avail_drop", *displayed_figures())
 
 
+def windows_with_rows(months: DataFrame, year: int) -> DataFrame:
+    """The windows that a question can select in which any asset has telemetry."""
+    seen = months.filter(F.year("month") == year).select("month").distinct()
+    spans = F.array(
+        *[
+            F.struct(
+                F.make_date(F.lit(year), F.lit(first), F.lit(1)).alias("date_start"),
+                F.last_day(F.make_date(F.lit(year), F.lit(last), F.lit(1))).alias("date_end"),
+            )
+            for first, last in windows()
+        ]
+    )
+    covering = F.filter(spans, lambda span: (span["date_start"] <= F.col("month")) & (F.col("month") <= span["date_end"]))
+    return seen.select(F.explode(covering).alias("span")).select("span.*").distinct()
+
+
+def scopes_with_assets(months: DataFrame, assets: DataFrame, locations: tuple[str | None, ...]) -> DataFrame:
+    """The locations of the list that have an asset with telemetry, and null for the fleet."""
+    seen = months.select("asset_id").distinct()
+    return assets_in_scope(assets.join(seen, "asset_id", "left_semi"), locations).select("scope").distinct()
+
+
+def recent_codes(found: DataFrame, faults: DataFrame, year: int) -> DataFrame:
+    """`recent_fault_codes` of each flagged asset and reporting window: its codes with their first descriptions.
+
+    A list has one entry per distinct code of one asset, so the fault catalogue bounds it.
+    """
+    own = faults.join(found.select("asset_id").distinct(), "asset_id", "left_semi")
+    label = month_label(F.col("month"))
+    season = own.filter(F.month("month").isin(*AFTER_MONTHS)).withColumn("comparison_month", F.lit(None).cast("string"))
+    single = own.filter(F.year("month") == year).withColumn("comparison_month", label)
+    codes = season.unionByName(single).groupBy("asset_id", "comparison_month", "fault_code").agg(
+        F.min("first_event")["fault_description"].alias("description")
+    )
+    return codes.groupBy("asset_id", "comparison_month").agg(
+        F.array_sort(F.collect_list(F.struct("fault_code", "description"))).alias("recent_fault_codes")
+    )
+
+
+def with_recent_codes(found: DataFrame, codes: DataFrame) -> DataFrame:
+    """Flagged assets and windows with their fault codes, an empty list when there are none."""
+    left, right = found.alias("found"), codes.alias("codes")
+    same = (F.col("found.asset_id") == F.col("codes.asset_id")) & F.col("found.comparison_month").eqNullSafe(
+        F.col("codes.comparison_month")
+    )
+    none = F.array().cast("array<struct<fault_code:string,description:string>>")
+    return left.join(right, same, "left").select("found.*", F.coalesce("recent_fault_codes", none).alias("recent_fault_codes"))
+
+
 def with_month_means(found: DataFrame, months: DataFrame, year: int) -> DataFrame:
     """Flagged assets once for each reporting window: the later season (null) and every single month."""
     month_means = months.filter(F.year("month") == year).select(

@@ -76,6 +76,27 @@ def _scopes(locations: tuple[str | None, ...]) -> Column:
     return F.explode(F.array_compact(F.array(*[_scope(location) for location in locations])))
 
 
+def assets_in_scope(assets: DataFrame, locations: tuple[str | None, ...]) -> DataFrame:
+    """Assets with each `scope` of the locations that they belong to, and whether their own location equals it."""
+    return (
+        assets.withColumn("in_scope", _scopes(locations))
+        .filter(F.col("in_scope").isNotNull())
+        .select("*", "in_scope.scope", "in_scope.exact")
+        .drop("in_scope")
+    )
+
+
+def location_status(telemetry: DataFrame, assets: DataFrame, location: str | None) -> DataFrame:
+    """One row with `status` and `message`: `no_data` when no asset with telemetry is at the location."""
+    seen = telemetry.select("asset_id").distinct()
+    found = assets_in_scope(assets.join(seen, "asset_id", "left_semi"), (location,)).agg(F.count(F.lit(1)).alias("n"))
+    place = f"no asset at location {location!r}" if location else "no asset"
+    return found.select(
+        F.when(F.col("n") > 0, "ok").otherwise("no_data").alias("status"),
+        F.when(F.col("n") == 0, F.lit(place)).alias("message"),
+    )
+
+
 def scores_of_means(
     means: DataFrame,
     assets: DataFrame,
@@ -102,11 +123,8 @@ def scores_of_means(
             "complete",
             F.col("before_energy").isNotNull() & F.col("after_energy").isNotNull() & F.col("avail_drop").isNotNull(),
         )
-        .withColumn("in_scope", _scopes(locations))
-        .filter(F.col("in_scope").isNotNull())
-        .select("*", "in_scope.scope", "in_scope.exact")
-        .drop("in_scope")
     )
+    scoped = assets_in_scope(scoped, locations)
 
     def when_complete(name: str) -> Column:
         return F.when(F.col("complete"), F.col(name))
@@ -128,7 +146,8 @@ def scores_of_means(
     )
     if guarded:
         peers = peers.filter(F.col("peer_count") >= min_peers)
-    left, right = scoped.filter("complete").alias("asset"), peers.alias("peer")
+    # Two rows at most for each location asked for and class.
+    left, right = scoped.filter("complete").alias("asset"), F.broadcast(peers).alias("peer")
     same_group = (
         F.col("asset.scope").eqNullSafe(F.col("peer.scope"))
         & (F.col("asset.asset_class") == F.col("peer.asset_class"))

@@ -66,19 +66,20 @@ def with_note(json_text: Column, note: Column) -> Column:
     return F.when(note.isNotNull(), F.concat(note, F.lit(SEPARATOR), json_text)).otherwise(json_text)
 
 
-def numbered_results(tool_results: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
+def numbered_results(tool_results: DataFrame, max_chars: int | None = MAX_CHARS) -> DataFrame:
     """One numbered block per result of a request: its data, or its error. Results with neither have no block.
 
-    Blocks stay rows, to be joined in the order of `source_index` where they are shown, so a request may have any number.
+    Data is cut at `max_chars`, if given. Blocks stay rows, to be joined in the order of `source_index` where they are shown, so a request may have any number.
     """
     failed = F.col("error").isNotNull() & (F.col("error") != "")
     head = F.concat(F.lit("[Source "), F.col("source_index").cast("string"), F.lit("] "), F.col("tool"))
+    data = F.col("data_json") if max_chars is None else truncate_with_marker(F.col("data_json"), max_chars, TRUNCATED)
     return (
         tool_results.withColumn(
             "block",
             F.when(failed, F.concat(head, F.lit(" ERROR: "), F.col("error"))).when(
                 F.col("data_json").isNotNull(),
-                F.concat(head, F.lit(":\n"), truncate_with_marker(F.col("data_json"), max_chars, TRUNCATED)),
+                F.concat(head, F.lit(":\n"), data),
             ),
         )
         .filter(F.col("block").isNotNull())
@@ -86,6 +87,25 @@ def numbered_results(tool_results: DataFrame, max_chars: int = MAX_CHARS) -> Dat
     )
 
 
+def answer_context(tool_results: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
+    """One text per request: the numbered blocks of its results in order, errors included.
+
+    A result whose data has notes on cut lists is headed by them. A request has as many results as its plan has tools, which
+    bounds its list.
+    """
+    notes = F.array_distinct(F.regexp_extract_all("data_json", F.lit(r'"note":"([^"]*)"'), F.lit(1)))
+    headed = tool_results.withColumn("notes", F.nullif(F.array_join(notes, "\n"), F.lit("")))
+    blocks = numbered_results(headed.withColumn("data_json", _cut_below_note(max_chars)), None)
+    ordered = F.array_sort(F.collect_list(F.struct("source_index", "block")))
+    return blocks.groupBy("request_id").agg(
+        F.array_join(F.transform(ordered, lambda item: item["block"]), SEPARATOR).alias("context")
+    )
+
+
+def _cut_below_note(max_chars: int) -> Column:
+    return with_note(truncate_with_marker(F.col("data_json"), max_chars, TRUNCATED), F.col("notes"))
+
+
 def judge_evidence(tool_results: DataFrame, max_chars: int = JUDGE_CHARS) -> DataFrame:
     """The sources that a judge sees, as one text per request: results with data and no error, cut at `max_chars`.
 

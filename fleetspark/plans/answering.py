@@ -14,10 +14,14 @@ from ..operators.batch import (
     hand_out,
     low_availability_by_window,
     maintenance_by_key,
+    recent_codes,
+    scopes_with_assets,
     telemetry_by_key,
     trend_by_key,
+    windows_with_rows,
     with_ids,
     with_month_means,
+    with_recent_codes,
 )
 from ..operators.intent import LOCATIONS, with_intent, with_search_filters
 from ..operators.maintenance import AS_OF, CADENCE_DAYS
@@ -32,7 +36,7 @@ from ..operators.search import (
     with_content,
 )
 from ..operators.seasonal import DROP_FLOOR, Z_THRESHOLD
-from ..operators.shape import capped_lists
+from ..operators.shape import LIST_CAP, capped_lists
 
 
 def _results(reports: DataFrame, tool: str, figures: list[Column]) -> DataFrame:
@@ -42,7 +46,7 @@ def _results(reports: DataFrame, tool: str, figures: list[Column]) -> DataFrame:
     found = F.struct(label.alias("asset_id"), span.alias("date_range"), *figures)
     payload = F.when(
         F.col("status") == "ok", F.to_json(F.struct("status", found.alias("data")))
-    ).otherwise(F.to_json(F.struct("status", F.struct(*KEY).alias("filters"))))
+    ).otherwise(F.to_json(F.struct("status", F.lit("no rows match the filters").alias("message"), F.struct(*KEY).alias("filters"))))
     return reports.select(
         "request_id",
         F.lit(tool).alias("tool"),
@@ -52,11 +56,11 @@ def _results(reports: DataFrame, tool: str, figures: list[Column]) -> DataFrame:
     )
 
 
-def telemetry_results(requests: DataFrame, months: DataFrame, faults: DataFrame) -> DataFrame:
+def telemetry_results(requests: DataFrame, months: DataFrame, faults: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
     """Telemetry reports as tool results, with the fault codes (cut, with their number) and the monthly trend."""
     keys = distinct_keys(requests)
     fault_columns = ["fault_code", "fault_count", "description", "first_date", "last_date"]
-    fault_lists = capped_lists(faults_by_key(keys, faults), KEY, [F.col("fault_code")], fault_columns).select(
+    fault_lists = capped_lists(faults_by_key(keys, faults), KEY, [F.col("fault_code")], fault_columns, list_cap).select(
         *KEY, F.col("items").alias("fault_events"), F.col("total_count").alias("fault_codes"), F.col("note")
     )
     # A window has six months at most, which bounds this list.
@@ -84,15 +88,20 @@ def telemetry_results(requests: DataFrame, months: DataFrame, faults: DataFrame)
 
 
 def maintenance_results(
-    requests: DataFrame, months: DataFrame, logs: DataFrame, as_of: str = AS_OF, cadence_days: int = CADENCE_DAYS
+    requests: DataFrame,
+    months: DataFrame,
+    logs: DataFrame,
+    as_of: str = AS_OF,
+    cadence_days: int = CADENCE_DAYS,
+    list_cap: int = LIST_CAP,
 ) -> DataFrame:
     """Maintenance reports as tool results, with the first events, the codes mentioned and the parts used."""
     named = with_ids(requests)
     keys = distinct_keys(named)
-    first_events = with_months(keys, event_months(logs)).select(*KEY, "event.*")
+    first_events = with_months(keys, event_months(logs, list_cap)).select(*KEY, "event.*")
     columns = [name for name in first_events.columns if name not in KEY]
     # The total of the list is the event count of the report, since the table of first events is itself cut.
-    event_lists = capped_lists(first_events, KEY, [F.col("date"), F.col("log_id")], columns).select(
+    event_lists = capped_lists(first_events, KEY, [F.col("date"), F.col("log_id")], columns, list_cap).select(
         *KEY, F.col("items").alias("events")
     )
     # Distinct codes and parts of one key: short lists, bounded by the catalogues of codes and parts.
@@ -143,22 +152,61 @@ def maintenance_results(
     return answered.unionByName(unnamed)
 
 
-def list_reports(requests: DataFrame, rows: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
-    """A list report for each request: at most `LIST_CAP` rows of its key, the total, and a note when the list was cut.
+def list_reports(
+    requests: DataFrame, rows: DataFrame, keys: list[str], order: list[Column], list_cap: int = LIST_CAP
+) -> DataFrame:
+    """A list for each request: at most `list_cap` rows of its key, the total, and a note when the list was cut.
 
-    `rows` are cut per distinct key before they meet the requests, so a request receives one short list.
+    `rows` are cut per distinct key before they meet the requests. A key is one of the windows, or of the locations and
+    months, that a question can select, so the lists are few and short and are broadcast; no key is too common then.
     """
     columns = [column for column in rows.columns if column not in keys]
-    keyed = rows.withColumn("list_key", F.to_json(F.struct(*keys)))
-    lists = capped_lists(keyed, "list_key", order, columns)
-    report = F.struct(F.coalesce("total_count", F.lit(0)).alias("total_count"), F.col("note"), F.col("items"))
+    lists = capped_lists(rows.withColumn("list_key", F.to_json(F.struct(*keys))), "list_key", order, columns, list_cap)
     return (
         requests.withColumn("list_key", F.to_json(F.struct(*keys)))
-        .join(lists, "list_key", "left")
-        .select("request_id", report.alias(name))
+        .join(F.broadcast(lists), "list_key", "left")
+        .withColumn("total_count", F.coalesce("total_count", F.lit(0)))
+        .drop("list_key")
     )
 
 
+def low_availability_report(lists: DataFrame, windows: DataFrame, threshold: float) -> DataFrame:
+    """The lists as reports with their window and threshold; `no_data` where nobody has telemetry in the window."""
+    known = lists.join(F.broadcast(windows.withColumn("has_rows", F.lit(True))), ["date_start", "date_end"], "left")
+    ok = F.col("has_rows").isNotNull()
+    span = F.concat(F.col("date_start").cast("string"), F.lit(" to "), F.col("date_end").cast("string"))
+    # Null fields do not appear in the JSON.
+    report = F.struct(
+        F.when(ok, "ok").otherwise("no_data").alias("status"),
+        F.when(~ok, "no telemetry in the window").alias("message"),
+        span.alias("date_range"),
+        F.lit(float(threshold)).alias("threshold_pct"),
+        F.when(ok, F.col("total_count")).alias("low_availability_count"),
+        F.col("note"),
+        F.col("items").alias("assets"),
+    )
+    return known.select("request_id", report.alias("low_availability"))
+
+
+def declining_report(lists: DataFrame, scopes: DataFrame, z_threshold: float, drop_floor: float) -> DataFrame:
+    """The lists as reports with their location and thresholds; `no_data` where no asset is at the location."""
+    named, found = lists.alias("lists"), F.broadcast(scopes.withColumn("has_assets", F.lit(True))).alias("scopes")
+    known = named.join(found, F.col("lists.location").eqNullSafe(F.col("scopes.scope")), "left")
+    ok = F.col("has_assets").isNotNull()
+    report = F.struct(
+        F.when(ok, "ok").otherwise("no_data").alias("status"),
+        F.when(~ok, F.concat(F.lit("no asset at location "), F.coalesce("location", F.lit("(any)")))).alias("message"),
+        F.col("location").alias("location_filter"),
+        F.lit(float(z_threshold)).alias("ratio_threshold"),
+        F.lit(float(drop_floor)).alias("avail_drop_floor_pct_pts"),
+        F.coalesce("comparison_month", F.lit("after season")).alias("reporting_window"),
+        F.when(ok, F.col("total_count")).alias("underperforming_count"),
+        F.col("note"),
+        F.col("items").alias("underperforming_assets"),
+    )
+    return known.select("request_id", report.alias("declining_energy"))
+
+
 def broad_results(low: DataFrame, declining: DataFrame, tool: str) -> DataFrame:
     """Results of questions about the whole fleet; a question about both lists receives both in one result."""
     return low.join(declining, "request_id", "full_outer").select(
@@ -166,7 +214,6 @@ def broad_results(low: DataFrame, declining: DataFrame, tool: str) -> DataFrame:
         F.lit(tool).alias("tool"),
         F.lit("ok").alias("status"),
         F.lit(None).cast("string").alias("error"),
-        # Null fields do not appear in the JSON.
         F.to_json(F.struct("low_availability", "declining_energy")).alias("data_json"),
     )
 
@@ -190,7 +237,12 @@ def lookup_results(lookups: DataFrame, assets: DataFrame) -> DataFrame:
     )
     single = (F.size("assets") == 1) & (F.col("status") == "ok")
     data = F.when(single, F.to_json(F.get("assets", F.lit(0)))).otherwise(F.to_json(F.struct("assets")))
-    return lookups.join(rows, "asset_ids", "left").select(
+    # Requests without ids have no assets to meet, and would all share one key.
+    none = F.lit(None).cast(rows.schema["assets"].dataType)
+    with_assets = found.join(rows, "asset_ids", "left").unionByName(
+        lookups.filter((F.size("asset_ids") <= 0) | F.col("asset_ids").isNull()).withColumn("assets", none)
+    )
+    return with_assets.select(
         "request_id",
         F.lit("asset_lookup").alias("tool"),
         "status",
@@ -259,6 +311,7 @@ def answer_requests(
     drop_floor: float = DROP_FLOOR,
     as_of: str = AS_OF,
     searched: DataFrame | None = None,
+    list_cap: int = LIST_CAP,
 ) -> DataFrame:
     """Tool results of a table of requests: `request_id`, `source_index`, `tool`, `status`, `error`, `data_json`.
 
@@ -266,7 +319,7 @@ def answer_requests(
     used where the plan has a lookup, and an error there skips the telemetry and maintenance of the request. The month
     tables come from `telemetry_months`, `fault_months` and `maintenance_months`; store or materialise them, since several
     reports read them. `logs` is the maintenance log itself, for the event lists. `searched` holds the
-    `manual_results`, if any. Sources are numbered in the order of the plan.
+    `manual_results`, if any. Lists show at most `list_cap` rows and tell their total. Sources are numbered in the order of the plan.
 
     The requests with their intent are written once to the checkpoint folder, as every kind of report starts from them.
     """
@@ -295,24 +348,31 @@ def answer_requests(
     wants_energy = telemetry.filter("kind IN ('declining_energy', 'combined')").select(
         "request_id", "location", "comparison_month"
     )
-    low = low_availability_by_window(telemetry_by_month, year, threshold)
+    low = list_reports(
+        wants_low,
+        low_availability_by_window(telemetry_by_month, year, threshold),
+        ["date_start", "date_end"],
+        [F.col("mean_availability_pct"), F.col("asset_id")],
+        list_cap,
+    )
     scopes = (None, *locations)
-    declining = declining_by_scope(telemetry_by_month, assets, scopes, z_threshold, drop_floor)
-    by_window = with_month_means(declining, telemetry_by_month, year).withColumnRenamed("scope", "location")
+    found = declining_by_scope(telemetry_by_month, assets, scopes, z_threshold, drop_floor)
+    by_window = with_recent_codes(
+        with_month_means(found, telemetry_by_month, year), recent_codes(found, faults_by_month, year)
+    ).withColumnRenamed("scope", "location")
+    declining = list_reports(
+        wants_energy, by_window, ["location", "comparison_month"], [F.desc("avail_drop"), F.col("asset_id")], list_cap
+    )
     service = planned("maintenance_tool", gated=False).select("request_id", *KEY)
     parts = [
         lookup_results(lookups.join(joined.filter(looked_up).select("request_id"), "request_id", "left_semi"), assets),
-        telemetry_results(per_asset, telemetry_by_month, faults_by_month),
+        telemetry_results(per_asset, telemetry_by_month, faults_by_month, list_cap),
         broad_results(
-            list_reports(
-                wants_low, low, ["date_start", "date_end"], [F.col("mean_availability_pct"), F.col("asset_id")], "low_availability"
-            ),
-            list_reports(
-                wants_energy, by_window, ["location", "comparison_month"], [F.desc("avail_drop"), F.col("asset_id")], "declining_energy"
-            ),
+            low_availability_report(low, windows_with_rows(telemetry_by_month, year), threshold),
+            declining_report(declining, scopes_with_assets(telemetry_by_month, assets, scopes), z_threshold, drop_floor),
             "telemetry_tool",
         ),
-        maintenance_results(service, maintenance_by_month, logs, as_of),
+        maintenance_results(service, maintenance_by_month, logs, as_of, list_cap=list_cap),
         skipped_results(planned("telemetry_tool", gated=True), lookups, "telemetry_tool"),
         skipped_results(planned("maintenance_tool", gated=True), lookups, "maintenance_tool"),
     ]

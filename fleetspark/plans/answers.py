@@ -234,6 +234,17 @@ def register(registry: Registry) -> None:
            FROM tool_results WHERE error IS NOT NULL OR data_json IS NOT NULL""",
         "tool_results",
     )
+    registry.add(
+        "answer_context",
+        lambda t: shape.answer_context(t.tool_results, 40),
+        """WITH blocks AS (
+                SELECT request_id, source_index, CASE WHEN error IS NOT NULL THEN '[Source ' || source_index || '] ' || tool || ' ERROR: ' || error
+                     ELSE '[Source ' || source_index || '] ' || tool || ':' || chr(10) ||
+                          CASE WHEN length(data_json) > 40 THEN substring(data_json, 1, 40) || chr(10) || '... [truncated]' ELSE data_json END END AS block
+                FROM tool_results WHERE error IS NOT NULL OR data_json IS NOT NULL)
+            SELECT request_id, string_agg(block, chr(10) || chr(10) ORDER BY source_index) AS context FROM blocks GROUP BY request_id""",
+        "tool_results",
+    )
     registry.add(
         "judge_evidence",
         lambda t: shape.judge_evidence(t.tool_results, 120),

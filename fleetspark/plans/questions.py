@@ -82,6 +82,37 @@ TOOLS = """CASE WHEN question LIKE 'Compare%' THEN array('asset_lookup', 'teleme
 TOOLS_SQL = TOOLS.replace("array(", "list_value(")
 
 
+def _declining_sql(scopes: str) -> str:
+    """SQL of the figures of every asset in each of the scopes."""
+    return f"""
+        scopes AS (SELECT unnest([{scopes}]) AS scope),
+        means AS (
+            SELECT asset_id, avg(energy_kwh) FILTER (WHERE month(date) IN (1, 2)) AS before_energy,
+                avg(energy_kwh) FILTER (WHERE month(date) IN (3, 4, 5, 6)) AS after_energy,
+                avg(availability_pct) FILTER (WHERE month(date) IN (1, 2)) - avg(availability_pct) FILTER (WHERE month(date) IN (3, 4, 5, 6)) AS avail_drop
+            FROM question_telemetry GROUP BY asset_id),
+        joined AS (
+            SELECT scope, m.*, a.type AS asset_class, after_energy / nullif(before_energy, 0) AS ratio, lower(location) = lower(scope) AS exact
+            FROM scopes JOIN means m ON true JOIN question_assets a ON m.asset_id = a.asset_id
+            WHERE scope IS NULL OR contains(lower(location), lower(scope))),
+        chosen AS (SELECT *, bool_or(exact) OVER (PARTITION BY scope) AS any_exact FROM joined),
+        figures AS (
+            SELECT *, count(*) OVER c AS peer_count, avg(ratio) OVER c AS rm, stddev_samp(ratio) OVER c AS rs, avg(avail_drop) OVER c AS dm,
+                stddev_samp(avail_drop) OVER c AS ds
+            FROM chosen WHERE (scope IS NULL OR exact = any_exact) AND before_energy + after_energy + avail_drop IS NOT NULL
+            WINDOW c AS (PARTITION BY scope, asset_class)),
+        scored AS (
+            SELECT *, coalesce((ratio - rm) / nullif(rs, 0), 0) AS z_ratio, coalesce((avail_drop - dm) / nullif(ds, 0), 0) AS z_drop
+            FROM figures WHERE peer_count >= 3)
+    """
+
+
+def _unpacked(t, schema: str):
+    """The data of the telemetry results, by field."""
+    found = request_results(t).filter("tool = 'telemetry_tool' AND data_json IS NOT NULL")
+    return found.select("request_id", F.from_json("data_json", schema).alias("data")).select("request_id", "data.*")
+
+
 def request_results(t):
     """All tool results of all requests, as JSON. The lookups and the month tables are written
     once, since many reports read them."""
@@ -261,25 +292,7 @@ def register(registry: Registry) -> None:
         lambda t: batch.declining_by_scope(
             months.telemetry_months(t.question_telemetry), t.question_assets, LOCATIONS, -1.0, 0.3
         ).select("scope", "asset_id", "asset_class", "z_score_ratio", "z_score_avail_drop", "seasonal_ratio", "avail_drop_pct_pts"),
-        f"""WITH scopes AS (SELECT unnest([NULL, 'Northern Spain', 'Galicia', 'Aragon', 'Spain', 'Atlantis']) AS scope),
-            means AS (
-                SELECT asset_id, avg(energy_kwh) FILTER (WHERE month(date) IN (1, 2)) AS before_energy,
-                    avg(energy_kwh) FILTER (WHERE month(date) IN (3, 4, 5, 6)) AS after_energy,
-                    avg(availability_pct) FILTER (WHERE month(date) IN (1, 2)) - avg(availability_pct) FILTER (WHERE month(date) IN (3, 4, 5, 6)) AS avail_drop
-                FROM question_telemetry GROUP BY asset_id),
-            joined AS (
-                SELECT scope, m.*, a.type AS asset_class, after_energy / nullif(before_energy, 0) AS ratio, lower(location) = lower(scope) AS exact
-                FROM scopes JOIN means m ON true JOIN question_assets a ON m.asset_id = a.asset_id
-                WHERE scope IS NULL OR contains(lower(location), lower(scope))),
-            chosen AS (SELECT *, bool_or(exact) OVER (PARTITION BY scope) AS any_exact FROM joined),
-            figures AS (
-                SELECT *, count(*) OVER c AS peer_count, avg(ratio) OVER c AS rm, stddev_samp(ratio) OVER c AS rs, avg(avail_drop) OVER c AS dm,
-                    stddev_samp(avail_drop) OVER c AS ds
-                FROM chosen WHERE (scope IS NULL OR exact = any_exact) AND before_energy + after_energy + avail_drop IS NOT NULL
-                WINDOW c AS (PARTITION BY scope, asset_class)),
-            scored AS (
-                SELECT *, coalesce((ratio - rm) / nullif(rs, 0), 0) AS z_ratio, coalesce((avail_drop - dm) / nullif(ds, 0), 0) AS z_drop
-                FROM figures WHERE peer_count >= 3)
+        f"""WITH {_declining_sql("NULL, 'Northern Spain', 'Galicia', 'Aragon', 'Spain', 'Atlantis'")}
             SELECT scope, asset_id, asset_class, {shown("z_ratio", 2)} AS z_score_ratio, {shown("z_drop", 2)} AS z_score_avail_drop,
                 {shown("ratio", 3)} AS seasonal_ratio, {shown("avail_drop", 2)} AS avail_drop_pct_pts
             FROM scored WHERE z_ratio <= -1.0 OR avail_drop >= 0.3""",
@@ -300,4 +313,107 @@ def register(registry: Registry) -> None:
             FROM gates""",
         "questions question_assets",
     )
+    gates_sql = f"""
+        statuses AS ({status_sql}), {WINDOW_SQL}, {IDS_SQL}, plans AS (SELECT request_id, question, {TOOLS_SQL} AS tools FROM questions),
+        gates AS (
+            SELECT p.request_id, p.tools, w.q, w.date_start, w.date_end, strftime(w.date_start, '%Y-%m') AS label, w.first_month = w.last_month AS single,
+                CASE WHEN list_contains(tools, 'asset_lookup') AND s.asset_ids <> '' THEN s.asset_ids ELSE coalesce(l.ids, '') END AS ids,
+                regexp_matches(w.q, 'which assets|all assets|underperform|degraded|declining|consistent') AND l.ids IS NULL AS is_broad,
+                regexp_matches(w.q, 'availability|below 90|below 80|uptime') AS wants_availability,
+                regexp_matches(w.q, 'underperform|declining|degraded|output|energy') AS wants_energy
+            FROM plans p JOIN statuses s ON p.request_id = s.request_id JOIN windowed w ON p.request_id = w.request_id
+            LEFT JOIN id_lists l ON p.request_id = l.request_id
+            WHERE list_contains(tools, 'telemetry_tool') AND NOT (list_contains(tools, 'asset_lookup') AND s.error IS NOT NULL))"""
+    registry.add(
+        "batch_telemetry",
+        lambda t: _unpacked(t, "status string, data struct<asset_id:string,days:bigint,avg_energy_kwh:double,total_energy_kwh:double,"
+        "avg_availability_pct:double,min_availability_pct:double,fault_count:bigint,fault_codes:bigint,"
+        "monthly_trend:array<struct<month:string>>>, low_availability string, declining_energy string")
+        .filter("low_availability IS NULL AND declining_energy IS NULL")
+        .select("request_id", "status", "data.*")
+        .withColumns({"fault_codes": F.coalesce("fault_codes", F.lit(0)), "monthly_trend": F.array_join("monthly_trend.month", ",")})
+        .filter("status = 'ok'"),
+        f"""WITH {gates_sql},
+            keys AS (SELECT DISTINCT ids, date_start, date_end FROM gates WHERE NOT is_broad),
+            members AS (SELECT *, unnest(CASE WHEN ids = '' THEN [NULL] ELSE string_split(ids, ',') END) AS member FROM keys),
+            matched AS (
+                SELECT ids, date_start, date_end, t.* FROM members JOIN question_telemetry t ON t.asset_id = member AND t.date BETWEEN date_start AND date_end
+                UNION ALL SELECT ids, date_start, date_end, t.* FROM members JOIN question_telemetry t ON t.date BETWEEN date_start AND date_end WHERE member IS NULL),
+            figures AS (
+                SELECT ids, date_start, date_end, count(*) AS days, {shown("avg(energy_kwh)", 2)} AS avg_energy_kwh, {shown("sum(energy_kwh)", 2)} AS total_energy_kwh,
+                    {shown("avg(availability_pct)", 2)} AS avg_availability_pct, {shown("min(availability_pct)", 2)} AS min_availability_pct,
+                    count(*) FILTER (WHERE fault_code <> '') AS fault_count, count(DISTINCT fault_code) FILTER (WHERE fault_code <> '') AS fault_codes,
+                    array_to_string(list_sort(list(DISTINCT strftime(date, '%Y-%m'))), ',') AS monthly_trend
+                FROM matched GROUP BY ALL)
+            SELECT request_id, 'ok' AS status, CASE WHEN g.ids = '' THEN 'all' ELSE replace(g.ids, ',', ', ') END AS asset_id, f.* EXCLUDE (ids, date_start, date_end)
+            FROM gates g JOIN figures f ON g.ids = f.ids AND g.date_start = f.date_start AND g.date_end = f.date_end WHERE NOT is_broad""",
+        "questions question_assets question_telemetry",
+    )
+    registry.add(
+        "batch_availability",
+        lambda t: _unpacked(t, "low_availability struct<status:string,date_range:string,threshold_pct:double,low_availability_count:bigint,"
+        "assets:array<struct<position:bigint,asset_id:string,mean_availability_pct:double,min_availability_pct:double,fault_events_in_period:bigint>>>")
+        .filter("low_availability IS NOT NULL")
+        .select("request_id", "low_availability.*")
+        .select("*", F.explode_outer("assets").alias("one"))
+        .select("*", "one.*")
+        .drop("assets", "one"),
+        f"""WITH {gates_sql},
+            spans AS (SELECT DISTINCT date_start, date_end FROM gates WHERE is_broad AND wants_availability),
+            seen AS (SELECT DISTINCT date_start, date_end FROM spans JOIN question_telemetry ON date BETWEEN date_start AND date_end),
+            low AS (
+                SELECT date_start, date_end, asset_id, {shown("avg(availability_pct)", 2)} AS mean_availability_pct,
+                    {shown("min(availability_pct)", 2)} AS min_availability_pct, count(fault_code) AS fault_events_in_period
+                FROM spans JOIN question_telemetry ON date BETWEEN date_start AND date_end GROUP BY ALL HAVING mean_availability_pct < 95.0),
+            ranked AS (
+                SELECT *, row_number() OVER (PARTITION BY date_start, date_end ORDER BY mean_availability_pct, asset_id) AS position,
+                    count(*) OVER (PARTITION BY date_start, date_end) AS total FROM low)
+            SELECT request_id, CASE WHEN s.date_start IS NULL THEN 'no_data' ELSE 'ok' END AS status, strftime(g.date_start, '%Y-%m-%d') || ' to ' || strftime(g.date_end, '%Y-%m-%d') AS date_range,
+                CAST(95 AS DOUBLE) AS threshold_pct, CASE WHEN s.date_start IS NOT NULL THEN coalesce(total, 0) END AS low_availability_count,
+                position, asset_id, mean_availability_pct, min_availability_pct, fault_events_in_period
+            FROM gates g LEFT JOIN seen s ON g.date_start = s.date_start AND g.date_end = s.date_end
+            LEFT JOIN ranked r ON g.date_start = r.date_start AND g.date_end = r.date_end AND position <= 10
+            WHERE is_broad AND wants_availability""",
+        "questions question_assets question_telemetry",
+    )
+    registry.add(
+        "batch_energy",
+        lambda t: _unpacked(t, "declining_energy struct<status:string,location_filter:string,ratio_threshold:double,avail_drop_floor_pct_pts:double,"
+        "reporting_window:string,underperforming_count:bigint,underperforming_assets:array<struct<position:bigint,asset_id:string,asset_class:string,"
+        "z_score_ratio:double,z_score_avail_drop:double,seasonal_ratio:double,avail_drop_pct_pts:double,reporting_avg_kwh:double,"
+        "recent_fault_codes:array<struct<fault_code:string>>>>>")
+        .filter("declining_energy IS NOT NULL")
+        .select("request_id", "declining_energy.*")
+        .select("*", F.explode_outer("underperforming_assets").alias("one"))
+        .select("*", "one.*")
+        .withColumn("recent_fault_codes", F.array_join("recent_fault_codes.fault_code", ","))
+        .drop("underperforming_assets", "one"),
+        f"""WITH {gates_sql},
+            asked AS (
+                SELECT request_id, CASE WHEN contains(q, 'galicia') THEN 'Galicia' WHEN contains(q, 'southern spain') THEN 'Southern Spain' END AS scope,
+                    CASE WHEN single THEN label END AS label
+                FROM gates WHERE is_broad AND (wants_energy OR NOT wants_availability)),
+            {_declining_sql("NULL, 'Galicia', 'Southern Spain'")},
+            flagged AS (SELECT * FROM scored WHERE z_ratio <= -1.0 OR avail_drop >= 0.3),
+            ranked AS (
+                SELECT *, row_number() OVER (PARTITION BY scope ORDER BY avail_drop DESC, asset_id) AS position, count(*) OVER (PARTITION BY scope) AS total FROM flagged),
+            labels AS (SELECT DISTINCT label FROM asked),
+            in_window AS (
+                SELECT label, t.* FROM labels JOIN question_telemetry t ON CASE WHEN label IS NULL THEN month(date) IN (3, 4, 5, 6) ELSE strftime(date, '%Y-%m') = label END),
+            means_in AS (SELECT label, asset_id, {shown("avg(energy_kwh)", 0)} AS reporting_avg_kwh FROM in_window GROUP BY ALL),
+            codes_in AS (SELECT label, asset_id, array_to_string(list_sort(list(DISTINCT fault_code)), ',') AS codes FROM in_window WHERE fault_code <> '' GROUP BY ALL),
+            places AS (SELECT DISTINCT scope FROM joined)
+            SELECT request_id, CASE WHEN EXISTS (SELECT 1 FROM places p WHERE p.scope IS NOT DISTINCT FROM a.scope) THEN 'ok' ELSE 'no_data' END AS status,
+                a.scope AS location_filter, CAST(-1 AS DOUBLE) AS ratio_threshold, CAST(0.3 AS DOUBLE) AS avail_drop_floor_pct_pts,
+                coalesce(a.label, 'after season') AS reporting_window,
+                CASE WHEN EXISTS (SELECT 1 FROM places p WHERE p.scope IS NOT DISTINCT FROM a.scope) THEN coalesce(total, 0) END AS underperforming_count,
+                position, r.asset_id, asset_class, {shown("z_ratio", 2)} AS z_score_ratio, {shown("z_drop", 2)} AS z_score_avail_drop,
+                {shown("ratio", 3)} AS seasonal_ratio, {shown("avail_drop", 2)} AS avail_drop_pct_pts, m.reporting_avg_kwh,
+                CASE WHEN r.asset_id IS NOT NULL THEN coalesce(codes, '') END AS recent_fault_codes
+            FROM asked a LEFT JOIN ranked r ON a.scope IS NOT DISTINCT FROM r.scope AND position <= 10
+            LEFT JOIN means_in m ON m.asset_id = r.asset_id AND m.label IS NOT DISTINCT FROM a.label
+            LEFT JOIN codes_in c ON c.asset_id = r.asset_id AND c.label IS NOT DISTINCT FROM a.label""",
+        "questions question_assets question_telemetry",
+    )
+    # Whole results; the figures in them are checked by the three queries above.
     registry.add("request_results_json", request_results)

@@ -88,13 +88,15 @@ def test_every_kind_of_request(spark):
     }
     data = {key: json.loads(row.data_json) for key, row in found.items() if row.data_json}
     assert data[0, 2]["data"]["days"] == 1 and data[0, 2]["data"]["avg_energy_kwh"] == 100.0
-    assert data[1, 1]["low_availability"]["total_count"] == 12
-    assert len(data[1, 1]["low_availability"]["items"]) == 10
+    assert data[1, 1]["low_availability"]["low_availability_count"] == 12
+    assert data[1, 1]["low_availability"]["date_range"] == "2024-01-01 to 2024-06-30"
+    assert len(data[1, 1]["low_availability"]["assets"]) == 10
     assert data[1, 1]["low_availability"]["note"] == "list truncated: showing top 10 of 12"
     assert "declining_energy" not in data[1, 1]
-    declining = data[2, 1]["declining_energy"]["items"]
+    declining = data[2, 1]["declining_energy"]["underperforming_assets"]
     assert [item["asset_id"] for item in declining] == ["WT-004"] and declining[0]["avail_drop_pct_pts"] == 12.0
-    assert data[2, 1]["low_availability"]["total_count"] == 12
+    assert data[2, 1]["low_availability"]["low_availability_count"] == 12
+    assert data[2, 1]["declining_energy"]["location_filter"] == "Galicia" and data[2, 1]["declining_energy"]["status"] == "ok"
     assert found[3, 2].error == "skipped: Asset 'WT-777' not found" and (3, 2) not in data
     assert [one["asset_id"] for one in data[3, 1]["assets"]] == ["WT-001"]
     assert data[0, 1] == {"asset_id": "WT-001", "type": "wind", "location": "Galicia"}
