@@ -1,7 +1,9 @@
 """The chunk index and top-k search over vectors."""
 
+import itertools
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,14 +22,15 @@ MIN_SCORE = 0.30
 TOP_K = 5
 SNIPPET = 200
 
-# A batch of queries travels to the executors as one broadcast matrix. Larger sets take `_blocked_candidates`.
-BROADCAST_QUERY_BYTES = 16 * 1024 * 1024
-PUSHED_VALUES = 200
-QUERIES_PER_BLOCK = 512
-ROWS_PER_SLICE = 50_000
-# Rows scored in one step, which bounds the score matrix of a task.
+# A tile scores at most some so many queries against so many vectors; both sides of a filter value are cut into tiles.
+QUERIES_PER_TILE = 512
+ROWS_PER_TILE = 50_000
+# Rows scored in one step, which bounds the score matrix of a task: 4,096 x 512 scores of eight bytes, 16 MB.
 ROWS_PER_STEP = 4096
 
+# A filter value is common when it holds more than one row in so many, so there are at most as many common values.
+COMMON = 1000
+
 
 def new_chunks(chunks: DataFrame, stored: DataFrame | None) -> DataFrame:
     """Chunks whose id is not stored yet, each id once. Of the stored table only the id column is read."""
@@ -43,16 +46,7 @@ def _unit(rows: Iterable, width: int | None = None) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def _allowed(wanted: pd.Series, present: pd.Series) -> np.ndarray:
-    """Which rows each query may match: equal values, or all when the query's value is null."""
-    codes, _ = pd.factorize(pd.concat([wanted, present], ignore_index=True).astype(object))
-    mine, theirs = codes[: len(wanted), None], codes[None, len(wanted) :]
-    return (mine < 0) | (mine == theirs)
-
-
-def _best_rows(
-    queries: pd.DataFrame, unit_queries: np.ndarray, docs: pd.DataFrame, k: int, filters: tuple[str, ...]
-) -> pd.DataFrame:
+def _best_rows(queries: pd.DataFrame, unit_queries: np.ndarray, docs: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best rows of `docs` for every query, ties by id."""
     if docs.empty or queries.empty:
         return pd.DataFrame({"query_id": [], "id": [], "raw_score": []})
@@ -63,18 +57,19 @@ def _best_rows(
     place = np.empty(count, dtype=np.int64)
     place[np.argsort(ids, kind="stable")] = np.arange(count)
     keys = steps * count + (count - 1 - place)[None, :]
-    usable = np.ones_like(keys, dtype=bool)
-    for name in filters:
-        usable &= _allowed(queries[name], docs[name])
-    keys[~usable] = np.iinfo(np.int64).min
     if count > k:
         best = np.argpartition(keys, count - k, axis=1)[:, count - k :]
     else:
         best = np.broadcast_to(np.arange(count), keys.shape)
-    rows = np.broadcast_to(np.arange(len(queries))[:, None], best.shape)
-    rows, best = rows[np.take_along_axis(usable, best, 1)], best[np.take_along_axis(usable, best, 1)]
+    rows = np.broadcast_to(np.arange(len(queries))[:, None], best.shape).ravel()
+    best = best.ravel()
+    asked = queries["query_id"].to_numpy()
     return pd.DataFrame(
-        {"query_id": queries["query_id"].to_numpy()[rows], "id": ids[best], "raw_score": steps[rows, best] / 1e4}
+        {
+            "query_id": pd.Series(asked[rows], dtype=asked.dtype),
+            "id": pd.Series(ids[best], dtype=ids.dtype),
+            "raw_score": steps[rows, best] / 1e4,
+        }
     )
 
 
@@ -94,65 +89,28 @@ def _hit_schema(docs: DataFrame, queries: DataFrame) -> T.StructType:
     )
 
 
-def _broadcast_candidates(docs: DataFrame, queries: DataFrame, k: int, filters: tuple[str, ...], rows: list) -> DataFrame:
-    """k candidates per query and task. The queries are broadcast, so the vectors are scored where they are read."""
-    for name in filters:
-        values = {row[name] for row in rows}
-        # When every query narrows by this column, the scan needs the named values only.
-        if None not in values and len(values) <= PUSHED_VALUES:
-            docs = docs.filter(F.col(name).isin(sorted(values)))
-    names = ["query_id", "embedding", *filters]
-    columns = {name: [row[name] for row in rows] for name in names}
-    shared = docs.sparkSession.sparkContext.broadcast(columns)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        batch_of_queries = pd.DataFrame(shared.value)
-        unit_queries = _unit(batch_of_queries["embedding"])
-        kept = None
-        for batch in batches:
-            for start in range(0, len(batch), ROWS_PER_STEP):
-                found = _best_rows(batch_of_queries, unit_queries, batch.iloc[start : start + ROWS_PER_STEP], k, filters)
-                kept = found if kept is None else _merge([kept, found], k)
-        if kept is not None and len(kept):
-            yield kept
-
-    return docs.select("id", "embedding", *filters).mapInPandas(score, _hit_schema(docs, queries))
-
-
-def _blocked_candidates(
-    docs: DataFrame, queries: DataFrame, k: int, filters: tuple[str, ...], n_queries: int, n_docs: int
-) -> DataFrame:
-    """k candidates per query and slice, with neither side broadcast.
+def _value_key(names: tuple[str, ...]) -> Column:
+    """The values of the named columns as one text; a null is left out, and so matches what leaves it out as well."""
+    return F.to_json(F.struct(*[F.col(name).cast("string").alias(name) for name in names])) if names else F.lit("{}")
 
-    Queries are cut into blocks and vectors into slices by hash; each (block, slice) pair is one cogroup of bounded size,
-    so the work spreads evenly whatever the values of the filters are.
-    """
-    blocks = -(-n_queries // QUERIES_PER_BLOCK)
-    slices = -(-n_docs // ROWS_PER_SLICE)
-    spread_docs = docs.select("id", "embedding", *filters).select(
-        "*",
-        F.pmod(F.xxhash64("id"), F.lit(slices)).alias("slice_no"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("block_no"),
-    )
-    spread_queries = queries.select("query_id", "embedding", *filters).select(
-        "*",
-        F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block_no"),
-        F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<bigint>")).alias("slice_no"),
-    )
 
-    def score(query_block: pd.DataFrame, doc_slice: pd.DataFrame) -> pd.DataFrame:
-        unit_queries = _unit(query_block["embedding"])
-        kept = pd.DataFrame({"query_id": [], "id": [], "raw_score": []})
-        for start in range(0, len(doc_slice), ROWS_PER_STEP):
-            found = _best_rows(query_block, unit_queries, doc_slice.iloc[start : start + ROWS_PER_STEP], k, filters)
-            kept = found if kept.empty else _merge([kept, found], k)
-        return kept
+def _keys_of_rows(filters: tuple[str, ...]) -> Column:
+    """The key of a row under every choice of the filters that a query may make. A row's null value matches no choice."""
+    choices = [c for n in range(len(filters) + 1) for c in itertools.combinations(filters, n)]
+    keys = []
+    for chosen in choices:
+        present = [F.col(name).isNotNull() for name in chosen]
+        whole = _value_key(chosen)
+        keys.append(F.when(reduce(Column.__and__, present), whole) if present else whole)
+    return F.array_compact(F.array(*keys))
 
-    return (
-        spread_queries.groupBy("block_no", "slice_no")
-        .cogroup(spread_docs.groupBy("block_no", "slice_no"))
-        .applyInPandas(score, _hit_schema(docs, queries))
-    )
+
+def _in_tiles(counts: DataFrame, size: int, name: str) -> tuple[DataFrame, Column]:
+    """How many tiles each key's rows are cut into: a table of the common keys, and the number for all others."""
+    total = counts.agg(F.sum("n")).scalar()
+    common = counts.filter(F.col("n") * COMMON > total).select("key", F.ceil(F.col("n") / size).alias(name))
+    others = F.ceil(F.coalesce(total, F.lit(0)) / (COMMON * size))
+    return common, F.greatest(others, F.lit(1).cast("bigint"))
 
 
 def top_k_search(
@@ -160,27 +118,66 @@ def top_k_search(
     queries: DataFrame,
     k: int = TOP_K,
     filters: Iterable[str] = (),
-    broadcast_bytes: int = BROADCAST_QUERY_BYTES,
+    rows_per_tile: int = ROWS_PER_TILE,
+    queries_per_tile: int = QUERIES_PER_TILE,
 ) -> DataFrame:
     """The k nearest vectors of each query by cosine, with `rank` and `score`; ties fall to the smaller id.
 
     `docs` has `id` and `embedding`; `queries` has `query_id` and `embedding`. For each name in `filters` both have that
-    column, and a query matches equal values only, or all values when its own is null. The search is exact. Fewer than k
-    rows come back when fewer match.
+    column, and a query matches equal values only, or all values when its own is null. The search is exact: every query is
+    scored against every vector that its filters leave. Fewer than k rows come back when fewer match.
 
-    The queries are broadcast when their measured size is below `broadcast_bytes`; beyond that both sides are blocked and
-    shuffled. Either way only k candidates per query and task reach the final ranking.
+    Vectors meet queries by an equi join on the values that a query asks for. Both sides of a value are cut into tiles, and
+    each pair of tiles is scored on its own; k candidates per query and tile reach the final ranking. Numbers of tiles follow
+    from the counts. The tables of common values have at most `COMMON` rows a side and are broadcast. All of it is lazy.
     """
     filters = tuple(filters)
-    docs = docs.filter(F.col("embedding").isNotNull())
-    wanted = queries.select("query_id", "embedding", *filters).filter(F.col("embedding").isNotNull())
-    size = wanted.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("width")).first()
-    if not size["n"]:
-        candidates = docs.sparkSession.createDataFrame([], _hit_schema(docs, queries))
-    elif size["n"] * (size["width"] or 1) * 8 <= broadcast_bytes:
-        candidates = _broadcast_candidates(docs, queries, k, filters, wanted.collect())
-    else:
-        candidates = _blocked_candidates(docs, wanted, k, filters, size["n"], max(docs.count(), 1))
+    rows = docs.select("id", "embedding", *filters).filter(F.col("embedding").isNotNull())
+    asked = queries.select("query_id", "embedding", *filters).filter(F.col("embedding").isNotNull())
+    asked = asked.select("query_id", "embedding", _value_key(filters).alias("key"))
+    keyed = rows.select("id", "embedding", F.explode(_keys_of_rows(filters)).alias("key"))
+    query_counts = asked.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    row_counts = rows.select(F.explode(_keys_of_rows(filters)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    row_counts = row_counts.join(query_counts.select("key"), "key", "left_semi")
+
+    common_rows, other_slices = _in_tiles(row_counts, rows_per_tile, "slices")
+    common_queries, other_blocks = _in_tiles(query_counts, queries_per_tile, "blocks")
+
+    def tiled(side: DataFrame) -> DataFrame:
+        return (
+            side.join(F.broadcast(common_rows), "key", "left")
+            .join(F.broadcast(common_queries), "key", "left")
+            .withColumns({"slices": F.coalesce("slices", other_slices), "blocks": F.coalesce("blocks", other_blocks)})
+        )
+
+    # Vectors that no query asks for go before they are copied. Common values are kept by the broadcast table.
+    is_common = F.broadcast(common_rows.select("key"))
+    rare = keyed.join(is_common, "key", "left_anti").join(query_counts.select("key"), "key", "left_semi")
+    wanted = keyed.join(is_common, "key", "left_semi").unionByName(rare)
+
+    def numbered(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1))
+
+    spread_rows = tiled(wanted).select(
+        "key", "id", "embedding", F.pmod(F.xxhash64("id"), F.col("slices")).alias("slice"), numbered("blocks").alias("block")
+    )
+    spread_queries = tiled(asked).select(
+        "key", "query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.col("blocks")).alias("block"), numbered("slices").alias("slice")
+    )
+
+    def score(tile_of_queries: pd.DataFrame, tile_of_rows: pd.DataFrame) -> pd.DataFrame:
+        kept = pd.DataFrame({"query_id": [], "id": [], "raw_score": []})
+        unit_queries = _unit(tile_of_queries["embedding"])
+        for start in range(0, len(tile_of_rows), ROWS_PER_STEP):
+            found = _best_rows(tile_of_queries, unit_queries, tile_of_rows.iloc[start : start + ROWS_PER_STEP], k)
+            kept = found if kept.empty else _merge([kept, found], k)
+        # Plain objects, as joined strings would be in several pieces.
+        return kept.astype({"query_id": object, "id": object})
+
+    tile = ["key", "block", "slice"]
+    candidates = (
+        spread_queries.groupBy(*tile).cogroup(spread_rows.groupBy(*tile)).applyInPandas(score, _hit_schema(docs, queries))
+    )
     best_first = Window.partitionBy("query_id").orderBy(F.desc("raw_score"), "id")
     return (
         candidates.withColumn("rank", F.row_number().over(best_first))

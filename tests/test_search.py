@@ -40,12 +40,10 @@ def data():
     return docs, queries
 
 
-@pytest.mark.parametrize("broadcast_bytes", [search.BROADCAST_QUERY_BYTES, 0])
+@pytest.mark.parametrize("tiles", [(search.ROWS_PER_TILE, search.QUERIES_PER_TILE), (70, 2), (1, 1)])
 @pytest.mark.parametrize("k", [1, 5, 1000])
 @pytest.mark.parametrize("filters", [(), ("code", "maker")])
-def test_search_equals_brute_force(spark, data, broadcast_bytes, k, filters, monkeypatch):
-    monkeypatch.setattr(search, "QUERIES_PER_BLOCK", 2)
-    monkeypatch.setattr(search, "ROWS_PER_SLICE", 70)
+def test_search_equals_brute_force(spark, data, tiles, k, filters, monkeypatch):
     monkeypatch.setattr(search, "ROWS_PER_STEP", 64)
     docs, queries = data
     found = search.top_k_search(
@@ -53,21 +51,22 @@ def test_search_equals_brute_force(spark, data, broadcast_bytes, k, filters, mon
         spark.createDataFrame(queries, QUERIES),
         k,
         filters,
-        broadcast_bytes,
+        *tiles,
     )
     assert sorted(tuple(row) for row in found.collect()) == brute_force(docs, queries, k, [bool(filters)] * 2)
 
 
-def test_filter_reaches_the_scan(spark, data, tmp_path):
+def test_search_is_lazy_and_reads_what_it_needs(spark, data, tmp_path):
     docs, queries = data
     spark.createDataFrame(docs, VECTORS).write.parquet(str(tmp_path / "v"))
     stored = spark.read.parquet(str(tmp_path / "v"))
-    asked = spark.createDataFrame(queries, QUERIES)
-    narrowed = search.top_k_search(stored, asked.filter("code is not null"), 5, ("code",))
-    plan = narrowed._jdf.queryExecution().executedPlan().toString()
-    assert "In(code, [E-0,E-1,E-9])" in plan and "maker" not in plan
-    open_plan = search.top_k_search(stored, asked, 5, ("code",))._jdf.queryExecution().executedPlan().toString()
-    assert "In(code" not in open_plan
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup
+    spark.sparkContext.setJobGroup("search", "")
+    before = len(jobs("search"))
+    found = search.top_k_search(stored, spark.createDataFrame(queries, QUERIES), 5, ("code",))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(jobs("search")) == before and "ReadSchema: struct<id:bigint,embedding:array<float>,code:string>" in plan
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
 def test_rows_without_a_vector_are_left_out(spark):
@@ -81,7 +80,7 @@ def test_empty_sides(spark, data):
     vectors, asked = spark.createDataFrame(docs, VECTORS), spark.createDataFrame(queries, QUERIES)
     assert search.top_k_search(vectors, asked.filter("false")).count() == 0
     assert search.top_k_search(vectors.filter("false"), asked).count() == 0
-    assert search.top_k_search(vectors.filter("false"), asked, broadcast_bytes=0).count() == 0
+    assert search.top_k_search(vectors.filter("false"), asked, 5, ("code",)).count() == 0
 
 
 def test_gate(spark, rows):
