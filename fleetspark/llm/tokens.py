@@ -19,7 +19,7 @@ from .words import text_bytes, words_of
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Pieces that a worker remembers, some 50 bytes each, and the longest of them in bytes. Others are encoded anew.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
 LONGEST = 64
 
 # Where a text may be cut: a byte-level tokenizer starts a token at each space that something visible follows; one that

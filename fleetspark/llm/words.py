@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Bytes of text that are worked on at once; a longer text is taken alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _PHASE = 0x9E3779B97F4A7C15
 
@@ -53,6 +53,8 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         part.append((begin, batch.num_rows))
     for begin, end in part:
         yield batch.slice(begin, end - begin)
+    # What Arrow holds for later batches adds up over the workers of an executor.
+    pa.default_memory_pool().release_unused()
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
