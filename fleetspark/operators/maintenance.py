@@ -101,6 +101,12 @@ def last_event(logs: DataFrame, by: Iterable[str] = ("asset_id",)) -> DataFrame:
     )
 
 
+def technician(logs: DataFrame) -> Column:
+    """Who did the work; `unknown` where the log has no such column."""
+    named = F.col("technician") if "technician" in logs.columns else F.lit("unknown")
+    return named.alias("technician")
+
+
 def events(
     logs: DataFrame,
     asset_ids: Iterable | DataFrame | None = None,
@@ -117,6 +123,7 @@ def events(
             "date",
             "type",
             F.substring("description", 1, description_limit).alias("description"),
+            technician(logs),
             "duration_hours",
             "parts_replaced",
             rounded(F.col("cost_eur"), 2).alias("cost_eur"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rounded
-from .maintenance import codes_in_logs
+from .maintenance import codes_in_logs, technician
 from .seasonal import AFTER_MONTHS, BEFORE_MONTHS, has_fault
 from .shape import LIST_CAP
 
@@ -93,6 +93,7 @@ def event_months(logs: DataFrame, cap: int = LIST_CAP) -> DataFrame:
                 "asset_id",
                 "type",
                 F.substring("description", 1, 300).alias("description"),
+                technician(logs),
                 "duration_hours",
                 "parts_replaced",
                 rounded(F.col("cost_eur"), 2).alias("cost_eur"),

@@ -63,13 +63,18 @@ def _column_figures(df: DataFrame, columns: tuple[str, ...], lower: list[float],
     return df.agg(F.struct(*figures)).scalar()
 
 
+# Cells that a bracket is cut into.
+_CELLS = 256
+
+
 def _ranked_quantiles(
     df: DataFrame, columns: tuple[str, ...], probabilities: tuple[float, ...], figures: Column
 ) -> DataFrame:
     """Exact quantiles given the brackets.
 
     One scan counts the values outside each bracket and finds the nearest of them, which is all that interpolation at the
-    edge can need; another keeps the values inside. A running count per quantile over these few rows yields the ranks.
+    edge can need; another keeps the values inside. Counts per cell of the bracket, and a running count within each cell,
+    yield the ranks, so no quantile is ranked in one task.
     """
     known = df.select(*[F.col(name).cast("double").alias(name) for name in columns], figures.alias("figures"))
     outside, inside, within = [], [], []
@@ -83,22 +88,37 @@ def _ranked_quantiles(
                 folded_value = nearest(F.when(beyond, value)).alias("value")
                 outside.append(F.struct(*tag, F.lit(side).alias("side"), folded_value, F.count_if(beyond).alias("rows")))
             within.append(value.between(low, high))
-            inside.append(F.when(within[-1], F.struct(*tag, value.alias("value"))))
+            cell = F.coalesce(F.floor(F.try_divide(value - low, high - low) * _CELLS), F.lit(0)).cast("bigint")
+            inside.append(F.when(within[-1], F.struct(*tag, cell.alias("cell"), value.alias("value"))))
     folded = known.agg(F.array(*outside).alias("sides")).select(F.explode("sides").alias("one")).select("one.*")
     hits = known.filter(reduce(Column.__or__, within))
-    kept = (
+    # A bracket is cut into cells. Their counts, a fixed number of rows, tell where each cell's ranks begin.
+    per_value = (
         explode_rows(hits, [], F.array_compact(F.array(*inside)))
-        .groupBy("item.column", "item.probability", "item.value")
+        .groupBy("item.column", "item.probability", "item.cell", "item.value")
         .agg(F.count(F.lit(1)).alias("rows"))
-        .withColumn("side", F.lit(0))
     )
-    # The value of the folded rows below is their largest, that of the rows above their smallest.
-    order = Window.partitionBy("column", "probability").orderBy("side", "value")
+    kept = per_value.withColumn("side", F.lit(0))
+    cells = kept.groupBy("column", "probability", "side", "cell").agg(F.sum("rows").alias("rows")).unionByName(
+        folded.select("column", "probability", "side", F.lit(0).cast("bigint").alias("cell"), "rows")
+    )
+    in_order = Window.partitionBy("column", "probability").orderBy("side", "cell")
     whole = Window.partitionBy("column", "probability")
+    cells = cells.select(
+        "column",
+        "probability",
+        "side",
+        "cell",
+        (F.sum("rows").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("rows")).alias("before"),
+        (F.col("probability") * (F.sum("rows").over(whole) - 1)).alias("target"),
+    )
+    # The value of the folded rows below is their largest, that of the rows above their smallest.
+    order = Window.partitionBy("column", "probability", "side", "cell").orderBy("value")
     ranked = (
-        folded.unionByName(kept)
-        .withColumn("upto", F.sum("rows").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("target", F.col("probability") * (F.sum("rows").over(whole) - 1))
+        folded.withColumn("cell", F.lit(0).cast("bigint"))
+        .unionByName(kept)
+        .join(F.broadcast(cells), ["column", "probability", "side", "cell"])
+        .withColumn("upto", F.col("before") + F.sum("rows").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     )
     start = F.col("upto") - F.col("rows")
 

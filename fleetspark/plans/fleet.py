@@ -505,10 +505,18 @@ def _register_maintenance(registry: Registry) -> None:
            FROM maintenance GROUP BY asset_id""",
         "maintenance",
     )
+    registry.add(
+        "underperforming_location_unknown",
+        lambda t: seasonal.location_status(t.supplier_telemetry, t.supplier_assets, "Atlantis"),
+        """SELECT CASE WHEN count(*) > 0 THEN 'ok' ELSE 'no_data' END AS status,
+                CASE WHEN count(*) = 0 THEN 'no asset at location ''Atlantis''' END AS message
+            FROM supplier_assets WHERE contains(lower(location), 'atlantis') AND asset_id IN (SELECT asset_id FROM supplier_telemetry)""",
+        "supplier_assets supplier_telemetry",
+    )
     registry.add(
         "maintenance_events",
         lambda t: maintenance.events(t.maintenance, t.part_assets.filter("type = 'PROMO'"), start, end, 12),
-        f"""SELECT log_id, asset_id, date, type, substring(description, 1, 12) AS description, duration_hours, parts_replaced,
+        f"""SELECT log_id, asset_id, date, type, substring(description, 1, 12) AS description, 'unknown' AS technician, duration_hours, parts_replaced,
                 {shown("cost_eur", 2)} AS cost_eur
             FROM maintenance WHERE {inside} AND asset_id IN (SELECT asset_id FROM part_assets WHERE type = 'PROMO')""",
         "maintenance part_assets",
