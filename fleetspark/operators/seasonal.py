@@ -255,19 +255,19 @@ def displayed_figures() -> list[Column]:
 
 def recent_faults(
     telemetry: DataFrame,
-    flagged_assets: DataFrame,
+    flagged_assets: DataFrame | None = None,
     comparison_month: str | None = None,
     after: tuple[int, ...] = AFTER_MONTHS,
     year: int | None = None,
 ) -> DataFrame:
-    """Fault codes of the flagged assets in the reporting window, each with its first non-null description."""
+    """Fault codes of the flagged assets in the reporting window, each with its first non-null description.
+
+    Without `flagged_assets` those of all assets: for a caller that joins them to the flagged assets in any case.
+    """
     rows = _reporting_rows(telemetry, comparison_month, after, year).filter(has_fault())
     described = F.when(F.col("fault_description").isNotNull(), F.struct("date", "fault_description"))
-    return (
-        rows.groupBy("asset_id", "fault_code")
-        .agg(F.min(described)["fault_description"].alias("description"))
-        .join(flagged_assets.select("asset_id"), "asset_id", "left_semi")
-    )
+    codes = rows.groupBy("asset_id", "fault_code").agg(F.min(described)["fault_description"].alias("description"))
+    return codes if flagged_assets is None else codes.join(flagged_assets.select("asset_id"), "asset_id", "left_semi")
 
 
 def with_recent_faults(flagged_assets: DataFrame, faults: DataFrame) -> DataFrame:

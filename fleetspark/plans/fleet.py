@@ -156,9 +156,7 @@ def _register_seasonal(registry: Registry) -> None:
     )
     registry.add(
         "underperforming_fault_lists",
-        lambda t: seasonal.with_recent_faults(
-            flagged(t), seasonal.recent_faults(t.part_telemetry, flagged(t))
-        ).select(
+        lambda t: seasonal.with_recent_faults(flagged(t), seasonal.recent_faults(t.part_telemetry)).select(
             "asset_id",
             F.array_join(F.transform("recent_fault_codes", lambda c: F.concat_ws(":", c["fault_code"], c["description"])), ",").alias(
                 "recent_fault_codes"
