@@ -149,7 +149,7 @@ def parts_frequency(logs: DataFrame, by: Iterable[str] = ()) -> DataFrame:
 
 def search_events(logs: DataFrame, column: str, pattern: str, description_limit: int = 200) -> DataFrame:
     """Events whose column matches the pattern, by date. Null dates stay, at the end."""
-    return events(logs.filter(matching(F.col(column), pattern)), description_limit=description_limit)
+    return events(logs.filter(matching(F.col(column), pattern)), description_limit=description_limit).drop("technician")
 
 
 def search_by_fault_code(logs: DataFrame, fault_code: str) -> DataFrame:
