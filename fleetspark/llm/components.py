@@ -18,7 +18,7 @@ def _smallest(edges: DataFrame, from_: str, to: str) -> DataFrame:
     least = least.select("node", F.least("node", "near").alias("least"))
     spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = edges.withColumn("salt", F.pmod(F.xxhash64(to), F.lit(SALTS)).cast("int"))
-    return salted.join(spread, (salted[from_] == spread["node"]) & (salted["salt"] == spread["salt"])).select(
+    return salted.join(spread.hint("merge"), (salted[from_] == spread["node"]) & (salted["salt"] == spread["salt"])).select(
         from_, to, "least"
     )
 

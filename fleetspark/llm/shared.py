@@ -60,7 +60,10 @@ def join_hot(rows: DataFrame, per_key: DataFrame, key: str, count: str) -> DataF
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The documents that are not in `dropped`, a written table of `_id` and `_hash`. The columns stay as they are."""
+    """The documents that are not in `dropped`, a written table of `_id` and `_hash`. The columns stay as they are.
+
+    It is a merge join at every size: what is dropped grows with the documents, so it is never broadcast.
+    """
     names = docs.columns
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), *row_key())
-    return keyed.join(dropped.select("_id", "_hash"), ["_id", "_hash"], "left_anti").select("_row.*")
+    return keyed.join(dropped.select("_id", "_hash").hint("merge"), ["_id", "_hash"], "left_anti").select("_row.*")

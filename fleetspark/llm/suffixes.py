@@ -238,7 +238,7 @@ def cut_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     names, kinds = docs.columns, dict(docs.dtypes)
     cuts = passages.filter("size(later) > 0").select("_id", "_doc", "later")
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")
-    joined = _keyed(docs.withColumn("_row", row), "_row").join(cuts, ["_id", "_doc"], "left")
+    joined = _keyed(docs.withColumn("_row", row), "_row").join(cuts.hint("merge"), ["_id", "_doc"], "left")
 
     @F.pandas_udf("string")
     def rest(texts: pd.Series, spans: pd.Series) -> pd.Series:
