@@ -26,8 +26,9 @@ SHINGLE_WORDS = 4
 MAX_DISTANCE = 4
 BITS = 64
 
-# Variants that one group of the shuffle, and one array in a task, should hold.
-GROUP_VARIANTS = 1 << 22
+# Variants that one array in a task may hold, and fingerprints that a group of the shuffle should.
+GROUP_VARIANTS = 1 << 18
+GROUP_PRINTS = 1 << 19
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -80,13 +81,16 @@ def flips(bits: int, radius: int) -> list[int]:
     ]
 
 
-def _collisions(prints: np.ndarray, left: np.ndarray, low: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _collisions(
+    prints: np.ndarray, left: np.ndarray, low: int, nearest: bool
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of fingerprints that emit an equal variant, when the bits above the `low` lowest are settled.
 
     `left` is how many bits of each may still be flipped. While the variants are too many for one array, the next bit is
-    settled either way. The fingerprints that share a variant form a star around the one nearest to it. As all of them lie
-    within half the radius of the variant, the star links what all pairs would. (With an odd distance, a star whose centre is
-    not nearer than the others has only even distances; those in reach are found at other variants too.)
+    settled either way. The fingerprints that share a variant form a star around the smallest. As all of them lie within
+    half the radius of the variant, the star links what all pairs would. With an odd distance the centre is the one `nearest`
+    to the variant; where it is not nearer than the others, all distances are even, and those in reach are found at other
+    variants too.
     """
     counts = np.bincount(left, minlength=1)
     sizes = [len(flips(low, r)) if counts[r] else 0 for r in range(len(counts))]
@@ -96,7 +100,7 @@ def _collisions(prints: np.ndarray, left: np.ndarray, low: int) -> Iterator[tupl
             rest = left - (bit != value)
             stay = rest >= 0
             if stay.sum() > 1:
-                yield from _collisions(prints[stay], rest[stay], low - 1)
+                yield from _collisions(prints[stay], rest[stay], low - 1, nearest)
         return
     keys, owners = [], []
     ones = np.uint64((1 << low) - 1)
@@ -116,8 +120,11 @@ def _collisions(prints: np.ndarray, left: np.ndarray, low: int) -> Iterator[tupl
     at = np.minimum(np.searchsorted(shared, key), len(shared) - 1)
     hit = shared[at] == key
     group, member = at[hit], prints[owner[hit]]
-    flipped = np.bitwise_count((member & ones) ^ key[hit]).astype(np.int64) - left[owner[hit]]
-    order = np.lexsort((member, flipped, group))
+    if nearest:
+        flipped = np.bitwise_count((member & ones) ^ key[hit]).astype(np.int64) - left[owner[hit]]
+        order = np.lexsort((member, flipped, group))
+    else:
+        order = np.lexsort((member, group))
     group, member = group[order], member[order]
     opens = np.r_[True, group[1:] != group[:-1]]
     centre = member[np.flatnonzero(opens)][np.cumsum(opens) - 1]
@@ -132,20 +139,26 @@ def links(prints: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     variants. The number of leading bits follows from the number of fingerprints, so that a group stays of one size.
     """
     radius = (max_distance + 1) // 2
-    variants = len(flips(BITS, radius))
     n = prints.count()
-    lead = min(24, max(6, (n * variants // GROUP_VARIANTS).bit_length()))
+    fits = (b for b in range(6, 25) if n * len(flips(b, radius)) <= GROUP_PRINTS << b)
+    lead = next(fits, 24)
     low = BITS - lead
 
     def pairs(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         own = np.unique(group["fingerprint"].to_numpy().view(np.uint64))
         used = np.bitwise_count((own >> np.uint64(low)) ^ np.uint64(key[0])).astype(np.int64)
-        found = list(_collisions(own, radius - used, low))
-        a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.uint64)
-        b = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.uint64)
-        near = np.bitwise_count(a ^ b) <= max_distance
-        both = np.unique(np.stack([a[near], b[near]], axis=1), axis=0) if near.any() else np.zeros((0, 2), np.uint64)
-        return pd.DataFrame({"a": both[:, 0].view(np.int64), "b": both[:, 1].view(np.int64)})
+        # Links are kept as pairs of places in the group, and repeats go before many have gathered.
+        links, fresh, size = np.zeros(0, np.uint64), [], 0
+        for a, b in _collisions(own, radius - used, low, nearest=max_distance % 2 == 1):
+            near = np.bitwise_count(a ^ b) <= max_distance
+            ends = [np.searchsorted(own, x[near]).astype(np.uint64) for x in (a, b)]
+            fresh.append(np.unique((ends[0] << np.uint64(32)) | ends[1]))
+            size += len(fresh[-1])
+            if size > GROUP_VARIANTS:
+                links, fresh, size = np.unique(np.concatenate([links, *fresh])), [], 0
+        links = np.unique(np.concatenate([links, *fresh]))
+        a, b = own[(links >> np.uint64(32)).astype(np.int64)], own[(links & np.uint64(2**32 - 1)).astype(np.int64)]
+        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     masks = F.array(*[F.lit(m).cast("long") for m in flips(lead, radius)])
     top = F.shiftrightunsigned("fingerprint", low)
