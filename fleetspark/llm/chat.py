@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import table
+from .shared import table, written
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
@@ -16,7 +16,7 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 FIXED = ("system",)
 UNKNOWN = "unknown"
 
-# Longer dialogues are rendered in parts, by turn number.
+# Longer dialogues are rendered in parts: by turn number in `rotate`, by rank in `perspectives`.
 PART_TURNS = 256
 
 
@@ -25,6 +25,43 @@ def _header(speaker: Column, assistant: Column) -> Column:
     return F.concat(F.lit(OPEN), F.coalesce(role, F.concat(F.lit("user name="), speaker)), F.lit("\n"))
 
 
+def _said(turns: DataFrame) -> DataFrame:
+    """`conv_id`, `turn`, `speaker` and `text` of every row, with defaults for what is missing and without marks."""
+
+    def clean(text: Column) -> Column:
+        return F.replace(text, F.lit("<|"), F.lit("< |"))
+
+    role = F.trim(F.coalesce("role", F.lit("")))
+    return turns.select(
+        "conv_id",
+        F.col("turn").cast("long").alias("turn"),
+        clean(F.when(role == "", F.lit(UNKNOWN)).otherwise(role)).alias("speaker"),
+        clean(F.coalesce("text", F.lit(""))).alias("text"),
+    )
+
+
+def _piece(t: Column, assistant: Column) -> Column:
+    return F.concat(_header(t["speaker"], assistant), t["text"], F.lit(CLOSE + "\n"))
+
+
+def _rendering(before: Column) -> list[Column]:
+    """`n_turns`, `rendered` and `masks` from the columns `turns` and `assistant`, after `before` code points."""
+
+    def step(done: Column, t: Column) -> Column:
+        begin = done["length"] + F.char_length(_header(t["speaker"], F.col("assistant")))
+        end = begin + F.char_length(t["text"]) + len(CLOSE)
+        span = F.array(F.struct(begin.alias("begin"), end.alias("end")))
+        masks = F.when(t["speaker"] == F.col("assistant"), F.concat(done["masks"], span)).otherwise(done["masks"])
+        return F.struct((end + 1).alias("length"), masks.alias("masks"))
+
+    zero = F.struct(before.alias("length"), F.array().cast("array<struct<begin:long,end:long>>").alias("masks"))
+    return [
+        F.size("turns").cast("long").alias("n_turns"),
+        F.array_join(F.transform("turns", lambda t: _piece(t, F.col("assistant"))), "").alias("rendered"),
+        F.aggregate("turns", zero, step, lambda done: done["masks"]).alias("masks"),
+    ]
+
+
 def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """One row per part of a dialogue and participant: `conv_id`, `part`, `assistant`, `n_turns`, `rendered` and `masks`.
 
@@ -39,16 +76,7 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     grows without bound. Other columns are not read; an empty table gives an empty result.
     """
 
-    def clean(text: Column) -> Column:
-        return F.replace(text, F.lit("<|"), F.lit("< |"))
-
-    role = F.trim(F.coalesce("role", F.lit("")))
-    rows = turns.select(
-        "conv_id",
-        F.col("turn").cast("long").alias("turn"),
-        clean(F.when(role == "", F.lit(UNKNOWN)).otherwise(role)).alias("speaker"),
-        clean(F.coalesce("text", F.lit(""))).alias("text"),
-    )
+    rows = _said(turns)
     lone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "speaker", "text"))
     rows = rows.withColumns({"lone": lone, "part": F.floor(F.col("turn") / part_turns)})
     same = Window.partitionBy("conv_id", "lone", "turn").orderBy("speaker", "text")
@@ -61,31 +89,59 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     people = F.filter(speakers, lambda s: ~s.isin(*FIXED))
     seen = dialogue.select("conv_id", "part", "copy", "turns", F.explode(people).alias("assistant"))
 
-    def piece(t: Column) -> Column:
-        return F.concat(_header(t["speaker"], F.col("assistant")), t["text"], F.lit(CLOSE + "\n"))
+    zero = F.lit(0).cast("long")
+    return seen.select("conv_id", "part", "copy", "assistant", *_rendering(zero))
 
-    def step(done: Column, t: Column) -> Column:
-        begin = done["length"] + F.char_length(_header(t["speaker"], F.col("assistant")))
-        end = begin + F.char_length(t["text"]) + len(CLOSE)
-        span = F.array(F.struct(begin.alias("begin"), end.alias("end")))
-        masks = F.when(t["speaker"] == F.col("assistant"), F.concat(done["masks"], span)).otherwise(done["masks"])
-        return F.struct((end + 1).alias("length"), masks.alias("masks"))
 
-    zero = F.struct(F.lit(0).alias("length"), F.array().cast("array<struct<begin:int,end:int>>").alias("masks"))
-    return seen.select(
-        "conv_id",
-        "part",
-        "copy",
-        "assistant",
-        F.size("turns").cast("long").alias("n_turns"),
-        F.array_join(F.transform("turns", piece), "").alias("rendered"),
-        F.aggregate("turns", zero, step, lambda done: done["masks"]).alias("masks"),
+def perspectives(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
+    """One row per conversation, participant and part: `conv_id`, `part`, `assistant`, `n_turns`, `rendered` and `masks`.
+
+    Every speaker of the whole conversation takes the assistant's part over all its turns, system turns included. A long
+    rendering is split for size only: turn by turn in order, `part_turns` to a row, whatever their numbers. `rendered` of the
+    parts, joined in order, is the perspective, and `masks` lists its spans [begin, end) of code points that bear loss, so
+    begins go on counting from part to part. A part in which the assistant is silent has no spans.
+
+    Turns, speakers and texts are as in `rotate`, but a row without conv_id is always a dialogue of its own.
+    """
+    rows = _said(turns)
+    line = F.struct("turn", "speaker", "text")
+    lone = rows.filter("conv_id IS NULL AND " + " AND ".join(f"speaker <> '{x}'" for x in FIXED))
+    zero = F.lit(0).cast("long")
+    lone = lone.select("conv_id", zero.alias("part"), F.col("speaker").alias("assistant"), zero.alias("before"), F.array(line).alias("turns"))
+
+    # Ranks are counted in blocks of turn numbers; only the counts of the blocks of a conversation meet.
+    rows = rows.filter("conv_id IS NOT NULL").withColumn("block", F.floor(F.col("turn") / part_turns))
+    counts = rows.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
+    sooner = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("conv_id", F.col("block").alias("_block"), F.coalesce(F.sum("n").over(sooner), zero).alias("earlier"))
+    within = F.row_number().over(Window.partitionBy("conv_id", "block").orderBy("turn", "speaker", "text"))
+    rows = rows.withColumn("within", within).withColumnRenamed("conv_id", "_conv")
+    placed = rows.join(counts, (F.col("_conv") == F.col("conv_id")) & F.col("block").eqNullSafe(F.col("_block")))
+    part = F.floor((F.col("earlier") + F.col("within") - 1) / part_turns)
+    parts = placed.groupBy("conv_id", part.alias("part")).agg(F.sort_array(F.collect_list(line)).alias("turns"))
+    parts = written(parts, "chat-parts")
+
+    # Of a participant's own turns only the header differs from what the others' perspectives show.
+    spoken = parts.select("conv_id", "part", F.explode("turns").alias("t")).select("conv_id", "part", "t.*")
+    spoken = spoken.withColumn("length", F.char_length(_piece(F.struct("speaker", "text"), F.lit(None).cast("string"))).cast("long"))
+    sizes = spoken.groupBy("conv_id", "part").agg(F.sum("length").alias("size"))
+    own = spoken.filter(~F.col("speaker").isin(*FIXED)).groupBy("conv_id", "part", F.col("speaker").alias("assistant"))
+    own = own.agg(F.count("*").alias("own"))
+    cast = own.select("conv_id", "assistant").distinct().join(sizes, "conv_id")
+    cast = cast.join(own, ["conv_id", "part", "assistant"], "left")
+    shorter = F.char_length(_header(F.col("assistant"), F.lit(None).cast("string"))) - F.char_length(
+        _header(F.col("assistant"), F.col("assistant"))
     )
+    length = F.col("size") - F.coalesce("own", zero) * shorter
+    sooner = Window.partitionBy("conv_id", "assistant").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    cast = cast.select("conv_id", "part", "assistant", F.coalesce(F.sum(length).over(sooner), zero).alias("before"))
+    seen = cast.join(parts, ["conv_id", "part"]).unionByName(lone)
+    return seen.select("conv_id", "part", "assistant", *_rendering(F.col("before")))
 
 
 def op6_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations, as each of their participants sees them."""
-    found = rotate(table(spark, sf_dir, "conversations"))
+    """All conversations, as each of their participants sees them, whole. OP6_SQL tells only those below turn 256 alike."""
+    found = perspectives(table(spark, sf_dir, "conversations"))
     spans = F.transform("masks", lambda m: F.concat_ws(":", m["begin"].cast("string"), m["end"].cast("string")))
     return found.select("conv_id", "part", "assistant", "n_turns", "rendered", F.array_join(spans, ",").alias("masks"))
 

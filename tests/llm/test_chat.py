@@ -61,3 +61,33 @@ def test_many_rows_of_one_turn_are_dealt(spark):
 
 def test_empty_table(spark):
     assert chat.rotate(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
+
+
+def test_perspectives_hold_the_whole_conversation(spark):
+    turns = [(0, "system", "be kind"), (1, "ann", "hi é\U0001f600"), (255, "bob", "yo"), (256, "cy", ""), (256, "cy", "")]
+    turns += [(1_700_000_000 + 7 * i, ["dee", "bob"][i % 2], f"late {i}") for i in range(9)]
+    other = [(i, ["x", "y"][i % 2], f"{i}") for i in range(8)]
+    rows = [(7, *t) for t in turns] + [(8, *t) for t in other] + [(None, 3, "x", "lone")] * 2 + [(9, 0, "system", "only")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(4)
+    for size in (256, 4):
+        found = sorted(chat.perspectives(frame, size).collect(), key=lambda r: (r.conv_id or 0, r.assistant, r.part))
+        for conv, said in ((7, turns), (8, other)):
+            for who in {s for _, s, _ in said} - {"system"}:
+                parts = [r for r in found if (r.conv_id, r.assistant) == (conv, who)]
+                assert [r.part for r in parts] == list(range(-(-len(said) // size)))
+                assert [r.n_turns for r in parts] == [min(size, len(said) - size * r.part) for r in parts]
+                text = "".join(r.rendered for r in parts)
+                learnt = [text[m.begin : m.end] for r in parts for m in r.masks]
+                assert (text, learnt) == plain(said, 1 << 40)[0, who]
+        assert [(r.assistant, r.part, r.n_turns) for r in found if r.conv_id is None] == [("x", 0, 1)] * 2
+        assert {r.conv_id for r in found} == {7, 8, None}
+        assert len({r.assistant for r in found if r.conv_id == 7}) == 4
+
+
+def test_the_query_cuts_no_conversation(spark, tmp_path):
+    rows = [(1, 0, "system", "s"), (1, 1, "ann", "early"), (1, 256, "bob", "late")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    frame.write.parquet(f"{tmp_path}/conversations.parquet")
+    found = chat.op6_chat_perspectives(spark, str(tmp_path)).collect()
+    assert {(r.part, r.assistant, r.n_turns) for r in found} == {(0, "ann", 3), (0, "bob", 3)}
+    assert chat.perspectives(frame.limit(0)).count() == 0
