@@ -14,7 +14,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
@@ -26,10 +26,14 @@ SHINGLE_WORDS = 4
 MAX_DISTANCE = 4
 BITS = 64
 
-# Variants that one array in a task may hold, and fingerprints that a group of the shuffle should.
+# Variants that one array in a task may hold, and fingerprints that a group of the shuffle may.
 GROUP_VARIANTS = 1 << 18
 GROUP_PRINTS = 1 << 19
 
+# A larger group is dealt by so many more bits at a time, until so few are left that it cannot be large.
+MORE_BITS = 6
+LEAST_BITS = 8
+
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -131,41 +135,89 @@ def _collisions(
     yield centre[~opens], member[~opens]
 
 
+def _roots(root: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The smallest place that each of the places is joined to; their paths are shortened."""
+    found = root[places]
+    while True:
+        further = root[found]
+        if (further == found).all():
+            break
+        found = further
+    root[places] = found
+    return found
+
+
+def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the trees of the places `a` and `b`, pair by pair. `root` has a smaller place or the place itself for each."""
+    while len(a):
+        a, b = _roots(root, a), _roots(root, b)
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+
+
+def dealt(prints: DataFrame, radius: int) -> DataFrame:
+    """The fingerprints with `low` and `lead`, the groups that their variants within the radius lie in.
+
+    A variant lies in one group: that of its bits above the `low` lowest. The number of leading bits follows from the number
+    of fingerprints. Fingerprints that are alike share their leading bits, so a group may still be large; the variants of
+    such a group, and only of such, are dealt again by further bits, until no group has more than GROUP_PRINTS rows or no
+    more than LEAST_BITS are left (a group has one fingerprint for each variant and each way to flip it then, at most).
+    """
+    n = prints.count()
+    fits = (b for b in range(6, 25) if n * len(flips(b, radius)) <= GROUP_PRINTS << b)
+    low = BITS - next(fits, 24)
+
+    def among(ways: list[int]) -> Column:
+        return F.array(*[F.lit(m).cast("long") for m in ways])
+
+    top = F.shiftrightunsigned("fingerprint", low)
+    masks = among(flips(BITS - low, radius))
+    sent = prints.select("fingerprint", F.explode(F.transform(masks, lambda m: top.bitwiseXOR(m))).alias("lead"))
+    settled = []
+    while low > LEAST_BITS:
+        # One row in GROUP_PRINTS at most is the lead of a large group.
+        large = written(sent.groupBy("lead").count().filter(F.col("count") > GROUP_PRINTS).select("lead"), "simhash-large")
+        if large.isEmpty():
+            break
+        settled.append(sent.join(F.broadcast(large), "lead", "left_anti").select("fingerprint", F.lit(low).alias("low"), "lead"))
+        more = min(MORE_BITS, low - LEAST_BITS)
+        used = F.bit_count(F.shiftrightunsigned("fingerprint", low).bitwiseXOR(F.col("lead")))
+        bits = F.shiftrightunsigned("fingerprint", low - more).bitwiseAND(F.lit((1 << more) - 1))
+        ways = F.filter(among(flips(more, radius)), lambda m: F.bit_count(m) + used <= radius)
+        leads = F.transform(ways, lambda m: F.shiftleft("lead", more).bitwiseOR(bits.bitwiseXOR(m)))
+        sent = sent.join(F.broadcast(large), "lead").select("fingerprint", F.explode(leads).alias("lead"))
+        sent = written(sent, "simhash-sent")
+        low -= more
+    found = sent.select("fingerprint", F.lit(low).alias("low"), "lead")
+    for frame in settled:
+        found = found.unionByName(frame)
+    return found
+
+
 def links(prints: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """Links `a`, `b` between distinct fingerprints, which connect what all pairs within the distance would connect.
 
-    Variants are dealt by their leading bits. A fingerprint is sent to each group that some variant of it lies in, and its
-    variants in that group are spelt out there, so the shuffle carries a few dozen rows per fingerprint, not thousands of
-    variants. The number of leading bits follows from the number of fingerprints, so that a group stays of one size.
+    Variants are dealt by their leading bits, hot groups by more of them. A fingerprint is sent to each group that some variant
+    of it lies in, and its variants in that group are spelt out there, so the shuffle carries a few dozen rows per
+    fingerprint, not thousands of variants. A group joins its pairs as they are found and gives one link for each fingerprint
+    that is joined to a smaller one, however many pairs there are. Both ends of a link may be further apart than a pair.
     """
     radius = (max_distance + 1) // 2
-    n = prints.count()
-    fits = (b for b in range(6, 25) if n * len(flips(b, radius)) <= GROUP_PRINTS << b)
-    lead = next(fits, 24)
-    low = BITS - lead
 
     def pairs(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        low, lead = int(key[0]), int(key[1])
         own = np.unique(group["fingerprint"].to_numpy().view(np.uint64))
-        used = np.bitwise_count((own >> np.uint64(low)) ^ np.uint64(key[0])).astype(np.int64)
-        # Links are kept as pairs of places in the group, and repeats go before many have gathered.
-        links, fresh, size = np.zeros(0, np.uint64), [], 0
+        used = np.bitwise_count((own >> np.uint64(low)) ^ np.uint64(lead)).astype(np.int8)
+        root = np.arange(len(own))
         for a, b in _collisions(own, radius - used, low, nearest=max_distance % 2 == 1):
             near = np.bitwise_count(a ^ b) <= max_distance
-            ends = [np.searchsorted(own, x[near]).astype(np.uint64) for x in (a, b)]
-            fresh.append(np.unique((ends[0] << np.uint64(32)) | ends[1]))
-            size += len(fresh[-1])
-            if size > GROUP_VARIANTS:
-                links, fresh, size = np.unique(np.concatenate([links, *fresh])), [], 0
-        links = np.unique(np.concatenate([links, *fresh]))
-        a, b = own[(links >> np.uint64(32)).astype(np.int64)], own[(links & np.uint64(2**32 - 1)).astype(np.int64)]
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-    masks = F.array(*[F.lit(m).cast("long") for m in flips(lead, radius)])
-    top = F.shiftrightunsigned("fingerprint", low)
-    sent = prints.select(
-        "fingerprint", F.explode(F.transform(masks, lambda m: top.bitwiseXOR(m))).alias("lead")
-    )
-    return sent.groupBy("lead").applyInPandas(pairs, "a long, b long").distinct()
+            _join(root, np.searchsorted(own, a[near]), np.searchsorted(own, b[near]))
+        first = _roots(root, np.arange(len(own)))
+        joined = first != np.arange(len(own))
+        return pd.DataFrame({"a": own[first[joined]].view(np.int64), "b": own[joined].view(np.int64)})
+
+    return dealt(prints, radius).groupBy("low", "lead").applyInPandas(pairs, "a long, b long").distinct()
 
 
 def near_duplicates(

@@ -65,6 +65,40 @@ def test_links_find_every_pair_within_the_distance(spark, distance, monkeypatch)
     assert len(set(zip(roots, wanted.tolist()))) == len(set(roots)) == len(set(wanted.tolist()))
 
 
+@pytest.mark.parametrize("distance", [3, 4])
+def test_a_family_of_near_copies_is_dealt_over_many_small_groups(spark, distance, monkeypatch):
+    most = 400
+    plain = simhash._collisions
+    monkeypatch.setattr(simhash, "GROUP_PRINTS", most)
+
+    def guarded(prints, left, low, nearest):
+        assert len(prints) <= most, f"{len(prints)} fingerprints in one group"
+        yield from plain(prints, left, low, nearest)
+
+    monkeypatch.setattr(simhash, "_collisions", guarded)
+    chance = random.Random(distance)
+    base, prints = chance.getrandbits(64), {chance.getrandbits(64) for _ in range(1500)}
+    # A third of all: they differ in the lowest 40 bits alone, in steps of one to seven bits.
+    while len(prints) < 2250:
+        prints.add(base ^ sum(1 << bit for bit in chance.sample(range(40), chance.randint(1, 7))))
+    values = np.array(sorted(prints), np.uint64)
+    frame = spark.createDataFrame([(int(x),) for x in values.view(np.int64)], "fingerprint long")
+    found = simhash.links(frame, distance)
+    labels = {r.node: r.root for r in components.components(found).collect()}
+    roots = [labels.get(int(x), int(x)) for x in values.view(np.int64)]
+    wanted = plain_components(np.arange(len(values)), values, distance)
+    assert len(set(zip(roots, wanted.tolist()))) == len(set(roots)) == len(set(wanted.tolist()))
+
+
+def test_a_group_gives_one_link_a_fingerprint(spark):
+    chance = random.Random(1)
+    base = chance.getrandbits(64)
+    prints = {base ^ sum(1 << bit for bit in chance.sample(range(30), 2)) for _ in range(300)}
+    frame = spark.createDataFrame([(x - 2**64 if x >> 63 else x,) for x in prints], "fingerprint long")
+    # All are alike, and share the leading bits that are dealt by: one group has them all, the others one variant of each.
+    assert simhash.links(frame, 4).count() == len(prints) - 1
+
+
 def test_hard_rows(hard, hard_rows):
     rows = simhash.near_duplicates(hard).collect()
     assert len(rows) == len(hard_rows)
