@@ -4,7 +4,7 @@ Within each source the documents are shuffled, and every document gets a virtual
 itself included, divided by the target of the source. Taken in the order of finish times up to the total budget, each source
 has its share. Only DataFrame functions are used.
 
-The order over all documents is dealt into equal spans of virtual time. Sums per span tell in which one the budget ends, so
+The order over all documents is dealt into spans of virtual time. Sums per span tell in which one the budget ends, so
 only that span is sorted row by row; every other document lies wholly before or after the cut.
 """
 
@@ -92,6 +92,14 @@ def _finish(turn: Column) -> Column:
     return (turn * F.col("source_size") + F.col("upto")) / F.col("target")
 
 
+def _place(finish: Column) -> Column:
+    """Where a finish time lies among the spans: of equal width up to time 1, then so many for each doubling of the time.
+
+    It grows with the time, and spans stay few for any time, so every offer has one.
+    """
+    return F.when(finish <= 1, finish * PARTS).otherwise((F.log2(finish) + 1) * PARTS)
+
+
 def _span_with(sums: DataFrame, span: str, budget: int) -> tuple[int | None, int]:
     """The first span at whose end the running sum reaches the budget, and the words before it. There are few spans."""
     upto = F.sum("words").over(Window.orderBy(span).rowsBetween(Window.unboundedPreceding, 0))
@@ -118,23 +126,19 @@ def mixture(
     targets = written(source_targets(sizes, weights, max_repeats), "mixing-targets")
     # One row per source of the mixture, which the configuration bounds.
     rows = written(_running(sizes).join(F.broadcast(targets), "_source"), "mixing-rows")
-    total = targets.agg(F.sum("source_size"), F.sum("largest"), F.count("*")).first()
-    words = total[0] or 0
+    words = targets.agg(F.sum("source_size")).first()[0] or 0
     budget = words if budget is None else min(budget, words)
     none = F.array().cast("array<struct<turn:int,words:long>>")
     names = ["doc_id", "source", "size", "source_size", "target", "_at"]
     if budget <= 0:
         return rows.select(*names, none.alias("takes"))
 
-    # When time 1 is over, each source lacks one document at most, so the budget ends soon after.
-    latest = 1 + total[1] / words
     turns = F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))).alias("turn")
     offers = rows.filter("size > 0").select("*", turns).withColumn("finish", _finish(F.col("turn")))
-    offers = offers.filter(F.col("finish") <= latest)
-    spans = offers.withColumn("span", F.floor(F.col("finish") * PARTS))
+    spans = offers.withColumn("place", _place(F.col("finish"))).withColumn("span", F.floor("place"))
     span, before = _span_with(spans.groupBy("span").agg(F.sum("size").alias("words")), "span", budget)
     cells = spans.filter(F.col("span") == F.lit(span)).withColumn(
-        "cell", F.floor((F.col("finish") * PARTS - F.col("span")) * PARTS)
+        "cell", F.floor((F.col("place") - F.col("span")) * PARTS)
     )
     cell, more = _span_with(cells.groupBy("cell").agg(F.sum("size").alias("words")), "cell", budget - before)
     before += more

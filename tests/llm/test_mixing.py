@@ -98,3 +98,18 @@ def test_only_dataframe_functions(small):
     for df in (mixing.mixture(small[0]), mixing.mixed(small[0])):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_the_budget_may_end_late_when_a_source_is_bounded(spark):
+    rows = [(i, "w " * 22, "a") for i in range(4)] + [(10 + i, "w", "b") for i in range(10)]
+    rows = mixing.mixture(spark.createDataFrame(rows, "doc_id long, text string, source string"), (1.0, 2.0)).collect()
+    assert {(r.source, round(r.target, 6)) for r in rows} == {("a", 68), ("b", 30)}
+    assert sum(t.words for r in rows for t in r.takes) == 98
+    assert sum(t.words for r in rows if r.source == "b" for t in r.takes) == 30
+
+
+def test_one_document_far_above_its_target(spark):
+    rows = [(1, "w " * 3000, "a")] + [(10 + i, "w w", f"b{i:02d}") for i in range(30)]
+    rows = mixing.mixture(spark.createDataFrame(rows, "doc_id long, text string, source string"), (1.0,)).collect()
+    assert sum(t.words for r in rows for t in r.takes) == 3060
+    assert all(sum(t.words for t in r.takes) == 6 for r in rows if r.size == 2)
