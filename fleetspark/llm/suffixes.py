@@ -26,14 +26,14 @@ MIN_WORDS = 50
 # suffix whose hash is the smallest, the last one of equals.
 PREFIX_WORDS = 20
 
-# A word's place: 24 bits that tell documents of equal id apart, then its number in the text.
-PLACE_BITS = 38
+# Where a word stands: the document, by its id and the hash that tells documents of equal id apart, and the word's number.
+PLACE = ("id", "doc", "at")
 
 
 def _keyed(docs: DataFrame, *others: str) -> DataFrame:
     """`_id`, `_doc`, the text and other columns. A null id counts as the largest, and null text as empty."""
     text = F.coalesce("text", F.lit(""))
-    doc = F.shiftrightunsigned(F.xxhash64(text), 40)
+    doc = F.xxhash64(text)
     row_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     return docs.select(row_id.alias("_id"), doc.alias("_doc"), text.alias("text"), *others)
 
@@ -64,12 +64,12 @@ def _windows(texts: pa.Array, min_words: int, prefix_words: int):
 def _rows(key, part, text, place) -> pa.RecordBatch:
     ids = part.column("_id").to_numpy(zero_copy_only=False)[text]
     docs = part.column("_doc").to_numpy(zero_copy_only=False)[text]
-    at = (docs.astype(np.int64) << PLACE_BITS) | place
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids), pa.array(at)], ["key", "id", "at"])
+    columns = [pa.array(key.view(np.int64)), pa.array(ids), pa.array(docs), pa.array(place.astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, ["key", *PLACE])
 
 
 def suffixes(docs: DataFrame, min_words: int = MIN_WORDS, prefix_words: int = PREFIX_WORDS) -> DataFrame:
-    """The kept suffixes: `key`, the hash of the leading words, and their place `id`, `at`."""
+    """The kept suffixes: `key`, the hash of the leading words, and their place `id`, `doc`, `at`."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,7 +79,7 @@ def suffixes(docs: DataFrame, min_words: int = MIN_WORDS, prefix_words: int = PR
                 text = words.text[kept]
                 yield _rows(prefix[kept], part, text, kept - words.first[text])
 
-    return _keyed(docs).mapInArrow(rows, "key long, id long, at long")
+    return _keyed(docs).mapInArrow(rows, "key long, id long, doc long, at long")
 
 
 def repeated_keys(places: DataFrame, name: str) -> DataFrame:
@@ -92,13 +92,13 @@ def repeated_keys(places: DataFrame, name: str) -> DataFrame:
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, first = None, True
-        names = ["key", "id", "at", "before", "after", "edge"]
+        names = ["key", *PLACE, "before", "after", "edge"]
         for batch in batches:
             now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if held is not None:
                 now = [np.concatenate((h, c)) for h, c in zip(held, now)]
             new = np.ones(len(now[0]), bool)
-            new[1:] = (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]) | (now[2][1:] != now[2][:-1])
+            new[1:] = np.any([c[1:] != c[:-1] for c in now], axis=0)
             now = [c[new] for c in now]
             if len(now[0]) == 0:
                 continue
@@ -117,10 +117,10 @@ def repeated_keys(places: DataFrame, name: str) -> DataFrame:
             last = [*held, np.array([held_before]), np.array([False]), np.array([True])]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in last], names)
 
-    in_order = places.repartitionByRange("key", "id", "at").sortWithinPartitions("key", "id", "at")
-    schema = "key long, id long, at long, before boolean, after boolean, edge boolean"
+    in_order = places.repartitionByRange("key", *PLACE).sortWithinPartitions("key", *PLACE)
+    schema = "key long, id long, doc long, at long, before boolean, after boolean, edge boolean"
     found = written(in_order.mapInArrow(neighbours, schema), name)
-    by_place = Window.orderBy("key", "id", "at")
+    by_place = Window.orderBy("key", *PLACE)
     edges = found.filter("edge").withColumns(
         {
             "before": F.col("before") | F.coalesce(F.lag("key").over(by_place) == F.col("key"), F.lit(False)),
@@ -128,15 +128,7 @@ def repeated_keys(places: DataFrame, name: str) -> DataFrame:
         }
     )
     every = found.filter("NOT edge").unionByName(edges)
-    return every.filter("before OR after").select("key", "id", "at", F.col("before").alias("later"))
-
-
-def _doc_of(at: Column) -> Column:
-    return F.shiftright(at, PLACE_BITS)
-
-
-def _place_of(at: Column) -> Column:
-    return at.bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    return every.filter("before OR after").select("key", *PLACE, F.col("before").alias("later"))
 
 
 def _spans(places: Column, words: int) -> Column:
@@ -185,9 +177,7 @@ def repeated_passages(
     in_group = written(in_group.withColumn("copy", F.expr("_id > first_id")), "suffix-copies")
 
     found = repeated_keys(suffixes(docs, min_words, prefix_words), "suffix-neighbours")
-    places = found.groupBy(F.col("id").alias("_id"), _doc_of(F.col("at")).alias("_doc")).agg(
-        F.collect_set(_place_of(F.col("at"))).alias("places")
-    )
+    places = found.groupBy(F.col("id").alias("_id"), F.col("doc").alias("_doc")).agg(F.collect_set("at").alias("places"))
     copies = in_group.filter("copy").select("_id", "_doc")
     # Equal texts have equal passages, so only the first text of a group is looked at again.
     places = places.join(copies, ["_id", "_doc"], "left_anti")
@@ -207,11 +197,11 @@ def repeated_passages(
                 yield _rows(key[begin], part, text, begin - words.first[text])
 
     # Each kept suffix that has an equal is extended by all windows that it was kept for, to its left and right.
-    windows = keyed.join(places, ["_id", "_doc"]).mapInArrow(extended, "key long, id long, at long")
+    windows = keyed.join(places, ["_id", "_doc"]).mapInArrow(extended, "key long, id long, doc long, at long")
     found = repeated_keys(windows, "suffix-windows")
-    at, later = _place_of(F.col("at")), F.col("later")
+    at, later = F.col("at"), F.col("later")
     spans = (
-        found.groupBy(F.col("id").alias("_id"), _doc_of(F.col("at")).alias("_doc"))
+        found.groupBy(F.col("id").alias("_id"), F.col("doc").alias("_doc"))
         .agg(F.sort_array(F.collect_set(at)).alias("all"), F.sort_array(F.collect_set(F.when(later, at))).alias("late"))
         .select(
             "_id", "_doc", _spans(F.col("all"), min_words).alias("repeated"), _spans(F.col("late"), min_words).alias("later")

@@ -3,6 +3,7 @@ from collections import defaultdict
 import pytest
 from fleetspark.llm import suffixes
 from fleetspark.llm.shared import written
+from pyspark.sql import functions as F
 
 from .conftest import sentence, words_of
 
@@ -86,3 +87,14 @@ def test_hard_rows(hard, hard_rows):
 def test_empty_table(empty):
     found = written(suffixes.repeated_passages(empty), "test")
     assert found.count() == 0 and suffixes.cut_passages(empty, found).columns == empty.columns
+
+
+def test_null_ids_with_hashes_that_begin_alike(spark):
+    ends = F.concat(F.lit(sentence(7, 60) + " t"), F.col("id").cast("string"))
+    texts = spark.range(20_000).select(ends.alias("text"))
+    alike = texts.groupBy(F.shiftrightunsigned(F.xxhash64("text"), 40)).agg(F.sort_array(F.collect_list("text")).alias("own"))
+    own = alike.filter("size(own) > 1").first()["own"][:2]
+    docs = spark.createDataFrame([(None, text) for text in own], "doc_id long, text string")
+    found = written(suffixes.repeated_passages(docs), "test")
+    assert [covered(r.repeated) for r in found.collect()] == [set(range(60))] * 2
+    assert sorted(len(words_of(r.text)) for r in suffixes.cut_passages(docs, found).collect()) == [1, 61]
