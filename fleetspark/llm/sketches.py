@@ -106,7 +106,7 @@ def fingerprints(docs: DataFrame, k: int = K, shingle_words: int = SHINGLE_WORDS
 
 
 def merged_fingerprints(prints: DataFrame, by: str, k: int = K) -> DataFrame:
-    """One `fingerprint` for each value of `by`: that of all texts of the group together.
+    """One `fingerprint` for each value of `by`: that of all texts of the group together, the empty one if all are empty.
 
     Only the k smallest hashes of a task's share of a group are shuffled, and reduced again in parts, so no group is large.
     """
@@ -130,9 +130,9 @@ def merged_fingerprints(prints: DataFrame, by: str, k: int = K) -> DataFrame:
 
     kind = dict(prints.dtypes)[by]
     rows = prints.select(F.col(by).alias("key"), "fingerprint").mapInArrow(hashes, f"key {kind}, hash long")
-    # Unsigned order, as a signed number.
+    # Unsigned order, as a signed number. The null of an empty share comes last, so it takes no hash's place.
     order = F.col("hash").bitwiseXOR(F.lit(-(2**63)))
-    first = Window.partitionBy("key").orderBy("order")
+    first = Window.partitionBy("key").orderBy(F.asc_nulls_last("order"))
     kept = rows.select("key", "hash", order.alias("order")).distinct().withColumn("place", F.row_number().over(first))
     grouped = kept.filter(F.col("place") <= k).groupBy("key").agg(F.collect_list("hash").alias("hashes"))
     out = grouped.mapInArrow(smallest, f"key {kind}, fingerprint string")
@@ -140,9 +140,10 @@ def merged_fingerprints(prints: DataFrame, by: str, k: int = K) -> DataFrame:
 
 
 def _exploded(best: dict) -> pa.RecordBatch:
-    keys = [key for key, own in best.items() for _ in range(len(own))]
-    flat = np.concatenate([*best.values(), np.zeros(0, np.uint64)])
-    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(flat.view(np.int64))], ["key", "hash"])
+    """A row for each hash of each key, and one without hash for a key that has none."""
+    keys = [key for key, own in best.items() for _ in range(max(1, len(own)))]
+    flat = [x for own in best.values() for x in (own.view(np.int64).tolist() or [None])]
+    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(flat, pa.int64())], ["key", "hash"])
 
 
 def _dealt(docs: DataFrame, parts: int) -> DataFrame:

@@ -81,3 +81,12 @@ def test_hard_rows(spark, hard, hard_rows, empty):
     assert row.near_next == 1.0 and row.edited_sha256 == hashlib.sha256(b"a b c d e f a b").hexdigest()
     assert sketches.compared_with_next(empty, 2).count() == 0
     assert sketches.merged_fingerprints(sketches.fingerprints(empty), "doc_id").count() == 0
+
+
+def test_merged_fingerprints_of_groups_without_words(spark):
+    rows = [(1, None, "a"), (2, "", "a"), (3, "one two three", "b"), (4, "", "b"), (5, " ", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    prints = sketches.fingerprints(docs).join(docs.select("doc_id", "source"), "doc_id")
+    got = {r.source: r.fingerprint for r in sketches.merged_fingerprints(prints, "source").collect()}
+    own = sketches.packed(sketches.sketches_of(pa.array(["one two three"]))[0])
+    assert got == {"a": "", "b": own, "c": ""}
