@@ -146,16 +146,12 @@ def _softmax(logs: Column) -> Column:
     return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
 
 
-def _smoothed(mass: Column, n: Column, parent: Column) -> Column:
-    return F.transform(mass, lambda x, i: (x + PRIOR_DOCUMENTS * F.get(parent, i)) / (n + PRIOR_DOCUMENTS))
-
-
 def _mass(classes: int) -> Column:
     return F.array(*[F.sum(F.get("mass", F.lit(i))) for i in range(classes)]).alias("mass")
 
 
-def _host_priors(scored: DataFrame, classes: int) -> DataFrame:
-    """`host`, its `n` documents and `mass` of each class, and `parent`, the smoothed distribution of its site.
+def _host_priors(scored: DataFrame, classes: int) -> tuple[DataFrame, int, list[float]]:
+    """`host`, and the documents and the mass of each class on it, its site and its suffix; and those of the corpus.
 
     Hosts, sites, suffixes and the corpus are each summed from the level below, so no level meets the documents again.
     """
@@ -164,15 +160,15 @@ def _host_priors(scored: DataFrame, classes: int) -> DataFrame:
     sites = written(hosts.groupBy("suffix", "site").agg(F.sum("n").alias("n"), _mass(classes), F.count("*").alias("hosts")), "language-sites")
     suffixes = written(sites.groupBy("suffix").agg(F.sum("n").alias("n"), _mass(classes), F.count("*").alias("sites")), "language-suffixes")
     every = suffixes.agg(F.sum("n").alias("n"), _mass(classes)).first()
-    n, mass = every["n"] or 0, [x or 0.0 for x in every["mass"]]
-    corpus = F.array(*[F.lit((x + 1) / (n + classes)) for x in mass])
-    top = suffixes.select("suffix", "sites", _smoothed(F.col("mass"), F.col("n"), corpus).alias("parent"))
-    middle = join_hot(sites, written(top, "language-suffixes"), "suffix", "sites")
-    middle = middle.select(
-        F.struct("suffix", "site").alias("place"), "hosts", _smoothed(F.col("mass"), F.col("n"), F.col("parent")).alias("parent")
+    top = suffixes.select("suffix", "sites", F.col("n").alias("suffix_n"), F.col("mass").alias("suffix_mass"))
+    above = ["suffix_n", "suffix_mass"]
+    middle = join_hot(sites, written(top, "language-suffixes"), "suffix", "sites").select(
+        F.struct("suffix", "site").alias("place"), "hosts", F.col("n").alias("site_n"), F.col("mass").alias("site_mass"), *above
     )
     placed = hosts.withColumn("place", F.struct("suffix", "site"))
-    return join_hot(placed, written(middle, "language-sites"), "place", "hosts").select("host", "n", "mass", "parent")
+    placed = join_hot(placed, written(middle, "language-sites"), "place", "hosts")
+    placed = placed.select("host", "n", F.col("mass").alias("host_mass"), "site_n", "site_mass", *above)
+    return placed, every["n"] or 0, [x or 0.0 for x in every["mass"]]
 
 
 def identify(rows: DataFrame, languages: tuple = LANGUAGES) -> DataFrame:
@@ -181,7 +177,7 @@ def identify(rows: DataFrame, languages: tuple = LANGUAGES) -> DataFrame:
     Rejected (`kept` false) are rows whose best class is `other` or has a probability below one half, and rows whose text
     has no letters: null, empty or symbols only. They get the language that the other evidence suggests. Without a declared
     language or host that evidence is neutral. Repeated rows are rated alike; whole texts are read; an empty table gives an
-    empty result. A row's own text does not count towards the prior of its host.
+    empty result. A row's own text does not count towards its prior, neither on its host nor on the levels above.
     """
     classes = [*languages, OTHER]
     scored = _likelihoods(rows, fit(rows, languages)).withColumn(
@@ -196,13 +192,17 @@ def identify(rows: DataFrame, languages: tuple = LANGUAGES) -> DataFrame:
     for c, row in zip(classes, logs.tolist()):
         declares = F.when(F.col("declared") == c, F.array(*map(F.lit, row))).otherwise(declares)
 
-    priors = written(_host_priors(scored, len(classes)), "language-priors").withColumnRenamed("mass", "host_mass")
-    joined = join_hot(scored, priors, "host", "n")
+    priors, n_all, mass_all = _host_priors(scored, len(classes))
+    joined = join_hot(scored, written(priors, "language-priors"), "host", "n")
 
     def others(i: int) -> Column:
-        """The prior of a class on the host, from all other documents there."""
-        rest = F.greatest(F.get("host_mass", F.lit(i)) - F.get("mass", F.lit(i)), F.lit(0.0))
-        return (rest + PRIOR_DOCUMENTS * F.get("parent", F.lit(i))) / (F.col("n") - 1 + PRIOR_DOCUMENTS)
+        """The prior of a class on the host, from all other documents there, on its site, of its suffix and in the corpus."""
+        own = F.get("mass", F.lit(i))
+        prior = (F.greatest(F.lit(mass_all[i]) - own, F.lit(0.0)) + 1) / F.lit(n_all - 1 + len(classes))
+        for n, mass in (("suffix_n", "suffix_mass"), ("site_n", "site_mass"), ("n", "host_mass")):
+            rest = F.greatest(F.get(mass, F.lit(i)) - own, F.lit(0.0))
+            prior = (rest + PRIOR_DOCUMENTS * prior) / (F.col(n) - 1 + PRIOR_DOCUMENTS)
+        return prior
 
     fused = F.array(
         *[

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from fleetspark.llm import language
 from fleetspark.llm.shared import table
@@ -81,3 +82,17 @@ def test_hard_rows(hard, hard_rows):
 def test_empty_table(empty):
     assert language.identify(language.of_documents(empty)).count() == 0
     assert language.keep_known(empty).columns == empty.columns
+
+
+def test_a_text_does_not_count_towards_its_own_prior(spark):
+    rows = [(1, "an", None, "h"), (2, "the man and the woman ran", "en", "g"), (3, "der Mann und an das Haus", "de", "f")]
+    rows = language.of_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    scored = language._likelihoods(rows, language.fit(rows, language.LANGUAGES)).collect()
+    logs = {r["_id"]: np.array(r["logs"]) for r in scored}
+    mass = {i: np.exp(x - x.max()) / np.exp(x - x.max()).sum() for i, x in logs.items()}
+    others = mass[2] + mass[3]
+    # The host and its site hold no other text.
+    prior = (others + 10 * (others + 1) / (2 + len(others))) / (2 + 10)
+    chances = np.exp(logs[1] - logs[1].max()) * prior
+    row = language.identify(rows).filter("_id = 1").first()
+    assert row.probability == pytest.approx(chances.max() / chances.sum(), abs=1e-9)
