@@ -2,6 +2,7 @@
 
 from .chat import OP6_SQL, op6_chat_perspectives
 from .language import language_of_pages, op1_language_id
+from .merkle import op11_merkle_manifest
 from .mixing import op3_source_mixing
 from .packing import op10_packing
 from .quality import op5_quality_classifier
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 SQL = {"op6_chat_perspectives": OP6_SQL}
