@@ -6,6 +6,7 @@ from .merkle import op11_merkle_manifest
 from .mixing import op3_source_mixing
 from .packing import op10_packing
 from .quality import op5_quality_classifier
+from .repair import op12_conversation_repair
 from .rules import op9_quality_rules
 from .simhash import op8_simhash_dedup
 from .sketches import op7_fingerprints
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 SQL = {"op6_chat_perspectives": OP6_SQL}
