@@ -5,6 +5,7 @@ from .language import language_of_pages, op1_language_id
 from .merkle import op11_merkle_manifest
 from .mixing import op3_source_mixing
 from .packing import op10_packing
+from .polytope import op13_nearest_neighbours
 from .quality import op5_quality_classifier
 from .repair import op12_conversation_repair
 from .rules import op9_quality_rules
@@ -27,6 +28,7 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 
 SQL = {"op6_chat_perspectives": OP6_SQL}
