@@ -28,6 +28,7 @@ MAX_LOSS = 4096
 
 # Examples that a task chooses from at once, a bound on its memory together with the size of a text.
 POOL = 512
+_FREE = 1 << 62
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long"
 
@@ -38,79 +39,85 @@ class _Packer:
     def __init__(self, limits: tuple[int, int, int], first_sequence: int, with_ids: bool):
         self._limits = np.array(limits, np.int64)
         self._sequence, self._with_ids = first_sequence, with_ids
-        # Of each pending example: number, tokens left, loss-bearing tokens left.
-        self._ids: dict[int, tuple] = {}
-        self._pending = np.zeros((0, 3), np.int64)
-        self._next = 0
+        # Of each slot: the example (its id, ids, first loss-bearing id and start), tokens left and loss-bearing tokens left.
+        self._examples: list[tuple | None] = [None] * (POOL + 1)
+        self._free = list(range(POOL, -1, -1))
+        # A free slot has more tokens than any sequence takes.
+        self._tokens = np.full(POOL + 1, _FREE, np.int64)
+        self._loss = np.zeros(POOL + 1, np.int64)
         self._open()
         self.out: list[tuple] = []
 
     def _open(self) -> None:
-        self._left, self._pieces = self._limits.copy(), []
+        self._left, self._pieces = self._limits.tolist(), []
 
     def add(self, doc_id, ids: np.ndarray, loss_start: int) -> None:
-        """One more example, whose tokens bear loss from `loss_start` on."""
-        self._ids[self._next] = (doc_id, ids, min(max(loss_start, 0), len(ids)), 0)
-        row = np.array([[self._next, len(ids), len(ids) - self._ids[self._next][2]]], np.int64)
-        self._pending = np.concatenate((self._pending, row))
-        self._next += 1
+        """One more example, whose tokens bear loss from `loss_start` on. There must be room for it in the pool."""
+        loss_start = min(max(loss_start, 0), len(ids))
+        slot = self._free.pop()
+        self._examples[slot] = (doc_id, ids, loss_start, 0)
+        self._tokens[slot], self._loss[slot] = len(ids), len(ids) - loss_start
 
     @property
     def pending(self) -> int:
-        return len(self._pending)
+        return len(self._examples) - len(self._free)
 
     def place(self) -> None:
-        """Places one example, or closes the sequence when nothing more goes in."""
+        """Places one example, or as much of the longest as goes in, or closes the sequence when nothing does."""
         tokens, segments, loss = self._left
-        fits = (self._pending[:, 1] <= tokens) & (self._pending[:, 2] <= loss)
-        if segments and fits.any():
-            share = self._left / self._limits
-            demand = np.column_stack(
-                (self._pending[:, 1], np.ones(len(self._pending)), self._pending[:, 2])
-            ) / self._limits
-            best = int(np.argmax(np.where(fits, demand @ share, -1.0)))
-            self._take(best, int(self._pending[best, 1]))
-        elif segments and tokens and (cut := self._cut(int(tokens), int(loss))) is not None:
-            self._take(*cut)
-        if not self._left[0] or not self._left[1] or (self._pending.size and not self._any_fits()):
+        most, _, most_loss = self._limits.tolist()
+        fits = self._tokens <= tokens
+        if most_loss < most or loss < tokens:
+            fits &= self._loss <= loss
+        # The demand for a segment is the same for all, so it does not change which product is the largest.
+        product = self._tokens * (tokens / most / most) + self._loss * (loss / most_loss / most_loss)
+        best = int(np.argmax(np.where(fits, product, -1.0)))
+        if fits[best]:
+            self._take(best, int(self._tokens[best]))
+        else:
+            longest = int(np.argmax(np.where(self._tokens < _FREE, self._tokens, -1)))
+            left, bearing = int(self._tokens[longest]), int(self._loss[longest])
+            room = min(tokens, left, left - bearing + loss)
+            if not room:
+                self.close()
+                return
+            self._take(longest, room)
+        if not self._left[0] or not self._left[1]:
             self.close()
 
-    def _any_fits(self) -> bool:
-        tokens, _, loss = self._left
-        whole = (self._pending[:, 1] <= tokens) & (self._pending[:, 2] <= loss)
-        return bool(whole.any()) or self._cut(int(tokens), int(loss)) is not None
-
-    def _cut(self, tokens: int, loss: int) -> tuple[int, int] | None:
-        """The longest example, and how much of it still goes in."""
-        longest = int(np.argmax(self._pending[:, 1]))
-        number, left, bearing = self._pending[longest].tolist()
-        room = min(tokens, left, (left - bearing) + loss)
-        return (longest, room) if room else None
-
-    def _take(self, at: int, n: int) -> None:
-        number = int(self._pending[at, 0])
-        doc_id, ids, loss_start, start = self._ids[number]
+    def _take(self, slot: int, n: int) -> None:
+        doc_id, ids, loss_start, start = self._examples[slot]
         bearing = max(0, start + n - max(start, loss_start))
         self._pieces.append((doc_id, start, ids[start : start + n], len(ids)))
-        self._left -= (n, 1, bearing)
+        self._left = [self._left[0] - n, self._left[1] - 1, self._left[2] - bearing]
         if start + n == len(ids):
-            del self._ids[number]
-            self._pending = np.delete(self._pending, at, axis=0)
+            self._examples[slot] = None
+            self._tokens[slot], self._loss[slot] = _FREE, 0
+            self._free.append(slot)
         else:
-            self._ids[number] = (doc_id, ids, loss_start, start + n)
-            self._pending[at, 1:] -= (n, bearing)
+            self._examples[slot] = (doc_id, ids, loss_start, start + n)
+            self._tokens[slot] -= n
+            self._loss[slot] -= bearing
 
     def close(self) -> None:
-        """Ends the sequence; it is padded to the limit unless its length is a power of two."""
-        self._emit(self._pieces)
+        """Ends the sequence. One that is not full is cut into lengths that are powers of two, so it needs no padding."""
+        pieces = self._pieces[::-1]
+        total = sum(len(ids) for _, _, ids, _ in pieces)
+        while total:
+            room, part = total if total == self._limits[0] else 1 << (total.bit_length() - 1), []
+            total -= room
+            while room:
+                doc_id, start, ids, whole = pieces.pop()
+                part.append((doc_id, start, ids[:room], whole))
+                if len(ids) > room:
+                    pieces.append((doc_id, start + room, ids[room:], whole))
+                room -= len(part[-1][2])
+            self._emit(part)
         self._open()
 
     def _emit(self, pieces: list[tuple]) -> None:
-        if not pieces:
-            return
-        total = sum(len(ids) for _, _, ids, _ in pieces)
-        padded = total if total & (total - 1) == 0 else int(self._limits[0])
         offset = 0
+        padded = sum(len(ids) for _, _, ids, _ in pieces)
         for doc_id, start, ids, whole in pieces:
             row = (doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), whole, self._sequence, offset, padded)
             self.out.append((*row, ids) if self._with_ids else row)
@@ -118,22 +125,10 @@ class _Packer:
         self._sequence += 1
 
     def finish(self) -> None:
-        """Places what is left. The last sequence is cut into lengths that are powers of two, so it needs no padding."""
+        """Places what is left."""
         while self.pending:
             self.place()
-        pieces, self._pieces = self._pieces, []
-        total = sum(len(ids) for _, _, ids, _ in pieces)
-        while total:
-            room, part = 1 << (total.bit_length() - 1), []
-            total -= room
-            while room:
-                doc_id, start, ids, whole = pieces.pop(0)
-                part.append((doc_id, start, ids[:room], whole))
-                if len(ids) > room:
-                    pieces.insert(0, (doc_id, start + room, ids[room:], whole))
-                room -= len(part[-1][2])
-            self._emit(part)
-        self._open()
+        self.close()
 
     def rows(self) -> pa.RecordBatch | None:
         """The pieces of the sequences closed so far."""
@@ -163,11 +158,12 @@ def pack(
     """One row per piece of a document: its place in the document, in its sequence, and its token ids.
 
     A document is its ids and the end id. Documents are cut freely; each id lies in exactly one piece, and a sequence has no
-    gaps. No sequence exceeds the three limits. Where the documents have a column `loss_start`, only tokens from that number
+    gaps. No sequence exceeds the three limits. One that a limit closes before it is full is cut into lengths that are powers of
+    two, so no sequence needs padding. Where the documents have a column `loss_start`, only tokens from that number
     on bear loss, else all do (null: all).
 
     Each task packs the documents that it reads, so nothing is shuffled and no key can be hot. A task holds a few hundred
-    examples and leaves one sequence unfilled, which it cuts into powers of two. Sequences are numbered by task, so a task
+    examples. Sequences are numbered by task, so a task
     that runs again gives the same rows. Null text is empty, an empty text is the end id alone, repeated rows are packed each
     for itself, ids may be null, and an empty table gives an empty result. Other columns are not read.
     """
@@ -184,10 +180,10 @@ def pack(
                 ids, counts = encoder.encode(part.column("text"))
                 at = 0
                 for doc_id, start, n in zip(part.column("doc_id").to_pylist(), part.column("loss").to_pylist(), counts.tolist()):
-                    packer.add(doc_id, np.r_[ids[at : at + n], np.uint32(end_id)], start)
-                    at += n
                     while packer.pending > POOL:
                         packer.place()
+                    packer.add(doc_id, np.append(ids[at : at + n], np.uint32(end_id)), start)
+                    at += n
                 if (done := packer.rows()) is not None:
                     yield done
         packer.finish()

@@ -6,6 +6,7 @@ distinct piece is encoded once in a while, not at each place where it stands. Th
 
 import itertools
 import os
+import re
 import sys
 import types
 
@@ -22,6 +23,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 REMEMBERED = 1_000_000
 LONGEST = 64
 
+# Letters, or letters and then marks: a tokenizer makes one word of each run, so such pieces can be encoded in one text.
+_PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?]+)?")
+# Pieces of one such text.
+_TOGETHER = 256
+
 # Where a text may be cut: a byte-level tokenizer starts a token at each space that something visible follows; one that
 # drops white space never joins anything over it.
 BEFORE_SPACES, AT_SPACES = "before spaces", "at spaces"
@@ -71,8 +77,66 @@ class _Numbers:
         return tuple(c[order] for c in columns)
 
 
+class _Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type):
+        self._own, self._filled = np.zeros(1024, kind), 0
+
+    def __len__(self) -> int:
+        return self._filled
+
+    def add(self, values: np.ndarray) -> None:
+        end = self._filled + len(values)
+        if end > len(self._own):
+            larger = np.zeros(max(end, 2 * len(self._own)), self._own.dtype)
+            larger[: self._filled] = self.all
+            self._own = larger
+        self._own[self._filled : end] = values
+        self._filled = end
+
+    @property
+    def all(self) -> np.ndarray:
+        return self._own[: self._filled]
+
+
+class _Memory:
+    """The ids of pieces, by their numbers; short pieces are found again."""
+
+    def __init__(self) -> None:
+        self._known = _Numbers()
+        self._flat, self._starts, self._lengths = _Grown(np.uint32), _Grown(np.int64), _Grown(np.int64)
+
+    @property
+    def full(self) -> bool:
+        return max(len(self._known), len(self._starts) // 2) > REMEMBERED // 2
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        return self._known.find(keys, checks)
+
+    def add(self, keys: np.ndarray, checks: np.ndarray, kept: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The numbers of new pieces, of which those `kept` are found again."""
+        numbers = len(self._starts) + np.arange(len(keys))
+        self._starts.add(len(self._flat) + np.cumsum(lengths) - lengths)
+        self._flat.add(flat)
+        self._lengths.add(lengths)
+        self._known.add(keys[kept], checks[kept], numbers[kept])
+        return numbers
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all these pieces in a row, and how many each has."""
+        lengths = self._lengths.all[numbers]
+        ends = np.cumsum(lengths)
+        places = np.repeat(self._starts.all[numbers] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))
+        return self._flat.all[places], lengths
+
+
 class Encoder:
-    """Encodes lists of texts; remembers the ids of frequent pieces."""
+    """Encodes lists of texts; remembers the ids of frequent pieces.
+
+    There are two memories. When the young one is full it becomes the old one. A piece that is met again moves from the old one
+    into the young one, so what comes again and again is never forgotten, and what came once is.
+    """
 
     def __init__(self, file: str, cuts: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -80,11 +144,12 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(tokenizer_path(file))
         self._cuts = cuts
-        self._clear()
-
-    def _clear(self) -> None:
-        self._known = _Numbers()
-        self._flat, self._starts, self._lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._young, self._old = _Memory(), _Memory()
+        # Ids that begin with a space, or that end a word.
+        vocabulary = self._tokenizer.get_vocab()
+        self._marks = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, number in vocabulary.items():
+            self._marks[number] = token.startswith("Ġ") if cuts == BEFORE_SPACES else token.endswith("</w>")
 
     def _direct(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces in a row, and how many each has."""
@@ -92,10 +157,41 @@ class Encoder:
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
         return np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(lengths.sum())), lengths
 
+    def _new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order in which the pieces are taken, their ids in a row in this order, and how many each has.
+
+        Plain pieces are encoded many at once, which takes half the time, and told apart by where words begin or end.
+        """
+        spaces = self._cuts == BEFORE_SPACES
+        matches = [_PLAIN.fullmatch(p) for p in pieces]
+        plain = [i for i, m in enumerate(matches) if m is not None and (not spaces or pieces[i][0] == " ")]
+        others = [i for i, m in enumerate(matches) if m is None or (spaces and pieces[i][0] != " ")]
+        glue = "" if spaces else " "
+        groups = [plain[i : i + _TOGETHER] for i in range(0, len(plain), _TOGETHER)]
+        texts = [glue.join([pieces[i] for i in group]) for group in groups]
+        order, flats, sizes = [], [], []
+        for group, text in zip(groups, self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(text.ids, np.uint32)
+            marks = np.flatnonzero(self._marks[ids])
+            if spaces:
+                right, cuts = len(marks) == len(group) and marks[0] == 0, np.r_[marks, len(ids)]
+            else:
+                words = np.cumsum([2 if matches[i].group(1) else 1 for i in group])
+                right = len(marks) == words[-1] and marks[-1] + 1 == len(ids)
+                cuts = np.r_[0, marks[words - 1] + 1] if right else None
+            if right:
+                order += group
+                flats.append(ids)
+                sizes.append(np.diff(cuts))
+            else:
+                others += group
+        flat, lengths = self._direct([pieces[i] for i in others])
+        return np.array(order + others, np.int64), np.concatenate([*flats, flat]), np.concatenate([*sizes, lengths])
+
     def _by_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """As `encode`, for texts that may be cut at every space."""
-        if max(len(self._known), len(self._starts) // 2) > REMEMBERED:
-            self._clear()
+        if self._young.full:
+            self._young, self._old = _Memory(), self._young
         spaces = self._cuts == BEFORE_SPACES
         raw, at = text_bytes(texts)
         words = words_of(texts, seed=6, at_spaces=spaces)
@@ -110,25 +206,21 @@ class Encoder:
         for i in range(7):
             byte = raw[np.minimum(begin + i, len(raw) - 1)].astype(np.uint64)
             checks |= np.where(i < size, byte, 0).astype(np.uint64) << np.uint64(8 * i + 8)
-        numbers = self._known.find(keys, checks)
+        numbers = self._young.find(keys, checks)
         fresh = np.flatnonzero(numbers < 0)
-        kept = len(self._starts)
+        older = self._old.find(keys[fresh], checks[fresh])
+        again, fresh = fresh[older >= 0], fresh[older < 0]
+        if len(again):
+            everyone = np.ones(len(again), bool)
+            numbers[again] = self._young.add(keys[again], checks[again], everyone, *self._old.ids(older[older >= 0]))
         if len(fresh):
             data = raw.tobytes()
             pieces = [data[a : a + n].decode() for a, n in zip(begin[fresh].tolist(), size[fresh].tolist())]
-            flat, lengths = self._direct(pieces)
-            starts = len(self._flat) + np.cumsum(lengths) - lengths
-            numbers[fresh] = kept + np.arange(len(fresh))
-            short = size[fresh] <= LONGEST
-            self._flat = np.concatenate((self._flat, flat))
-            self._starts = np.concatenate((self._starts, starts))
-            self._lengths = np.concatenate((self._lengths, lengths))
-            self._known.add(keys[fresh][short], checks[fresh][short], numbers[fresh][short])
-        at = numbers[piece]
-        lengths = self._lengths[at]
-        ends = np.cumsum(lengths)
-        places = np.repeat(self._starts[at] - (ends - lengths), lengths) + np.arange(int(ends[-1]))
-        return self._flat[places], np.diff(np.r_[0, ends][words.first])
+            order, flat, lengths = self._new(pieces)
+            fresh = fresh[order]
+            numbers[fresh] = self._young.add(keys[fresh], checks[fresh], size[fresh] <= LONGEST, flat, lengths)
+        ids, lengths = self._young.ids(numbers[piece])
+        return ids, np.diff(np.r_[0, np.cumsum(lengths)][words.first])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each text has. A null is empty."""

@@ -137,6 +137,18 @@ def test_packing(small, limits):
         assert padding == 0
 
 
+def test_short_documents_are_not_padded(spark):
+    """Documents so short that the limit on segments closes every sequence."""
+    rows = [(i, "one two three four five") for i in range(20_000)]
+    found = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    lengths = {}
+    for r in found:
+        lengths.setdefault(r.sequence_id, []).append(r)
+    total = sum(r.length for r in found)
+    assert total == 120_000 and all(len(own) <= 64 for own in lengths.values())
+    assert sum(own[0].padded_length for own in lengths.values()) <= 1.01 * total
+
+
 def test_loss_limit(spark):
     rows = [(i, "a b c d e f g h i j", 4) for i in range(40)] + [(99, "a b c " * 100, None), (100, "x " * 300, 500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, loss_start int")
