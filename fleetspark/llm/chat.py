@@ -16,7 +16,7 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 FIXED = ("system",)
 UNKNOWN = "unknown"
 
-# Longer dialogues are rendered in parts: by turn number in `rotate`, by rank in `perspectives`.
+# Longer dialogues are rendered in parts, by rank.
 PART_TURNS = 256
 
 
@@ -62,37 +62,6 @@ def _rendering(before: Column) -> list[Column]:
     ]
 
 
-def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
-    """One row per part of a dialogue and participant: `conv_id`, `part`, `assistant`, `n_turns`, `rendered` and `masks`.
-
-    `masks` lists the spans [begin, end) of code points of `rendered` that bear loss: the assistant's texts with the closing
-    mark. `part` is the turn number divided by `part_turns`, whole; only those who speak in a part are participants there.
-    System turns are in every perspective of their part, and a part without other speakers gives no row.
-
-    Turns are in the order of their numbers, and of speaker and text where numbers are equal, repeated rows included. A turn
-    without a number comes first. A null or empty role is the speaker `unknown`, null text is empty, and a row without
-    conv_id is a dialogue of its own. Opening brackets of marks are broken in texts and names, so marks are the renderer's.
-    More than `part_turns` rows of one turn number are dealt into dialogues of that size (`copy` counts them), so no group
-    grows without bound. Other columns are not read; an empty table gives an empty result.
-    """
-
-    rows = _said(turns)
-    lone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "speaker", "text"))
-    rows = rows.withColumns({"lone": lone, "part": F.floor(F.col("turn") / part_turns)})
-    same = Window.partitionBy("conv_id", "lone", "turn").orderBy("speaker", "text")
-    rows = rows.withColumn("copy", F.floor((F.row_number().over(same) - 1) / part_turns))
-    # At most part_turns rows of each of part_turns turns.
-    dialogue = rows.groupBy("conv_id", "lone", "part", "copy").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "speaker", "text"))).alias("turns")
-    )
-    speakers = F.array_distinct(F.transform("turns", lambda t: t["speaker"]))
-    people = F.filter(speakers, lambda s: ~s.isin(*FIXED))
-    seen = dialogue.select("conv_id", "part", "copy", "turns", F.explode(people).alias("assistant"))
-
-    zero = F.lit(0).cast("long")
-    return seen.select("conv_id", "part", "copy", "assistant", *_rendering(zero))
-
-
 def perspectives(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """One row per conversation, participant and part: `conv_id`, `part`, `assistant`, `n_turns`, `rendered` and `masks`.
 
@@ -101,7 +70,11 @@ def perspectives(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     parts, joined in order, is the perspective, and `masks` lists its spans [begin, end) of code points that bear loss, so
     begins go on counting from part to part. A part in which the assistant is silent has no spans.
 
-    Turns, speakers and texts are as in `rotate`, but a row without conv_id is always a dialogue of its own.
+    Turns are in the order of their numbers, and of speaker and text where numbers are equal, repeated rows included. A turn
+    without a number comes first. A null or empty role is the speaker `unknown`, null text is empty, and a row without
+    conv_id is a dialogue of its own. System turns rotate to nobody, and a dialogue without other speakers gives no row.
+    Opening brackets of marks are broken in texts and names, so marks are the renderer's. Other columns are not read; an empty
+    table gives an empty result.
     """
     rows = _said(turns)
     line = F.struct("turn", "speaker", "text")
@@ -140,7 +113,7 @@ def perspectives(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
 
 
 def op6_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations, as each of their participants sees them, whole. OP6_SQL tells only those below turn 256 alike."""
+    """All conversations, as each of their participants sees them, whole."""
     found = perspectives(table(spark, sf_dir, "conversations"))
     spans = F.transform("masks", lambda m: F.concat_ws(":", m["begin"].cast("string"), m["end"].cast("string")))
     return found.select("conv_id", "part", "assistant", "n_turns", "rendered", F.array_join(spans, ",").alias("masks"))
@@ -148,27 +121,34 @@ def op6_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = f"""
 WITH turns AS (
-    SELECT conv_id, turn, turn // {PART_TURNS} AS part,
+    SELECT conv_id, turn,
            replace(CASE WHEN trim(coalesce(role, '')) = '' THEN '{UNKNOWN}' ELSE trim(role) END, '<|', '< |') AS speaker,
            replace(coalesce(text, ''), '<|', '< |') AS text
     FROM conversations
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, speaker, text) - 1 AS place
+    FROM turns WHERE conv_id IS NOT NULL
 ), people AS (
-    SELECT DISTINCT conv_id, part, speaker AS assistant FROM turns WHERE speaker <> 'system'
+    SELECT DISTINCT conv_id, speaker AS assistant FROM ranked WHERE speaker <> 'system'
 ), pieces AS (
-    SELECT conv_id, part, assistant, turn, speaker, text,
-           '{OPEN}' || CASE WHEN speaker = 'system' THEN speaker WHEN speaker = assistant THEN 'assistant'
-                            ELSE 'user name=' || speaker END || chr(10) AS header,
-           header || text || '{CLOSE}' || chr(10) AS piece
-    FROM people JOIN turns USING (conv_id, part)
+    SELECT conv_id, place // {PART_TURNS} AS part, place, assistant, speaker, text FROM people JOIN ranked USING (conv_id)
+    UNION ALL
+    SELECT NULL, 0, row_number() OVER () - 1, speaker, speaker, text FROM turns WHERE conv_id IS NULL AND speaker <> 'system'
+), headed AS (
+    SELECT *, '{OPEN}' || CASE WHEN speaker = 'system' THEN speaker WHEN speaker = assistant THEN 'assistant'
+                               ELSE 'user name=' || speaker END || chr(10) AS header,
+           header || text || '{CLOSE}' || chr(10) AS piece,
+           CASE WHEN conv_id IS NULL THEN place END AS lone
+    FROM pieces
 ), placed AS (
     SELECT *, coalesce(sum(length(piece)) OVER (
-        PARTITION BY conv_id, part, assistant ORDER BY turn, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING
+        PARTITION BY conv_id, lone, assistant ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING
     ), 0)::BIGINT + length(header) AS start
-    FROM pieces
+    FROM headed
 )
-SELECT conv_id, part, assistant, count(*) AS n_turns, string_agg(piece, '' ORDER BY turn, speaker, text) AS rendered,
-       string_agg(start || ':' || (start + length(text) + {len(CLOSE)}), ',' ORDER BY turn, speaker, text)
-           FILTER (WHERE speaker = assistant) AS masks
+SELECT conv_id, part, assistant, count(*) AS n_turns, string_agg(piece, '' ORDER BY place) AS rendered,
+       coalesce(string_agg(start || ':' || (start + length(text) + {len(CLOSE)}), ',' ORDER BY place)
+           FILTER (WHERE speaker = assistant), '') AS masks
 FROM placed
-GROUP BY conv_id, part, assistant
+GROUP BY conv_id, lone, part, assistant
 """

@@ -14,7 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import join_hot, table, without, written
+from .shared import given, join_hot, table, without, written
 from .words import slices, text_bytes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -226,10 +226,10 @@ def keep_known(docs: DataFrame) -> DataFrame:
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     found = identify(of_documents(table(spark, sf_dir, "documents")))
-    return found.select(F.col("_id").alias("doc_id"), "declared", "language", "probability", "kept")
+    return found.select(given("_id").alias("doc_id"), "declared", "language", "probability", "kept")
 
 
 def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every web page, where addresses and markup give evidence too."""
     found = identify(of_pages(table(spark, sf_dir, "pages")))
-    return found.select(F.col("_id").alias("page_id"), "host", "declared", "language", "probability", "kept")
+    return found.select(given("_id").alias("page_id"), "host", "declared", "language", "probability", "kept")

@@ -23,19 +23,20 @@ MAX_REPEATS = 3
 WEIGHTS = (1.0, 2.0, 3.0)
 
 
-def _keys(at: str | None = None) -> list[Column]:
+def _keys() -> list[Column]:
     """`_id`, `_source` and `_at`, a random number that the content fixes. None of them is ever null."""
     return [
         F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("_id"),
         F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("_source"),
-        (F.col(at) if at else F.xxhash64("doc_id", "text", "source")).alias("_at"),
+        F.xxhash64("doc_id", "text", "source").alias("_at"),
     ]
 
 
 def _sizes(docs: DataFrame) -> DataFrame:
     """One row per document: its id, source and size in words, and its keys."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
-    return docs.select("doc_id", "source", size.alias("size"), *_keys())
+    others = ["_number"] if "_number" in docs.columns else []
+    return docs.select("doc_id", "source", size.alias("size"), *_keys(), *others)
 
 
 def source_targets(
@@ -129,7 +130,7 @@ def mixture(
     words = targets.agg(F.sum("source_size")).first()[0] or 0
     budget = words if budget is None else min(budget, words)
     none = F.array().cast("array<struct<turn:int,words:long>>")
-    names = ["doc_id", "source", "size", "source_size", "target", "_at"]
+    names = ["doc_id", "source", "size", "source_size", "target", "_at", *(["_number"] if "_number" in sizes.columns else [])]
     if budget <= 0:
         return rows.select(*names, none.alias("takes"))
 
@@ -162,18 +163,16 @@ def mixture(
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """The documents of the mix, one row for each turn in which a document is taken, with the columns of `docs`.
 
-    A cut document keeps its first words, joined by one space, and `n_chars` follows.
+    A cut document keeps its first words, joined by one space, and `n_chars` follows. Rows equal in everything are taken each
+    for itself.
     """
     names, kinds = docs.columns, dict(docs.dtypes)
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")
-    keyed = docs.select(row, *_keys())
-    takes = mixture(docs, weights, max_repeats).filter(F.size("takes") > 0)
-    per_key = takes.select(*_keys("_at"), "size", "takes").groupBy("_id", "_source", "_at")
-    per_key = per_key.agg(F.first("size").alias("_size"), F.collect_list("takes").alias("_takes"))
-    # Rows that repeat have one list each: the first row gets the first list, and so on.
-    nth = F.row_number().over(Window.partitionBy("_id", "_source", "_at").orderBy(F.lit(0)))
-    joined = keyed.join(per_key, ["_id", "_source", "_at"]).withColumn("_own", F.get("_takes", nth - 1))
-    out = joined.select("_row", "_size", F.explode("_own").alias("_take"))
+    # Every row has a number of its own, so rows that repeat are told apart.
+    numbered = written(docs.select(row, F.monotonically_increasing_id().alias("_number")), "mixing-documents")
+    takes = mixture(numbered.select("_row.doc_id", "_row.text", "_row.source", "_number"), weights, max_repeats)
+    takes = takes.filter(F.size("takes") > 0).select("_number", F.col("size").alias("_size"), F.explode("takes").alias("_take"))
+    out = numbered.join(takes, "_number").select("_row", "_size", "_take")
     is_cut = F.col("_take.words") < F.col("_size")
     words = F.slice(F.regexp_extract_all("_row.text", F.lit(f"({WORD})")), F.lit(1), F.col("_take.words").cast("int"))
     out = out.withColumn("_text", F.when(is_cut, F.array_join(words, " ")).otherwise(F.col("_row.text")))

@@ -94,11 +94,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, training_rows: int = TRA
     """A model of `label` (0 or 1) from at most `training_rows` labelled documents, whole texts.
 
     Each learner sees a fixed share of the sample in the order of a hash. Labels without a document, null labels and null ids
-    are passed over; of several labels of one id the largest counts. Without any label the model is neutral.
+    are passed over; of several labels of one id the largest counts, and of several texts the one with the smallest hash. Without any label the model is neutral.
     """
     sample = labels.dropna(subset=["doc_id", label]).groupBy("doc_id").agg(F.max(label).cast("double").alias("label"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(training_rows)
     examples = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # One text of each id, so the sample is bounded in rows too.
+    examples = examples.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     examples = examples.withColumns({"learner": F.pmod(F.xxhash64("doc_id"), F.lit(LEARNERS)), "at": F.xxhash64("doc_id", "text")})
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

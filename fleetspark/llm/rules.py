@@ -88,25 +88,52 @@ def _repeat_words(words: Column) -> Column:
 
     The windows' hashes are sorted with the place of each in their low bits, which are as many as the text needs. Equal
     neighbours are windows that repeat; in the order of their places, each adds the words that the one before left over.
+    Hashes of unlike windows may agree, the more the longer the text. The words of equal neighbours are compared, and a text
+    in which any differ is sorted by the words themselves.
     """
     n = F.size(words) - 2
+    place = F.sequence(F.lit(0), n - 1)
     low = F.ceil(F.log2(F.greatest(n, F.lit(2)))).cast("int")
 
     def keyed(i: Column) -> Column:
         hashed = F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
         return F.call_function("shiftleft", hashed, low).bitwiseOR(i.cast("long"))
 
-    keys = F.sort_array(F.transform(F.sequence(F.lit(0), n - 1), keyed))
+    keys = F.sort_array(F.transform(place, keyed))
+
+    def high(x: Column) -> Column:
+        return F.call_function("shiftright", x, low)
+
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), low) - 1
 
     def repeats(keys: Column) -> Column:
         def equal(x: Column, i: Column) -> Column:
-            mine = F.call_function("shiftright", x, low)
-            before = F.call_function("shiftright", F.get(keys, i - 1), low)
-            after = F.call_function("shiftright", F.get(keys, i + 1), low)
-            return F.coalesce(mine == before, F.lit(False)) | F.coalesce(mine == after, F.lit(False))
+            before, after = high(F.get(keys, i - 1)), high(F.get(keys, i + 1))
+            return F.coalesce(high(x) == before, F.lit(False)) | F.coalesce(high(x) == after, F.lit(False))
+
+        return F.filter(keys, equal)
+
+    def places_of(found: Column) -> Column:
+        """The places of the windows found, or null if the words of two with one hash differ."""
+
+        def differs(x: Column, i: Column) -> Column:
+            before = F.get(found, i - 1)
+            mine, other = (y.bitwiseAND(mask).cast("int") for y in (x, before))
+            unlike = reduce(lambda a, b: a | b, [F.get(words, mine + k) != F.get(words, other + k) for k in range(3)])
+            return F.coalesce((high(x) == high(before)) & unlike, F.lit(False))
+
+        clash = F.exists(F.transform(found, differs), lambda d: d)
+        return F.when(~clash, F.sort_array(F.transform(found, lambda x: x.bitwiseAND(mask))))
 
-        mask = F.call_function("shiftleft", F.lit(1).cast("long"), low) - 1
-        return F.sort_array(F.transform(F.filter(keys, equal), lambda x: x.bitwiseAND(mask)))
+    def exact_places(windows: Column) -> Column:
+        """The places of repeated windows, from the windows in the order of their words."""
+
+        def equal(x: Column, i: Column) -> Column:
+            sides = [F.get(windows, i - 1), F.get(windows, i + 1)]
+            same = [reduce(lambda a, b: a & b, [x[c] == y[c] for c in "abc"]) for y in sides]
+            return F.coalesce(same[0], F.lit(False)) | F.coalesce(same[1], F.lit(False))
+
+        return F.sort_array(F.transform(F.filter(windows, equal), lambda x: x["at"].cast("long")))
 
     def covered(places: Column) -> Column:
         def step(done: Column, at: Column) -> Column:
@@ -117,7 +144,13 @@ def _repeat_words(words: Column) -> Column:
         return F.aggregate(places, zero, step, lambda done: done["total"])
 
     # Each array is bound once by a transform over a list of one, as Spark would else compute it again at each use.
-    places = F.get(F.transform(F.array(keys), repeats), 0)
+    def once(value: Column, f) -> Column:
+        return F.get(F.transform(F.array(value), f), 0)
+
+    windows = F.transform(
+        place, lambda i: F.struct(*[F.get(words, i + k).alias(c) for k, c in enumerate("abc")], i.alias("at"))
+    )
+    places = F.coalesce(once(once(keys, repeats), places_of), once(F.sort_array(windows), exact_places))
     return F.when(n < 2, F.lit(0).cast("long")).otherwise(covered(places))
 
 

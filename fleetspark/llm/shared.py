@@ -1,10 +1,10 @@
 """Tables in the shared folder, row keys and joins that bear hot keys."""
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import new_folder
+
 # White space is the ASCII kind throughout; words are the runs between.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -12,22 +12,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 HOT_SHARE = 1000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in `spark.checkpoint.dir`, which driver and executors share.
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a parquet table in the shared folder, so that a lost executor does not take them along.
 
-    Where the session names none, as in tests, one is set below the warehouse folder.
+    It goes when the driver ends.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
-        named = spark.sparkContext.getCheckpointDir()
-    return named
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a parquet table in the shared folder, so that a lost executor does not take them along."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -37,10 +28,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Stands for a null id where ids are compared.
+NO_ID = 2**63 - 1
+
+
+def given(id_column: str) -> Column:
+    """The id as it was given, null again where a stand-in was used."""
+    return F.nullif(F.col(id_column), F.lit(NO_ID).cast("long"))
+
+
 def row_key(id_column: str = "doc_id", text: str = "text") -> list:
     """`_id` and `_hash`, which identify a document by its id and its text. Both are never null."""
     return [
-        F.coalesce(F.col(id_column).cast("long"), F.lit(2**63 - 1)).alias("_id"),
+        F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("_id"),
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_hash"),
     ]
 

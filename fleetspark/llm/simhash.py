@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import join_hot, row_key, table, without, written
+from .shared import given, join_hot, row_key, table, without, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -246,9 +246,9 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     groups = near_duplicates(table(spark, sf_dir, "documents"))
     return groups.select(
-        F.col("_id").alias("doc_id"),
+        given("_id").alias("doc_id"),
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
-        "component_id",
+        given("component_id").alias("component_id"),
     )
 
 

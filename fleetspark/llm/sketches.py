@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import table
+from .shared import NO_ID, table
 from .words import mixed, shingles_of, slices, words_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -155,7 +155,7 @@ def _dealt(docs: DataFrame, parts: int) -> DataFrame:
     bounds = sorted({int(b) for b in bounds})
     cuts = F.array(*map(F.lit, bounds)).cast("array<long>")
     part = F.aggregate(cuts, F.lit(0), lambda n, b: n + (F.col("_id") > b).cast("int"))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.withColumn("_tie", F.xxhash64("text")).withColumn("part", part)
     # One row for each part.
     firsts = keyed.groupBy("part").agg(F.min(F.struct("_id", "_tie")).alias("first"))
@@ -213,7 +213,7 @@ def _compared(out: list[tuple], edits: list[str], k: int, shingle_words: int) ->
     edited = sketches_of(pa.array(edits, pa.string()), k, shingle_words)
     pairs = list(zip(out, edits, edited))
     columns = {
-        "doc_id": pa.array([o[0] for o in out], pa.int64()),
+        "doc_id": pa.array([None if o[0] == NO_ID else o[0] for o in out], pa.int64()),
         "n_chars": pa.array([o[1] for o in out], pa.int64()),
         "edited_sha256": [hashlib.sha256(e.encode()).hexdigest() for e in edits],
         "fingerprint": [packed(o[2]) for o in out],

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import WORD, join_hot, table, written
+from .shared import WORD, given, join_hot, table, written
 from .words import shingles_of, slices, words_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -260,4 +260,4 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold a passage of 50 words or more that occurs twice or more, with its word spans."""
     found = repeated_passages(table(spark, sf_dir, "documents"))
     length = F.aggregate("repeated", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
-    return found.select(F.col("_id").alias("doc_id"), "copy", length.alias("repeated_words"), "repeated", "later")
+    return found.select(given("_id").alias("doc_id"), "copy", length.alias("repeated_words"), "repeated", "later")

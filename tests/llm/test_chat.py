@@ -1,18 +1,17 @@
+import duckdb
 from fleetspark.llm import chat
 
 
-def plain(turns, size=256):
-    """Each part and participant of one dialogue: the text and what the masks cover."""
+def plain(turns):
+    """Of each participant of one dialogue: the text and what the masks cover."""
     out = {}
-    for part in sorted({t[0] // size for t in turns}):
-        own = sorted(t for t in turns if t[0] // size == part)
-        for speaker in {s for _, s, _ in own} - {"system"}:
-            text, learnt = "", []
-            for _, who, said in own:
-                role = "system" if who == "system" else "assistant" if who == speaker else f"user name={who}"
-                text += f"<|im_start|>{role}\n{said}<|im_end|>\n"
-                learnt += [f"{said}<|im_end|>"] * (who == speaker)
-            out[part, speaker] = (text, learnt)
+    for speaker in {s for _, s, _ in turns} - {"system"}:
+        text, learnt = "", []
+        for _, who, said in sorted(turns):
+            role = "system" if who == "system" else "assistant" if who == speaker else f"user name={who}"
+            text += f"<|im_start|>{role}\n{said}<|im_end|>\n"
+            learnt += [f"{said}<|im_end|>"] * (who == speaker)
+        out[speaker] = (text, learnt)
     return out
 
 
@@ -20,15 +19,6 @@ def covered(row):
     return [row.rendered[m.begin : m.end] for m in row.masks]
 
 
-def test_every_participant_is_the_assistant_once(spark):
-    turns = [(0, "system", "be kind"), (1, "ann", "hi é\U0001f600"), (2, "bob", "yo"), (3, "cy", ""), (4, "ann", "bye")]
-    turns += [(300 + i, ["ann", "bob"][i % 2], f"late {i}") for i in range(5)]
-    frame = spark.createDataFrame([(7, *t) for t in turns], "conv_id long, turn int, role string, text string")
-    got = {(r.part, r.assistant): (r.rendered, covered(r)) for r in chat.rotate(frame.repartition(4)).collect()}
-    assert got == plain(turns)
-    assert set(got) == {(0, "ann"), (0, "bob"), (0, "cy"), (1, "ann"), (1, "bob")}
-
-
 def test_hard_rows(spark):
     rows = [
         (1, 0, "user", "a", "x"),
@@ -41,28 +31,16 @@ def test_hard_rows(spark):
         (3, 2, "<|x", "", None),
     ]
     frame = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, turns string")
-    found = chat.rotate(frame).collect()
+    found = chat.perspectives(frame).collect()
     by = {(r.conv_id, r.part, r.assistant, r.n_turns): r for r in found}
-    assert (1, 0, "user", 3) in by and (1, 0, "unknown", 3) in by and (1, None, "unknown", 1) in by
-    assert by[1, 0, "user", 3].rendered.count("<|im_start|>assistant\na<|im_end|>") == 2
+    assert (1, 0, "user", 4) in by and (1, 0, "unknown", 4) in by
+    assert by[1, 0, "user", 4].rendered.count("<|im_start|>assistant\na<|im_end|>") == 2
     # Marks in a text are broken, so every mark is the renderer's.
     assert all(r.rendered.count("<|") == 2 * r.n_turns for r in found)
     assert not any(r.conv_id == 2 for r in found) and sum(r.conv_id is None for r in found) == 2
     assert covered(by[3, 0, "< |x", 1]) == ["<|im_end|>"]
 
 
-def test_many_rows_of_one_turn_are_dealt(spark):
-    rows = [(1, 0, "user", f"t{i:03d}") for i in range(25)]
-    frame = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
-    found = sorted(chat.rotate(frame, 10).collect(), key=lambda r: r.copy)
-    assert [r.n_turns for r in found] == [10, 10, 5]
-    assert "".join(r.rendered for r in found).count("<|im_start|>") == 25
-
-
-def test_empty_table(spark):
-    assert chat.rotate(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
-
-
 def test_perspectives_hold_the_whole_conversation(spark):
     turns = [(0, "system", "be kind"), (1, "ann", "hi é\U0001f600"), (255, "bob", "yo"), (256, "cy", ""), (256, "cy", "")]
     turns += [(1_700_000_000 + 7 * i, ["dee", "bob"][i % 2], f"late {i}") for i in range(9)]
@@ -78,7 +56,7 @@ def test_perspectives_hold_the_whole_conversation(spark):
                 assert [r.n_turns for r in parts] == [min(size, len(said) - size * r.part) for r in parts]
                 text = "".join(r.rendered for r in parts)
                 learnt = [text[m.begin : m.end] for r in parts for m in r.masks]
-                assert (text, learnt) == plain(said, 1 << 40)[0, who]
+                assert (text, learnt) == plain(said)[who]
         assert [(r.assistant, r.part, r.n_turns) for r in found if r.conv_id is None] == [("x", 0, 1)] * 2
         assert {r.conv_id for r in found} == {7, 8, None}
         assert len({r.assistant for r in found if r.conv_id == 7}) == 4
@@ -91,3 +69,18 @@ def test_the_query_cuts_no_conversation(spark, tmp_path):
     found = chat.op6_chat_perspectives(spark, str(tmp_path)).collect()
     assert {(r.part, r.assistant, r.n_turns) for r in found} == {(0, "ann", 3), (0, "bob", 3)}
     assert chat.perspectives(frame.limit(0)).count() == 0
+
+
+def test_the_sql_equals_the_query_on_long_conversations(spark, tmp_path):
+    """Numbers beyond 256, equal and missing numbers, speakers who fall silent, rows without conversation."""
+    rows = [(1, i * 7, ["ann", "bob", "cy"][i % (3 if i < 50 else 2)], f"t{i}") for i in range(600)]
+    rows += [(2, 300, "system", "s"), (2, None, "ann", "x"), (2, 300, "ann", None), (2, 300, "ann", None), (3, 1, "system", "s")]
+    rows += [(None, 1, "ann", "lone"), (None, 1, "ann", "lone"), (None, None, None, "<|"), (None, 2, "system", "s")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    frame.write.parquet(f"{tmp_path}/conversations.parquet")
+    names = ["conv_id", "part", "assistant", "n_turns", "rendered", "masks"]
+    found = chat.op6_chat_perspectives(spark, str(tmp_path)).select(*names).collect()
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    wanted = base.execute(f"SELECT {', '.join(names)} FROM ({chat.OP6_SQL})").fetchall()
+    assert sorted(map(tuple, found), key=repr) == sorted(wanted, key=repr)

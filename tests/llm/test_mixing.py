@@ -113,3 +113,13 @@ def test_one_document_far_above_its_target(spark):
     rows = mixing.mixture(spark.createDataFrame(rows, "doc_id long, text string, source string"), (1.0,)).collect()
     assert sum(t.words for r in rows for t in r.takes) == 3060
     assert all(sum(t.words for t in r.takes) == 6 for r in rows if r.size == 2)
+
+
+def test_many_identical_rows_are_mixed_each(spark):
+    """Rows equal in everything are no key: 100,000 of them are dealt as any others."""
+    same = spark.range(100_000).selectExpr("7L AS doc_id", "'one two three' AS text", "'a' AS source", "13L AS n_chars")
+    other = spark.range(50).selectExpr("id AS doc_id", "'x y' AS text", "'b' AS source", "3L AS n_chars")
+    docs = same.unionByName(other).repartition(8)
+    takes = mixing.mixture(docs).selectExpr("source", "explode(takes) AS t").groupBy("source").agg({"t.words": "sum", "*": "count"}).collect()
+    found = mixing.mixed(docs).selectExpr("source", "size(split(text, ' ')) AS n").groupBy("source").agg({"n": "sum", "*": "count"}).collect()
+    assert sorted(map(tuple, takes)) == sorted(map(tuple, found))

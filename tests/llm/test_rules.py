@@ -32,6 +32,15 @@ def test_statistics_equal_brute_force(spark, small):
     assert got == {i: plain(t) for i, t in texts.items()}
 
 
+def test_a_very_long_text(spark):
+    """Over a million windows, so that short hashes of unlike ones agree, and a few real repeats far apart."""
+    words = [f"w{i}" for i in range(1_100_000)]
+    words[900_000:900_007] = words[5:12]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "a b c a b c")], "doc_id long, text string")
+    got = {r.doc_id: r.n_repeat_words for r in rules.statistics(docs).collect()}
+    assert got == {1: 14, 2: 6}
+
+
 def test_learned_verdicts(spark):
     rows = rules.op9_quality_rules(spark, "/root/testdata/sf0.01").collect()
     labels = {r.doc_id: r.quality for r in table(spark, "/root/testdata/sf0.01", "labels").collect()}
