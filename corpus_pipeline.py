@@ -1,12 +1,11 @@
 """The corpus pipeline: from documents to packed training sequences, one operator a stage."""
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetspark.llm import language, mixing, packing, simhash, suffixes
-from fleetspark.llm.shared import shared_folder, table, written
+from fleetspark.llm.shared import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -52,7 +51,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each reads the parquet table that the one before it wrote."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
