@@ -32,10 +32,11 @@ ROWS_PER_STEP = 4096
 COMMON = 1000
 
 
-def new_chunks(chunks: DataFrame, stored: DataFrame | None) -> DataFrame:
-    """Chunks whose id is not stored yet, each id once. Of the stored table only the id column is read."""
+def new_chunks(chunks: DataFrame, stored: DataFrame | None, keys: Iterable[str] = ("id",)) -> DataFrame:
+    """Chunks whose id is not stored yet, each id once. Of the stored table only the key columns are read."""
+    keys = list(keys)
     once = chunks.dropDuplicates(["id"])
-    return once if stored is None else once.join(stored.select("id"), "id", "left_anti")
+    return once if stored is None else once.join(stored.select(*keys), keys, "left_anti")
 
 
 def _unit(rows: Iterable, width: int | None = None) -> np.ndarray:
@@ -94,9 +95,9 @@ def _value_key(names: tuple[str, ...]) -> Column:
     return F.to_json(F.struct(*[F.col(name).cast("string").alias(name) for name in names])) if names else F.lit("{}")
 
 
-def _keys_of_rows(filters: tuple[str, ...]) -> Column:
+def _keys_of_rows(filters: tuple[str, ...], always: tuple[str, ...]) -> Column:
     """The key of a row under every choice of the filters that a query may make. A row's null value matches no choice."""
-    choices = [c for n in range(len(filters) + 1) for c in itertools.combinations(filters, n)]
+    choices = [always + c for n in range(len(filters) + 1) for c in itertools.combinations(filters, n)]
     keys = []
     for chosen in choices:
         present = [F.col(name).isNotNull() for name in chosen]
@@ -123,21 +124,50 @@ def top_k_search(
 ) -> DataFrame:
     """The k nearest vectors of each query by cosine, with `rank` and `score`; ties fall to the smaller id.
 
+    See `candidates`. The tables are read once for each side of a match and for the counts, so pass a stored table where the
+    vectors take work to make.
+    """
+    return ranked(candidates(docs, queries, k, filters, (), rows_per_tile, queries_per_tile), k)
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query's candidates. A vector that was met in several places has one rank."""
+    best_first = Window.partitionBy("query_id").orderBy(F.desc("raw_score"), "id")
+    return (
+        found.withColumn("rank", F.dense_rank().over(best_first))
+        .filter(F.col("rank") <= k)
+        .dropDuplicates(["query_id", "rank"])
+        .select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", F.col("raw_score").alias("score"))
+    )
+
+
+def candidates(
+    docs: DataFrame,
+    queries: DataFrame,
+    k: int = TOP_K,
+    filters: Iterable[str] = (),
+    always: Iterable[str] = (),
+    rows_per_tile: int = ROWS_PER_TILE,
+    queries_per_tile: int = QUERIES_PER_TILE,
+) -> DataFrame:
+    """The k nearest vectors of each query by cosine in each tile, with `raw_score`; ties fall to the smaller id.
+
     `docs` has `id` and `embedding`; `queries` has `query_id` and `embedding`. For each name in `filters` both have that
-    column, and a query matches equal values only, or all values when its own is null. The search is exact: every query is
-    scored against every vector that its filters leave. Fewer than k rows come back when fewer match.
+    column, and a query matches equal values only, or all values when its own is null. Names in `always` are such columns that
+    no query leaves null. The search is exact: every query is scored against every vector that its filters leave. Fewer than
+    k rows come back when fewer match.
 
     Vectors meet queries by an equi join on the values that a query asks for. Both sides of a value are cut into tiles, and
     each pair of tiles is scored on its own; k candidates per query and tile reach the final ranking. Numbers of tiles follow
     from the counts. The tables of common values have at most `COMMON` rows a side and are broadcast. All of it is lazy.
     """
-    filters = tuple(filters)
-    rows = docs.select("id", "embedding", *filters).filter(F.col("embedding").isNotNull())
-    asked = queries.select("query_id", "embedding", *filters).filter(F.col("embedding").isNotNull())
-    asked = asked.select("query_id", "embedding", _value_key(filters).alias("key"))
-    keyed = rows.select("id", "embedding", F.explode(_keys_of_rows(filters)).alias("key"))
+    filters, always = tuple(filters), tuple(always)
+    rows = docs.select("id", "embedding", *always, *filters).filter(F.col("embedding").isNotNull())
+    asked = queries.select("query_id", "embedding", *always, *filters).filter(F.col("embedding").isNotNull())
+    asked = asked.select("query_id", "embedding", _value_key(always + filters).alias("key"))
+    keyed = rows.select("id", "embedding", F.explode(_keys_of_rows(filters, always)).alias("key"))
     query_counts = asked.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    row_counts = rows.select(F.explode(_keys_of_rows(filters)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    row_counts = rows.select(F.explode(_keys_of_rows(filters, always)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     row_counts = row_counts.join(query_counts.select("key"), "key", "left_semi")
 
     common_rows, other_slices = _in_tiles(row_counts, rows_per_tile, "slices")
@@ -175,15 +205,7 @@ def top_k_search(
         return kept.astype({"query_id": object, "id": object})
 
     tile = ["key", "block", "slice"]
-    candidates = (
-        spread_queries.groupBy(*tile).cogroup(spread_rows.groupBy(*tile)).applyInPandas(score, _hit_schema(docs, queries))
-    )
-    best_first = Window.partitionBy("query_id").orderBy(F.desc("raw_score"), "id")
-    return (
-        candidates.withColumn("rank", F.row_number().over(best_first))
-        .filter(F.col("rank") <= k)
-        .select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", F.col("raw_score").alias("score"))
-    )
+    return spread_queries.groupBy(*tile).cogroup(spread_rows.groupBy(*tile)).applyInPandas(score, _hit_schema(docs, queries))
 
 
 def cosine(left: Column, right: Column) -> Column:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..checkpoints import materialised
 from ..functions import chunk_id, rounded
 from ..functions.vectors import embed_hashed, hashed_vector
-from ..operators import chunking, intent, search
+from ..operators import chunking, intent, inverted_file, search
 from . import answering
 from .registry import Registry, shown
 
@@ -91,8 +91,8 @@ def manual_queries(t):
 
 
 def manual_hits(t):
-    """The best chunks for every search question."""
-    return search.top_k_search(manual_index(t), manual_queries(t), 5, ("fault_code", "manufacturer"))
+    """The best chunks for every search question, from the stored index."""
+    return search.top_k_search(materialised(manual_index(t)), manual_queries(t), 5, ("fault_code", "manufacturer"))
 
 
 HITS_SQL = f"""
@@ -133,6 +133,19 @@ def vectors(t):
     return t.raw("embeddings").withColumnRenamed("vec_id", "id")
 
 
+def _filed_vectors(t):
+    """The vector table as an inverted file."""
+    return inverted_file.InvertedFile.write(vectors(t), t.folder("inverted"))
+
+
+def _indexed_recall(t):
+    """Every fiftieth vector searched in the inverted file, and whether at least 0.9 of the exact neighbours are found."""
+    asked = t.raw("embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = _filed_vectors(t).search(asked, 5)
+    measured = inverted_file.recall(found, search.top_k_search(vectors(t), asked, 5))
+    return measured.select("queries", "neighbours", (F.col("recall") >= 0.9).alias("enough"))
+
+
 def _answered(t):
     """Answers that cite the second and the fifth hit of each search question, and one that is not there."""
     return t.manual_questions.select("query_id", F.lit("as told in [Source 2], [Source 5] and [Source 9]").alias("answer"))
@@ -218,6 +231,19 @@ def register(registry: Registry) -> None:
                 SELECT c.label AS query_id, vec_id AS id, {shown(cosine_sql, 4)} AS score FROM centres c JOIN embeddings e ON c.label = e.label)
             SELECT query_id, {ranked}, id, score FROM scored QUALIFY rank <= 5""",
     )
+    registry.add(
+        "knn_indexed_all",
+        lambda t: _filed_vectors(t).search(centroid_queries(t), 5, inverted_file.CELLS),
+        f"""WITH {CENTROIDS_SQL}, scored AS (
+                SELECT c.label AS query_id, vec_id AS id, {shown(cosine_sql, 4)} AS score FROM centres c, embeddings e)
+            SELECT query_id, {ranked}, id, score FROM scored QUALIFY rank <= 5""",
+    )
+    registry.add(
+        "knn_indexed",
+        _indexed_recall,
+        """SELECT count(*) AS queries, count(*) * least(5, (SELECT count(*) FROM embeddings)) AS neighbours, true AS enough
+            FROM embeddings WHERE vec_id % 50 = 0""",
+    )
     registry.add(
         "relevance_gate",
         lambda t: search.relevance_gate(
