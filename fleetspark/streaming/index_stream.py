@@ -17,11 +17,12 @@ def index_new_documents(
 ) -> StreamingQuery:
     """Start a query that chunks, embeds and appends each batch of new documents, and ends when none are left.
 
-    The append skips ids that are stored already, so a batch that is replayed after a failure adds nothing.
+    A batch is known by the checkpoint and its number. The manifest of the index names the batches that it holds, so one that is
+    replayed after a failure is passed over, and one that was cut off adds only what is missing.
     """
 
-    def append(batch: DataFrame, _: int) -> None:
-        append_new_chunks(batch.sparkSession, chunk(batch), index_path, embed)
+    def append(batch: DataFrame, number: int) -> None:
+        append_new_chunks(batch.sparkSession, chunk(batch), index_path, embed, f"{checkpoint}#{number}")
 
     return (
         documents.writeStream.foreachBatch(append)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from fleetspark.functions.vectors import embed_hashed, hashed_vector
 from fleetspark.operators import search
 from fleetspark.sources import append_new_chunks, build_if_absent, read_index
+from fleetspark.sources.vector_table import BUCKETS, appended_batches, stored_ids
 from fleetspark.streaming import index_new_documents
 
 VECTORS = "id bigint, embedding array<float>, code string, maker string"
@@ -144,3 +145,25 @@ def test_stream_indexes_each_document_once(spark, tmp_path):
     run()
     run()
     assert sorted(row.id for row in read_index(spark, index).collect()) == ["a", "b", "c"]
+
+
+def test_an_append_reads_the_touched_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "index")
+    append_new_chunks(spark, chunks(spark, *[f"c{i}" for i in range(300)]), path, embed_hashed)
+    held = stored_ids(spark, path, [3, 5])
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan and "ReadSchema: struct<id:string>" in plan
+    assert {row.bucket for row in held.collect()} == {3, 5}
+    assert len({row.bucket for row in spark.read.parquet(path).select("bucket").collect()}) == BUCKETS
+
+
+def test_a_batch_is_known_by_the_manifest(spark, tmp_path):
+    """A batch that is done is passed over unread; one that was cut off before the manifest adds what is missing."""
+    path = str(tmp_path / "index")
+    append_new_chunks(spark, chunks(spark, "a", "b"), path, embed_hashed, "one#0")
+    append_new_chunks(spark, chunks(spark, "never read"), path, lambda df: 1 / 0, "one#0")
+    # Cut off: the chunks are there, the manifest is not.
+    append_new_chunks(spark, chunks(spark, "c"), path, embed_hashed)
+    append_new_chunks(spark, chunks(spark, "c", "d"), path, embed_hashed, "one#1")
+    assert sorted(row.id for row in read_index(spark, path).collect()) == ["a", "b", "c", "d"]
+    assert sorted(map(tuple, appended_batches(spark, path).collect())) == [("one#0", 2), ("one#1", 1)]
