@@ -15,9 +15,10 @@ from ..sources import (
     load_all,
     read_assets_csv,
     read_index,
-    read_manual,
     read_maintenance_csv,
+    read_manuals,
     read_telemetry_csv,
+    write_documents,
     write_json_report,
 )
 from ..sources.tables import write_telemetry
@@ -80,9 +81,9 @@ def _report(t, half: str) -> DataFrame:
     return scored.sparkSession.read.json(f"{path}/{half}")
 
 
-def _as_texts(documents: DataFrame, path: str) -> str:
-    """Each document as a text file in a folder of its own."""
-    documents.write.partitionBy("doc_id").option("lineSep", "\n").text(path)
+def _filed(documents: DataFrame, path: str) -> str:
+    """The documents in few text files."""
+    write_documents(documents, path)
     return path
 
 
@@ -92,9 +93,9 @@ def _loaded(t) -> DataFrame:
     _as_csv(t.raw_assets, f"{folder}/assets.csv")
     _as_csv(t.raw_telemetry, f"{folder}/telemetry.csv")
     _as_csv(t.raw_maintenance, f"{folder}/maintenance_logs.csv")
-    _as_texts(t.filed_manuals, f"{folder}/manual_excerpts.txt")
+    _filed(t.manuals, f"{folder}/manuals")
     counts = [
-        rows.agg(F.lit(name).alias("source"), F.count(F.lit(1)).alias("row_count")) for name, rows in load_all(spark, folder).items()
+        rows.agg(F.lit(name).alias("source"), F.count(F.lit(1)).alias("row_count")) for name, rows in load_all(spark, folder, manuals="manuals").items()
     ]
     return reduce(DataFrame.unionByName, counts)
 
@@ -154,18 +155,20 @@ def register(registry: Registry) -> None:
     )
     registry.add(
         "manual_from_text",
-        lambda t: read_manual(t.filed_manuals.sparkSession, _as_texts(t.filed_manuals, t.folder("manuals"))).drop("doc_id", "doc_type"),
-        f"WITH {texts.MANUAL_SQL.replace('FROM manuals', 'FROM filed_manuals')} SELECT * EXCLUDE (doc_id) FROM manual_chunks",
-        "filed_manuals",
+        lambda t: read_manuals(t.manuals.sparkSession, _filed(t.manuals, t.folder("manuals")))
+        .withColumn("doc_id", F.col("doc_id").cast("bigint"))
+        .drop("doc_type"),
+        f"WITH {texts.MANUAL_SQL} SELECT * FROM manual_chunks",
+        "manuals",
     )
     registry.add(
         "load_all_profile",
         _loaded,
         f"""WITH {fleet.CLEAN_ASSETS_SQL}, {fleet.CLEAN_TELEMETRY_SQL.replace("cleaned", "readings")},
-                {fleet.CLEAN_MAINTENANCE_SQL.replace("cleaned", "events")}, {texts.MANUAL_SQL.replace('FROM manuals', 'FROM filed_manuals')}
+                {fleet.CLEAN_MAINTENANCE_SQL.replace("cleaned", "events")}, {texts.MANUAL_SQL}
             SELECT 'assets' AS source, count(*) AS row_count FROM assets UNION ALL SELECT 'telemetry', count(*) FROM readings
             UNION ALL SELECT 'maintenance', count(*) FROM events UNION ALL SELECT 'manual', count(*) FROM manual_chunks""",
-        "raw_assets raw_telemetry raw_maintenance filed_manuals",
+        "raw_assets raw_telemetry raw_maintenance manuals",
     )
     registry.add(
         "json_report",

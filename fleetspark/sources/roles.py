@@ -145,15 +145,6 @@ ROLES = {
                ) AS text
         FROM {documents}
     """,
-    # Manuals that are filed one by one: the benchmark passages, each under a section of its own.
-    "filed_manuals": """
-        SELECT item_id AS doc_id,
-               concat(
-                   'SECTION ', CAST(1 + item_id % 4 AS STRING), ': FILED', chr(10), '1.1  PERFORMANCE OVERVIEW', chr(10), text, chr(10),
-                   '1.2  FAULT CODES', chr(10), 'FAULT CODE: E-', CAST(1000 + item_id AS STRING), chr(10), text, chr(10), '----------------', chr(10)
-               ) AS text
-        FROM {benchmark}
-    """,
     # Search questions: every benchmark passage, some with a fault code or a manufacturer to narrow by.
     "manual_questions": """
         SELECT item_id AS query_id,

@@ -1,6 +1,6 @@
 """Readers for the three CSV tables and the text manual. Every column is read as text and cast in `operators.clean`."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunking, clean
@@ -63,13 +63,66 @@ def read_manual(spark: SparkSession, path: str, size: int = 600, overlap: int =
     return chunking.manual_chunks(documents, size=size, overlap=overlap)
 
 
-def load_all(spark: SparkSession, data_dir: str, size: int = 600, overlap: int = 100) -> dict[str, DataFrame]:
-    """The four sources of a data folder, by role. They are lazy; persist the ones that several reports share."""
+# Marks of a file of many documents: between documents, between id and text, and before a mark that is part of a document.
+_RECORD, _FIELD, _ESCAPE = "\x1e", "\x1f", "\x1b"
+_WRITTEN_AS = {_ESCAPE: "\x1b[", _RECORD: "\x1b^", _FIELD: "\x1b_"}
+
+
+def write_documents(documents: DataFrame, path: str) -> None:
+    """Store `doc_id` and `text` of many documents in few text files.
+
+    A document ends in a mark of its own, so its lines stay as they are and its end is found from any byte on. Marks within a
+    document are escaped. Null text is empty.
+    """
+
+    def escaped(value: Column) -> Column:
+        for mark, shown in _WRITTEN_AS.items():
+            value = F.replace(value, F.lit(mark), F.lit(shown))
+        return value
+
+    doc_id, text = (F.coalesce(F.col(name).cast("string"), F.lit("")) for name in ("doc_id", "text"))
+    records = documents.select(F.concat(escaped(doc_id), F.lit(_FIELD), escaped(text)).alias("value"))
+    records.write.option("lineSep", _RECORD).text(path)
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """`doc_id` (text) and `text` of what `write_documents` stored.
+
+    Spark splits files at any byte and each task begins at the next mark, so neither many documents in a file nor a large file
+    keep to one task.
+    """
+
+    def plain(value: Column) -> Column:
+        for mark, shown in reversed(_WRITTEN_AS.items()):
+            value = F.replace(value, F.lit(shown), F.lit(mark))
+        return value
+
+    fields = F.split("value", _FIELD, 2)
+    stored = spark.read.option("lineSep", _RECORD).text(path)
+    return stored.select(plain(F.get(fields, F.lit(0))).alias("doc_id"), plain(F.get(fields, F.lit(1))).alias("text"))
+
+
+def read_manuals(spark: SparkSession, path: str, size: int = 600, overlap: int = 100) -> DataFrame:
+    """Chunks of many manuals in few files, as `write_documents` stores them."""
+    return chunking.manual_chunks(read_documents(spark, path), size=size, overlap=overlap)
+
+
+def load_all(
+    spark: SparkSession, data_dir: str, size: int = 600, overlap: int = 100, manuals: str | None = None
+) -> dict[str, DataFrame]:
+    """The four sources of a data folder, by role. They are lazy; persist the ones that several reports share.
+
+    The manual is one text file, or with `manuals` a folder of many manuals, by its name in the data folder.
+    """
+    if manuals is None:
+        manual = read_manual(spark, f"{data_dir}/manual_excerpts.txt", size, overlap)
+    else:
+        manual = read_manuals(spark, f"{data_dir}/{manuals}", size, overlap)
     return {
         "assets": read_assets_csv(spark, f"{data_dir}/assets.csv"),
         "telemetry": read_telemetry_csv(spark, f"{data_dir}/telemetry.csv"),
         "maintenance": read_maintenance_csv(spark, f"{data_dir}/maintenance_logs.csv"),
-        "manual": read_manual(spark, f"{data_dir}/manual_excerpts.txt", size, overlap),
+        "manual": manual,
     }
 
 

@@ -3,7 +3,7 @@ import hashlib
 import pytest
 
 from fleetspark.operators import chunking
-from fleetspark.sources import read_manual
+from fleetspark.sources import read_documents, read_manual, read_manuals, write_documents
 
 LONG = "some words that fill the block well beyond its least length. "
 
@@ -90,3 +90,25 @@ def test_manual_chunks(spark, tmp_path):
     assert narrative.id.startswith("manual_Vestas_overview_")
     counts = {row.chunk_type: row.chunk_count for row in chunking.chunk_counts(read_manual(spark, str(path))).collect()}
     assert counts == {"fault_code": 1, "narrative": 2}
+
+
+def test_many_documents_a_file(spark, tmp_path):
+    """Marks, line ends and escapes of a document come back, and one file is read by many tasks, a document by one."""
+    marks = "\x1b \x1e\x1f \x1b[ \x1b^\x1b_ \r\n\x1b\x1b^"
+    rows = [(i, f"line {i}\n\n{marks * (i % 4)} é\U0001f600") for i in range(400)] + [(500, "long\n" * 60_000), (501, ""), (502, None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    write_documents(frame.coalesce(1), str(tmp_path / "d"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        found = read_documents(spark, str(tmp_path / "d"))
+        assert found.rdd.getNumPartitions() > 10
+        assert sorted((int(r.doc_id), r.text) for r in found.collect()) == [(i, t or "") for i, t in rows]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_chunks_of_stored_manuals(spark, rows, tmp_path):
+    text = "SECTION 1: A\nFAULT CODE: E-1001\n" + "Name: x " * 20 + "\n----------------\n1.1  PERFORMANCE OVERVIEW\n" + "words " * 200
+    frame = spark.createDataFrame([(str(i), f"{text} {i}") for i in range(9)], "doc_id string, text string")
+    write_documents(frame, str(tmp_path / "d"))
+    assert rows(read_manuals(spark, str(tmp_path / "d"))) == rows(chunking.manual_chunks(frame))
