@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import rounded
 from ..operators import batch, intent, months, resolve
 from ..checkpoints import materialised
 from . import answering
@@ -415,5 +416,112 @@ def register(registry: Registry) -> None:
             LEFT JOIN codes_in c ON c.asset_id = r.asset_id AND c.label IS NOT DISTINCT FROM a.label""",
         "questions question_assets question_telemetry",
     )
-    # Whole results; the figures in them are checked by the three queries above.
+    # The rows of each set of telemetry requests with the same ids and window.
+    matched_sql = f"""{gates_sql},
+            keys AS (SELECT DISTINCT ids, date_start, date_end FROM gates WHERE NOT is_broad),
+            members AS (SELECT *, unnest(CASE WHEN ids = '' THEN [NULL] ELSE string_split(ids, ',') END) AS member FROM keys),
+            matched AS (
+                SELECT ids, date_start, date_end, t.* FROM members JOIN question_telemetry t ON t.asset_id = member AND t.date BETWEEN date_start AND date_end
+                UNION ALL SELECT ids, date_start, date_end, t.* FROM members JOIN question_telemetry t ON t.date BETWEEN date_start AND date_end WHERE member IS NULL)"""
+    same_key = "g.ids = f.ids AND g.date_start = f.date_start AND g.date_end = f.date_end"
+    registry.add(
+        "batch_faults",
+        lambda t: _unpacked(t, "data struct<note:string, fault_codes:bigint, fault_events:array<struct<position:bigint,fault_code:string,"
+        "fault_count:bigint,description:string,first_date:date,last_date:date>>>")
+        .select("request_id", "data.fault_codes", F.col("data.note").isNotNull().alias("is_cut"), F.explode("data.fault_events").alias("one"))
+        .select("request_id", "fault_codes", "is_cut", "one.*"),
+        f"""WITH {matched_sql},
+            codes AS (
+                SELECT ids, date_start, date_end, fault_code, count(*) AS fault_count, arg_min(fault_description, date) AS description,
+                    min(date) AS first_date, max(date) AS last_date FROM matched WHERE fault_code <> '' GROUP BY ALL),
+            f AS (
+                SELECT *, row_number() OVER (PARTITION BY ids, date_start, date_end ORDER BY fault_code) AS position,
+                    count(*) OVER (PARTITION BY ids, date_start, date_end) AS fault_codes FROM codes)
+            SELECT request_id, f.fault_codes, f.fault_codes > 10 AS is_cut, position, fault_code, fault_count, description, first_date, last_date
+            FROM gates g JOIN f ON {same_key} WHERE NOT is_broad AND position <= 10""",
+        "questions question_assets question_telemetry",
+    )
+    registry.add(
+        "batch_trend",
+        lambda t: _unpacked(t, "data struct<monthly_trend:array<struct<month:string,avg_energy:double,avg_avail:double>>>")
+        .select("request_id", F.posexplode("data.monthly_trend").alias("place", "one"))
+        .select("request_id", F.col("place").cast("bigint").alias("place"), "one.*")
+        .withColumns({c: rounded(F.col(c), 4) for c in ("avg_energy", "avg_avail")}),
+        f"""WITH {matched_sql},
+            f AS (
+                SELECT ids, date_start, date_end, strftime(date, '%Y-%m') AS month, avg(energy_kwh) AS energy, avg(availability_pct) AS avail
+                FROM matched GROUP BY ALL)
+            SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY month) - 1 AS place, month,
+                {shown("energy", 4)} AS avg_energy, {shown("avail", 4)} AS avg_avail
+            FROM gates g JOIN f ON {same_key} WHERE NOT is_broad""",
+        "questions question_assets question_telemetry",
+    )
+    asset = "asset_id:string,name:string,type:string,location:string"
+    registry.add(
+        "batch_lookup",
+        lambda t: request_results(t)
+        .filter("tool = 'asset_lookup'")
+        .withColumns({"many": F.from_json("data_json", f"assets array<struct<{asset}>>")["assets"], "one": F.from_json("data_json", f"struct<{asset}>")})
+        .withColumn("shown", F.coalesce("many", F.when(F.col("one.asset_id").isNotNull(), F.array("one"))))
+        .select("request_id", "status", "error", F.col("many").isNotNull().alias("as_list"), F.posexplode_outer("shown").alias("position", "asset"))
+        .select("request_id", "status", "error", "as_list", F.col("position").cast("bigint").alias("position"), "asset.*"),
+        f"""WITH statuses AS ({status_sql}), plans AS (SELECT request_id, {TOOLS_SQL} AS tools FROM questions),
+            split AS (
+                SELECT s.*, CASE WHEN asset_ids = '' THEN [NULL] ELSE string_split(asset_ids, ',') END AS ids
+                FROM statuses s JOIN plans p ON s.request_id = p.request_id WHERE list_contains(tools, 'asset_lookup')),
+            places AS (SELECT *, unnest(ids) AS one, unnest(range(len(ids))) AS place FROM split)
+            SELECT request_id, status, error, asset_ids <> '' AND (status <> 'ok' OR len(ids) > 1) AS as_list,
+                CASE WHEN one IS NOT NULL THEN place END AS position, a.asset_id, a.name, a.type, a.location
+            FROM places LEFT JOIN question_assets a ON a.asset_id = one""",
+        "questions question_assets",
+    )
+    service_sql = gates_sql.replace("list_contains(tools, 'telemetry_tool') AND NOT", "list_contains(tools, 'maintenance_tool') AND NOT")
+    registry.add(
+        "batch_maintenance",
+        lambda t: request_results(t)
+        .filter("tool = 'maintenance_tool' AND data_json IS NOT NULL")
+        .select("request_id", F.from_json("data_json", "status string, message string, data struct<asset_id:string,date_range:string,total_events:bigint,"
+        "scheduled_count:bigint,corrective_count:bigint,total_cost_eur:double,avg_cost_eur:double,total_duration_hours:double,last_maintenance_date:date,"
+        "last_maintenance_type:string,estimated_next_scheduled:date,maintenance_overdue:boolean,fault_codes_in_logs:array<string>,"
+        "parts_used:map<string,bigint>,events:array<struct<position:bigint,date:string,log_id:string,type:string>>>").alias("j"))
+        .select("request_id", "j.status", "j.message", "j.data.*")
+        .withColumns(
+            {
+                "fault_codes_in_logs": F.array_join("fault_codes_in_logs", ","),
+                "parts_used": F.array_join(F.array_sort(F.transform(F.map_entries("parts_used"), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))), ","),
+                "events": F.array_join(F.transform("events", lambda e: F.concat_ws("|", e["position"], e["log_id"], e["date"], e["type"])), ","),
+            }
+        ),
+        f"""WITH {service_sql},
+            keys AS (SELECT DISTINCT ids, date_start, date_end FROM gates WHERE ids <> ''),
+            members AS (SELECT *, unnest(string_split(ids, ',')) AS member FROM keys),
+            logs AS (SELECT ids, date_start, date_end, m.* FROM members JOIN question_maintenance m ON m.asset_id = member AND m.date BETWEEN date_start AND date_end),
+            sums AS (
+                SELECT ids, date_start, date_end, count(*) AS total_events, count(*) FILTER (WHERE type = 'scheduled') AS scheduled_count,
+                    count(*) FILTER (WHERE type = 'corrective') AS corrective_count, {shown("sum(cost_eur)", 2)} AS total_cost_eur,
+                    {shown("avg(cost_eur)", 2)} AS avg_cost_eur, {shown("sum(duration_hours)", 2)} AS total_duration_hours, min(date) AS first_date,
+                    max(date) AS last_maintenance_date, arg_max(type, (date, log_id)) AS last_maintenance_type,
+                    array_to_string(list_sort(list(DISTINCT regexp_extract(description, '(E-\\d+)', 1))), ',') AS fault_codes_in_logs
+                FROM logs GROUP BY ALL),
+            due AS (SELECT ids, date_start, date_end, max(date) AS last_scheduled FROM members JOIN question_maintenance m ON m.asset_id = member WHERE type = 'scheduled' GROUP BY ALL),
+            uses AS (SELECT ids, date_start, date_end, concat(parts_replaced, ':', count(*)) AS used FROM logs GROUP BY ids, date_start, date_end, parts_replaced),
+            parts AS (SELECT ids, date_start, date_end, string_agg(used, ',' ORDER BY used) AS parts_used FROM uses GROUP BY ALL),
+            placed AS (SELECT *, row_number() OVER (PARTITION BY ids, date_start, date_end ORDER BY date, log_id) AS position FROM logs),
+            firsts AS (
+                SELECT ids, date_start, date_end, string_agg(concat_ws('|', position, log_id, date, type), ',' ORDER BY position) AS events
+                FROM placed WHERE position <= 10 GROUP BY ALL),
+            f AS (
+                SELECT * FROM sums JOIN parts USING (ids, date_start, date_end) JOIN firsts USING (ids, date_start, date_end)
+                LEFT JOIN due USING (ids, date_start, date_end))
+            SELECT request_id, CASE WHEN g.ids = '' THEN 'error' WHEN total_events IS NULL THEN 'no_data' ELSE 'ok' END AS status,
+                CASE WHEN g.ids = '' THEN 'no asset id in the question' WHEN total_events IS NULL THEN 'no rows match the filters' END AS message,
+                CASE WHEN total_events > 0 THEN replace(g.ids, ',', ', ') END AS asset_id, strftime(first_date, '%Y-%m-%d') || ' to ' || strftime(last_maintenance_date, '%Y-%m-%d') AS date_range,
+                total_events, scheduled_count, corrective_count, total_cost_eur, avg_cost_eur, total_duration_hours, last_maintenance_date, last_maintenance_type,
+                CAST(last_scheduled + 180 AS DATE) AS estimated_next_scheduled,
+                CASE WHEN total_events > 0 THEN coalesce(DATE '2001-07-01' - last_scheduled > 180, false) END AS maintenance_overdue,
+                fault_codes_in_logs, parts_used, events
+            FROM gates g LEFT JOIN f ON {same_key}""",
+        "questions question_assets question_maintenance",
+    )
+    # Whole results; the figures in them are checked by the batch queries above.
     registry.add("request_results_json", request_results)
