@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..checkpoints import materialised
 from ..functions import chunk_id, rounded
 from ..functions.vectors import embed_hashed, hashed_vector
-from ..operators import chunking, intent, inverted_file, search
+from ..operators import chunking, intent, inverted_file, lines, search
 from . import answering
 from .registry import Registry, shown
 
@@ -171,6 +171,12 @@ def register(registry: Registry) -> None:
         f"WITH {BLOCKS_SQL} SELECT * FROM tagged",
         "manuals",
     )
+    registry.add(
+        "segment_blocks_of_lines",
+        lambda t: lines.fault_blocks_of_lines(lines.lines_of(t.manuals)).withColumn("position", F.col("position").cast("bigint")),
+        f"WITH {BLOCKS_SQL} SELECT * FROM tagged",
+        "manuals",
+    )
     registry.add(
         "narrative_sections",
         lambda t: chunking.narrative_sections(t.manuals).drop("position"),

@@ -7,6 +7,7 @@ from .tables import (
     read_documents,
     read_maintenance_csv,
     read_manual,
+    read_manual_lines,
     read_manuals,
     read_telemetry_csv,
     write_documents,
@@ -22,6 +23,7 @@ __all__ = [
     "read_index",
     "read_maintenance_csv",
     "read_manual",
+    "read_manual_lines",
     "read_manuals",
     "read_telemetry_csv",
     "write_documents",

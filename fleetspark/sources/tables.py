@@ -63,6 +63,16 @@ def read_manual(spark: SparkSession, path: str, size: int = 600, overlap: int =
     return chunking.manual_chunks(documents, size=size, overlap=overlap)
 
 
+def read_manual_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of every text file under the path: `doc_id` (the file), `line_no` (which orders its lines) and `line`.
+
+    A file is read by as many tasks as its size asks for. A line is placed by where its split begins and by its number there.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path)
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+    return lines.select(F.col("_metadata.file_path").alias("doc_id"), place.alias("line_no"), F.col("value").alias("line"))
+
+
 # Marks of a file of many documents: between documents, between id and text, and before a mark that is part of a document.
 _RECORD, _FIELD, _ESCAPE = "\x1e", "\x1f", "\x1b"
 _WRITTEN_AS = {_ESCAPE: "\x1b[", _RECORD: "\x1b^", _FIELD: "\x1b_"}
