@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..checkpoints import materialised
 from ..functions import chunk_id, rounded
 from ..functions.vectors import embed_hashed, hashed_vector
-from ..operators import chunking, intent, inverted_file, lines, search
+from ..operators import chunking, dictionary, intent, inverted_file, lines, search
 from . import answering
 from .registry import Registry, shown
 
@@ -203,6 +203,26 @@ def register(registry: Registry) -> None:
         "manuals",
     )
 
+    opening = r"regexp_extract(text, '^[^ ]+ [^ ]+', 0)"
+    registry.add(
+        "phrases_from_table",
+        lambda t: dictionary.phrase_matches(
+            t.raw("documents"), t.raw("documents").select(F.expr(opening).alias("phrase")), "doc_id"
+        ),
+        f"""WITH phrases AS (SELECT DISTINCT phrase FROM (SELECT {opening} AS phrase FROM documents) WHERE phrase <> '')
+            SELECT doc_id, phrase FROM documents JOIN phrases ON contains(lower(text), lower(phrase))""",
+    )
+    registry.add(
+        "locations_from_table",
+        lambda t: dictionary.first_named(
+            t.questions, t.question_assets.groupBy(F.col("location").alias("phrase")).agg(F.min("asset_id").alias("place"))
+        ).select("request_id", "named"),
+        """WITH names AS (SELECT location, min(asset_id) AS place FROM question_assets GROUP BY location)
+            SELECT request_id, arg_min(location, place) AS named FROM questions
+            LEFT JOIN names ON contains(lower(question), lower(location)) GROUP BY request_id""",
+        "questions question_assets",
+    )
+
     def document_chunks(t):
         chunks = chunking.window_chunks(t.raw("documents").select("doc_id", "lang", "text"))
         return chunks.withColumn("id", chunk_id(F.col("lang"), F.lit(None).cast("string"), F.col("chunk")))
