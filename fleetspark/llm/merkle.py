@@ -14,9 +14,8 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .shared import table, written
+from .shared import ranked, table, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -115,17 +114,6 @@ def _to_top(nodes: DataFrame) -> DataFrame:
     return written(nodes.groupBy("block").cogroup(outer.groupBy("block")).applyInPandas(_paths, _PATH), "merkle-paths")
 
 
-def _ranked(rows: DataFrame, *order: Column) -> DataFrame:
-    """The rows with their place `rank` in this order, over all partitions. Only a count for each partition meets in one place."""
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    placed = written(placed, "merkle-ranked").withColumn("_part", F.shiftright("_at", 33))
-    sooner = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row for each partition.
-    parts = placed.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(sooner), F.lit(0)).alias("_before"))
-    rank = F.col("_before") + F.col("_at").bitwiseAND(F.lit(2**33 - 1))
-    return placed.join(F.broadcast(parts), "_part").withColumn("rank", rank).drop("_part", "_at", "_before")
-
-
 def leaf_of(text: Column) -> Column:
     """The digest of a row: of each field `-` if null, else its bytes, a colon and its value."""
     fields = [F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text]
@@ -158,13 +146,13 @@ def manifest(docs: DataFrame, presented: Column | None = None, with_proofs: bool
     )
     leaves = written(leaves, "merkle-leaves")
     order = [F.col("source").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), F.col("leaf"), F.col("_tie")]
-    ranked = _ranked(leaves, *order)
-    sources = ranked.groupBy("source").agg(F.min("rank").alias("start"), F.count("*").alias("n"))
-    sources = written(_ranked(sources, F.col("source").asc_nulls_first()).withColumnRenamed("rank", "tree"), "merkle-sources")
+    placed = ranked(leaves, *order)
+    sources = placed.groupBy("source").agg(F.min("rank").alias("start"), F.count("*").alias("n"))
+    sources = written(ranked(sources, F.col("source").asc_nulls_first()).withColumnRenamed("rank", "tree"), "merkle-sources")
 
     at = F.col("rank") - F.col("start")
     first = F.col("start") + F.floor(at / SUPERBLOCK) * SUPERBLOCK
-    placed = ranked.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
+    placed = placed.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
     placed = placed.select(
         "doc_id", "tree", at.alias("at"), "n", F.col("leaf").alias("node"), "shown", F.floor(first / SUPERBLOCK).alias("block")
     )

@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..checkpoints import new_folder
 
@@ -45,6 +46,17 @@ def row_key(id_column: str = "doc_id", text: str = "text") -> list:
     ]
 
 
+def ranked(rows: DataFrame, *order: Column) -> DataFrame:
+    """The rows with their place `rank` in this order, over all partitions. Only a count for each partition meets in one place."""
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = written(placed, "ranked").withColumn("_part", F.shiftright("_at", 33))
+    sooner = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each partition.
+    parts = placed.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(sooner), F.lit(0)).alias("_before"))
+    rank = F.col("_before") + F.col("_at").bitwiseAND(F.lit(2**33 - 1))
+    return placed.join(F.broadcast(parts), "_part").withColumn("rank", rank).drop("_part", "_at", "_before")
+
+
 def join_hot(rows: DataFrame, per_key: DataFrame, key: str, count: str) -> DataFrame:
     """Inner join of rows with one record per key, safe for keys that hold a large share of the rows.
 

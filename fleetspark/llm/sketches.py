@@ -13,11 +13,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import NO_ID, table
+from .shared import NO_ID, ranked, table
 from .words import mixed, shingles_of, slices, words_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -146,28 +146,55 @@ def _exploded(best: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(flat, pa.int64())], ["key", "hash"])
 
 
+def _constant(values: list[int]) -> Column:
+    """An array of numbers as one constant."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _cuts_before(ids: Column, ties: Column, count: int, or_equal: bool) -> Column:
+    """How many of the sorted cuts (id, tie) come before the row, or are equal to it, by halving steps."""
+
+    def step(done: Column, width: Column) -> Column:
+        at = done + width - 1
+        cut_id, cut_tie = F.get(ids, at), F.get(ties, at)
+        last = F.col("_tie") >= cut_tie if or_equal else F.col("_tie") > cut_tie
+        passed = (F.col("_id") > cut_id) | ((F.col("_id") == cut_id) & last)
+        return F.when((at < count) & F.coalesce(passed, F.lit(False)), done + width).otherwise(done)
+
+    widths = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, count.bit_length())))])
+    return F.aggregate(widths, F.lit(0), step)
+
+
 def _dealt(docs: DataFrame, parts: int) -> DataFrame:
     """The documents in parts of ascending id, each part followed by a copy of the next part's first document.
 
-    `part` is the number of the part, `borrowed` whether the row is such a copy. After the last comes the first of all.
+    `part` is the number of the part, `borrowed` whether the row is such a copy. After the last comes the first of all. Parts
+    hold as many rows each: they begin at every so-many-th of the sorted ids and hashes. Rows that are equal to several
+    beginnings are spread over those parts, so that the last of them has one at least; which is told by the number of a row, so
+    the documents must come in one order at each reading, as from a table. Only the beginnings, one a part, reach the driver.
     """
-    bounds = docs.select("doc_id").dropna().approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)
-    bounds = sorted({int(b) for b in bounds})
-    cuts = F.array(*map(F.lit, bounds)).cast("array<long>")
-    part = F.aggregate(cuts, F.lit(0), lambda n, b: n + (F.col("_id") > b).cast("int"))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
-    keyed = keyed.withColumn("_tie", F.xxhash64("text")).withColumn("part", part)
-    # One row for each part.
-    firsts = keyed.groupBy("part").agg(F.min(F.struct("_id", "_tie")).alias("first"))
-    order = Window.orderBy("part")
-    before = F.coalesce(F.lag("part").over(order), F.max("part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    firsts = firsts.select("part", "first", before.alias("before"))
-    joined = keyed.join(F.broadcast(firsts), "part")
-    is_first = F.struct("_id", "_tie") == F.col("first")
-    own = F.struct(F.col("part"), F.lit(False).alias("borrowed"))
-    lent = F.struct(F.col("before").alias("part"), F.lit(True).alias("borrowed"))
-    copies = F.explode(F.when(is_first, F.array(own, lent)).otherwise(F.array(own)))
-    return joined.withColumn("_copy", copies).select("_copy.*", "_id", "_tie", "text")
+    keyed = keyed.withColumn("_tie", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id())
+    placed = ranked(keyed.select("_id", "_tie", "_row"), F.col("_id"), F.col("_tie"), F.col("_row"))
+    size = max(1, -(-placed.count() // parts))
+    begins = [tuple(r) for r in placed.filter(F.col("rank") % size == 0).orderBy("rank").select("_id", "_tie", "_row").collect()]
+    cuts = begins[1:]
+    ids, ties, numbers = (_constant([c[i] for c in cuts] or [0]) for i in range(3))
+    keyed = keyed.withColumns(
+        {"_low": _cuts_before(ids, ties, len(cuts), False), "_high": _cuts_before(ids, ties, len(cuts), True)}
+    )
+    several = (F.col("_high") - F.col("_low") > 1) & (F.col("_row") != F.get(numbers, F.col("_high") - 1))
+    spread = F.col("_low") + 1 + F.pmod(F.xxhash64("_row"), F.greatest(F.col("_high") - F.col("_low"), F.lit(1))).cast("int")
+    part = F.when(several, spread).otherwise(F.col("_high"))
+    own = keyed.select(part.alias("part"), F.lit(False).alias("borrowed"), "_id", "_tie", "text")
+    first = begins[0] if begins else (0, 0, 0)
+    is_first = (F.col("_id") == first[0]) & (F.col("_tie") == first[1])
+    heads = keyed.filter(is_first | (F.col("_low") < F.col("_high")))
+    heads = heads.groupBy("_id", "_tie", "_low", "_high").agg(F.first("text").alias("text"))
+    before = F.when(F.col("_low") < F.col("_high"), F.sequence(F.col("_low"), F.col("_high") - 1)).otherwise(F.array().cast("array<int>"))
+    last = F.when(is_first, F.array(F.lit(len(cuts)))).otherwise(F.array().cast("array<int>"))
+    lent = heads.select(F.explode(F.concat(before, last)).alias("part"), F.lit(True).alias("borrowed"), "_id", "_tie", "text")
+    return own.unionByName(lent)
 
 
 def compared_with_next(docs: DataFrame, parts: int, k: int = K, shingle_words: int = SHINGLE_WORDS) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .range_coder import LANES, decode, encode
-from .shared import table, written
+from .shared import NO_ID, table, written
 from .tokens import BEFORE_SPACES, worker_encoder
 from .words import slices
 
@@ -35,7 +35,6 @@ DIGITS = 4
 _MAGIC = b"IDS1"
 # Magic, documents, blocks, and a checksum of their numbers and the rest of the frame.
 _HEAD = "<4sIII"
-_NO_ID = 2**63 - 1
 
 
 class DamagedFrame(ValueError):
@@ -135,10 +134,11 @@ def encoded(
         if full:
             yield emit()
 
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_id"), "text")
-    tie = F.xxhash64("text")
-    in_order = keyed.repartitionByRange("_id").sortWithinPartitions("_id", tie)
-    return in_order.mapInArrow(rows, "part int, frame long, before long, n_ids long, payload binary")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), "text")
+    # Rows of equal id, and rows equal in everything, may fill several parts.
+    keyed = keyed.withColumn("_tie", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id())
+    in_order = keyed.repartitionByRange("_id", "_tie", "_row").sortWithinPartitions("_id", "_tie")
+    return in_order.select("_id", "text").mapInArrow(rows, "part int, frame long, before long, n_ids long, payload binary")
 
 
 def decoded(frames: DataFrame, digits: int = DIGITS, with_ids: bool = False) -> DataFrame:
@@ -181,7 +181,7 @@ def _documents(frames: list[tuple], digits: int, with_ids: bool) -> pa.RecordBat
         ends = np.cumsum(counts)
         for doc_id, n, end in zip(doc_ids.tolist(), counts.tolist(), ends.tolist()):
             mine = ids[end - n : end]
-            out.append((None if doc_id == _NO_ID else doc_id, start + end - n, n, zlib.crc32(mine.tobytes()), mine))
+            out.append((None if doc_id == NO_ID else doc_id, start + end - n, n, zlib.crc32(mine.tobytes()), mine))
     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
     columns = [pa.array([o[i] for o in out], pa.int64()) for i in range(4)]
     if with_ids:

@@ -90,3 +90,14 @@ def test_merged_fingerprints_of_groups_without_words(spark):
     got = {r.source: r.fingerprint for r in sketches.merged_fingerprints(prints, "source").collect()}
     own = sketches.packed(sketches.sketches_of(pa.array(["one two three"]))[0])
     assert got == {"a": "", "b": own, "c": ""}
+
+
+def test_rows_without_id_and_repeated_rows_fill_all_parts(spark):
+    """All ids null, a third of the rows equal: no part holds much more than its share, and each row has its result."""
+    rows = [(None, f"text number {i} of many words" if i % 3 else "the same words again and again") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    sizes = [r["count"] for r in sketches._dealt(docs, 16).filter("NOT borrowed").groupBy("part").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= 2 * 3000 / 16
+    found = sketches.compared_with_next(docs, 4).collect()
+    assert len(found) == 3000 and all(r.doc_id is None for r in found)
+    assert sum(r.near_next == 1.0 for r in found) >= 998

@@ -166,3 +166,16 @@ def test_hard_rows_packed(hard, hard_rows):
     rows = packing.pack(hard).collect()
     wanted = sum(len(i) for _, i in expected(hard_rows, "word_bpe_49k.json", 2))
     assert sum(r.length for r in rows) == wanted and sum(r.length == 1 and r.doc_tokens == 1 for r in rows) >= 4
+
+
+def test_rows_without_id_fill_all_parts(spark):
+    docs = spark.createDataFrame([(None, f"text {i % 2000} of many") for i in range(4000)], "doc_id long, text string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        frames = token_files.encoded(docs).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = {}
+    for f in frames:
+        sizes[f.part] = sizes.get(f.part, 0) + f.n_ids
+    assert max(sizes.values()) <= 2 * sum(sizes.values()) / 8
