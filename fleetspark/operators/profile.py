@@ -159,7 +159,11 @@ def describe(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     A column without values has no row.
     """
     columns = tuple(columns)
-    figures = _column_figures(df, columns, *_brackets(QUARTILES))
+    return described(df, columns, _column_figures(df, columns, *_brackets(QUARTILES)))
+
+
+def described(df: DataFrame, columns: tuple[str, ...], figures: Column) -> DataFrame:
+    """The description of columns whose moments, extremes and quartile brackets are known."""
     quartiles = (
         _ranked_quantiles(df, columns, QUARTILES, figures)
         .groupBy("column")

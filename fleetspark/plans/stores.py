@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions import chunk_id
+from ..checkpoints import materialised
+from ..functions import chunk_id, rounded
 from ..functions.vectors import embed_hashed
-from ..operators import chunking, evaluate, telemetry
+from ..operators import chunking, clean, distinct, evaluate, telemetry, value_cells
 from ..sources import (
     append_new_chunks,
     build_if_absent,
@@ -21,7 +22,7 @@ from ..sources import (
     write_documents,
     write_json_report,
 )
-from ..sources.tables import write_telemetry
+from ..sources.tables import write_profiled_telemetry, write_telemetry
 from ..streaming import index_new_documents
 from . import answers, fleet, texts
 from .registry import Registry, shown
@@ -39,6 +40,41 @@ def _stored_month_rows(t):
     return t.part_telemetry.sparkSession.read.parquet(path)
 
 
+NUMBERS = ["energy_kwh", "availability_pct", "avg_wind_speed_ms"]
+# A window that begins and ends within a month, and has whole months between.
+WINDOW = ("1995-11-10", "1996-06-20")
+
+
+def _described_window(t) -> DataFrame:
+    """The description of one window, out of the stored cells of its months and the stored readings."""
+    stored = _stored_month_rows(t)
+    cells = materialised(value_cells.value_cells(stored, NUMBERS))
+    return value_cells.describe_window(stored, cells, NUMBERS, *WINDOW)
+
+
+def _asset_bitmaps(t) -> DataFrame:
+    """Stored bitmaps of the assets of each place and month."""
+    numbers = distinct.dense_numbers(t.part_telemetry.select("asset_id"))
+    return materialised(distinct.asset_bitmaps(t.part_telemetry, numbers, t.part_assets))
+
+
+def _windows(bitmaps: DataFrame) -> DataFrame:
+    """Windows of one, three and twelve months from each month on."""
+    months = bitmaps.select("month").distinct().withColumn("length", F.explode(F.array(*map(F.lit, (1, 3, 12)))))
+    last = F.last_day(F.add_months("month", F.col("length") - 1))
+    return months.select(F.col("month").alias("date_start"), last.alias("date_end"))
+
+
+WINDOWS_SQL = """
+    windows AS (
+        SELECT DISTINCT CAST(date_trunc('month', date) AS DATE) AS date_start,
+               last_day(date_trunc('month', date) + to_months(length - 1)) AS date_end
+        FROM part_telemetry, (VALUES (1), (3), (12)) v(length)),
+    seen AS (
+        SELECT DISTINCT t.asset_id, location, t.date FROM part_telemetry t LEFT JOIN part_assets a ON t.asset_id = a.asset_id)
+"""
+
+
 def _document_chunks(documents: DataFrame) -> DataFrame:
     return chunking.window_chunks(documents).select(
         chunk_id(F.col("lang"), F.lit(None).cast("string"), F.col("chunk")).alias("id"),
@@ -128,6 +164,44 @@ def register(registry: Registry) -> None:
         f"SELECT {fleet.SUMMARY_SQL} FROM part_telemetry WHERE date BETWEEN DATE '1996-03-01' AND DATE '1996-06-30'",
         "part_telemetry",
     )
+    registry.add(
+        "describe_window",
+        lambda t: _described_window(t).select(
+            "column",
+            "count",
+            *[rounded(F.col(name), 4).alias(name) for name in ("mean", "std", "min", "max", "p25", "p50", "p75")],
+        ),
+        " UNION ALL ".join(
+            f"""SELECT '{name}' AS "column", count({name}) AS count, {shown(f"avg({name})", 4)} AS mean,
+                {shown(f"stddev_samp({name})", 4)} AS std, {shown(f"min({name})", 4)} AS min, {shown(f"max({name})", 4)} AS max,
+                {shown(f"quantile_cont({name}, 0.25)", 4)} AS p25, {shown(f"quantile_cont({name}, 0.5)", 4)} AS p50,
+                {shown(f"quantile_cont({name}, 0.75)", 4)} AS p75 FROM part_telemetry
+                WHERE date BETWEEN DATE '{WINDOW[0]}' AND DATE '{WINDOW[1]}'"""
+            for name in NUMBERS
+        ),
+        "part_telemetry",
+    )
+    for name, place in (("assets_per_window", []), ("assets_per_place_and_window", ["location"])):
+
+        def per_window(t, place=place):
+            bitmaps = _asset_bitmaps(t)
+            return distinct.assets_per_window(bitmaps, _windows(bitmaps), place)
+
+        columns = ", ".join(["date_start", "date_end", *place])
+        registry.add(
+            name,
+            per_window,
+            f"""WITH {WINDOWS_SQL} SELECT {columns}, count(DISTINCT asset_id) AS asset_count
+                FROM windows JOIN seen ON date BETWEEN date_start AND date_end GROUP BY ALL""",
+            "part_telemetry part_assets",
+        )
+    registry.add(
+        "observed_profile",
+        lambda t: write_profiled_telemetry(clean.clean_telemetry(t.raw_telemetry), t.folder("telemetry")),
+        f"""WITH {fleet.CLEAN_TELEMETRY_SQL} SELECT count(*) AS row_count, count(DISTINCT asset_id) AS asset_count,
+                min(date) AS first_date, max(date) AS last_date, count(fault_code) AS fault_rows FROM cleaned""",
+        "raw_telemetry",
+    )
     for name, build in (("index_build_and_append", _indexed), ("index_from_stream", _streamed)):
         registry.add(
             name,

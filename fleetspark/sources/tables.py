@@ -1,6 +1,6 @@
 """Readers for the three CSV tables and the text manual. Every column is read as text and cast in `operators.clean`."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunking, clean
@@ -136,11 +136,40 @@ def load_all(
     }
 
 
+def _by_month(telemetry: DataFrame) -> DataFrame:
+    by_month = telemetry.withColumn("month", F.date_format("date", "yyyy-MM"))
+    return by_month.hint("rebalance", "month")
+
+
 def write_telemetry(telemetry: DataFrame, path: str) -> None:
     """Store the fact as parquet partitioned by month, so that date filters prune whole folders.
 
     The rebalance hint brings the rows of a month together and lets adaptive execution split a large month over as many
     tasks, and thus files, as the advisory partition size asks for.
     """
-    by_month = telemetry.withColumn("month", F.date_format("date", "yyyy-MM"))
-    by_month.hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(path)
+    _by_month(telemetry).write.mode("overwrite").partitionBy("month").parquet(path)
+
+
+def write_profiled_telemetry(telemetry: DataFrame, path: str) -> DataFrame:
+    """Store the fact by month and return its load profile, as `telemetry_profile` gives it, out of the pass that writes.
+
+    The figures are observed in the stage that writes, whose tasks count once however often executors are lost. Distinct assets
+    cannot be observed; they come from the id column of what was stored, so the source is read once.
+    """
+    seen = Observation()
+    observed = _by_month(telemetry).observe(
+        seen,
+        F.count(F.lit(1)).alias("row_count"),
+        F.min("date").alias("first_date"),
+        F.max("date").alias("last_date"),
+        F.count("fault_code").alias("fault_rows"),
+    )
+    observed.write.mode("overwrite").partitionBy("month").parquet(path)
+    figures = seen.get
+    stored = telemetry.sparkSession.read.schema(telemetry.schema).parquet(path)
+    return stored.agg(F.countDistinct("asset_id").alias("asset_count")).select(
+        F.lit(figures["row_count"]).cast("bigint").alias("row_count"),
+        "asset_count",
+        *[F.lit(figures[name]).cast("date").alias(name) for name in ("first_date", "last_date")],
+        F.lit(figures["fault_rows"]).cast("bigint").alias("fault_rows"),
+    )
