@@ -17,8 +17,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Contexts of each order that a block remembers, as rows of a hashed table.
 ROWS = 1024
-# Blocks that are coded side by side, a bound on memory: each takes 96 KB.
-LANES = 1024
+# Blocks that are coded side by side, a bound on memory: each takes 96 KB. The more, the less a step costs per id.
+LANES = 2048
 
 _ORDERS = 3
 _SCALE_BITS = 13

@@ -28,7 +28,7 @@ END_ID = 0
 
 # Ids after which a frame ends with the document, and ids of a block.
 FRAME_IDS = 1 << 16
-BLOCK_IDS = 1 << 13
+BLOCK_IDS = 1 << 11
 # Digits of four bits that an id has.
 DIGITS = 4
 
