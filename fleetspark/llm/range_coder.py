@@ -1,11 +1,12 @@
 """An adaptive context-mixing range coder for token ids.
 
-An id is coded as a few digits of four bits. For each digit, three adaptive models predict a distribution: in the context of the
-higher digits alone (order 0), of these and the id before (order 1), and of these and the two ids before (order 2). The three
-are mixed by weights that follow how well each has done lately, and the mixture drives a range coder.
+Three models predict the next id: order 2 the id that followed the two ids before when they last came, order 1 the id that
+followed the id before, and order 0 a distribution over all ids, digit by digit of eight bits, lower digits in the context of
+the higher ones. The three are mixed into one distribution: how much of the scale orders 2 and 1 give to their ids follows how
+often ids foretold with such confidence have come, and order 0 has the rest. The mixture drives a range coder.
 
-Many blocks are coded side by side, one digit of each at a time, so that numpy works on long arrays. Blocks know nothing of
-each other. All arithmetic is on integers, so a decoder does exactly what the encoder did.
+Many blocks are coded side by side, one id of each at a time, so that numpy works on long arrays. Blocks know nothing of each
+other: the models of each begin anew. All arithmetic is on integers, so a decoder does exactly what the encoder did.
 """
 
 import sys
@@ -15,96 +16,128 @@ from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Contexts of each order that a block remembers, as rows of a hashed table.
-ROWS = 1024
-# Blocks that are coded side by side, a bound on memory: each takes 96 KB. The more, the less a step costs per id.
-LANES = 2048
+# Contexts of orders 1 and 2 that a block remembers, as slots of hashed tables, and contexts of a lower digit.
+SLOT_BITS = 10
+ROWS = 8
+# Blocks that are coded side by side, a bound on memory: each takes 18 KB. The more, the less a step costs per id.
+LANES = 4096
 
-_ORDERS = 3
-_SCALE_BITS = 13
-_SCALE = 1 << _SCALE_BITS
-_SHARES = 8
-# Steps after which the shares of the orders follow what each has done.
-_REWEIGH = 16
+_SYMBOLS = 256
+_FLAG_BITS, _DIGIT_BITS = 12, 14
+_FLAGS, _SCALE = 1 << _FLAG_BITS, 1 << _DIGIT_BITS
 
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
+# A digit that comes counts so much against one for each digit at the start. Counts are halved beyond a total.
+_GAIN, _MOST = 24, 40_000
+# The distributions of order 0 follow their counts at these steps and then at each multiple of the last.
+_RENEWED = (4, 8, 16, 32, 64, 128)
+_RENEWED_ROWS = 2048
+
+_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)
 _WORD = np.uint64(16)
 
-# Cumulative frequencies that a row moves to when a digit occurs: all of the scale but 2 for each other digit.
-_PLACES = np.arange(16)
-_TARGETS = np.where(
-    _PLACES[None, :] >= _PLACES[:, None], _SCALE - 2 * (15 - _PLACES)[None, :], 2 * (_PLACES + 1)[None, :]
-).astype(np.int16)
-# How fast a row moves at each age, and its next age.
-_RATES = np.array([1, 2, 3, 3, 4, 4, 4, 4, 5], np.int16)
-_OLDER = np.array([1, 2, 3, 4, 5, 6, 7, 8, 8], np.int16)
+# A slot holds an id and how far it is to be trusted: 0 for an empty slot, 1 for an id seen once, up to 3.
+_TRUST = 4
+# The trust after a miss (first half) and after a hit. A missed id stays while its trust was 2 or more.
+_NEXT_TRUST = np.array([1, 1, 1, 2, 1, 2, 3, 3], np.int32)
+# What a share moves to. It never gets to nothing or to all of the scale.
+_LEAST, _LARGEST = np.int32(16), np.int32(_FLAGS - 16)
+# Order 1 has one level of trust more, for an id that order 2 foretells as well.
+_STATES = _TRUST * (_TRUST + 1)
 
 
 class _Models:
-    """The models of all lanes. A row holds the cumulative frequencies after each digit but the last, and its age."""
+    """The models of all lanes."""
 
     def __init__(self, lanes: int, digits: int):
-        even = np.arange(1, 17, dtype=np.int16) * np.int16(_SCALE // 16)
-        even[15] = 0
-        table = np.broadcast_to(even, (_ORDERS * lanes * ROWS, 16)).copy()
-        # Whole rows are moved as one value of 32 bytes each.
-        self._table = table.view("V32").ravel()
-        self._base = (np.arange(_ORDERS * lanes, dtype=np.int64) * ROWS).reshape(_ORDERS, lanes)
-        # How much of the scale each order gave to the digits that came, lately, and the shares that follow from it.
-        self._merit = np.full((digits, _ORDERS, lanes), _SCALE // 16, np.int32)
-        self._share = np.zeros((digits, _ORDERS, lanes), np.uint16)
-        self._first = np.arange(_ORDERS * lanes).reshape(_ORDERS, lanes) * 16
-        for digit in range(digits):
-            self._weigh(digit)
-
-    def _weigh(self, digit: int) -> None:
-        square = self._merit[digit].astype(np.int64) ** 2
-        share = (square * _SHARES // square.sum(axis=0)).astype(np.uint16)
-        share[2] = _SHARES - share[0] - share[1]
-        self._share[digit] = share
-
-    def reweigh(self) -> None:
-        """Lets the shares follow the merits."""
-        for digit in range(len(self._merit)):
-            self._weigh(digit)
-
-    def mix(self, digit: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
-        """Cumulative frequencies of the next digit of each lane, mixed from the orders' `context` hashes and the digits before."""
-        n = len(node)
-        hashed = (context + (node + np.uint32(digit << 16)) * np.uint32(0x9E3779B1)) * np.uint32(0x85EBCA6B)
-        self._at = (self._base[:, :n] + (hashed >> np.uint32(32 - ROWS.bit_length() + 1))).ravel()
-        self._rows = rows = self._table.take(self._at).view(np.int16).reshape(_ORDERS, n, 16)
-        self._digit = digit
-        weighed = rows.view(np.uint16) * self._share[digit][:, :n, None]
-        mixed = weighed[0]
-        mixed += weighed[1]
-        mixed += weighed[2]
-        mixed >>= np.uint16(3)
-        mixed[:, 15] = _SCALE
-        return mixed
-
-    def learn(self, symbol: np.ndarray) -> None:
-        """Moves the rows that were mixed towards the digit that came, young rows faster."""
-        n, rows = len(symbol), self._rows
-        age = rows[:, :, 15].copy()
-        rows[:, :, 15] = _SCALE
-        flat = rows.reshape(-1)
-        places = self._first.ravel()[: _ORDERS * n].reshape(_ORDERS, n) + symbol
-        given = flat.take(places) - np.where(symbol > 0, flat.take(places - 1, mode="clip"), 0)
-        merit = self._merit[self._digit][:, :n]
-        merit += ((given - merit) >> 4) + 1
-        gap = _TARGETS.take(symbol, axis=0) - rows
-        gap >>= _RATES.take(age)[:, :, None]
-        rows += gap
-        rows[:, :, 15] = _OLDER.take(age)
-        self._table[self._at] = rows.reshape(-1, 16).view("V32").ravel()
-
-
-def _contexts(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """A hash for each order from the id before and the one before that."""
-    first = (one + np.uint32(1)) * np.uint32(0xC2B2AE35)
-    second = (first ^ (first >> np.uint32(15))) + (two + np.uint32(1)) * np.uint32(0x27D4EB2F)
-    return np.stack([np.zeros_like(first), first | np.uint32(1), second ^ (second >> np.uint32(13))])
+        self._lanes = np.arange(lanes, dtype=np.int64)
+        self._slots = [np.zeros(lanes << SLOT_BITS, np.int32) for _ in range(2)]
+        # The share of the scale that order 2, and order 1 of what is left, give to their ids in each state.
+        self._shares = np.full((lanes * _STATES, 2), _FLAGS // 16, np.int16).view(np.int32).ravel()
+        # The first digit has one row of counts, the others have ROWS each.
+        self._rows = 1 + ROWS * (digits - 1)
+        self._counts = np.ones((lanes * self._rows, _SYMBOLS), np.uint16)
+        self._below = np.zeros((lanes * self._rows, _SYMBOLS + 1), np.uint16)
+        self._renew(lanes)
+
+    def _renew(self, n: int) -> None:
+        """The cumulative frequencies of order 0 from the counts so far; every digit keeps some of the scale."""
+        places = np.arange(1, _SYMBOLS + 1, dtype=np.uint32)
+        # A few rows at a time, which stay in the cache.
+        for at in range(0, n * self._rows, _RENEWED_ROWS):
+            some = slice(at, min(at + _RENEWED_ROWS, n * self._rows))
+            counts = self._counts[some]
+            sums = np.cumsum(counts, axis=1, dtype=np.uint16)
+            large = np.flatnonzero(sums[:, -1] > _MOST)
+            if len(large):
+                counts[large] -= counts[large] >> np.uint16(1)
+                sums[large] = np.cumsum(counts[large], axis=1, dtype=np.uint16)
+            upto = sums.astype(np.uint32)
+            upto *= (np.uint32((_SCALE - _SYMBOLS) << 16) // upto[:, -1])[:, None]
+            upto >>= np.uint32(16)
+            upto += places
+            upto[:, -1] = _SCALE
+            self._below[some, 1:] = upto
+
+    def begin(self, step: int, n: int) -> None:
+        """To be called before each step, with the number of lanes that still run."""
+        if step in _RENEWED or step and step % _RENEWED[-1] == 0:
+            self._renew(n)
+
+    def foretell(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids that orders 2 and 1 expect after the ids `one` and, before it, `two`, and their shares of the scale."""
+        lanes = self._lanes[: len(one)]
+        base = lanes << SLOT_BITS
+        mixed = (one + np.uint32(1)) * np.uint32(0xC2B2AE35)
+        first = mixed >> np.uint32(32 - SLOT_BITS)
+        mixed ^= mixed >> np.uint32(15)
+        mixed += (two + np.uint32(1)) * np.uint32(0x27D4EB2F)
+        mixed *= np.uint32(0x9E3779B1)
+        self._at = base + (mixed >> np.uint32(32 - SLOT_BITS)), base + first
+        held = [slots.take(at) for slots, at in zip(self._slots, self._at)]
+        self._ids = held[0] >> 2, held[1] >> 2
+        self._trust = held[0] & 3, held[1] & 3
+        agree = self._ids[0] == self._ids[1]
+        self._state = lanes * _STATES + self._trust[0] * (_TRUST + 1) + np.where(agree, _TRUST, self._trust[1])
+        given = self._shares.take(self._state)
+        share, rest = self._given = given & 0xFFFF, given >> 16
+        return *self._ids, share, (rest * (_FLAGS - share)) >> _FLAG_BITS
+
+    def learn(self, now: np.ndarray, hit: np.ndarray, second: np.ndarray) -> None:
+        """Takes in the ids that came; `hit` where order 2 expected them and `second` where only order 1 did."""
+        share, rest = self._given
+        share = share + ((np.where(hit, _LARGEST, _LEAST) - share) >> 5)
+        rest = rest + np.where(hit, 0, (np.where(second, _LARGEST, _LEAST) - rest) >> 5)
+        self._shares[self._state] = share | (rest << 16)
+        for slots, at, ids, trust in zip(self._slots, self._at, self._ids, self._trust):
+            came = ids == now
+            kept = np.where(trust > 1, ids, now)
+            slots[at] = (kept << 2) | _NEXT_TRUST.take((came << 2) + trust)
+
+    def row(self, digit: int, higher: np.ndarray) -> np.ndarray:
+        """The row of each lane for a digit, given the digits before as one number."""
+        rows = self._lanes[: len(higher)] * self._rows
+        return rows if digit == 0 else rows + (1 + ROWS * (digit - 1)) + np.minimum(higher, ROWS - 1)
+
+    def interval(self, row: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where order 0 has the symbols on its scale: start and length."""
+        at = row * (_SYMBOLS + 1) + symbol
+        below = self._below.reshape(-1)
+        start = below.take(at)
+        return start, below.take(at + 1) - start
+
+    def find(self, row: np.ndarray, aim: np.ndarray) -> np.ndarray:
+        """The symbol of each lane whose interval holds `aim`."""
+        below = self._below.reshape(-1)
+        at = base = row * (_SYMBOLS + 1)
+        for step in (128, 64, 32, 16, 8, 4, 2, 1):
+            at = at + (below.take(at + step) <= aim) * step
+        return at - base
+
+    def count(self, row: np.ndarray, symbol: np.ndarray) -> None:
+        """Takes in a digit that came."""
+        at = row * _SYMBOLS + symbol
+        counts = self._counts.reshape(-1)
+        counts[at] = counts.take(at) + np.uint16(_GAIN)
 
 
 def _order_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,11 +148,15 @@ def _order_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(-falling, -np.arange(steps), "left")
 
 
+def _octets(digits: int) -> int:
+    return (digits + 1) // 2
+
+
 def encode(blocks: list[np.ndarray], digits: int) -> list[bytes]:
     """The code of each block of ids below 16 ** digits."""
     out: list[bytes] = []
     for at in range(0, len(blocks), LANES):
-        out += _encode(blocks[at : at + LANES], digits)
+        out += _encode(blocks[at : at + LANES], _octets(digits))
     return out
 
 
@@ -145,23 +182,27 @@ def _encode(blocks: list[np.ndarray], digits: int) -> list[bytes]:
         low[which] <<= _WORD
 
     for step in range(steps):
-        if step % _REWEIGH == 0:
-            models.reweigh()
         n = int(running[step])
-        now = ids[step, :n]
-        context = _contexts(one[:n], two[:n])
-        node = np.ones(n, np.uint32)
+        models.begin(step, n)
+        came = ids[step, :n]
+        now = came.astype(np.int64)
+        two_first, one_first, share, second_share = models.foretell(one[:n], two[:n])
+        hit = two_first == now
+        second = (one_first == now) & ~hit
+        _narrow_flag(low, span, n, hit, second, share, second_share)
+        known = hit | second
+        models.learn(now, hit, second)
         for digit in range(digits):
-            mixed = models.mix(digit, context, node)
-            symbol = ((now >> np.uint32(4 * (digits - 1 - digit))) & np.uint32(15)).astype(np.int64)
-            upto, start = _interval(mixed, symbol)
-            part = span[:n] >> np.uint64(_SCALE_BITS)
-            low[:n] += part * start
-            span[:n] = part * (upto - start)
-            _shift(low, span, n, put)
-            models.learn(symbol)
-            node = (node << np.uint32(4)) | symbol.astype(np.uint32)
-        two[:n], one[:n] = one[:n], now
+            shift = 8 * (digits - 1 - digit)
+            row = models.row(digit, now >> (shift + 8))
+            symbol = (now >> shift) & 255
+            start, length = models.interval(row, symbol)
+            _narrow_digit(low, span, n, known, start, length)
+            models.count(row, symbol)
+            # The least span has room for the flag and two digits.
+            if digit or digits == 1:
+                _shift(low, span, n, put)
+        two[:n], one[:n] = one[:n], came
     for _ in range(4):
         put(np.arange(lanes))
     coded: list[bytes] = [b""] * lanes
@@ -170,27 +211,36 @@ def _encode(blocks: list[np.ndarray], digits: int) -> list[bytes]:
     return coded
 
 
-def _interval(mixed: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the symbol of each lane ends and begins in the scale."""
-    places = np.arange(len(symbol)) * 16 + symbol
-    flat = mixed.reshape(-1)
-    start = np.where(symbol > 0, flat.take(places - 1, mode="clip"), 0)
-    return flat.take(places).astype(np.uint64), start.astype(np.uint64)
+def _narrow_flag(
+    low: np.ndarray, span: np.ndarray, n: int, hit: np.ndarray, second: np.ndarray, share: np.ndarray, second_share: np.ndarray
+) -> None:
+    """Narrows to the part of the scale of the order that foretold the id: first order 2, then order 1, then order 0."""
+    both = share + second_share
+    start = np.where(hit, 0, np.where(second, share, both))
+    length = np.where(hit, share, np.where(second, second_share, _FLAGS - both))
+    part = span[:n] >> np.uint64(_FLAG_BITS)
+    low[:n] += part * start.astype(np.uint64)
+    np.multiply(part, length.astype(np.uint64), out=span[:n])
+
+
+def _narrow_digit(low: np.ndarray, span: np.ndarray, n: int, known: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
+    """Narrows to a digit of order 0, where the id is not known already."""
+    part = span[:n] >> np.uint64(_DIGIT_BITS)
+    low[:n] += np.where(known, 0, part * start)
+    span[:n] = np.where(known, span[:n], part * length)
 
 
 def _shift(low: np.ndarray, span: np.ndarray, n: int, put) -> None:
     """Passes settled words on until every interval is wide again. Where an interval straddles a border it is cut there."""
-    which = np.arange(n)
+    bottom, width = low[:n], span[:n]
+    which = np.flatnonzero(((bottom ^ (bottom + width)) < _TOP) | (width < _BOTTOM))
     while len(which):
         bottom, width = low[which], span[which]
         settled = (bottom ^ (bottom + width)) < _TOP
         narrow = ~settled & (width < _BOTTOM)
-        moved = settled | narrow
-        if not moved.any():
-            return
         cut = which[narrow]
         span[cut] = (np.uint64(0) - low[cut]) & (_BOTTOM - np.uint64(1))
-        which = which[moved]
+        which = which[settled | narrow]
         put(which)
         span[which] <<= _WORD
 
@@ -199,7 +249,7 @@ def decode(codes: list[bytes], lengths: list[int], digits: int) -> list[np.ndarr
     """The ids of each block, given its code and number of ids."""
     out: list[np.ndarray] = []
     for at in range(0, len(codes), LANES):
-        out += _decode(codes[at : at + LANES], np.array(lengths[at : at + LANES], np.int64), digits)
+        out += _decode(codes[at : at + LANES], np.array(lengths[at : at + LANES], np.int64), _octets(digits))
     return out
 
 
@@ -207,7 +257,7 @@ def _decode(codes: list[bytes], lengths: np.ndarray, digits: int) -> list[np.nda
     order, running = _order_of(lengths)
     lanes, steps = len(codes), len(running)
     longest = max((len(c) // 2 for c in codes), default=0)
-    words = np.zeros((lanes, longest + 4), np.uint64)
+    words = np.zeros((lanes, longest + 4), np.uint16)
     for lane, i in enumerate(order.tolist()):
         own = np.frombuffer(codes[i], "<u2")
         words[lane, : len(own)] = own
@@ -226,26 +276,30 @@ def _decode(codes: list[bytes], lengths: np.ndarray, digits: int) -> list[np.nda
         low[which] <<= _WORD
 
     for step in range(steps):
-        if step % _REWEIGH == 0:
-            models.reweigh()
         n = int(running[step])
-        context = _contexts(one[:n], two[:n])
-        node = np.ones(n, np.uint32)
-        now = np.zeros(n, np.uint32)
+        models.begin(step, n)
+        two_first, one_first, share, second_share = models.foretell(one[:n], two[:n])
+        aim = ((code[:n] - low[:n]) // (span[:n] >> np.uint64(_FLAG_BITS))).astype(np.int64)
+        hit = aim < share
+        second = ~hit & (aim < share + second_share)
+        _narrow_flag(low, span, n, hit, second, share, second_share)
+        known = hit | second
+        foretold = np.where(hit, two_first, one_first)
+        now = np.zeros(n, np.int64)
         for digit in range(digits):
-            mixed = models.mix(digit, context, node)
-            part = span[:n] >> np.uint64(_SCALE_BITS)
-            aim = np.minimum((code[:n] - low[:n]) // part, np.uint64(_SCALE - 1)).astype(np.uint16)
-            symbol = (mixed[:, :15] <= aim[:, None]).sum(axis=1)
-            upto, start = _interval(mixed, symbol)
-            low[:n] += part * start
-            span[:n] = part * (upto - start)
-            _shift(low, span, n, take)
-            models.learn(symbol)
-            node = (node << np.uint32(4)) | symbol.astype(np.uint32)
-            now = (now << np.uint32(4)) | symbol.astype(np.uint32)
+            shift = 8 * (digits - 1 - digit)
+            row = models.row(digit, now)
+            aim = np.minimum((code[:n] - low[:n]) // (span[:n] >> np.uint64(_DIGIT_BITS)), np.uint64(_SCALE - 1))
+            symbol = np.where(known, (foretold >> shift) & 255, models.find(row, aim.astype(np.uint16)))
+            start, length = models.interval(row, symbol)
+            _narrow_digit(low, span, n, known, start, length)
+            models.count(row, symbol)
+            now = (now << 8) | symbol
+            if digit or digits == 1:
+                _shift(low, span, n, take)
+        models.learn(now, hit, second)
         ids[step, :n] = now
-        two[:n], one[:n] = one[:n], now
+        two[:n], one[:n] = one[:n], ids[step, :n]
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * lanes
     for lane, i in enumerate(order.tolist()):
         out[i] = ids[: lengths[i], lane].copy()
