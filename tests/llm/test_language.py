@@ -96,3 +96,58 @@ def test_a_text_does_not_count_towards_its_own_prior(spark):
     chances = np.exp(logs[1] - logs[1].max()) * prior
     row = language.identify(rows).filter("_id = 1").first()
     assert row.probability == pytest.approx(chances.max() / chances.sum(), abs=1e-9)
+
+
+def brute_posteriors(rows, languages):
+    """The probabilities of all classes of each row of evidence, by definition, in plain loops."""
+    classes = [*languages, "other"]
+    counts = {c: np.full(language.BUCKETS, 0.5) for c in languages}
+    grams = [plain_grams(r.text) for r in rows]
+    for r, own in zip(rows, grams):
+        for g in own if r.declared in counts else ():
+            counts[r.declared][g] += 1
+    model = [np.log(counts[c] / counts[c].sum()) for c in languages] + [np.full(language.BUCKETS, -np.log(language.BUCKETS))]
+    logs = [np.array([sum(m[g] for g in own) * min(1, language.EFFECTIVE_GRAMS / max(1, len(own))) for m in model]) for own in grams]
+
+    def shares(x):
+        x = np.exp(x - max(x))
+        return x / x.sum()
+
+    mass = [shares(x) if own else np.full(len(classes), 1 / len(classes)) for x, own in zip(logs, grams)]
+    found = []
+    for i, r in enumerate(rows):
+        prior = (sum(mass) - mass[i] + 1) / (len(rows) - 1 + len(classes))
+        for level in (("suffix",), ("suffix", "site"), ("suffix", "site", "host")):
+            peers = [j for j, o in enumerate(rows) if j != i and all(o[k] == r[k] for k in level)]
+            rest = sum((mass[j] for j in peers), np.zeros(len(classes)))
+            prior = (rest + language.PRIOR_DOCUMENTS * prior) / (len(peers) + language.PRIOR_DOCUMENTS)
+        declared = np.zeros(len(classes))
+        if r.declared is not None:
+            given = {c: sum((m for o, m in zip(rows, mass) if o.declared == c), np.zeros(len(classes))) + 0.5 for c in classes}
+            declared = np.log(given[r.declared] / sum(given.values()))
+        found.append(shares(logs[i] + np.log(prior) + declared))
+    return found, grams
+
+
+@pytest.mark.parametrize("kind", ["documents", "pages"])
+def test_posteriors_by_brute_force(spark, kind):
+    from pyspark.sql import functions as F
+
+    given = table(spark, FOLDER, kind)
+    key = given.columns[0]
+    some = given.orderBy(key).limit(150)
+    if kind == "documents":
+        # Others without letters, without a declared language, and with one that is not known.
+        some = some.withColumn("text", F.when(F.col(key) % 7 == 0, "12 %").otherwise(F.col("text")))
+        some = some.withColumn("lang", F.when(F.col(key) % 5 == 0, None).when(F.col(key) % 11 == 0, "tr").otherwise(F.col("lang")))
+    rows = (language.of_documents if kind == "documents" else language.of_pages)(some)
+    asked = sorted(rows.collect(), key=lambda r: (r["_id"], r["_hash"]))
+    got = sorted(language.identify(rows).collect(), key=lambda r: (r["_id"], r["_hash"]))
+    wanted, grams = brute_posteriors(asked, language.LANGUAGES)
+    classes = [*language.LANGUAGES, "other"]
+    assert len(got) == len(asked) > 20
+    for r, chances, own in zip(got, wanted, grams):
+        assert r.probability == pytest.approx(max(chances), abs=1e-4)
+        near = sorted(chances)[-1] - sorted(chances)[-2] < 1e-3
+        assert near or r.language == classes[int(np.argmax(chances))]
+        assert near or r.kept == (r.language != "other" and max(chances) >= 0.5 and len(own) > 0)

@@ -61,3 +61,63 @@ def test_hard_rows(spark, hard, hard_rows, empty):
     neutral = quality.fit(empty, labels, "quality")
     assert {r.score for r in quality.score(hard, neutral).collect()} == {0.5}
     assert quality.score(empty, model).count() == 0
+
+
+def test_scores_by_brute_force(spark):
+    """Weights by plain loops over dictionaries, text by text, and scores by sums over the n-grams of one text."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    rows = [(i, ("good Word " if i % 3 else "BAD!! ") * (i % 5) + sentence(i, 12)) for i in range(60)] + [(60, ""), (61, None), (62, "!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(40)] + [(60, 0), (61, 1)], "doc_id long, quality int")
+
+    def grams(text):
+        buckets = quality.features_of(pa.array([text], pa.string()))[0].tolist()
+        counts = {b: buckets.count(b) for b in buckets}
+        values = {b: float(np.float32(n * quality.TEXT_WEIGHT / len(buckets))) for b, n in counts.items()}
+        return values, counts, len(buckets)
+
+    deal = F.pmod(F.xxhash64("doc_id"), F.lit(quality.LEARNERS)).alias("learner")
+    dealt = docs.select("doc_id", "text", deal, F.xxhash64("doc_id", "text").alias("at")).join(labels, "doc_id").collect()
+    sums, bias, learners = {}, 0.0, {r.learner for r in dealt}
+    for learner in learners:
+        own = sorted((r for r in dealt if r.learner == learner), key=lambda r: r["at"])
+        z, n = {}, {}
+
+        def weight(k):
+            past = z.get(k, 0.0)
+            if abs(past) <= quality.L1:
+                return 0.0
+            return -(past - np.sign(past) * quality.L1) / ((quality.BETA + n.get(k, 0.0) ** 0.5) / quality.ALPHA + quality.L2)
+
+        for _ in range(quality.EPOCHS):
+            for r in own:
+                x = {**grams(r.text)[0], "bias": 1.0}
+                w = {k: weight(k) for k in x}
+                gap = 1 / (1 + np.exp(-sum(w[k] * x[k] for k in x))) - r.quality
+                for k in x:
+                    g, past = gap * x[k], n.get(k, 0.0)
+                    z[k] = z.get(k, 0.0) + g - ((past + g * g) ** 0.5 - past**0.5) / quality.ALPHA * w[k]
+                    n[k] = past + g * g
+        for k in z:
+            sums[k] = sums.get(k, 0.0) + weight(k)
+    scores = {r.doc_id: r.score for r in quality.score(docs, quality.fit(docs, labels, "quality")).collect()}
+    assert len(scores) == len(rows)
+    for i, text in rows:
+        _, counts, size = grams(text)
+        logit = sum(sums.get(b, 0.0) * c for b, c in counts.items()) * quality.TEXT_WEIGHT / max(1, size) + sums["bias"]
+        assert scores[i] == pytest.approx(1 / (1 + np.exp(-logit / len(learners))), abs=1e-4)
+
+
+def test_features_are_the_n_grams(spark):
+    """Texts share a bucket for each run of words that they share, and have as many buckets as runs."""
+    import pyarrow as pa
+
+    for text in ("one two three four", "One one", "x", "", None, "a  b\tc"):
+        n = len((text or "").split())
+        runs = sum(max(0, n - k + 1) for k in quality.NGRAMS) + sum(max(0, n - k + 1) for k in quality.CLASS_NGRAMS)
+        assert len(quality.features_of(pa.array([text], pa.string()))[0]) == runs
+    alone = set(quality.features_of(pa.array(["two three"], pa.string()))[0].tolist())
+    within, owner = quality.features_of(pa.array(["one two three four", "two three"], pa.string()))
+    assert alone == set(within[owner == 1].tolist())
