@@ -37,8 +37,10 @@ def resolve_ids(queries: DataFrame, registry: DataFrame, prefix_pattern: str = C
         .filter(F.col("query_id").isNotNull())
         .distinct()
     )
+    # The planner takes variants to be as small as the table that they are made from, and would broadcast them; the hints
+    # shuffle and sort both sides of each join, whatever the number of ids and queries.
     ids = registry.select("asset_id").filter(F.col("asset_id").isNotNull()).distinct()
-    looked_up = wanted.join(ids, wanted["query_id"] == ids["asset_id"], "left")
+    looked_up = wanted.join(ids.hint("merge"), wanted["query_id"] == ids["asset_id"], "left")
     exact = looked_up.filter(F.col("asset_id").isNotNull()).select(
         "raw_id", "asset_id", F.lit(0).cast("bigint").alias("distance"), F.lit(1).cast("bigint").alias("n_ties")
     )
@@ -50,14 +52,14 @@ def resolve_ids(queries: DataFrame, registry: DataFrame, prefix_pattern: str = C
     )
     id_variants = ids.select("asset_id", F.explode(_variants("asset_id")).alias("variant"))
     close = (
-        by_variant.join(id_variants, "variant")
+        by_variant.join(id_variants.hint("merge"), "variant")
         .filter(F.startswith("asset_id", "prefix"))
         .filter(F.levenshtein("query_id", "asset_id", 1) == 1)
         .groupBy("raw_id")
         .agg(F.min("asset_id").alias("asset_id"), F.countDistinct("asset_id").alias("n_ties"))
         .select("raw_id", "asset_id", F.lit(1).cast("bigint").alias("distance"), "n_ties")
     )
-    fuzzy = open_queries.select("raw_id").join(close, "raw_id", "left")
+    fuzzy = open_queries.select("raw_id").join(close.hint("merge"), "raw_id", "left")
     return (
         exact.unionByName(fuzzy)
         .fillna(0, ["n_ties"])

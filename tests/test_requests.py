@@ -138,3 +138,8 @@ def test_lookup_statuses(spark):
     assert found[1].asset_ids == ["WT-001"] and found[1].error == "Asset 'WT-777' not found"
     assert found[3].error == "No asset id in the question" and found[3].asset_ids == []
     assert found[4].asset_ids == ["WT-009"] and found[4].ambiguous_ids == 1
+
+
+def test_no_side_of_a_resolution_is_broadcast(spark):
+    queries, registry = spark.range(9).selectExpr("concat('wt-', id) AS raw_id"), spark.range(5).selectExpr("concat('WT-', id) AS asset_id")
+    assert "Broadcast" not in resolve.resolve_ids(queries, registry)._jdf.queryExecution().executedPlan().toString()
