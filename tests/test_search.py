@@ -1,3 +1,6 @@
+import hashlib
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -167,3 +170,18 @@ def test_a_batch_is_known_by_the_manifest(spark, tmp_path):
     append_new_chunks(spark, chunks(spark, "c", "d"), path, embed_hashed, "one#1")
     assert sorted(row.id for row in read_index(spark, path).collect()) == ["a", "b", "c", "d"]
     assert sorted(map(tuple, appended_batches(spark, path).collect())) == [("one#0", 2), ("one#1", 1)]
+
+
+def test_hashed_vectors_are_those_of_a_plain_count(spark):
+    texts = [None, "", "..", "a", "b a B", "Ünï " * 3000 + "x", *(" ".join(f"w{j % 7}{i}" for j in range(i)) for i in range(40))]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").coalesce(1)
+    for weights in (None, [0.1 * k for k in range(16)]):
+        plan = rows.select("id", hashed_vector(F.col("text"), 16, weights).alias("v"))
+        assert "ArrowEvalPython" in plan._jdf.queryExecution().executedPlan().toString()
+        for row in plan.collect():
+            counts = np.zeros(16)
+            for word in re.findall(r"\w+", (texts[row.id] or "").lower()):
+                counts[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 16] += 1
+            counts = counts if weights is None else counts * np.array(weights)
+            norm = np.linalg.norm(counts)
+            assert row.v == pytest.approx(counts / norm if norm else counts, abs=1e-6)
