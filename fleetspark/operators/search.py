@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..checkpoints import materialised
 from ..functions import cited_indices, explode_rows
 
 # The scoring functions travel to the executors by value, so the package need not be installed there.
@@ -251,8 +252,11 @@ def source_label(fault_code: Column, manufacturer: Column, model: Column, chunk_
 
 
 def with_content(hits: DataFrame, docs: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """Hits with content and metadata of their chunks. Only the k hits per query take part in this join."""
-    return hits.join(docs.select("id", *columns), "id")
+    """Hits with content and metadata of their chunks. Only the k hits per query take part in this join.
+
+    The hits are stored first, so that the planner knows how few they are and leaves the contents of all other chunks in place.
+    """
+    return materialised(hits).join(docs.select("id", *columns), "id")
 
 
 def numbered_context(hits: DataFrame, label: Column, content: str = "page_content") -> DataFrame:

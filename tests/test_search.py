@@ -185,3 +185,19 @@ def test_hashed_vectors_are_those_of_a_plain_count(spark):
             counts = counts if weights is None else counts * np.array(weights)
             norm = np.linalg.norm(counts)
             assert row.v == pytest.approx(counts / norm if norm else counts, abs=1e-6)
+
+
+def test_contents_of_chunks_without_a_hit_stay_in_place(spark, tmp_path):
+    spark.range(2000).selectExpr("cast(id as string) AS id", "repeat(sha2(cast(id as string), 512), 200) AS page_content").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    # The planner cannot tell that these are few.
+    few = spark.range(10_000_000).filter("id < 40")
+    hits = few.select((F.col("id") % 8).alias("query_id"), F.col("id").cast("string").alias("id"), F.lit(1).alias("rank"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        joined = search.with_content(hits, docs, ["page_content"])
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert joined.count() == 40
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
