@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import month_label, rounded
 from ..functions.dates import windows
 from .maintenance import AS_OF, CADENCE_DAYS
-from .months import KEY, add_fleet, mean_of, means_of_months, merged_telemetry, sums, with_months
+from .months import KEY, add_fleet, in_asked_months, mean_of, means_of_months, merged_telemetry, sums, with_months
 from .seasonal import AFTER_MONTHS, DROP_FLOOR, Z_THRESHOLD, assets_in_scope, displayed_figures, flagged, scores_of_means
 
 
@@ -43,7 +43,7 @@ def _reports(requests: DataFrame, by_key: DataFrame) -> DataFrame:
 
 
 def telemetry_by_key(keys: DataFrame, months: DataFrame) -> DataFrame:
-    merged = with_months(keys, add_fleet(months, merged_telemetry())).groupBy(*KEY).agg(*merged_telemetry())
+    merged = with_months(keys, add_fleet(in_asked_months(months, keys, F.col("month")), merged_telemetry())).groupBy(*KEY).agg(*merged_telemetry())
     return keys.join(merged, KEY, "left").select(
         *KEY,
         F.when(F.col("days").isNull(), "no_data").otherwise("ok").alias("status"),
@@ -62,7 +62,7 @@ def telemetry_by_key(keys: DataFrame, months: DataFrame) -> DataFrame:
 
 def trend_by_key(keys: DataFrame, months: DataFrame) -> DataFrame:
     merged = (
-        with_months(keys, add_fleet(months, merged_telemetry())).groupBy(*KEY, "month").agg(*merged_telemetry())
+        with_months(keys, add_fleet(in_asked_months(months, keys, F.col("month")), merged_telemetry())).groupBy(*KEY, "month").agg(*merged_telemetry())
     )
     return merged.select(
         *KEY,
@@ -78,7 +78,7 @@ def faults_by_key(keys: DataFrame, faults: DataFrame) -> DataFrame:
         F.min("first_event").alias("first_event"),
         F.max("last_date").alias("last_date"),
     ]
-    merged = with_months(keys, add_fleet(faults, merge, ("fault_code",))).groupBy(*KEY, "fault_code").agg(*merge)
+    merged = with_months(keys, add_fleet(in_asked_months(faults, keys, F.col("month")), merge, ("fault_code",))).groupBy(*KEY, "fault_code").agg(*merge)
     return merged.select(
         *KEY,
         "fault_code",
@@ -106,7 +106,7 @@ def fault_reports(requests: DataFrame, faults: DataFrame) -> DataFrame:
 
 def maintenance_by_key(keys: DataFrame, months: DataFrame, as_of: str, cadence_days: int) -> DataFrame:
     merged = (
-        with_months(keys, months)
+        with_months(keys, in_asked_months(months, keys, F.col("month")))
         .groupBy(*KEY)
         .agg(
             *sums(["events", "scheduled", "corrective", "cost_sum", "cost_n", "hours_sum"]),

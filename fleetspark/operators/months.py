@@ -123,6 +123,13 @@ def _asset_months(keys: DataFrame) -> DataFrame:
     return keys.select(*KEY, F.explode(ids).alias("asset_id")).select("*", F.explode(months).alias("month"))
 
 
+def in_asked_months(rows: DataFrame, keys: DataFrame, month: Column) -> DataFrame:
+    """The rows of the months that any key covers. There are few months, however many keys, so they are broadcast."""
+    span = F.sequence(first_of_month("date_start"), first_of_month("date_end"), F.expr("interval 1 month"))
+    asked = keys.select("date_start", "date_end").distinct().select(F.explode(span).alias("_asked")).distinct()
+    return rows.join(F.broadcast(asked), month == F.col("_asked"), "left_semi")
+
+
 def with_months(keys: DataFrame, months: DataFrame) -> DataFrame:
     """Month rows of every key. The join is an equi join on asset and month that treats the fleet's null as a value."""
     wanted, rows = _asset_months(keys).alias("wanted"), months.alias("rows")

@@ -3,7 +3,7 @@
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import materialised
@@ -25,7 +25,7 @@ from ..operators.batch import (
 )
 from ..operators.intent import LOCATIONS, with_intent, with_search_filters
 from ..operators.maintenance import AS_OF, CADENCE_DAYS
-from ..operators.months import KEY, code_months, event_months, part_months, with_months
+from ..operators.months import KEY, code_months, event_months, first_of_month, in_asked_months, part_months, with_months
 from ..operators.search import (
     MIN_SCORE,
     TOP_K,
@@ -39,6 +39,11 @@ from ..operators.seasonal import DROP_FLOOR, Z_THRESHOLD
 from ..operators.shape import LIST_CAP, capped_lists
 
 
+# What a list about the whole fleet depends on.
+WINDOW = ["date_start", "date_end"]
+SCOPE = ["location", "comparison_month"]
+
+
 def _results(reports: DataFrame, tool: str, figures: list[Column]) -> DataFrame:
     """Reports as tool results with JSON data. A report without rows carries data too: its status and its filters."""
     span = F.concat(F.col("first_date").cast("string"), F.lit(" to "), F.col("last_date").cast("string"))
@@ -49,6 +54,7 @@ def _results(reports: DataFrame, tool: str, figures: list[Column]) -> DataFrame:
     ).otherwise(F.to_json(F.struct("status", F.lit("no rows match the filters").alias("message"), F.struct(*KEY).alias("filters"))))
     return reports.select(
         "request_id",
+        "places",
         F.lit(tool).alias("tool"),
         F.lit("ok").alias("status"),
         F.lit(None).cast("string").alias("error"),
@@ -84,7 +90,7 @@ def telemetry_results(requests: DataFrame, months: DataFrame, faults: DataFrame,
         "note",
         "monthly_trend",
     ]
-    return _results(hand_out(requests.select("request_id", *KEY), by_key), "telemetry_tool", [F.col(n) for n in names])
+    return _results(hand_out(requests.select("request_id", "places", *KEY), by_key), "telemetry_tool", [F.col(n) for n in names])
 
 
 def maintenance_results(
@@ -98,6 +104,7 @@ def maintenance_results(
     """Maintenance reports as tool results, with the first events, the codes mentioned and the parts used."""
     named = with_ids(requests)
     keys = distinct_keys(named)
+    logs = in_asked_months(logs, keys, first_of_month("date"))
     first_events = with_months(keys, event_months(logs, list_cap)).select(*KEY, "event.*")
     columns = [name for name in first_events.columns if name not in KEY]
     # The total of the list is the event count of the report, since the table of first events is itself cut.
@@ -140,10 +147,11 @@ def maintenance_results(
         "events",
     ]
     answered = _results(
-        hand_out(named.select("request_id", *KEY), by_key), "maintenance_tool", [F.col(name) for name in names]
+        hand_out(named.select("request_id", "places", *KEY), by_key), "maintenance_tool", [F.col(name) for name in names]
     )
     unnamed = requests.filter(F.size("asset_ids") <= 0).select(
         "request_id",
+        "places",
         F.lit("maintenance_tool").alias("tool"),
         F.lit("ok").alias("status"),
         F.lit(None).cast("string").alias("error"),
@@ -207,14 +215,37 @@ def declining_report(lists: DataFrame, scopes: DataFrame, z_threshold: float, dr
     return known.select("request_id", report.alias("declining_energy"))
 
 
-def broad_results(low: DataFrame, declining: DataFrame, tool: str) -> DataFrame:
-    """Results of questions about the whole fleet; a question about both lists receives both in one result."""
-    return low.join(declining, "request_id", "full_outer").select(
-        "request_id",
-        F.lit(tool).alias("tool"),
-        F.lit("ok").alias("status"),
-        F.lit(None).cast("string").alias("error"),
-        F.to_json(F.struct("low_availability", "declining_energy")).alias("data_json"),
+def _key_reports(requests: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct keys of requests as requests of their own, known by the key."""
+    return requests.select(_list_key(keys).alias("request_id"), *keys).distinct()
+
+
+def _list_key(keys: list[str]) -> Column:
+    return F.to_json(F.struct(*keys))
+
+
+def broad_results(
+    wants_low: DataFrame, low: DataFrame, wants_energy: DataFrame, declining: DataFrame, tool: str
+) -> DataFrame:
+    """Results of questions about the whole fleet; a question about both lists receives both in one result.
+
+    Requests of either kind meet by their keys alone. The reports are one for each window, or location and month, and are
+    broadcast to them, so no list is shuffled.
+    """
+    first = wants_low.select("request_id", "places", _list_key(WINDOW).alias("low_key"))
+    second = wants_energy.select("request_id", F.col("places").alias("_places"), _list_key(SCOPE).alias("declining_key"))
+    both = first.join(second, "request_id", "full_outer").withColumn("places", F.coalesce("places", "_places"))
+    return (
+        both.join(F.broadcast(low.withColumnRenamed("request_id", "low_key")), "low_key", "left")
+        .join(F.broadcast(declining.withColumnRenamed("request_id", "declining_key")), "declining_key", "left")
+        .select(
+            "request_id",
+            "places",
+            F.lit(tool).alias("tool"),
+            F.lit("ok").alias("status"),
+            F.lit(None).cast("string").alias("error"),
+            F.to_json(F.struct("low_availability", "declining_energy")).alias("data_json"),
+        )
     )
 
 
@@ -244,6 +275,7 @@ def lookup_results(lookups: DataFrame, assets: DataFrame) -> DataFrame:
     )
     return with_assets.select(
         "request_id",
+        "places",
         F.lit("asset_lookup").alias("tool"),
         "status",
         "error",
@@ -287,8 +319,9 @@ def manual_results(
 def skipped_results(requests: DataFrame, lookups: DataFrame, tool: str) -> DataFrame:
     """Results of requests that are not answered because their id lookup reported an error."""
     reason = F.concat(F.lit("skipped: "), F.col("error"))
-    return requests.select("request_id").join(lookups, "request_id").select(
+    return requests.select("request_id", "places").join(lookups, "request_id").select(
         "request_id",
+        "places",
         F.lit(tool).alias("tool"),
         F.lit("error").alias("status"),
         reason.alias("error"),
@@ -323,35 +356,43 @@ def answer_requests(
 
     The requests with their intent are written once to the checkpoint folder, as every kind of report starts from them.
     """
-    asked = with_intent(requests, year, locations)
+    asked = with_intent(requests.filter(F.col("request_id").isNotNull()), year, locations)
     looked_up = F.array_contains("tools", "asset_lookup")
     found = lookups.select(
         "request_id", F.col("asset_ids").alias("resolved"), F.col("error").alias("lookup_error")
     )
+    # Each row knows the plans of all rows with its id, so that results are numbered without meeting the plans again.
+    same_id = Window.partitionBy("request_id")
     joined = materialised(
-        asked.join(found, "request_id", "left").withColumns(
-            {
-                "gated": looked_up & F.col("lookup_error").isNotNull(),
-                "asset_ids": F.when(looked_up & (F.size("resolved") > 0), F.col("resolved")).otherwise(
-                    F.col("mentioned_ids")
-                ),
-            }
+        asked.join(found, "request_id", "left").select(
+            "request_id",
+            "tools",
+            "kind",
+            *WINDOW,
+            *SCOPE,
+            (looked_up & F.col("lookup_error").isNotNull()).alias("gated"),
+            F.when(looked_up & (F.size("resolved") > 0), F.col("resolved")).otherwise(F.col("mentioned_ids")).alias("asset_ids"),
+            F.collect_list(F.array_distinct("tools")).over(same_id).alias("plans"),
+            F.row_number().over(same_id.orderBy(F.desc_nulls_last(looked_up))).alias("nth"),
         )
     )
 
+    def placed(rows: DataFrame, tool: str) -> DataFrame:
+        """The rows with `places`, where the plans of their id have the tool."""
+        own = F.filter("plans", lambda plan: F.array_contains(plan, tool))
+        return rows.withColumn("places", F.transform(own, lambda plan: F.array_position(plan, tool).cast("bigint")))
+
     def planned(tool: str, gated: bool) -> DataFrame:
-        return joined.filter(F.array_contains("tools", tool) & (F.col("gated") == gated))
+        return placed(joined.filter(F.array_contains("tools", tool) & (F.col("gated") == gated)), tool)
 
     telemetry = planned("telemetry_tool", gated=False)
-    per_asset = telemetry.filter("kind = 'per_asset'").select("request_id", *KEY)
-    wants_low = telemetry.filter("kind IN ('low_availability', 'combined')").select("request_id", "date_start", "date_end")
-    wants_energy = telemetry.filter("kind IN ('declining_energy', 'combined')").select(
-        "request_id", "location", "comparison_month"
-    )
+    per_asset = telemetry.filter("kind = 'per_asset'").select("request_id", "places", *KEY)
+    wants_low = telemetry.filter("kind IN ('low_availability', 'combined')").select("request_id", "places", *WINDOW)
+    wants_energy = telemetry.filter("kind IN ('declining_energy', 'combined')").select("request_id", "places", *SCOPE)
     low = list_reports(
-        wants_low,
+        _key_reports(wants_low, WINDOW),
         low_availability_by_window(telemetry_by_month, year, threshold),
-        ["date_start", "date_end"],
+        WINDOW,
         [F.col("mean_availability_pct"), F.col("asset_id")],
         list_cap,
     )
@@ -361,14 +402,18 @@ def answer_requests(
         with_month_means(found, telemetry_by_month, year), recent_codes(found, faults_by_month, year)
     ).withColumnRenamed("scope", "location")
     declining = list_reports(
-        wants_energy, by_window, ["location", "comparison_month"], [F.desc("avail_drop"), F.col("asset_id")], list_cap
+        _key_reports(wants_energy, SCOPE), by_window, SCOPE, [F.desc("avail_drop"), F.col("asset_id")], list_cap
     )
-    service = planned("maintenance_tool", gated=False).select("request_id", *KEY)
+    service = planned("maintenance_tool", gated=False).select("request_id", "places", *KEY)
+    # One row for each id whose plan has a lookup.
+    looking_up = placed(joined.filter(looked_up & (F.col("nth") == 1)), "asset_lookup").select("request_id", "places")
     parts = [
-        lookup_results(lookups.join(joined.filter(looked_up).select("request_id"), "request_id", "left_semi"), assets),
+        lookup_results(lookups.join(looking_up, "request_id"), assets),
         telemetry_results(per_asset, telemetry_by_month, faults_by_month, list_cap),
         broad_results(
+            wants_low,
             low_availability_report(low, windows_with_rows(telemetry_by_month, year), threshold),
+            wants_energy,
             declining_report(declining, scopes_with_assets(telemetry_by_month, assets, scopes), z_threshold, drop_floor),
             "telemetry_tool",
         ),
@@ -377,12 +422,10 @@ def answer_requests(
         skipped_results(planned("maintenance_tool", gated=True), lookups, "maintenance_tool"),
     ]
     if searched is not None:
-        parts.append(searched)
-    place = joined.select("request_id", F.posexplode(F.array_distinct("tools")).alias("place", "tool"))
-    return (
-        concat_results(*parts)
-        .join(place, ["request_id", "tool"])
-        .select("request_id", (F.col("place") + 1).cast("bigint").alias("source_index"), "tool", "status", "error", "data_json")
+        searching = joined.filter(F.array_contains("tools", "rag_tool")).select("request_id", "plans").distinct()
+        parts.append(searched.join(placed(searching, "rag_tool").drop("plans"), "request_id"))
+    return concat_results(*parts).select(
+        "request_id", F.explode("places").alias("source_index"), "tool", "status", "error", "data_json"
     )
 
 

@@ -177,3 +177,28 @@ def test_manual_results(spark):
     assert first["chunks_used"] == 2 and first["context"].startswith("[Source 1] OEM Manual | LONGi Solar M | E-0 (fault_code)\n")
     assert narrowed["context"].startswith("[Source 1] OEM Manual | Vestas M | E-2") and found[3].data_json is None
     assert found[5].data_json == found[1].data_json
+
+
+def test_results_are_numbered_without_meeting_the_plans_again(spark):
+    assets, facts, logs = tables(spark)
+    plan = ["asset_lookup", "telemetry_tool"]
+    rows = [(1, "energy of WT-001 in April?", plan), (1, "energy of WT-002 in May?", ["telemetry_tool"]), (None, "energy of WT-003?", plan)]
+    asked = spark.createDataFrame(rows, "request_id bigint, question string, tools array<string>")
+    found = answering.answer_requests(
+        asked, resolve.lookup_requests(asked, assets), assets, months.telemetry_months(facts), months.fault_months(facts),
+        months.maintenance_months(logs), logs,
+    )
+    # Rows of one id meet each other's lookups and plans: two lookups, each with two plans; four readings, each with four plans.
+    counts = {(r.tool, r.source_index): r["count"] for r in found.groupBy("tool", "source_index").count().collect()}
+    assert counts == {("asset_lookup", 1): 4, ("telemetry_tool", 1): 8, ("telemetry_tool", 2): 8}
+    assert found.filter("request_id IS NULL").count() == 0
+    # The results are not shuffled: above the reports, no join carries their JSON.
+    top = found._jdf.queryExecution().optimizedPlan().toString().split("Union")[0]
+    assert "Join" not in top
+
+
+def test_only_months_that_a_key_covers_meet_the_keys(spark):
+    _, facts, _ = tables(spark)
+    keys = spark.createDataFrame([(["WT-001"], date(2024, 2, 1), date(2024, 3, 31))], "asset_ids array<string>, date_start date, date_end date")
+    kept = months.in_asked_months(months.telemetry_months(facts), keys, F.col("month"))
+    assert {r.month for r in kept.select("month").distinct().collect()} == {date(2024, 2, 1), date(2024, 3, 1)}
