@@ -40,19 +40,21 @@ def _fragments(markers: tuple) -> Column:
 
 def _carried(lines: DataFrame) -> DataFrame:
     """The lines with what the text before each has: `headers`, the last `mark`, and whether a block is `open`."""
+    # The id within a struct equals itself also when it is null, so one shuffle serves the join and the window.
+    lines = lines.withColumn("_doc", F.struct("doc_id"))
     last = F.max(F.when(F.col("event").isNotNull(), F.struct("line_no", "event")))["event"]
-    totals = lines.groupBy("doc_id", "part").agg(F.sum("own_headers").alias("h"), F.max("own_mark").alias("m"), last.alias("e"))
+    totals = lines.groupBy("_doc", "part").agg(F.sum("own_headers").alias("h"), F.max("own_mark").alias("m"), last.alias("e"))
     # One row for each partition that a document reaches into.
-    sooner = Window.partitionBy("doc_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sooner = Window.partitionBy("_doc").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(
-        F.col("doc_id").alias("_doc"),
-        F.col("part").alias("_part"),
+        "_doc",
+        "part",
         F.coalesce(F.sum("h").over(sooner), F.lit(0)).alias("earlier_headers"),
         F.coalesce(F.max("m").over(sooner), F.lit(0)).alias("earlier_mark"),
         F.coalesce(F.last("e", ignorenulls=True).over(sooner), F.lit(False)).alias("earlier_open"),
     )
-    joined = lines.join(totals, (F.col("part") == F.col("_part")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
-    within = Window.partitionBy("part", "doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    joined = lines.join(totals, ["part", "_doc"])
+    within = Window.partitionBy("part", "_doc").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     return joined.select(
         "doc_id",
         "line_no",
@@ -84,7 +86,7 @@ def fault_blocks_of_lines(
             ),
         }
     )
-    carried = _carried(located)
+    carried = _carried(located.drop("line"))
 
     def marked(place: Column) -> Column:
         """The section in force at a header: of the text before the line, and of the line before the header."""

@@ -59,3 +59,17 @@ def test_one_document_over_many_tasks(spark, rows, tmp_path):
 def test_no_lines(spark):
     none = spark.createDataFrame([], "doc_id bigint, line_no int, line string")
     assert lines.fault_blocks_of_lines(none).count() == 0
+
+
+def test_lines_are_shuffled_once_for_the_join_and_the_window(spark):
+    text = "FAULT CODE: E-1\n" + "words of the block, long enough to be kept\n" * 3 + "-----------\n"
+    documents = spark.createDataFrame([(1, text), (None, text)], "doc_id bigint, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = lines.fault_blocks_of_lines(lines.lines_of(documents))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.doc_id is None, r.fault_code) for r in found.collect()) == [(False, "E-1"), (True, "E-1")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Totals by document and part, by document, and for the join; lines for the join; rows of a block.
+    assert plan.count("Exchange hashpartitioning") <= 5
