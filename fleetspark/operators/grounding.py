@@ -5,6 +5,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import materialised
 from ..functions import cited_indices, clamp01, contains_any, explode_rows, extract_numbers, once, rounded
 
 # Tolerance, judge trigger, phrases and patterns that count against an answer.
@@ -80,20 +81,31 @@ def numeric_matches(
     matches as a whole. So every number meets a fixed number of rows, however many sources its key has, and testing the
     two extremes of each bucket with the original formula is exact.
     """
+    extremes = _extremes(source_numbers, key, tolerance)
+    return _matches(answer_numbers, extremes, key, tolerance)
+
+
+def _bucket(value: Column, tolerance: float) -> Column:
     spread = math.log((1 + tolerance) / (1 - tolerance)) / 2
+    return F.floor(F.log(value) / F.lit(spread)).cast("bigint")
+
+
+def _extremes(source_numbers: DataFrame, key: str, tolerance: float) -> DataFrame:
+    """The smallest and largest source number of each (key, bucket), and the rows `n` that fell there."""
+    return source_numbers.groupBy(key, _bucket(F.col("number"), tolerance).alias("bucket")).agg(
+        F.min("number").alias("low"), F.max("number").alias("high"), F.count(F.lit(1)).alias("n")
+    )
+
 
-    def bucket(value: Column) -> Column:
-        return F.floor(F.log(value) / F.lit(spread)).cast("bigint")
+def _matches(answer_numbers: DataFrame, extremes: DataFrame, key: str, tolerance: float) -> DataFrame:
+    """`numeric_matches`, given the extremes of the source numbers."""
 
     def close(source: Column) -> Column:
         return F.abs(F.col("number") - source) / F.greatest(F.abs(source), F.lit(1.0)) <= tolerance
 
-    extremes = source_numbers.groupBy(key, bucket(F.col("number")).alias("bucket")).agg(
-        F.min("number").alias("low"), F.max("number").alias("high")
-    )
     # A margin of one part in 1e9 keeps rounding at the ends from hiding a bucket; the formula decides afterwards.
-    first = bucket(F.col("number") / (1 + tolerance) * (1 - 1e-9))
-    last = bucket(F.col("number") / (1 - tolerance) * (1 + 1e-9))
+    first = _bucket(F.col("number") / (1 + tolerance) * (1 - 1e-9), tolerance)
+    last = _bucket(F.col("number") / (1 - tolerance) * (1 + 1e-9), tolerance)
     probes = answer_numbers.select(key, "number").distinct().withColumn("bucket", F.explode(F.sequence(first, last)))
     return (
         probes.join(extremes, [key, "bucket"], "left")
@@ -113,13 +125,21 @@ def numeric_faithfulness(
 
     The change is 0 when either side has no numbers.
     """
-    sources = _numbers_of(tool_results.filter(F.col("data_json").isNotNull()), "data_json").distinct()
+    return _faithfulness(answers, _numbers_of(tool_results.filter(F.col("data_json").isNotNull()), "data_json"), tolerance)
+
+
+def _faithfulness(answers: DataFrame, source_numbers: DataFrame, tolerance: float) -> DataFrame:
+    """`numeric_faithfulness`, given `request_id` and `number` of the sources.
+
+    Their extremes are stored, since both the comparison and the count of numbers come from them. A number lies in one bucket.
+    """
+    extremes = materialised(_extremes(source_numbers.distinct(), "request_id", tolerance))
     counts = (
-        numeric_matches(_numbers_of(answers, "answer"), sources, "request_id", tolerance)
+        _matches(_numbers_of(answers, "answer"), extremes, "request_id", tolerance)
         .groupBy("request_id")
         .agg(F.count(F.lit(1)).alias("answer_numbers"), F.count_if(~F.col("matched")).alias("mismatches"))
     )
-    source_counts = sources.groupBy("request_id").agg(F.count(F.lit(1)).alias("source_numbers"))
+    source_counts = extremes.groupBy("request_id").agg(F.sum("n").alias("source_numbers"))
     joined = (
         answers.select("request_id")
         .join(counts, "request_id", "left")
@@ -164,12 +184,20 @@ def confidence(
     A bad pattern costs its penalty once for each pattern that matches.
     """
     with_judge = "judge_score" in answers.columns
-    failed = F.col("error").isNotNull() & (F.col("error") != "")
-    data_found = tool_results.groupBy("request_id").agg(
-        F.bool_or(F.col("data_json").isNotNull() & ~(F.coalesce(F.col("status"), F.lit("")) == "error")).alias("has_data")
+    # Three checks look at the results, so they are read once and what the checks need of them is stored.
+    data = F.col("data_json")
+    results = materialised(
+        tool_results.select(
+            "request_id",
+            "source_index",
+            (data.isNotNull() & ~(F.coalesce(F.col("status"), F.lit("")) == "error")).alias("has_data"),
+            extract_numbers(data).alias("numbers"),
+        )
     )
-    orphans = orphan_citations(answers, tool_results).groupBy("request_id").agg(F.count(F.lit(1)).alias("orphans"))
-    numbers = numeric_faithfulness(answers, tool_results, tolerance).select("request_id", "delta_numeric")
+    data_found = results.groupBy("request_id").agg(F.bool_or("has_data").alias("has_data"))
+    orphans = orphan_citations(answers, results).groupBy("request_id").agg(F.count(F.lit(1)).alias("orphans"))
+    source_numbers = explode_rows(results, ["request_id"], F.col("numbers"), "number")
+    numbers = _faithfulness(answers, source_numbers, tolerance).select("request_id", "delta_numeric")
 
     lowered = F.lower("answer")
     bad_hits = F.lit(0)
