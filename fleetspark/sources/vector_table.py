@@ -55,6 +55,9 @@ def append_new_chunks(
 ) -> None:
     """Embed and append the chunks whose id is not in the index yet. Running it twice adds nothing.
 
+    `embed` adds a column to each row. It comes after the last shuffle, so texts are dealt to the buckets and vectors stay where
+    they are made. The shuffle that finds each id once serves the comparison with the stored ids as well.
+
     Of the stored table only the ids in the buckets that the chunks fall into are read, and only new chunks reach the embedding
     step. A `batch` that the manifest names already is passed over without reading either. One that was cut off before it
     reached the manifest is appended again, and adds what is missing.
@@ -64,12 +67,12 @@ def append_new_chunks(
     arriving = materialised(chunks.withColumn("bucket", _bucket()))
     # At most one number for each bucket.
     touched = [row.bucket for row in arriving.select("bucket").distinct().collect()]
-    fresh = new_chunks(arriving, stored_ids(spark, path, touched), ["bucket", "id"])
-    added = materialised(embed(fresh)) if batch is not None else embed(fresh)
+    fresh = new_chunks(arriving, stored_ids(spark, path, touched))
+    fresh = materialised(fresh) if batch is not None else fresh
     # A bucket's rows go to one file where they are few, and to several where the size asks for it.
-    added.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(path)
+    embed(fresh.hint("rebalance", "bucket")).write.mode("append").partitionBy("bucket").parquet(path)
     if batch is not None:
-        noted = added.agg(F.lit(batch).alias("batch"), F.count(F.lit(1)).alias("chunks"))
+        noted = fresh.agg(F.lit(batch).alias("batch"), F.count(F.lit(1)).alias("chunks"))
         noted.coalesce(1).write.mode("append").parquet(f"{path}/_batches")
 
 

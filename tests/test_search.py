@@ -172,6 +172,28 @@ def test_a_batch_is_known_by_the_manifest(spark, tmp_path):
     assert sorted(map(tuple, appended_batches(spark, path).collect())) == [("one#0", 2), ("one#1", 1)]
 
 
+def test_an_append_shuffles_texts_and_no_vectors(spark, tmp_path):
+    """The embedding step gets rows that are dealt to their buckets already, after two shuffles of texts."""
+    path, plans = str(tmp_path / "index"), []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return embed_hashed(df)
+
+    append_new_chunks(spark, chunks(spark, "a", "b"), path, noted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        append_new_chunks(spark, chunks(spark, "b", "c"), path, noted, "one#0")
+        append_new_chunks(spark, chunks(spark, "b", "d", None), path, noted)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert all(plan.startswith("RebalancePartitions [bucket") for plan in plans[::2])
+    # Each id once, the stored ids, and the buckets: the first serves the join too.
+    assert plans[-1].count("Exchange hashpartitioning") == 3
+    assert sorted((row.id or "", len(row.embedding)) for row in read_index(spark, path).collect()) == [("", 256), *((i, 256) for i in "abcd")]
+
+
 def test_hashed_vectors_are_those_of_a_plain_count(spark):
     texts = [None, "", "..", "a", "b a B", "Ünï " * 3000 + "x", *(" ".join(f"w{j % 7}{i}" for j in range(i)) for i in range(40))]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").coalesce(1)
