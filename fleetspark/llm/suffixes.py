@@ -228,14 +228,16 @@ def cut_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     names, kinds = docs.columns, dict(docs.dtypes)
     cuts = passages.filter("size(later) > 0").select("_id", "_doc", "later")
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")
-    joined = _keyed(docs.withColumn("_row", row), "_row").join(cuts.hint("merge"), ["_id", "_doc"], "left")
+    # The row has the text, so that is shuffled once.
+    joined = _keyed(docs.withColumn("_row", row), "_row").drop("text").join(cuts.hint("merge"), ["_id", "_doc"], "left")
 
     @F.pandas_udf("string")
     def rest(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([None if own is None else _without(text, own) for text, own in zip(texts, spans)], dtype=object)
 
-    # Only texts that are cut go to Python.
-    left = rest(F.when(F.col("later").isNotNull(), F.col("text")), F.col("later"))
+    # Only texts that are cut go to Python. Were it called deterministic, the planner would cut them once for the filter and
+    # once more for the column, in two workers of a task that stay and keep what later stages remember.
+    left = rest.asNondeterministic()(F.when(F.col("later").isNotNull(), F.col("_row.text")), F.col("later"))
     joined = joined.withColumn("_left", left).filter(F.col("_left").isNull() | (F.regexp_count("_left", F.lit(WORD)) > 0))
     changed = {"text": F.col("_left"), "n_chars": F.char_length("_left").cast(kinds.get("n_chars", "long"))}
 

@@ -72,6 +72,16 @@ def test_cut(small):
             assert got[i].text == text
 
 
+def test_a_text_is_cut_once_and_shuffled_once(small, capsys):
+    docs, _ = small
+    suffixes.cut_passages(docs, written(suffixes.repeated_passages(docs), "test")).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("ArrowEvalPython [") == 1
+    # What the join shuffles is the key and the row.
+    keyed = next(line for line in plan.split("\n") if "struct(doc_id" in line)
+    assert " AS text#" not in keyed
+
+
 def test_hard_rows(hard, hard_rows):
     found = written(suffixes.repeated_passages(hard), "test")
     rows = {r["_id"]: r for r in found.collect()}
