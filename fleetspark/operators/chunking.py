@@ -148,7 +148,8 @@ def _with_sections(
         found = F.regexp_extract(piece, rf"(?s)\A({heading}.*?)(?:{next_heading}|-{{10,}}|\z)", 1)
         return F.when(F.rlike(piece, F.lit(rf"\A{heading}")), found)
 
-    return _with_blocks(documents, "sections", f"(?={start}{heading})", upto_next, markers, min_chars)
+    # The start stands before the lookahead, which is then tried at starts of lines only.
+    return _with_blocks(documents, "sections", f"{start}(?={heading})", upto_next, markers, min_chars)
 
 
 def _code_of(block: Column) -> Column:

@@ -1,5 +1,8 @@
 """Readers for the three CSV tables and the text manual. Every column is read as text and cast in `operators.clean`."""
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +81,12 @@ _RECORD, _FIELD, _ESCAPE = "\x1e", "\x1f", "\x1b"
 _WRITTEN_AS = {_ESCAPE: "\x1b[", _RECORD: "\x1b^", _FIELD: "\x1b_"}
 
 
+def _where_any(name: str, marks: Iterable[str], replaced: Column) -> Column:
+    """`replaced` where the column holds one of the marks, else the column itself; to find none takes far less than to replace none."""
+    found = reduce(Column.__or__, [F.contains(F.col(name), F.lit(mark)) for mark in marks])
+    return F.when(found, replaced).otherwise(F.col(name))
+
+
 def write_documents(documents: DataFrame, path: str) -> None:
     """Store `doc_id` and `text` of many documents in few text files.
 
@@ -85,13 +94,14 @@ def write_documents(documents: DataFrame, path: str) -> None:
     document are escaped. Null text is empty.
     """
 
-    def escaped(value: Column) -> Column:
+    def escaped(name: str) -> Column:
+        value = F.col(name)
         for mark, shown in _WRITTEN_AS.items():
             value = F.replace(value, F.lit(mark), F.lit(shown))
-        return value
+        return _where_any(name, _WRITTEN_AS, value)
 
-    doc_id, text = (F.coalesce(F.col(name).cast("string"), F.lit("")) for name in ("doc_id", "text"))
-    records = documents.select(F.concat(escaped(doc_id), F.lit(_FIELD), escaped(text)).alias("value"))
+    fields = documents.select(*[F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name) for name in ("doc_id", "text")])
+    records = fields.select(F.concat(escaped("doc_id"), F.lit(_FIELD), escaped("text")).alias("value"))
     records.write.option("lineSep", _RECORD).text(path)
 
 
@@ -102,14 +112,20 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     keep to one task.
     """
 
-    def plain(value: Column) -> Column:
+    def plain(name: str) -> Column:
+        value = F.col(name)
         for mark, shown in reversed(_WRITTEN_AS.items()):
             value = F.replace(value, F.lit(shown), F.lit(mark))
-        return value
-
-    fields = F.split("value", _FIELD, 2)
-    stored = spark.read.option("lineSep", _RECORD).text(path)
-    return stored.select(plain(F.get(fields, F.lit(0))).alias("doc_id"), plain(F.get(fields, F.lit(1))).alias("text"))
+        return _where_any(name, [_ESCAPE], value).alias(name)
+
+    # A regular expression would have the whole document decoded to cut it at its first mark.
+    stored = spark.read.option("lineSep", _RECORD).text(path).withColumn("at", F.instr("value", _FIELD))
+    cut = F.col("at") > 0
+    fields = stored.select(
+        F.when(cut, F.substring("value", F.lit(1), F.col("at") - 1)).otherwise(F.col("value")).alias("doc_id"),
+        F.when(cut, F.substring("value", F.col("at") + 1, F.length("value"))).alias("text"),
+    )
+    return fields.select(plain("doc_id"), plain("text"))
 
 
 def read_manuals(spark: SparkSession, path: str, size: int = 600, overlap: int = 100) -> DataFrame:

@@ -107,6 +107,26 @@ def test_many_documents_a_file(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_stored_documents_are_cut_without_a_regular_expression(spark, tmp_path, capsys):
+    (tmp_path / "d.txt").write_text("no mark\x1e\x1e7\x1fa\x1b_b\x1e8\x1f\x1e\u00e99\x1f\u00e9\x1b[")
+    found = read_documents(spark, str(tmp_path / "d.txt"))
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(
+        [("no mark", None), ("", None), ("7", "a\x1fb"), ("8", ""), ("\u00e99", "\u00e9\x1b")], key=repr
+    )
+    found.explain()
+    assert "split(" not in capsys.readouterr().out
+
+
+def test_sections_are_looked_for_at_starts_of_lines_only(spark, capsys):
+    text = "1.1  PERFORMANCE OVERVIEW\n" + "a " * 60 + "1.2  DATA QUALITY " + "b " * 60 + "\r\n2.1 DATA QUALITY\n" + "c " * 60
+    documents = spark.createDataFrame([("d", text)], "doc_id string, text string")
+    for anchored, sections in ((True, 2), (False, 3)):
+        found = chunking.narrative_sections(documents, anchored=anchored)
+        assert len(found.collect()) == sections
+        found.explain()
+        assert "split(text" not in (plan := capsys.readouterr().out) or "(?=(?m)^" not in plan
+
+
 def test_chunks_of_stored_manuals(spark, rows, tmp_path):
     text = "SECTION 1: A\nFAULT CODE: E-1001\n" + "Name: x " * 20 + "\n----------------\n1.1  PERFORMANCE OVERVIEW\n" + "words " * 200
     frame = spark.createDataFrame([(str(i), f"{text} {i}") for i in range(9)], "doc_id string, text string")
