@@ -24,7 +24,7 @@ def hand_out(requests: DataFrame, reports: DataFrame) -> DataFrame:
     All questions about the whole fleet have one of a few keys. They are spread over several parts, and the few reports of
     such keys are copied to each part; requests with ids have keys of their own.
     """
-    named = requests.filter(F.size("asset_ids") > 0).join(reports.filter(F.size("asset_ids") > 0), KEY)
+    named = requests.filter(F.size("asset_ids") > 0).join(reports.filter(F.size("asset_ids") > 0).hint("merge"), KEY)
     part = F.pmod(F.xxhash64("request_id"), F.lit(PARTS)).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
     fleet = requests.filter(F.size("asset_ids") <= 0).withColumn("part", part)
@@ -42,9 +42,18 @@ def _reports(requests: DataFrame, by_key: DataFrame) -> DataFrame:
     return hand_out(requests.select("request_id", *KEY), by_key).drop(*KEY)
 
 
-def telemetry_by_key(keys: DataFrame, months: DataFrame) -> DataFrame:
-    merged = with_months(keys, add_fleet(in_asked_months(months, keys, F.col("month")), merged_telemetry())).groupBy(*KEY).agg(*merged_telemetry())
-    return keys.join(merged, KEY, "left").select(
+def telemetry_by_key_and_month(keys: DataFrame, months: DataFrame) -> DataFrame:
+    """The mergeable figures of each key and month. Store the table when both reports below are made from it."""
+    asked = add_fleet(in_asked_months(months, keys, F.col("month")), merged_telemetry())
+    return with_months(keys, asked).groupBy(*KEY, "month").agg(*merged_telemetry())
+
+
+def telemetry_by_key(keys: DataFrame, months: DataFrame, by_month: DataFrame | None = None) -> DataFrame:
+    """Telemetry summary of each key, out of `telemetry_by_key_and_month` where that is given."""
+    if by_month is None:
+        by_month = telemetry_by_key_and_month(keys, months)
+    merged = by_month.groupBy(*KEY).agg(*merged_telemetry())
+    return keys.join(merged.hint("merge"), KEY, "left").select(
         *KEY,
         F.when(F.col("days").isNull(), "no_data").otherwise("ok").alias("status"),
         "first_date",
@@ -60,11 +69,11 @@ def telemetry_by_key(keys: DataFrame, months: DataFrame) -> DataFrame:
     )
 
 
-def trend_by_key(keys: DataFrame, months: DataFrame) -> DataFrame:
-    merged = (
-        with_months(keys, add_fleet(in_asked_months(months, keys, F.col("month")), merged_telemetry())).groupBy(*KEY, "month").agg(*merged_telemetry())
-    )
-    return merged.select(
+def trend_by_key(keys: DataFrame, months: DataFrame, by_month: DataFrame | None = None) -> DataFrame:
+    """Means of each key and month, out of `telemetry_by_key_and_month` where that is given."""
+    if by_month is None:
+        by_month = telemetry_by_key_and_month(keys, months)
+    return by_month.select(
         *KEY,
         month_label(F.col("month")).alias("month"),
         mean_of("energy").alias("avg_energy"),
@@ -117,14 +126,14 @@ def maintenance_by_key(keys: DataFrame, months: DataFrame, as_of: str, cadence_d
     history = months.groupBy("asset_id").agg(F.max("last_scheduled").alias("last_scheduled"))
     due = (
         keys.select(*KEY, F.explode("asset_ids").alias("asset_id"))
-        .join(history, "asset_id")
+        .join(history.hint("merge"), "asset_id")
         .groupBy(*KEY)
         .agg(F.max("last_scheduled").alias("last_scheduled"))
     )
     since = F.datediff(F.lit(as_of).cast("date"), F.col("last_scheduled"))
     return (
-        keys.join(merged, KEY, "left")
-        .join(due, KEY, "left")
+        keys.join(merged.hint("merge"), KEY, "left")
+        .join(due.hint("merge"), KEY, "left")
         .select(
             *KEY,
             F.when(F.col("events").isNull(), "no_data").otherwise("ok").alias("status"),
@@ -225,7 +234,7 @@ def recent_codes(found: DataFrame, faults: DataFrame, year: int) -> DataFrame:
 
     A list has one entry per distinct code of one asset, so the fault catalogue bounds it.
     """
-    own = faults.join(found.select("asset_id").distinct(), "asset_id", "left_semi")
+    own = faults.join(found.select("asset_id").distinct().hint("merge"), "asset_id", "left_semi")
     label = month_label(F.col("month"))
     season = own.filter(F.month("month").isin(*AFTER_MONTHS)).withColumn("comparison_month", F.lit(None).cast("string"))
     single = own.filter(F.year("month") == year).withColumn("comparison_month", label)
@@ -239,7 +248,7 @@ def recent_codes(found: DataFrame, faults: DataFrame, year: int) -> DataFrame:
 
 def with_recent_codes(found: DataFrame, codes: DataFrame) -> DataFrame:
     """Flagged assets and windows with their fault codes, an empty list when there are none."""
-    left, right = found.alias("found"), codes.alias("codes")
+    left, right = found.alias("found"), codes.hint("merge").alias("codes")
     same = (F.col("found.asset_id") == F.col("codes.asset_id")) & F.col("found.comparison_month").eqNullSafe(
         F.col("codes.comparison_month")
     )
@@ -255,7 +264,7 @@ def with_month_means(found: DataFrame, months: DataFrame, year: int) -> DataFram
     labels = sorted({f"{year}-{first:02d}" for first, last in windows() if first == last})
     per_month = found.withColumn(
         "comparison_month", F.explode(F.array(*[F.lit(label) for label in labels]))
-    ).join(month_means, ["asset_id", "comparison_month"], "left")
+    ).join(month_means.hint("merge"), ["asset_id", "comparison_month"], "left")
     season = found.withColumn("comparison_month", F.lit(None).cast("string")).withColumn(
         "reporting_avg_kwh", F.col("post_march_avg_kwh")
     )

@@ -131,8 +131,11 @@ def in_asked_months(rows: DataFrame, keys: DataFrame, month: Column) -> DataFram
 
 
 def with_months(keys: DataFrame, months: DataFrame) -> DataFrame:
-    """Month rows of every key. The join is an equi join on asset and month that treats the fleet's null as a value."""
-    wanted, rows = _asset_months(keys).alias("wanted"), months.alias("rows")
+    """Month rows of every key. The join is an equi join on asset and month that treats the fleet's null as a value.
+
+    It sorts and merges: the planner takes the keys to be as small as before their ids and months are spelt out.
+    """
+    wanted, rows = _asset_months(keys).alias("wanted"), months.hint("merge").alias("rows")
     same = F.col("wanted.asset_id").eqNullSafe(F.col("rows.asset_id")) & (F.col("wanted.month") == F.col("rows.month"))
     others = [name for name in months.columns if name not in ("asset_id", "month")]
     return wanted.join(rows, same).select(*[F.col(f"wanted.{name}") for name in KEY], "rows.month", *others)

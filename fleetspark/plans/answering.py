@@ -17,6 +17,7 @@ from ..operators.batch import (
     recent_codes,
     scopes_with_assets,
     telemetry_by_key,
+    telemetry_by_key_and_month,
     trend_by_key,
     windows_with_rows,
     with_ids,
@@ -42,6 +43,14 @@ from ..operators.shape import LIST_CAP, capped_lists
 # What a list about the whole fleet depends on.
 WINDOW = ["date_start", "date_end"]
 SCOPE = ["location", "comparison_month"]
+# The tools whose reports rest on tables that many of them share.
+STORED = ("telemetry_tool", "maintenance_tool")
+
+Keep = Callable[[DataFrame], DataFrame]
+
+
+def _lazy(table: DataFrame) -> DataFrame:
+    return table
 
 
 def _results(reports: DataFrame, tool: str, figures: list[Column]) -> DataFrame:
@@ -62,20 +71,29 @@ def _results(reports: DataFrame, tool: str, figures: list[Column]) -> DataFrame:
     )
 
 
-def telemetry_results(requests: DataFrame, months: DataFrame, faults: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
-    """Telemetry reports as tool results, with the fault codes (cut, with their number) and the monthly trend."""
-    keys = distinct_keys(requests)
+def telemetry_results(
+    requests: DataFrame, months: DataFrame, faults: DataFrame, list_cap: int = LIST_CAP, keep: Keep = _lazy
+) -> DataFrame:
+    """Telemetry reports as tool results, with the fault codes (cut, with their number) and the monthly trend.
+
+    `keep` stores the tables that are read more than once, so that none is planned and computed again for each use.
+    """
+    keys = keep(distinct_keys(requests))
     fault_columns = ["fault_code", "fault_count", "description", "first_date", "last_date"]
-    fault_lists = capped_lists(faults_by_key(keys, faults), KEY, [F.col("fault_code")], fault_columns, list_cap).select(
+    codes = keep(faults_by_key(keys, faults))
+    fault_lists = capped_lists(codes, KEY, [F.col("fault_code")], fault_columns, list_cap).select(
         *KEY, F.col("items").alias("fault_events"), F.col("total_count").alias("fault_codes"), F.col("note")
     )
+    by_month = keep(telemetry_by_key_and_month(keys, months))
     # A window has six months at most, which bounds this list.
     trends = (
-        trend_by_key(keys, months)
+        trend_by_key(keys, months, by_month)
         .groupBy(*KEY)
         .agg(F.array_sort(F.collect_list(F.struct("month", "avg_energy", "avg_avail"))).alias("monthly_trend"))
     )
-    by_key = telemetry_by_key(keys, months).join(fault_lists, KEY, "left").join(trends, KEY, "left")
+    by_key = keep(
+        telemetry_by_key(keys, months, by_month).join(fault_lists.hint("merge"), KEY, "left").join(trends.hint("merge"), KEY, "left")
+    )
     names = [
         "days",
         "avg_energy_kwh",
@@ -100,12 +118,16 @@ def maintenance_results(
     as_of: str = AS_OF,
     cadence_days: int = CADENCE_DAYS,
     list_cap: int = LIST_CAP,
+    keep: Keep = _lazy,
 ) -> DataFrame:
-    """Maintenance reports as tool results, with the first events, the codes mentioned and the parts used."""
+    """Maintenance reports as tool results, with the first events, the codes mentioned and the parts used.
+
+    `keep` stores the tables that are read more than once.
+    """
     named = with_ids(requests)
-    keys = distinct_keys(named)
+    keys = keep(distinct_keys(named))
     logs = in_asked_months(logs, keys, first_of_month("date"))
-    first_events = with_months(keys, event_months(logs, list_cap)).select(*KEY, "event.*")
+    first_events = keep(with_months(keys, event_months(logs, list_cap)).select(*KEY, "event.*"))
     columns = [name for name in first_events.columns if name not in KEY]
     # The total of the list is the event count of the report, since the table of first events is itself cut.
     event_lists = capped_lists(first_events, KEY, [F.col("date"), F.col("log_id")], columns, list_cap).select(
@@ -124,11 +146,11 @@ def maintenance_results(
         .groupBy(*KEY)
         .agg(F.map_from_entries(F.collect_list(F.struct("parts_replaced", "uses"))).alias("parts_used"))
     )
-    by_key = (
+    by_key = keep(
         maintenance_by_key(keys, months, as_of, cadence_days)
-        .join(event_lists, KEY, "left")
-        .join(codes, KEY, "left")
-        .join(parts, KEY, "left")
+        .join(event_lists.hint("merge"), KEY, "left")
+        .join(codes.hint("merge"), KEY, "left")
+        .join(parts.hint("merge"), KEY, "left")
         .withColumn("last_date", F.col("last_maintenance_date"))
     )
     names = [
@@ -225,27 +247,36 @@ def _list_key(keys: list[str]) -> Column:
 
 
 def broad_results(
-    wants_low: DataFrame, low: DataFrame, wants_energy: DataFrame, declining: DataFrame, tool: str
+    wants_low: DataFrame, low: DataFrame, wants_energy: DataFrame, declining: DataFrame, tool: str, keep: Keep = _lazy
 ) -> DataFrame:
     """Results of questions about the whole fleet; a question about both lists receives both in one result.
 
-    Requests of either kind meet by their keys alone. The reports are one for each window, or location and month, and are
-    broadcast to them, so no list is shuffled.
+    Requests of either kind meet by their keys alone. The reports are one for each window, or location and month; their JSON is
+    written once for each pair of keys that some request has, a few hundred at most, and broadcast, so no list is shuffled.
     """
-    first = wants_low.select("request_id", "places", _list_key(WINDOW).alias("low_key"))
+    # A fixed number of parts: the rows are narrow, and would come together in one task that takes up all the JSON.
+    parts = int(low.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = wants_low.select("request_id", "places", _list_key(WINDOW).alias("low_key")).repartition(parts, "request_id")
     second = wants_energy.select("request_id", F.col("places").alias("_places"), _list_key(SCOPE).alias("declining_key"))
-    both = first.join(second, "request_id", "full_outer").withColumn("places", F.coalesce("places", "_places"))
-    return (
-        both.join(F.broadcast(low.withColumnRenamed("request_id", "low_key")), "low_key", "left")
+    both = first.join(second.repartition(parts, "request_id").hint("merge"), "request_id", "full_outer").select(
+        "request_id", F.coalesce("places", "_places").alias("places"), "low_key", "declining_key"
+    )
+    texts = keep(
+        both.select("low_key", "declining_key")
+        .distinct()
+        .join(F.broadcast(low.withColumnRenamed("request_id", "low_key")), "low_key", "left")
         .join(F.broadcast(declining.withColumnRenamed("request_id", "declining_key")), "declining_key", "left")
-        .select(
-            "request_id",
-            "places",
-            F.lit(tool).alias("tool"),
-            F.lit("ok").alias("status"),
-            F.lit(None).cast("string").alias("error"),
-            F.to_json(F.struct("low_availability", "declining_energy")).alias("data_json"),
-        )
+        .select("low_key", "declining_key", F.to_json(F.struct("low_availability", "declining_energy")).alias("data_json"))
+    )
+    asked, told = both.alias("asked"), F.broadcast(texts).alias("told")
+    same = F.col("asked.low_key").eqNullSafe(F.col("told.low_key")) & F.col("asked.declining_key").eqNullSafe(F.col("told.declining_key"))
+    return asked.join(told, same).select(
+        "request_id",
+        "places",
+        F.lit(tool).alias("tool"),
+        F.lit("ok").alias("status"),
+        F.lit(None).cast("string").alias("error"),
+        "data_json",
     )
 
 
@@ -270,7 +301,7 @@ def lookup_results(lookups: DataFrame, assets: DataFrame) -> DataFrame:
     data = F.when(single, F.to_json(F.get("assets", F.lit(0)))).otherwise(F.to_json(F.struct("assets")))
     # Requests without ids have no assets to meet, and would all share one key.
     none = F.lit(None).cast(rows.schema["assets"].dataType)
-    with_assets = found.join(rows, "asset_ids", "left").unionByName(
+    with_assets = found.join(rows.hint("merge"), "asset_ids", "left").unionByName(
         lookups.filter((F.size("asset_ids") <= 0) | F.col("asset_ids").isNull()).withColumn("assets", none)
     )
     return with_assets.select(
@@ -319,7 +350,7 @@ def manual_results(
 def skipped_results(requests: DataFrame, lookups: DataFrame, tool: str) -> DataFrame:
     """Results of requests that are not answered because their id lookup reported an error."""
     reason = F.concat(F.lit("skipped: "), F.col("error"))
-    return requests.select("request_id", "places").join(lookups, "request_id").select(
+    return requests.select("request_id", "places").join(lookups.hint("merge"), "request_id").select(
         "request_id",
         "places",
         F.lit(tool).alias("tool"),
@@ -345,6 +376,7 @@ def answer_requests(
     as_of: str = AS_OF,
     searched: DataFrame | None = None,
     list_cap: int = LIST_CAP,
+    stored: tuple[str, ...] = STORED,
 ) -> DataFrame:
     """Tool results of a table of requests: `request_id`, `source_index`, `tool`, `status`, `error`, `data_json`.
 
@@ -354,8 +386,15 @@ def answer_requests(
     reports read them. `logs` is the maintenance log itself, for the event lists. `searched` holds the
     `manual_results`, if any. Lists show at most `list_cap` rows and tell their total. Sources are numbered in the order of the plan.
 
-    The requests with their intent are written once to the checkpoint folder, as every kind of report starts from them.
+    The requests with their intent are written once to the checkpoint folder, as every kind of report starts from them. So are
+    the tables that the reports of the tools in `stored` share, step by step: as one plan they would be computed again for each
+    use, in hundreds of stages that the driver holds at once. The results are the same whatever is stored; a caller that keeps
+    only the results of some tools names those.
+
+    Tables of requests, and of their keys, are joined by sort and merge. Compressed as they are, the planner would take them to
+    be small enough to send through the driver.
     """
+    telemetry_keep, service_keep = (materialised if tool in stored else _lazy for tool in STORED)
     asked = with_intent(requests.filter(F.col("request_id").isNotNull()), year, locations)
     looked_up = F.array_contains("tools", "asset_lookup")
     found = lookups.select(
@@ -364,7 +403,7 @@ def answer_requests(
     # Each row knows the plans of all rows with its id, so that results are numbered without meeting the plans again.
     same_id = Window.partitionBy("request_id")
     joined = materialised(
-        asked.join(found, "request_id", "left").select(
+        asked.join(found.hint("merge"), "request_id", "left").select(
             "request_id",
             "tools",
             "kind",
@@ -391,16 +430,18 @@ def answer_requests(
     wants_energy = telemetry.filter("kind IN ('declining_energy', 'combined')").select("request_id", "places", *SCOPE)
     low = list_reports(
         _key_reports(wants_low, WINDOW),
-        low_availability_by_window(telemetry_by_month, year, threshold),
+        telemetry_keep(low_availability_by_window(telemetry_by_month, year, threshold)),
         WINDOW,
         [F.col("mean_availability_pct"), F.col("asset_id")],
         list_cap,
     )
     scopes = (None, *locations)
-    found = declining_by_scope(telemetry_by_month, assets, scopes, z_threshold, drop_floor)
-    by_window = with_recent_codes(
-        with_month_means(found, telemetry_by_month, year), recent_codes(found, faults_by_month, year)
-    ).withColumnRenamed("scope", "location")
+    found = telemetry_keep(declining_by_scope(telemetry_by_month, assets, scopes, z_threshold, drop_floor))
+    by_window = telemetry_keep(
+        with_recent_codes(
+            with_month_means(found, telemetry_by_month, year), recent_codes(found, faults_by_month, year)
+        ).withColumnRenamed("scope", "location")
+    )
     declining = list_reports(
         _key_reports(wants_energy, SCOPE), by_window, SCOPE, [F.desc("avail_drop"), F.col("asset_id")], list_cap
     )
@@ -408,16 +449,19 @@ def answer_requests(
     # One row for each id whose plan has a lookup.
     looking_up = placed(joined.filter(looked_up & (F.col("nth") == 1)), "asset_lookup").select("request_id", "places")
     parts = [
-        lookup_results(lookups.join(looking_up, "request_id"), assets),
-        telemetry_results(per_asset, telemetry_by_month, faults_by_month, list_cap),
+        lookup_results(lookups.join(looking_up.hint("merge"), "request_id"), assets),
+        telemetry_results(per_asset, telemetry_by_month, faults_by_month, list_cap, telemetry_keep),
         broad_results(
             wants_low,
-            low_availability_report(low, windows_with_rows(telemetry_by_month, year), threshold),
+            telemetry_keep(low_availability_report(low, windows_with_rows(telemetry_by_month, year), threshold)),
             wants_energy,
-            declining_report(declining, scopes_with_assets(telemetry_by_month, assets, scopes), z_threshold, drop_floor),
+            telemetry_keep(
+                declining_report(declining, scopes_with_assets(telemetry_by_month, assets, scopes), z_threshold, drop_floor)
+            ),
             "telemetry_tool",
+            telemetry_keep,
         ),
-        maintenance_results(service, maintenance_by_month, logs, as_of, list_cap=list_cap),
+        maintenance_results(service, maintenance_by_month, logs, as_of, list_cap=list_cap, keep=service_keep),
         skipped_results(planned("telemetry_tool", gated=True), lookups, "telemetry_tool"),
         skipped_results(planned("maintenance_tool", gated=True), lookups, "maintenance_tool"),
     ]

@@ -110,13 +110,13 @@ def _declining_sql(scopes: str) -> str:
 
 def _unpacked(t, schema: str):
     """The data of the telemetry results, by field."""
-    found = request_results(t).filter("tool = 'telemetry_tool' AND data_json IS NOT NULL")
+    found = request_results(t, ("telemetry_tool",)).filter("tool = 'telemetry_tool' AND data_json IS NOT NULL")
     return found.select("request_id", F.from_json("data_json", schema).alias("data")).select("request_id", "data.*")
 
 
-def request_results(t):
+def request_results(t, stored=answering.STORED):
     """All tool results of all requests, as JSON. The lookups and the month tables are written
-    once, since many reports read them."""
+    once, since many reports read them, and so are the tables that the reports of the tools in `stored` share."""
     requests = t.questions.withColumn("tools", F.expr(TOOLS))
     return answering.answer_requests(
         requests,
@@ -131,6 +131,7 @@ def request_results(t):
         z_threshold=-1.0,
         drop_floor=0.3,
         as_of="2001-07-01",
+        stored=stored,
     )
 
 
@@ -301,7 +302,7 @@ def register(registry: Registry) -> None:
     )
     registry.add(
         "request_results",
-        lambda t: request_results(t).select("request_id", "source_index", "tool", "status", "error"),
+        lambda t: request_results(t, ()).select("request_id", "source_index", "tool", "status", "error"),
         f"""WITH statuses AS ({status_sql}), {IDS_SQL}, plans AS (SELECT request_id, question, {TOOLS_SQL} AS tools FROM questions),
             placed AS (SELECT request_id, question, tools, unnest(tools) AS tool, unnest(range(len(tools))) + 1 AS source_index FROM plans),
             gates AS (
@@ -459,7 +460,7 @@ def register(registry: Registry) -> None:
     asset = "asset_id:string,name:string,type:string,location:string"
     registry.add(
         "batch_lookup",
-        lambda t: request_results(t)
+        lambda t: request_results(t, ())
         .filter("tool = 'asset_lookup'")
         .withColumns({"many": F.from_json("data_json", f"assets array<struct<{asset}>>")["assets"], "one": F.from_json("data_json", f"struct<{asset}>")})
         .withColumn("shown", F.coalesce("many", F.when(F.col("one.asset_id").isNotNull(), F.array("one"))))
@@ -478,7 +479,7 @@ def register(registry: Registry) -> None:
     service_sql = gates_sql.replace("list_contains(tools, 'telemetry_tool') AND NOT", "list_contains(tools, 'maintenance_tool') AND NOT")
     registry.add(
         "batch_maintenance",
-        lambda t: request_results(t)
+        lambda t: request_results(t, ("maintenance_tool",))
         .filter("tool = 'maintenance_tool' AND data_json IS NOT NULL")
         .select("request_id", F.from_json("data_json", "status string, message string, data struct<asset_id:string,date_range:string,total_events:bigint,"
         "scheduled_count:bigint,corrective_count:bigint,total_cost_eur:double,avg_cost_eur:double,total_duration_hours:double,last_maintenance_date:date,"

@@ -4,6 +4,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
+from fleetspark.checkpoints import materialised
 from fleetspark.functions.vectors import embed_hashed
 from fleetspark.operators import batch, maintenance, months, resolve, seasonal, telemetry
 from fleetspark.plans import answering
@@ -202,3 +203,32 @@ def test_only_months_that_a_key_covers_meet_the_keys(spark):
     keys = spark.createDataFrame([(["WT-001"], date(2024, 2, 1), date(2024, 3, 31))], "asset_ids array<string>, date_start date, date_end date")
     kept = months.in_asked_months(months.telemetry_months(facts), keys, F.col("month"))
     assert {r.month for r in kept.select("month").distinct().collect()} == {date(2024, 2, 1), date(2024, 3, 1)}
+
+
+def test_results_are_planned_in_few_stages_and_send_no_table_of_requests_through_the_driver(spark):
+    assets, facts, logs = tables(spark)
+    both, all_three = ["asset_lookup", "telemetry_tool"], ["asset_lookup", "maintenance_tool", "telemetry_tool"]
+    questions = [
+        ("energy of WT-001 in April?", both),
+        ("energy of WT-777?", all_three),
+        ("maintenance of WT-001 and WT-002", all_three),
+        ("energy of the fleet in April", ["telemetry_tool"]),
+        ("Which assets are below 90 uptime?", ["telemetry_tool"]),
+        ("Which assets are declining in availability in galicia last month?", ["telemetry_tool"]),
+        ("Which assets underperform in q1?", ["telemetry_tool"]),
+    ]
+    asked = spark.createDataFrame(list(enumerate_requests(questions)), "request_id bigint, question string, tools array<string>")
+
+    lookups = materialised(resolve.lookup_requests(asked, assets))
+    folded = [months.telemetry_months(facts), months.fault_months(facts), months.maintenance_months(logs)]
+    folded = [materialised(table) for table in folded]
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        found = answering.answer_requests(asked, lookups, assets, *folded, logs)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # As one plan there were 150 shuffles and 90 broadcast joins, those of the requests and their keys among them.
+    assert plan.count("Exchange hashpartitioning") < 40 and plan.count("BroadcastHashJoin") < 10
+    assert found.count() == sum(len(plan) for _, plan in questions)
